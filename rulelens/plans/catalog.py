@@ -90,7 +90,9 @@ def s4_vector_table(spark, folder):
     path = f"{scratch_dir(spark)}/chunks-{uuid.uuid4().hex}"
     vector_table.write_partitions(views.chunk_vectors(spark, folder), path)
     main = vector_table.read(spark, path, branches=[""])
-    return main.select("collection_name", "branch", "chunk_hash", "source", "start_line", "content")
+    return main.select(
+        "collection_name", "branch", "chunk_hash", "source", F.col("start_line").cast("bigint").alias("start_line"), "content"
+    )
 
 
 @query
@@ -647,7 +649,7 @@ def w1_rules_with_total(spark, folder):
     all_rules = views.rules(spark, folder)
     key = tasks.sort_key("position", "asc", rules.RULE_SORT, "position")
     page = tasks.page_per_group(all_rules, ["user_id", "repository_full_name"], key, 1, 5)
-    return rules.with_total(page, all_rules).select("id", "row_no", "total")
+    return rules.with_total(page, all_rules).select("id", F.col("row_no").cast("bigint").alias("row_no"), "total")
 
 
 @query
