@@ -1 +1,10 @@
-"""rulelens: rule checking and outcome analytics over file collections, as Spark jobs."""
+"""rulelens: rule checking and outcome analytics over file collections, as Spark jobs.
+
+Functions that run in Python workers are sent by value, so executors need no copy of this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -5,13 +5,13 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Sequence
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SIMILARITY_DIGITS = 9
+MAX_CACHED_WORDS = 100_000
 _WORD = re.compile("[A-Za-z0-9_]+")
 
 Embedder = Callable[[Sequence[str]], np.ndarray]
@@ -28,19 +28,24 @@ def cosine(a: Column, b: Column) -> Column:
     return F.round(dot(a, b) / F.nullif(norms, F.lit(0.0)), SIMILARITY_DIGITS)
 
 
-@lru_cache(maxsize=100_000)
-def _slot(word: str, dims: int) -> int:
-    return int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dims
-
-
 def hash_embedder(dims: int = 64) -> Embedder:
     """Offline default: word counts hashed into ``dims`` slots, scaled to unit length."""
 
+    slots: dict[str, int] = {}
+
+    def slot(word: str) -> int:
+        found = slots.get(word)
+        if found is None:
+            found = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dims
+            if len(slots) < MAX_CACHED_WORDS:
+                slots[word] = found
+        return found
+
     def embed(texts: Sequence[str]) -> np.ndarray:
         out = np.zeros((len(texts), dims))
         for row, text in enumerate(texts):
             for word in _WORD.findall(text):
-                out[row, _slot(word.lower(), dims)] += 1.0
+                out[row, slot(word.lower())] += 1.0
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norms == 0.0, 1.0, norms)
 

@@ -16,55 +16,69 @@ CHUNK_OVERLAP = 100
 LIMIT_SIZE = 2048
 LIMIT_OVERLAP = 256
 TEXT_NODE = "fallback_text_split"
+BLOCK_CHUNKS = 8
 SEPARATORS = ("\n\n", "\n", " ", "")
 
 
-def with_windows(df: DataFrame, size: int, overlap: int, only: Column | None = None) -> DataFrame:
-    """Add ``_windows``: chunks ``struct(content, first, breaks)`` that cover the whole ``content``.
+def cut_windows(df: DataFrame, size: int, overlap: int, only: Column | None = None) -> DataFrame:
+    """Cut ``content`` into chunks that cover it whole: one row per chunk, all other columns kept.
 
-    The text is cut once into steps of ``size - overlap`` characters; a chunk is a step and the head
-    of the next one. ``first`` is the 0-based line of the chunk, ``breaks`` its number of newlines.
-    A last step that the chunk before it already holds is dropped. The steps are columns of their
-    own, so that the work stays linear in the text length. Rows that fail ``only`` get null.
+    Adds ``chunk_no`` and ``first``, the 0-based line on which the chunk starts. A last chunk that
+    the one before it already holds is dropped; empty texts have none; rows that fail ``only`` stay
+    whole. A position in UTF-8 text is found by walking from its start, so long texts are first cut
+    into blocks of some chunks, and chunks are cut from their block. Plain string functions, one
+    generated stage, no shuffle.
     """
     step = size - overlap
     if not 0 <= overlap <= step:
         raise ValueError("overlap must not exceed size - overlap")
-    pieces = F.regexp_extract_all("content", F.lit("(?s).{1,%d}" % step), F.lit(0))
-    stepped = df.withColumn("_pieces", pieces if only is None else F.when(only, pieces))
-    counted = stepped.withColumn(
-        "_lines",
-        F.aggregate(
-            "_pieces",
-            F.array(F.lit(0)),
-            lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + newlines(p))),
-        ),
+    block = BLOCK_CHUNKS * step
+    rest = [c for c in df.columns if c != "content"]
+    cut = F.lit(True) if only is None else only
+    count = F.greatest(F.lit(1), F.ceil((F.length("content") - overlap) / step)).cast("int")
+    sized = df.filter(F.length("content") > 0).withColumn("_count", F.when(cut, count).otherwise(1))
+    blocks = sized.select(
+        *rest,
+        "content",
+        "_count",
+        F.explode(F.sequence(F.lit(0), F.floor((F.col("_count") - 1) / BLOCK_CHUNKS).cast("int"))).alias("_block"),
+    )
+    several = F.col("_count") > 1
+    pieces = blocks.select(
+        *rest,
+        "_count",
+        "_block",
+        F.when(several, F.substring("content", F.col("_block") * block + 1, F.lit(block + overlap)))
+        .otherwise(F.col("content"))
+        .alias("_piece"),
+        F.when(F.col("_block") == 0, 0)
+        .otherwise(newlines(F.left(F.col("content"), F.col("_block") * block)))
+        .alias("_before"),
+    )
+    left = F.least(F.lit(BLOCK_CHUNKS), F.col("_count") - F.col("_block") * BLOCK_CHUNKS)
+    chunks = pieces.select(
+        *rest, "_count", "_block", "_piece", "_before", F.explode(F.sequence(F.lit(1), left)).alias("_no")
+    )
+    at = (F.col("_no") - 1) * step
+    return chunks.select(
+        *rest,
+        (F.col("_block") * BLOCK_CHUNKS + F.col("_no") - 1).alias("chunk_no"),
+        F.when(several, F.substring("_piece", at + 1, F.lit(size))).otherwise(F.col("_piece")).alias("content"),
+        (F.col("_before") + newlines(F.left(F.col("_piece"), at))).alias("first"),
+        several.alias("was_cut"),
     )
-    n = F.size("_pieces")
-    kept = F.filter("_pieces", lambda p, i: (i == 0) | (i < n - 1) | (F.length(p) > overlap))
-
-    def chunk(piece: Column, i: Column) -> Column:
-        following = F.coalesce(F.try_element_at(F.col("_pieces"), i + 2), F.lit(""))
-        content = F.concat(piece, F.left(following, F.lit(overlap)))
-        return F.struct(
-            content.alias("content"),
-            F.element_at(F.col("_lines"), i + 1).alias("first"),
-            newlines(content).alias("breaks"),
-        )
-
-    return counted.withColumn("_windows", F.transform(kept, chunk)).drop("_pieces", "_lines")
 
 
 def chunk_windows(files: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """Fixed-size chunks of ``files(repo, file_path, content)``, all in the JVM and without a shuffle."""
-    cut = with_windows(files.select("repo", "file_path", "content"), size, overlap)
-    return cut.select("repo", "file_path", F.posexplode("_windows").alias("chunk_no", "_c")).select(
+    cut = cut_windows(files.select("repo", "file_path", "content"), size, overlap)
+    return cut.select(
         "repo",
         "file_path",
         "chunk_no",
-        F.col("_c.content").alias("content"),
-        (F.col("_c.first") + 1).alias("start_line"),
-        (F.col("_c.first") + 1 + F.col("_c.breaks")).alias("end_line"),
+        "content",
+        (F.col("first") + 1).alias("start_line"),
+        (F.col("first") + 1 + newlines(F.col("content"))).alias("end_line"),
         language_of(F.col("file_path")).alias("language"),
         F.lit(TEXT_NODE).alias("node_type"),
         F.lit(None).cast("string").alias("node_name"),
@@ -73,23 +87,14 @@ def chunk_windows(files: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK
 
 def limit_size(chunks: DataFrame, size: int = LIMIT_SIZE, overlap: int = LIMIT_OVERLAP) -> DataFrame:
     """Split chunks over ``size`` again; parts keep the metadata and count lines from their parent."""
-    too_long = F.length("content") > size
-    whole = F.array(F.struct(F.col("content").alias("content"), F.lit(0).alias("first"), F.lit(0).alias("breaks")))
-    cut = with_windows(chunks, size, overlap, only=too_long)
     rest = [c for c in chunks.columns if c not in ("content", "start_line", "end_line")]
-    exploded = cut.select(
-        *rest,
-        "start_line",
-        "end_line",
-        F.col("_windows").isNotNull().alias("_split"),
-        F.explode(F.coalesce("_windows", whole)).alias("_p"),
-    )
-    first = F.col("start_line") + F.col("_p.first")
-    return exploded.select(
-        *rest,
-        F.col("_p.content").alias("content"),
+    cut = cut_windows(chunks.drop("chunk_no"), size, overlap, only=F.length("content") > size)
+    first = F.col("start_line") + F.col("first")
+    return cut.select(
+        *[c for c in rest if c != "chunk_no"],
+        "content",
         first.alias("start_line"),
-        F.when(F.col("_split"), first + F.col("_p.breaks")).otherwise(F.col("end_line")).alias("end_line"),
+        F.when(F.col("was_cut"), first + newlines(F.col("content"))).otherwise(F.col("end_line")).alias("end_line"),
     )
 
 

@@ -1103,11 +1103,17 @@ def d6_embeddings(spark, folder):
     )
 
 
+def _stored_index(files: DataFrame) -> DataFrame:
+    """The index of the stored snapshot, as the table that an update starts from."""
+    chunks = indexing.to_chunks(files, chunking.chunk_windows, views.MODEL, views.STRATEGY)
+    return validate.stored(indexing.unique_chunks(chunks), "index")
+
+
 @query
 def d7_incremental_index(spark, folder):
     """Index of the stored snapshot, brought to the current one by chunking only what changed."""
     stored = views.stored_files(spark, folder)
-    before = indexing.unique_chunks(indexing.to_chunks(stored, chunking.chunk_windows, views.MODEL, views.STRATEGY))
+    before = _stored_index(stored)
     update = indexing.update_index(
         views.current_files(spark, folder), indexing.file_hashes(stored), before, chunking.chunk_windows,
         views.MODEL, views.STRATEGY,
@@ -1122,7 +1128,7 @@ def d7_incremental_index(spark, folder):
 def d7_branch_delta(spark, folder):
     """The same change as the layer of a branch: the main layer stays as it is."""
     stored = views.stored_files(spark, folder)
-    before = indexing.unique_chunks(indexing.to_chunks(stored, chunking.chunk_windows, views.MODEL, views.STRATEGY))
+    before = _stored_index(stored)
     update = indexing.update_index(
         views.current_files(spark, folder), indexing.file_hashes(stored), before, chunking.chunk_windows,
         views.MODEL, views.STRATEGY, branch="pr-1",
