@@ -61,8 +61,7 @@ def is_code(path: Column) -> Column:
 def _scan(spark: SparkSession, root: str, keep) -> DataFrame:
     """Files below ``root``, which holds one folder per repository.
 
-    The size filter reaches the source, so larger files are listed but not read; the path filters
-    read no content either, as it is decoded only for the files that stay.
+    The size filter reaches the source, so larger files are listed but not read.
     """
     raw = (
         spark.read.format("binaryFile")
@@ -71,7 +70,7 @@ def _scan(spark: SparkSession, root: str, keep) -> DataFrame:
         .filter(F.col("length") <= MAX_BYTES)
     )
     base = root.rstrip("/").split(":", 1)[-1]
-    inside = F.regexp_extract(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), rf"(?s)^[^/]*/*{_quote(base)}/(.*)$", 1)
+    inside = F.regexp_extract("path", rf"(?s)^[^/]*/*{_quote(base)}/(.*)$", 1)
     named = raw.withColumn("_in", inside).select(
         F.substring_index("_in", "/", 1).alias("repo"),
         F.regexp_replace("_in", r"^[^/]*/", "").alias("file_path"),

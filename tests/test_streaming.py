@@ -116,7 +116,7 @@ def test_late_rows_are_dropped(spark, tmp_path):
     import datetime as dt
 
     base = dt.datetime(2024, 1, 1, 12)
-    for n, hours in enumerate((0, 5, 0.1)):
+    for n, hours in enumerate((0, 5, 5.1, 0.1)):
         df = spark.createDataFrame([(n, "failed", base + dt.timedelta(hours=hours))], schema)
         df.coalesce(1).write.mode("append").parquet(str(tmp_path / "late"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "late"))
