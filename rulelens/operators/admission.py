@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rulelens.functions.text import clone_url
 from rulelens.operators.rules import owner_of_repo, rule_lists
-from rulelens.operators.tasks import CONFIG_DEFAULTS, EVALUATION_LIMIT, with_config
+from rulelens.operators.tasks import EVALUATION_LIMIT, with_config
 
 # Handled actions, and the status that an event type implies.
 HANDLED = ("opened", "synchronize", "reopened")
@@ -21,23 +21,26 @@ INSTALL, UNINSTALL = ("created", "unsuspend"), ("deleted", "suspend")
 PULL_REQUEST = ["repository_full_name", "pr_number"]
 
 
+def policies(rules: DataFrame, users: DataFrame, configs: DataFrame) -> DataFrame:
+    """One row per repository with rules: owner, configuration in force, and the owner's rule list."""
+    owners = owner_of_repo(rules, users).select("repository_full_name", "user_id")
+    configured = with_config(owners, configs, "")
+    return configured.join(rule_lists(rules), ["user_id", "repository_full_name"], "left")
+
+
 def with_static_reason(events: DataFrame, rules: DataFrame, users: DataFrame, configs: DataFrame) -> DataFrame:
-    """Join owner, configuration and rules, and name the first reason that does not depend on the count.
+    """Join the policy of the repository, and name the first reason that does not depend on the count.
 
     ``reason`` is tested in order: action, owner, disabled. ``no_rules`` is kept apart, because the
     count of earlier evaluations is tested before it.
     """
-    owners = owner_of_repo(rules, users).select("repository_full_name", "user_id")
-    known = events.join(owners, "repository_full_name", "left")
-    configured = with_config(known, configs, "")
-    listed = rule_lists(rules)
     reason = (
         F.when(~F.col("action").isin(*HANDLED), "action not handled")
         .when(F.col("user_id").isNull(), "no owner")
         .when(~F.col("pr_evaluation_enabled"), "disabled")
     )
     return (
-        configured.join(listed, ["user_id", "repository_full_name"], "left")
+        events.join(policies(rules, users, configs), "repository_full_name", "left")
         .withColumn("reason", reason)
         .withColumn("no_rules", F.col("rules").isNull())
     )
@@ -96,10 +99,6 @@ def new_tasks(decided: DataFrame) -> DataFrame:
     )
 
 
-def default_cap() -> int:
-    return CONFIG_DEFAULTS["max_evaluations_per_pr"]
-
-
 def task_state(events: DataFrame) -> DataFrame:
     """State of every task after all its events: status of the last event, last known progress and message.
 

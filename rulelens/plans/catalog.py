@@ -387,7 +387,7 @@ def _queries(spark, folder) -> DataFrame:
         "id as query_id", "concat('c', repo_no % 10) as collection_name", "'' as branch", "rule_text"
     )
     embed = vectors.hash_embedder(views.EMBEDDING_DIMS)
-    return search.embed_texts(admitted, "rule_text", "query_vec", embed).drop("rule_text")
+    return validate.stored(search.embed_texts(admitted, "rule_text", "query_vec", embed).drop("rule_text"), "queries")
 
 
 @query
