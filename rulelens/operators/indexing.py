@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rulelens.functions.text import chunk_key, collection_key, content_hash
 from rulelens.operators.numbering import latest_per_key
+from rulelens.session import stored
 
 FILE = ["repo", "file_path"]
 
@@ -146,12 +147,13 @@ def update_index(
 
     With ``branch`` the main layer stays and the changed files form the branch layer, except for
     repositories without a main layer, which are indexed as main. A repository whose hashes are
-    known but whose main layer is missing is indexed again in full.
+    known but whose main layer is missing is indexed again in full. The changes are stored first: their
+    size then decides how file texts and chunks meet them, and a small change moves no large table.
     """
     hashes = file_hashes(files)
     present = stored_chunks.filter(F.col("branch") == "").select(F.col("repo_name").alias("repo")).distinct()
     trusted = stored_hashes.join(present, "repo", "left_semi")
-    changes = diff(hashes, trusted)
+    changes = stored(diff(hashes, trusted), "changes")
     todo = files.join(changes.filter(F.col("change").isin("new", "changed")), FILE, "left_semi")
     if branch is None:
         main, delta = todo, None

@@ -31,6 +31,13 @@ def in_map(path: Column) -> Column:
     return ~hidden & (suffix.isin(*MAP_SUFFIXES) | name.isin(*MAP_NAMES))
 
 
+def in_walk(path: Column) -> Column:
+    """Files whose symbols are listed: no skipped or hidden folder above them."""
+    parts = F.split(path, "/")
+    folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    return ~F.exists(folders, lambda p: F.startswith(p, F.lit(".")) | p.isin(*SKIP_DIRS))
+
+
 def directories(files: DataFrame) -> DataFrame:
     """Files and bytes below every directory that has a listed file; ``files(repo, file_path, length)``."""
     parts = F.split("file_path", "/")

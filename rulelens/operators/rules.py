@@ -30,6 +30,12 @@ def is_enabled() -> Column:
     return F.coalesce(F.col("enabled"), F.lit(True))
 
 
+def sort_key(column: str, order: str) -> Column:
+    """Sort column of rule pages; here any order other than ``asc`` means descending."""
+    c = F.col(column if column in RULE_SORT else RULE_SORT[0])
+    return c.asc_nulls_last() if order.lower() == "asc" else c.desc_nulls_first()
+
+
 def with_total(page: DataFrame, rules: DataFrame) -> DataFrame:
     """Add to each row of a page the number of all rules of its list."""
     totals = rules.groupBy("user_id", "repository_full_name").agg(F.count("*").alias("total"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,6 +76,18 @@ def _best(sims: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return sims[order], names[order]
 
 
+def _groups(collections: np.ndarray, branches: np.ndarray) -> Iterator[tuple[tuple[str, str], np.ndarray]]:
+    """Row numbers of every collection and branch of a batch."""
+    first, names = pd.factorize(collections)
+    second, layers = pd.factorize(branches)
+    code = first * max(1, len(layers)) + second
+    order = np.argsort(code, kind="stable")
+    bounds = np.flatnonzero(np.diff(code[order])) + 1
+    for rows in np.split(order, bounds):
+        if len(rows):
+            yield (names[first[rows[0]]], layers[second[rows[0]]]), rows
+
+
 def _found(rows: list[tuple]) -> pa.RecordBatch:
     ids, collections, branches, names, sims = (list(c) for c in zip(*rows)) if rows else ([], [], [], [], [])
     return pa.RecordBatch.from_arrays(
@@ -105,10 +118,9 @@ def _scan_with_queries(chunks: DataFrame, queries: DataFrame, k: int) -> DataFra
             branches = batch.column("branch").to_numpy(zero_copy_only=False)
             names = batch.column("chunk_hash").to_numpy(zero_copy_only=False)
             vectors = _matrix(batch.column("embedding"))
-            for key in set(zip(collections, branches)):
+            for key, rows in _groups(collections, branches):
                 if key not in known:
                     continue
-                rows = np.flatnonzero((collections == key[0]) & (branches == key[1]))
                 sims = np.round(vectors[rows] @ known[key][1].T, SIMILARITY_DIGITS)
                 new = names[rows]
                 before = kept.get(key)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rulelens.functions.text import add_seconds, owner_of, round_half_up
+from rulelens.functions.text import add_seconds, literal_map, owner_of, round_half_up
 
 # Sortable columns, defaults of a repository without configuration, retry limits.
 TASK_SORT = ("created_at", "status", "repository_full_name", "progress", "completed_at", "pr_number")
@@ -22,6 +22,11 @@ EVALUATION_LIMIT = 20
 MAX_RETRIES = 5
 RETRY_SECONDS = 120
 REQUEUE_MESSAGE = "Service temporarily unavailable. Evaluation will resume automatically."
+FAILURE_MESSAGES = {
+    "LLM_UNAVAILABLE": f"LLM service did not respond after {MAX_RETRIES} attempts. Please try again later.",
+    "EMBEDDING_UNAVAILABLE": f"Vector search service did not respond after {MAX_RETRIES} attempts. Please try again later.",
+    "UNEXPECTED_ERROR": "An unexpected error occurred during evaluation. Contact support if the issue persists.",
+}
 SUMMARY = (
     "id", "repository_full_name", "status", "progress", "progress_message",
     "created_at", "completed_at", "pr_number", "pr_author",
@@ -83,7 +88,7 @@ def ready_first(tasks: DataFrame, as_of: Column, n: int) -> DataFrame:
 
 
 def sort_key(column: str, order: str, allowed: Sequence[str], default: str) -> Column:
-    """Sort column from an allow-list; nulls are the largest values, as in the reference database."""
+    """Sort column from an allow-list; any order other than ``desc`` is ascending, nulls are the largest values."""
     c = F.col(column if column in allowed else default)
     return c.desc_nulls_first() if order.lower() == "desc" else c.asc_nulls_last()
 
@@ -127,7 +132,7 @@ def dashboard(tasks: DataFrame, window: int = 50) -> DataFrame:
             F.count_if(F.col("status") == "completed").alias("completed"),
             F.count_if(F.col("status").isin("pending", "running")).alias("open_tasks"),
         )
-        .withColumn("completed_pct", round_half_up(100.0 * F.col("completed") / F.nullif("shown", F.lit(0))))
+        .withColumn("completed_pct", round_half_up(F.col("completed") / F.nullif("shown", F.lit(0)) * 100))
     )
     return recent.join(count_by(tasks, ["user_id"], "total"), "user_id")
 
@@ -179,17 +184,20 @@ def evaluation_numbers(tasks: DataFrame, cap: Column) -> DataFrame:
 
 
 def requeue(failures: DataFrame) -> DataFrame:
-    """What happens to failed runs ``(task_id, error_kind, retry_count, failed_at)``.
+    """What happens to failed runs ``(task_id, error_kind, retry_count, failed_at, technical)``.
 
     Unavailable services are retried after a pause up to the limit; everything else fails at once.
     """
     transient = F.col("error_kind").isin("LLM", "EMBEDDING")
     retry = transient & (F.col("retry_count") < MAX_RETRIES)
     code = F.when(transient, F.concat(F.col("error_kind"), F.lit("_UNAVAILABLE"))).otherwise("UNEXPECTED_ERROR")
+    message = F.element_at(literal_map(FAILURE_MESSAGES), code)
+    payload = F.to_json(F.struct(code.alias("code"), message.alias("message"), F.col("technical").alias("technical")))
     return failures.select(
         "task_id",
         F.when(retry, "pending").otherwise("failed").alias("status"),
         F.when(retry, F.col("retry_count") + 1).otherwise(F.col("retry_count")).alias("retry_count"),
         F.when(retry, add_seconds(F.col("failed_at"), F.lit(RETRY_SECONDS))).alias("retry_after"),
-        F.when(~retry, code).alias("error_code"),
+        F.when(retry, REQUEUE_MESSAGE).alias("progress_message"),
+        F.when(~retry, payload).alias("error"),
     )

@@ -29,7 +29,7 @@ from rulelens.operators import (
     tasks,
 )
 from rulelens.plans import validate
-from rulelens.session import scratch_dir
+from rulelens.session import scratch_dir, stored
 from rulelens.sources import files as file_source
 from rulelens.sources import results, vector_table, views, webhooks
 
@@ -387,7 +387,7 @@ def _queries(spark, folder) -> DataFrame:
         "id as query_id", "concat('c', repo_no % 10) as collection_name", "'' as branch", "rule_text"
     )
     embed = vectors.hash_embedder(views.EMBEDDING_DIMS)
-    return validate.stored(search.embed_texts(admitted, "rule_text", "query_vec", embed).drop("rule_text"), "queries")
+    return stored(search.embed_texts(admitted, "rule_text", "query_vec", embed).drop("rule_text"), "queries")
 
 
 @query
@@ -647,7 +647,7 @@ def a18_task_rules(spark, folder):
 @query
 def w1_rules_with_total(spark, folder):
     all_rules = views.rules(spark, folder)
-    key = tasks.sort_key("position", "asc", rules.RULE_SORT, "position")
+    key = rules.sort_key("position", "asc")
     page = tasks.page_per_group(all_rules, ["user_id", "repository_full_name"], key, 1, 5)
     return rules.with_total(page, all_rules).select("id", F.col("row_no").cast("bigint").alias("row_no"), "total")
 
@@ -801,7 +801,7 @@ def t1_global_page(spark, folder):
 
 @query
 def t2_rule_page(spark, folder):
-    key = tasks.sort_key("rule_text", "desc", rules.RULE_SORT, "position")
+    key = rules.sort_key("rule_text", "desc")
     page = tasks.page_per_group(views.rules(spark, folder), ["user_id", "repository_full_name"], key, 1, 10)
     return page.select("id", "rule_text", F.col("row_no").cast("bigint").alias("row_no"))
 
@@ -1106,7 +1106,7 @@ def d6_embeddings(spark, folder):
 def _stored_index(files: DataFrame) -> DataFrame:
     """The index of the stored snapshot, as the table that an update starts from."""
     chunks = indexing.to_chunks(files, chunking.chunk_windows, views.MODEL, views.STRATEGY)
-    return validate.stored(indexing.unique_chunks(chunks), "index")
+    return stored(indexing.unique_chunks(chunks), "index")
 
 
 @query
@@ -1241,7 +1241,7 @@ def r4_sliding_rate(spark, folder):
 def r5_requeue(spark, folder):
     failures = views.tasks(spark, folder).filter("status = 'failed'").selectExpr(
         "id as task_id", "case id % 3 when 0 then 'LLM' when 1 then 'EMBEDDING' else 'OTHER' end as error_kind",
-        "retry_count", "completed_at as failed_at",
+        "retry_count", "completed_at as failed_at", "coalesce(error, 'unknown') as technical",
     )
     return tasks.requeue(failures)
 

@@ -492,7 +492,7 @@ BODIES: dict[str, str] = {
     "a15_dashboard": """
       select l.user_id, count(*) as shown, count(*) filter (where status = 'completed') as completed,
         count(*) filter (where status in ('pending', 'running')) as open_tasks,
-        cast(floor(100.0::double * count(*) filter (where status = 'completed') / count(*) + 0.5) as bigint) as completed_pct,
+        cast(floor(count(*) filter (where status = 'completed') / count(*)::double * 100 + 0.5) as bigint) as completed_pct,
         any_value(total) as total
       from (select *, row_number() over (partition by user_id order by created_at desc, id) as n,
               count(*) over (partition by user_id) as total from tasks) l where n <= 50 group by l.user_id""",
@@ -709,10 +709,16 @@ BODIES: dict[str, str] = {
       from (select user_id, {_HOUR10} - to_seconds(unnest(range(6)) * 10) as window_start from events) group by all""",
     "r5_requeue": """
       with f as (select id, case id % 3 when 0 then 'LLM' when 1 then 'EMBEDDING' else 'OTHER' end as kind, retry_count, completed_at,
+              coalesce(error, 'unknown') as technical,
               id % 3 < 2 and retry_count < 5 as again from tasks where status = 'failed')
       select id as task_id, case when again then 'pending' else 'failed' end as status, case when again then retry_count + 1 else retry_count end as retry_count,
         case when again then completed_at + interval 120 second end as retry_after,
-        case when again then null when kind = 'OTHER' then 'UNEXPECTED_ERROR' else concat(kind, '_UNAVAILABLE') end as error_code from f""",
+        case when again then 'Service temporarily unavailable. Evaluation will resume automatically.' end as progress_message,
+        case when again then null else to_json({code: case kind when 'OTHER' then 'UNEXPECTED_ERROR' else concat(kind, '_UNAVAILABLE') end,
+          message: case kind when 'LLM' then 'LLM service did not respond after 5 attempts. Please try again later.'
+            when 'EMBEDDING' then 'Vector search service did not respond after 5 attempts. Please try again later.'
+            else 'An unexpected error occurred during evaluation. Contact support if the issue persists.' end,
+          technical: technical})::varchar end as error from f""",
     "r6_hourly_activity": "select date_trunc('hour', created_at)::timestamp as hour, status, count(*) as n from activity group by 1, 2",
     "r7_routing": """
       with conn as (select distinct user_id, unnest([user_id * 2, user_id * 2 + 1]) as connection_id from task_events),

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -14,18 +13,7 @@ from rulelens.functions.vectors import Embedder
 from rulelens.operators import contexts, evaluation, indexing, repomap, reports, search
 from rulelens.operators.chunking import chunk_windows, limit_size
 from rulelens.operators.declarations import symbols
-from rulelens.session import scratch_dir
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back.
-
-    Used behind embedding and evaluator calls: later steps, retries and lost executors read the
-    table and never repeat the calls.
-    """
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from rulelens.session import stored
 
 
 class Check(NamedTuple):
@@ -82,7 +70,7 @@ def check_rules(
     )
     matched = contexts.file_matches(hits, texts, ["collection_name", "source"])
     listed = files.select("repo", "file_path", F.length("content").alias("length"))
-    lines = repomap.map_lines(listed, symbols(files))
+    lines = repomap.map_lines(listed, symbols(files.filter(repomap.in_walk(F.col("file_path")))))
     budget = int((contexts.MAX_CONTEXT_TOKENS - contexts.RESERVED_TOKENS) * contexts.MAP_SHARE) * 4
     maps = repomap.map_heads(lines, budget)
     prompts = contexts.prompts(rules, maps, matched)

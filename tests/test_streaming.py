@@ -83,7 +83,7 @@ def test_sliding_rate(spark, data, tmp_path):
 def test_stateless_streams(spark, data, tmp_path):
     failures = views.tasks(spark, data).filter("status = 'failed'").selectExpr(
         "id as task_id", "case id % 3 when 0 then 'LLM' else 'OTHER' end as error_kind", "retry_count",
-        "completed_at as failed_at",
+        "completed_at as failed_at", "error as technical",
     )
     got = run(jobs.requeue(as_stream(failures, spark, tmp_path, "fail")), "append", "requeued", spark, tmp_path)
     assert rows(got) == rows(tasks.requeue(failures))
