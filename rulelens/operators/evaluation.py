@@ -15,6 +15,7 @@ Evaluator = Callable[[Sequence[str]], Sequence[str]]
 
 # Default approval threshold, and the frame of the adjudication prompt.
 APPROVAL_THRESHOLD = 0.8
+UNAVAILABLE_CODE = "LLM_UNAVAILABLE"
 UNAVAILABLE = "Discriminator unavailable: "
 ADJUDICATION = (
     "You are a senior software engineering expert adjudicating two conflicting evaluations of the same semantic rule.",
@@ -30,6 +31,8 @@ RESULT_PART = 1000
 def ask(prompts: DataFrame, evaluate: Evaluator, keys: Sequence[str]) -> DataFrame:
     """Send every prompt to the caller's evaluator, one Arrow batch at a time, and keep the raw answers.
 
+    An evaluator that is unavailable returns None for the prompt; see ``unfinished``.
+
     The number of partitions bounds the calls in flight; repartition before, to respect a rate limit.
     """
 
@@ -43,18 +46,37 @@ def ask(prompts: DataFrame, evaluate: Evaluator, keys: Sequence[str]) -> DataFra
 
 
 def parse_answers(answers: DataFrame, provider: str) -> DataFrame:
-    """Add the evaluation of every raw answer; an evaluation error counts no tokens."""
+    """Add the evaluation of every raw answer; an evaluation error counts no tokens.
+
+    A missing answer gives no verdict but the code ``LLM_UNAVAILABLE``.
+    """
     tokens = F.when(
-        F.col("_p.error_code") == "EVALUATION_ERROR", F.lit(0)
+        F.col("_p.error_code").isin("EVALUATION_ERROR", UNAVAILABLE_CODE), F.lit(0)
     ).otherwise(estimate_tokens(F.concat("prompt", "raw")))
+    missing = F.struct(
+        F.lit(None).cast("string").alias("verdict"),
+        F.lit("").alias("explanation"),
+        F.array().cast("array<string>").alias("suggestions"),
+        F.lit(UNAVAILABLE_CODE).alias("error_code"),
+    )
     return (
-        answers.withColumn("_p", parse_response(F.col("raw")))
+        answers.withColumn("_p", F.when(F.col("raw").isNull(), missing).otherwise(parse_response(F.col("raw"))))
         .withColumn("tokens_used", tokens.cast("bigint"))
         .select(*[c for c in answers.columns if c not in ("prompt", "raw")], "_p.*", "tokens_used")
         .withColumn("llm_provider", F.lit(provider))
     )
 
 
+def unfinished(evaluated: DataFrame) -> DataFrame:
+    """Tasks with a missing answer: they are queued again and keep what was evaluated."""
+    return (
+        evaluated.filter(F.col("error_code") == UNAVAILABLE_CODE)
+        .groupBy("task_id")
+        .agg(F.count("*").alias("missing"))
+        .withColumn("error_kind", F.lit("LLM"))
+    )
+
+
 def cross_check(primary: DataFrame, secondary: DataFrame, adjudicated: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Reconcile two evaluations per key; inputs hold ``verdict`` and ``explanation``."""
 

@@ -25,13 +25,20 @@ _KEY = ["collection_name", "branch"]
 _FOUND = "query_id bigint, collection_name string, branch string, chunk_hash string, similarity double"
 
 
-def embed_texts(df: DataFrame, text: str, out: str = "embedding", embed: Embedder | None = None) -> DataFrame:
-    """Add the embedding of ``text``. The caller's function gets one Arrow batch of texts at a time.
+def embed_texts(
+    df: DataFrame, text: str, out: str = "embedding", embed: Embedder | None = None, batch_size: int | None = None
+) -> DataFrame:
+    """Add the embedding of ``text``. The caller's function gets at most ``batch_size`` texts at a time.
 
-    Batch size is ``spark.sql.execution.arrow.maxRecordsPerBatch``; a failed call fails the task,
-    which Spark runs again.
+    The default is a whole Arrow batch (``spark.sql.execution.arrow.maxRecordsPerBatch``). A failed call
+    fails the task, which Spark runs again.
     """
-    run = embed or hash_embedder()
+    call = embed or hash_embedder()
+
+    def run(texts: list[str]) -> np.ndarray:
+        size = batch_size or max(1, len(texts))
+        parts = [np.asarray(call(texts[i : i + size])) for i in range(0, len(texts), size)]
+        return np.concatenate(parts) if parts else np.zeros((0, 0))
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
@@ -249,13 +256,21 @@ def search(
     branch: str | None = None,
     merge: str = "last",
 ) -> DataFrame:
-    """Hits with their chunk columns: filter, top k, layer merge, and the threshold at the end."""
+    """Hits with their chunk columns: filter, top k, layer merge, and the threshold at the end.
+
+    All queries search the main layer and ``branch``; a query column ``pr_branch`` names the branch per
+    query instead, null for the main layer alone. The main layer of a query without a branch hit
+    on a source is merged like any other: one hit per query and source.
+    """
     chosen = filter_metadata(chunks, wanted or {})
-    layers = [""] if branch is None else ["", branch]
-    chosen = chosen.filter(F.col("branch").isin(*layers))
-    asked = queries.drop("branch").withColumn("branch", F.explode(F.array(*[F.lit(x) for x in layers])))
+    own = "pr_branch" in queries.columns
+    if not own:
+        layers = [""] if branch is None else ["", branch]
+        chosen = chosen.filter(F.col("branch").isin(*layers))
+    layer = F.array_distinct(F.array(F.lit(""), F.coalesce(F.col("pr_branch") if own else F.lit(branch), F.lit(""))))
+    asked = queries.drop("branch").withColumn("branch", F.explode(layer)).drop("pr_branch")
     hits = with_chunk(nearest(chosen, asked, k), chosen)
-    if branch is not None:
+    if own or branch is not None:
         hits = merge_layers(hits, merge)
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "chunk_hash")
     ranked = hits.withColumn("hit_no", F.row_number().over(w)).filter(F.col("hit_no") <= k)

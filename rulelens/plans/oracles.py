@@ -261,6 +261,65 @@ VIEWS = {
           when 3 then 'logo.png' when 4 then '.env.example' when 5 then 'Makefile' when 6 then '.py'
           when 7 then concat(doc_id, '.cs') else concat(lang, '.py') end) as path
       from documents""",
+    "code_tree_files": "select repo, string_split(file_path, '/') as p from code",
+    "doc_tree_files": """
+      select repo, string_split(file_path, '/') as p from current_files where regexp_matches(file_path, '\\.(py|js|go)$')""",
+    "doc_pieces": f"""
+      select md5(concat(repo, '|{MODEL}|{STRATEGY}')) as collection_name, repo, file_path as source, chunk as content,
+        md5(concat(file_path, '|', chunk)) as chunk_hash, min(start_line) as start_line,
+        min(start_line) + any_value(length(chunk) - length(replace(chunk, chr(10), ''))) as end_line
+      from ({_windows('current_files', 1000, 100)}) group by repo, file_path, chunk""",
+    "doc_features": """
+      select repo, chunk_hash, slot, count(*) as n from (
+        select repo, chunk_hash, cast(('0x' || substr(md5(lower(word)), 1, 8)) as bigint) % 64 as slot
+        from (select repo, chunk_hash, unnest(regexp_extract_all(content, '[A-Za-z0-9_]+')) as word from doc_pieces)) group by all""",
+    "doc_vectors": """
+      select repo, chunk_hash, slot, (n / sqrt(sum(n * n) over (partition by repo, chunk_hash)))::float::double as value from doc_features""",
+    "doc_norms": "select repo, chunk_hash, sqrt(sum(value * value)) as norm from doc_vectors group by all",
+    "doc_rules": """
+      select id as query_id, repo_no as task_id, slot - 1 as rule_idx, concat('src', repo_no) as repo, rule_text,
+        concat('https://github.com/', repository_full_name, '.git') as url from slots""",
+    "doc_pairs": """
+      select r.query_id, p.repo, p.source, p.content, p.chunk_hash, p.start_line, p.end_line,
+        round(coalesce(d.dot, 0) / (q.norm * n.norm), 9) as similarity
+      from doc_rules r join doc_pieces p on p.repo = r.repo
+      join (select id, sqrt(sum(value::double * value::double)) as norm from rule_vectors group by id) q on q.id = r.query_id
+      join doc_norms n on n.repo = p.repo and n.chunk_hash = p.chunk_hash
+      left join (select r.query_id, v.repo, v.chunk_hash, sum(v.value * w.value::double) as dot
+                 from doc_rules r join rule_vectors w on w.id = r.query_id join doc_vectors v on v.repo = r.repo and v.slot = w.slot
+                 group by all) d on d.query_id = r.query_id and d.repo = p.repo and d.chunk_hash = p.chunk_hash""",
+    "doc_hits": """
+      select *, row_number() over (partition by query_id order by similarity desc, chunk_hash) as hit_no from doc_pairs
+      qualify hit_no <= 5""",
+    "doc_groups": """
+      select h.query_id, h.source, round(max(similarity), 4) as relevance_score, min(hit_no) as first_hit, any_value(f.content) as file_text,
+        any_value(string_split(f.content, chr(10))) as lines
+      from doc_hits h join current_files f on f.repo = h.repo and f.file_path = h.source group by h.query_id, h.source""",
+    "doc_islands": """
+      select query_id, source, min(a) as start, max(b) as stop from (
+        select *, sum(case when before is null or a > before then 1 else 0 end) over (partition by query_id, source order by a, b rows unbounded preceding) as island
+        from (select *, max(b) over (partition by query_id, source order by a, b rows between unbounded preceding and 1 preceding) as before
+              from (select h.query_id, h.source, greatest(0, start_line - 21) as a, least(len(lines), end_line + 20) as b
+                    from doc_hits h join doc_groups g on g.query_id = h.query_id and g.source = h.source) where a < b))
+      group by query_id, source, island""",
+    "doc_sections": """
+      select i.query_id, i.source, string_agg(array_to_string(g.lines[i.start + 1:i.stop], chr(10)),
+          concat(chr(10), chr(10), '... (content omitted) ...', chr(10), chr(10)) order by i.start) as text
+      from doc_islands i join doc_groups g on g.query_id = i.query_id and g.source = i.source group by all""",
+    "doc_contexts": """
+      select g.query_id, g.source, row_number() over (partition by g.query_id order by relevance_score desc, first_hit) as file_no,
+        concat('[Archivo: ', string_split(g.source, '/')[-1], ']', chr(10), case when length(file_text) <= 10000 then file_text
+          when length(s.text) > 10000 then concat(left(s.text, 10000), chr(10), '... (truncated)') else s.text end) as file_content
+      from doc_groups g left join doc_sections s on s.query_id = g.query_id and s.source = g.source""",
+    "doc_prompts": """
+      select r.*, concat('Repository: ', r.url, chr(10), chr(10), '## Repository Map', chr(10), m.map_text, chr(10), chr(10), '## Relevant code files', chr(10),
+        coalesce(c.files, '(No relevant files found)'), chr(10), chr(10), '## Rule to evaluate', chr(10), r.rule_text) as prompt
+      from doc_rules r join doc_maps m on m.repo = r.repo
+      left join (select query_id, string_agg(file_content, concat(chr(10), chr(10)) order by file_no) as files from doc_contexts group by query_id) c
+        on c.query_id = r.query_id""",
+    "doc_answers": """
+      select *, cast(('0x' || substr(md5(prompt), 1, 8)) as bigint) as digest,
+        ['pass', 'partial', 'fail'][cast(('0x' || substr(md5(prompt), 1, 8)) as bigint) % 3 + 1] as verdict from doc_prompts""",
     "raw_responses": """
       select doc_id, case doc_id % 7 when 0 then concat('```json', chr(10), body, chr(10), '```') when 1 then body
           when 2 then concat('{"verdict": ', text) when 3 then to_json({note: text})::varchar
@@ -271,6 +330,40 @@ VIEWS = {
 }
 
 
+def _map_lines(tree: str, symbols: str) -> str:
+    """Lines of the repository maps of ``tree(repo, p)`` and ``symbols(repo, file_path, line, text)``."""
+    return f"""
+      select repo, block, p, line, text from (
+        select repo, 0 as block, ['']::varchar[] as p, unnest([0, 1, 2, 3]) as line,
+          unnest([concat('# Repository Map: ', repo), '', '## Directory Structure', '```text']) as text from (select distinct repo from {tree})
+        union all
+        select repo, 2, [''], unnest([0, 1, 2, 3]), unnest(['```', '', '## Code Symbols', '']) from (select distinct repo from {tree})
+        union all
+        select n.repo, 1, n.p, 0, concat(string_agg(case when d.i = len(n.p) then case when a.is_last then '└── ' else '├── ' end
+            else case when a.is_last then '    ' else '│   ' end end, '' order by d.i), n.p[-1], case when any_value(n.is_dir) then '/' else '' end)
+        from (select distinct repo, p[1:i] as p, i < len(p) as is_dir from (select repo, p, unnest(range(1, len(p) + 1)) as i from {tree})) n
+        cross join (select unnest(range(1, 4)) as i) d
+        join (select repo, p, p[-1] = max(p[-1]) over (partition by repo, p[1:len(p) - 1]) as is_last
+              from (select distinct repo, p[1:i] as p from (select repo, p, unnest(range(1, len(p) + 1)) as i from {tree}))) a
+          on a.repo = n.repo and a.p = n.p[1:d.i] and d.i <= len(n.p)
+        group by n.repo, n.p
+        union all select repo, 3, [file_path], line, text from ({symbols}))"""
+
+
+def _map_parts(lines: str, part: int = 1000) -> str:
+    return f"""
+      select repo, n // {part} as part, string_agg(text, chr(10) order by n) as map_text
+      from (select repo, text, row_number() over (partition by repo order by block, p, line) - 1 as n from ({lines})) group by repo, n // {part}"""
+
+
+_CODE_SYMBOLS = """
+  select repo, file_path, first as line, concat(repeat('  ', depth), '- ', kind, ' **', decl, '**', signature) as text from decl
+  union all select distinct repo, file_path, 0, concat('### ', file_path) from decl
+  union all select repo, file_path, max(first) + 1, '' from decl group by repo, file_path"""
+_NO_SYMBOLS = "select '' as repo, '' as file_path, 0 as line, '' as text where false"
+VIEWS["doc_maps"] = _map_parts(_map_lines("doc_tree_files", _NO_SYMBOLS), 10**9)
+
+
 def _with(body: str) -> str:
     """Prefix the views that ``body`` needs, in order."""
     needed: list[str] = []
@@ -591,6 +684,7 @@ BODIES: dict[str, str] = {
       select doc_id, case when length(text) <= room then text else concat(
         case when {_LAST_NL.format('head')} > room * 0.5 then left(head, {_LAST_NL.format('head')}) else head end,
         chr(10), '... (content truncated due to token limit)') end as cut from h""",
+    "x7_prompts": "select query_id, length(prompt) as chars, md5(prompt) as prompt_md5 from doc_prompts",
     "x8_parse_response": f"""
       with t as (select doc_id, raw, {_STRIP.format('raw')} as trimmed from raw_responses),
       c as (select doc_id, raw, case when starts_with(trimmed, '```') then {_PARSED} else trimmed end as j from t),
@@ -658,6 +752,27 @@ BODIES: dict[str, str] = {
       from current_files where length(content) <= 2048""",
     "d3_declarations": "select file_path, node_type, decl as node_name, first::bigint as start_line, last::bigint as end_line from decl",
     "d4_symbols": "select repo, file_path, first::bigint as line, kind, decl as name, depth::bigint as depth, signature from decl",
+    "d5_repository_maps": _map_parts(_map_lines("code_tree_files", _CODE_SYMBOLS)),
+    "d10_evaluate": """
+      select query_id, task_id, rule_idx, verdict, concat('Digest ', digest, '. Offline.') as explanation,
+        (length(prompt) + length(concat('{"verdict": "', verdict, '", "explanation": "Digest ', digest, '. Offline.", "suggestions": []}'))) // 4 as tokens_used
+      from doc_answers""",
+    "d10_whole_check": """
+      with s as (select task_id, case verdict when 'pass' then 2 when 'partial' then 1 else 0 end as section, rule_idx, rule_text, verdict,
+              case verdict when 'pass' then 'Sin observaciones.' else concat('Digest ', digest) end as remark from doc_answers),
+      n as (select *, row_number() over (partition by task_id order by section, rule_idx) as line_no,
+              row_number() over (partition by task_id, section order by rule_idx) = 1 as opens,
+              row_number() over (partition by task_id, section order by rule_idx desc) = 1 as closes from s),
+      b as (select task_id, string_agg(concat(
+          case when opens then concat(chr(10), '#### ', case section when 0 then 'No cumplido' when 1 then 'Pendiente de revisión' else 'Superado' end, chr(10), chr(10)) else '' end,
+          case when section = 0 then '<details open>' else '<details>' end, chr(10), '<summary>', line_no, '. ', rule_text, '</summary>', chr(10), chr(10), remark,
+          chr(10), chr(10), '</details>', chr(10), case when closes then concat(chr(10), '---') else '' end), chr(10) order by line_no) as text,
+          sum(case verdict when 'pass' then 1.0::double when 'partial' then 0.5::double else 0.0::double end) / count(*) as score from n group by task_id),
+      t as (select *, score >= 0.8 as approved, cast(floor(score * 100) as bigint) as pct from b)
+      select task_id, case when approved then 'success' else 'failure' end as state,
+        concat(case when approved then 'Aprobado' else 'Cambios requeridos' end, ' — ', pct, '% (umbral 80%)') as description, 0::bigint as part,
+        concat_ws(chr(10), concat('## Informe de evaluación #1', chr(10), chr(10), '**Resultado: ', case when approved then 'APROBADO' else 'NO APROBADO' end,
+          '** — ', pct, '% de normas superadas (mínimo: 80%)', chr(10), chr(10), '---'), text, '_Generado automáticamente_') as body from t""",
     "d6_embeddings": "select id, slot, round(value::double, 5) as value from rule_vectors",
     "d7_incremental_index": f"""
       select md5(concat(repo, '|{MODEL}|{STRATEGY}')) as collection_name, '' as branch, repo as repo_name, file_path as source, md5(concat(file_path, '|', chunk)) as chunk_hash,

@@ -41,6 +41,7 @@ def rule_queries(rules: DataFrame, model: str, strategy: str, embed: Embedder |
     """Query vectors of rules ``(query_id, repo, rule_text)``."""
     keyed = rules.select(
         "query_id",
+        *[c for c in ("pr_branch",) if c in rules.columns],
         collection_key(F.col("repo"), F.lit(model), F.lit(strategy)).alias("collection_name"),
         "rule_text",
     )
@@ -59,8 +60,16 @@ def check_rules(
     threshold: float = search.THRESHOLD,
     approval: float = evaluation.APPROVAL_THRESHOLD,
     branch: str | None = None,
+    saved: DataFrame | None = None,
 ) -> Check:
-    """Run all rules ``(query_id, task_id, rule_idx, repo, url, rule_text)`` against the index."""
+    """Run all rules ``(query_id, task_id, rule_idx, repo, url, rule_text)`` against the index.
+
+    A column ``pr_branch`` of the rules names the branch layer to search per rule. ``saved`` holds the
+    evaluations of earlier, interrupted runs; those rules are not sent to the evaluator again.
+    """
+    every, named = rules, rules.withColumnRenamed("rule_text", "rule")
+    if saved is not None:
+        rules = evaluation.remaining(named, saved).withColumnRenamed("rule", "rule_text")
     queries = rule_queries(rules, model, strategy, embed)
     hits = search.search(chunks, queries, k, threshold, branch=branch)
     texts = files.select(
@@ -77,12 +86,36 @@ def check_rules(
     answers = evaluation.parse_answers(evaluation.ask(prompts, evaluate, ["query_id"]), "offline")
     answers = stored(answers, "answers")
     evaluated = rules.select("query_id", "task_id", "rule_idx", F.col("rule_text").alias("rule")).join(answers, "query_id")
+    if saved is not None:
+        kept = evaluation.restore(named.select("query_id", "task_id", "rule_idx", "rule"), saved).filter("restored")
+        evaluated = evaluated.unionByName(kept.drop("restored"), allowMissingColumns=True)
     scored = evaluation.approve(
-        evaluation.scores(rules.select("task_id").distinct(), evaluated).withColumn("approval_threshold", F.lit(approval))
+        evaluation.scores(every.select("task_id").distinct(), evaluated).withColumn("approval_threshold", F.lit(approval))
     )
     return Check(hits, matched, prompts, evaluated, scored)
 
 
+def evaluate_pairs(
+    prompts: DataFrame,
+    primary: evaluation.Evaluator,
+    secondary: evaluation.Evaluator,
+    adjudicator: evaluation.Evaluator,
+) -> DataFrame:
+    """Cross-check mode: two evaluators for every prompt, a third one for the rules they disagree on."""
+    keys = ["query_id"]
+    first = stored(evaluation.parse_answers(evaluation.ask(prompts, primary, keys), "primary"), "primary")
+    second = stored(evaluation.parse_answers(evaluation.ask(prompts, secondary, keys), "secondary"), "secondary")
+
+    def named(df: DataFrame, prefix: str) -> DataFrame:
+        return df.select(*keys, *[F.col(c).alias(f"{prefix}_{c}") for c in ("verdict", "explanation")])
+
+    pairs = named(first, "primary").join(named(second, "secondary"), keys)
+    ruled = pairs.join(prompts.select(*keys, F.col("rule_text").alias("rule")), keys)
+    asked = evaluation.ask(evaluation.disagreements(ruled), adjudicator, keys)
+    third = stored(evaluation.parse_answers(asked, "adjudicator"), "adjudicated").filter("verdict is not null")
+    return evaluation.reconcile(pairs.join(named(third, "adjudicated"), keys, "left"))
+
+
 def report(check: Check) -> DataFrame:
     """Report bodies and status lines of a check."""
     lines = reports.report_lines(check.evaluated.withColumnRenamed("verdict", "final_verdict"))

@@ -393,3 +393,49 @@ def test_plans(spark, data):
         if name not in ("x7_prompts", "d10_evaluate", "d10_whole_check"):
             assert "CartesianProduct" not in plan(name) and "BroadcastNestedLoopJoin" not in plan(name), name
     assert "PushedFilters: [IsNotNull(l_returnflag), EqualTo(l_returnflag,R)]" in plan("u1_grants")
+
+
+def test_cross_check_mode_resume_and_unavailable_answers(spark, data):
+    prompts = spark.createDataFrame([(i, f"rule {i}", f"p{i}") for i in range(6)], "query_id bigint, rule_text string, prompt string")
+
+    def says(*verdicts):
+        return lambda texts: [None if verdicts[int(t[1:])] is None else '{"verdict": "%s"}' % verdicts[int(t[1:])] for t in texts]
+
+    def third(texts):
+        return [None if "rule 3" in t else '{"verdict": "partial", "explanation": "third"}' for t in texts]
+
+    got = {
+        r.query_id: (r.final_verdict, r.agreement, r.discriminator_used)
+        for r in validate.evaluate_pairs(
+            prompts, says("pass", "pass", "fail", "pass", "fail", "pass"), says("pass", "fail", "fail", "partial", "pass", "pass"), third
+        ).collect()
+    }
+    assert got == {
+        0: ("pass", True, False), 1: ("partial", False, True), 2: ("fail", True, False), 3: ("partial", False, False),
+        4: ("partial", False, True), 5: ("pass", True, False),
+    }
+    answers = evaluation.parse_answers(evaluation.ask(prompts.withColumn("task_id", F.col("query_id") % 2), says("pass", None, "pass", "fail", "fail", None), ["query_id", "task_id"]), "x")
+    assert {r.query_id for r in answers.filter("verdict is null").collect()} == {1, 5}
+    assert [(r.task_id, r.missing) for r in evaluation.unfinished(answers).collect()] == [(1, 2)]
+
+
+def test_resumed_check_asks_only_the_rest(spark, data):
+    from rulelens.operators import rules as r_
+
+    files = views.current_files(spark, data)
+    chunks = validate.index_files(files, "m", "s")
+    asked = r_.within_slots(views.rules(spark, data)).selectExpr(
+        "id as query_id", "repo_no as task_id", "slot - 1 as rule_idx", "concat('src', repo_no) as repo", "'u' as url", "rule_text")
+    saved = asked.filter("rule_idx < 4").selectExpr("task_id", "rule_idx", "rule_text as rule", "'pass' as verdict", "'kept' as explanation")
+    check = validate.check_rules(files, chunks, asked, catalog.offline_evaluator, "m", "s", threshold=0.0, saved=saved)
+    assert check.prompts.count() == asked.filter("rule_idx >= 4").count()
+    done = check.evaluated.collect()
+    assert len(done) == asked.count() and {d.explanation for d in done if d.rule_idx < 4} == {"kept"}
+
+
+def test_branch_per_query(spark):
+    c = spark.createDataFrame([("c", b, f"h{b}{i}", [1.0, float(i)], f"s{i}", 0, 1, "py", "n") for b in ("", "p1", "p2") for i in range(2)],
+        "collection_name string, branch string, chunk_hash string, embedding array<float>, source string, start_line int, end_line int, language string, node_type string")
+    q = spark.createDataFrame([(1, "c", "p1", [1.0, 0.0]), (2, "c", "p2", [1.0, 0.0]), (3, "c", None, [1.0, 0.0])], "query_id bigint, collection_name string, pr_branch string, query_vec array<float>")
+    got = {(r.query_id, r.source): r.branch for r in search.search(c, q, k=5, threshold=0.0).collect()}
+    assert got == {(1, "s0"): "p1", (1, "s1"): "p1", (2, "s0"): "p2", (2, "s1"): "p2", (3, "s0"): "", (3, "s1"): ""}
