@@ -28,18 +28,16 @@ def running_sum(
 
     ``order`` must be total within a group. Group sizes are counted first, which reads the key columns
     only; without a large group the plan is one plain window. The table of large groups may be
-    broadcast: it holds at most rows / hot_rows keys.
+    broadcast: it holds at most rows / hot_rows keys. Bucket totals read the key, bucket and value
+    columns of the large groups again, and nothing else.
     """
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     hot = sizes.filter(F.col("_n") > hot_rows).select(*keys)
     before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     if hot.isEmpty():
         return df.withColumn(name, F.coalesce(F.sum(value).over(before.partitionBy(*keys)), F.lit(0)))
-    marked = (
-        df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), list(keys), "left")
-        .withColumn("_value", value)
-        .withColumn("_bucket", F.when(F.col("_hot"), bucket))
-    )
+    flagged = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), list(keys), "left")
+    marked = flagged.withColumn("_value", value).withColumn("_bucket", F.when(F.col("_hot"), bucket))
     inside = before.partitionBy(*keys, "_bucket")
     local = marked.withColumn("_local", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -87,7 +87,8 @@ def report_bodies(tasks: DataFrame, lines: DataFrame, part_lines: int = PART_LIN
     """One Markdown body per task ``(task_id, eval_no, approved, score, approval_threshold)``.
 
     A task with more than ``part_lines`` rules gets its report in numbered parts, so that no body
-    grows without bound; header and footer go to the first and the last part.
+    grows without bound; header and footer go to the first and the last part. ``lines`` is read
+    twice, so pass a stored table.
     """
     sizes = lines.groupBy("task_id", "section").agg(
         F.min("line_no").alias("_first"), F.max("line_no").alias("_last")
@@ -102,7 +103,7 @@ def report_bodies(tasks: DataFrame, lines: DataFrame, part_lines: int = PART_LIN
         .agg(F.array_sort(F.collect_list(F.struct("line_no", text.alias("text")))).alias("_t"))
         .select("task_id", "part", F.array_join("_t.text", "\n").alias("_text"))
     )
-    totals = lines.groupBy("task_id").agg(F.floor((F.count("*") - 1) / part_lines).alias("_last_part"))
+    totals = sizes.groupBy("task_id").agg(F.floor((F.max("_last") - 1) / part_lines).alias("_last_part"))
     whole = tasks.join(totals, "task_id", "left").join(parts, "task_id", "left")
     part = F.coalesce("part", F.lit(0))
     return whole.select(

@@ -972,7 +972,7 @@ def x11_first_sentence(spark, folder):
 
 @query
 def x12_report_bodies(spark, folder):
-    lines = _report_lines(spark, folder)
+    lines = stored(_report_lines(spark, folder).select("task_id", "section", "line_no", "rule", "remark"), "report-lines")
     numbered = reports.evaluation_totals(views.tasks(spark, folder)).selectExpr("id as task_id", "eval_no")
     return reports.report_bodies(_approved(spark, folder).join(numbered, "task_id"), lines)
 
@@ -1090,8 +1090,9 @@ def d4_symbols(spark, folder):
 @query
 def d5_repository_maps(spark, folder):
     code = views.code_files(spark, folder).drop("k")
-    lines = repomap.map_lines(code.select("repo", "file_path", F.length("content").alias("length")), declarations.symbols(code))
-    return repomap.map_parts(lines)
+    found = stored(declarations.symbols(code), "symbols")
+    lines = repomap.map_lines(code.select("repo", "file_path", F.length("content").alias("length")), found)
+    return repomap.map_parts(stored(lines, "map-lines"))
 
 
 @query

@@ -79,7 +79,8 @@ def check_rules(
     )
     matched = contexts.file_matches(hits, texts, ["collection_name", "source"])
     listed = files.select("repo", "file_path", F.length("content").alias("length"))
-    lines = repomap.map_lines(listed, symbols(files.filter(repomap.in_walk(F.col("file_path")))))
+    found = stored(symbols(files.filter(repomap.in_walk(F.col("file_path")))), "symbols")
+    lines = stored(repomap.map_lines(listed, found), "map-lines")
     budget = int((contexts.MAX_CONTEXT_TOKENS - contexts.RESERVED_TOKENS) * contexts.MAP_SHARE) * 4
     maps = repomap.map_heads(lines, budget)
     prompts = contexts.prompts(rules, maps, matched)
@@ -118,6 +119,6 @@ def evaluate_pairs(
 
 def report(check: Check) -> DataFrame:
     """Report bodies and status lines of a check."""
-    lines = reports.report_lines(check.evaluated.withColumnRenamed("verdict", "final_verdict"))
+    lines = stored(reports.report_lines(check.evaluated.withColumnRenamed("verdict", "final_verdict")), "report-lines")
     bodies = reports.report_bodies(check.scored.withColumn("eval_no", F.lit(1)), lines)
     return reports.status_lines(check.scored).join(bodies, "task_id")
