@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -98,46 +99,60 @@ def limit_size(chunks: DataFrame, size: int = LIMIT_SIZE, overlap: int = LIMIT_O
     )
 
 
+def _pieces(text: str, start: int, end: int, separator: str) -> list[tuple[int, int]]:
+    """Cut a range before every separator; without one, into single characters."""
+    if not separator:
+        return [(i, i + 1) for i in range(start, end)]
+    cuts = [start]
+    at = text.find(separator, start, end)
+    while at != -1:
+        cuts.append(at)
+        at = text.find(separator, at + len(separator), end)
+    return [(a, b) for a, b in zip(cuts, [*cuts[1:], end]) if a < b]
+
+
+def _packed(pieces: list[tuple[int, int]], size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Join neighbouring pieces up to ``size``; the next range starts with the last pieces that fit the overlap."""
+    held: deque[tuple[int, int]] = deque()
+    for a, b in pieces:
+        if held and b - held[0][0] > size:
+            yield held[0][0], held[-1][1]
+            while held and (a - held[0][0] > overlap or b - held[0][0] > size):
+                held.popleft()
+        held.append((a, b))
+    if held:
+        yield held[0][0], held[-1][1]
+
+
+def _ranges(text: str, start: int, end: int, level: int, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Chunk ranges by the first separator that occurs; pieces that are too long go to the next ones."""
+    while SEPARATORS[level] and text.find(SEPARATORS[level], start, end) == -1:
+        level += 1
+    small: list[tuple[int, int]] = []
+    for a, b in _pieces(text, start, end, SEPARATORS[level]):
+        if b - a < size:
+            small.append((a, b))
+            continue
+        yield from _packed(small, size, overlap)
+        small = []
+        if level + 1 < len(SEPARATORS):
+            yield from _ranges(text, a, b, level + 1, size, overlap)
+        else:
+            yield a, b
+    yield from _packed(small, size, overlap)
+
+
 def split_at_separators(text: str, size: int, overlap: int) -> list[tuple[int, str]]:
-    """Chunks ``(offset, text)`` of at most ``size`` characters that break at the coarsest separator.
+    """Chunks ``(offset, text)`` that break at paragraphs, else lines, else words, else anywhere.
 
-    The text is first cut into atoms that fit (paragraphs, else lines, else words, else characters);
-    atoms are then packed greedily, and each chunk starts with the last atoms of the one before it,
-    as far as they fit the overlap. White space at the ends of a chunk is dropped.
+    White space at the ends of a chunk is dropped, and with it chunks of white space alone.
     """
-    atoms: list[tuple[int, int]] = []
-    todo = [(0, len(text), 0)]
-    while todo:
-        start, end, level = todo.pop()
-        if end - start <= size:
-            atoms.append((start, end))
-            continue
-        sep = SEPARATORS[level]
-        cuts = list(range(start, end, size)) if not sep else [start]
-        at = text.find(sep, start + 1, end) if sep else -1
-        while at != -1:
-            cuts.append(at)
-            at = text.find(sep, at + len(sep), end)
-        bounds = [*cuts, end]
-        nxt = min(level + 1, len(SEPARATORS) - 1)
-        todo.extend((a, b, nxt) for a, b in reversed(list(zip(bounds, bounds[1:]))) if b > a)
-    out: list[tuple[int, str]] = []
-    i = 0
-    while i < len(atoms):
-        j = i
-        while j + 1 < len(atoms) and atoms[j + 1][1] - atoms[i][0] <= size:
-            j += 1
-        raw = text[atoms[i][0] : atoms[j][1]]
-        body = raw.strip()
+    found = []
+    for a, b in _ranges(text, 0, len(text), 0, size, overlap):
+        body = text[a:b].strip()
         if body:
-            out.append((atoms[i][0] + raw.index(body), body))
-        if j + 1 == len(atoms):
-            break
-        k = j + 1
-        while k - 1 > i and atoms[j][1] - atoms[k - 1][0] <= overlap and atoms[j + 1][1] - atoms[k - 1][0] <= size:
-            k -= 1
-        i = k
-    return out
+            found.append((text.index(body[0], a), body))
+    return found
 
 
 def chunk_separators(files: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
@@ -159,6 +174,7 @@ def chunk_separators(files: DataFrame, size: int = CHUNK_SIZE, overlap: int = CH
     schema = "repo string, file_path string, chunk_no int, content string, start_line int, end_line int"
     return (
         files.select("repo", "file_path", "content")
+        .filter(F.col("content").isNotNull())
         .mapInPandas(split, schema)
         .withColumn("language", language_of(F.col("file_path")))
         .withColumn("node_type", F.lit(TEXT_NODE))

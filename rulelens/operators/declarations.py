@@ -128,7 +128,9 @@ def declarations(files: DataFrame) -> DataFrame:
                     rows.append((repo, path, lang, start, end, kind, node, name, depth, signature, body))
             yield pd.DataFrame(rows, columns=names)
 
-    known = files.withColumn("language", language_of(F.col("file_path"))).filter(F.col("language").isNotNull())
+    known = files.withColumn("language", language_of(F.col("file_path"))).filter(
+        F.col("language").isNotNull() & F.col("content").isNotNull()
+    )
     return known.select("repo", "file_path", "language", "content").mapInPandas(scan, SCHEMA)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulelens.functions.vectors import SIMILARITY_DIGITS, Embedder, hash_embedder
+from rulelens.session import stored
 
 # Filterable columns, their alias, and the search defaults.
 FILTERABLE = ("source", "language", "repo_name", "node_type", "node_name")
@@ -42,7 +43,7 @@ def embed_texts(
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            vectors = np.asarray(run(batch.column(text).to_pylist()), dtype=np.float32)
+            vectors = np.asarray(run([t or "" for t in batch.column(text).to_pylist()]), dtype=np.float32)
             width = vectors.shape[1] if vectors.ndim == 2 else 0
             offsets = pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * width)
             values = pa.ListArray.from_arrays(offsets, pa.array(vectors.ravel()))
@@ -209,6 +210,7 @@ def nearest(
     which then needs no shuffle; larger ones meet the chunks in blocks. Both return at most ``k`` rows
     per query and task or block, and the last step ranks those. Ties go to the smaller chunk key.
     """
+    chunks = chunks.filter(F.col("embedding").isNotNull())
     size = queries.agg(F.count("*").alias("n"), F.max(F.size("query_vec")).alias("dims")).first()
     dims = size["dims"] or 1
     if size["n"] * dims * 8 <= broadcast_bytes:
@@ -259,8 +261,8 @@ def search(
     """Hits with their chunk columns: filter, top k, layer merge, and the threshold at the end.
 
     All queries search the main layer and ``branch``; a query column ``pr_branch`` names the branch per
-    query instead, null for the main layer alone. The main layer of a query without a branch hit
-    on a source is merged like any other: one hit per query and source.
+    query instead, null for the main layer alone. The found keys are stored before their chunks are
+    fetched: the planner then knows that they are few, and the chunk texts are scanned without a shuffle.
     """
     chosen = filter_metadata(chunks, wanted or {})
     own = "pr_branch" in queries.columns
@@ -269,7 +271,8 @@ def search(
         chosen = chosen.filter(F.col("branch").isin(*layers))
     layer = F.array_distinct(F.array(F.lit(""), F.coalesce(F.col("pr_branch") if own else F.lit(branch), F.lit(""))))
     asked = queries.drop("branch").withColumn("branch", F.explode(layer)).drop("pr_branch")
-    hits = with_chunk(nearest(chosen, asked, k), chosen)
+    found = stored(nearest(chosen, asked, k).drop("hit_no"), "nearest")
+    hits = with_chunk(found, chosen)
     if own or branch is not None:
         hits = merge_layers(hits, merge)
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "chunk_hash")

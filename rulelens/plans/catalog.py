@@ -427,9 +427,8 @@ def j12_remaining(spark, folder):
 
 
 def _hits(spark, folder) -> DataFrame:
-    return search.search(
-        views.chunk_vectors(spark, folder), _queries(spark, folder), SEARCH_K, threshold=0.0
-    )
+    found = search.search(views.chunk_vectors(spark, folder), _queries(spark, folder), SEARCH_K, threshold=0.0)
+    return stored(found, "hits")
 
 
 @query

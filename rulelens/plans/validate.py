@@ -71,7 +71,7 @@ def check_rules(
     if saved is not None:
         rules = evaluation.remaining(named, saved).withColumnRenamed("rule", "rule_text")
     queries = rule_queries(rules, model, strategy, embed)
-    hits = search.search(chunks, queries, k, threshold, branch=branch)
+    hits = stored(search.search(chunks, queries, k, threshold, branch=branch), "hits")
     texts = files.select(
         collection_key(F.col("repo"), F.lit(model), F.lit(strategy)).alias("collection_name"),
         F.col("file_path").alias("source"),

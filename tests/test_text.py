@@ -143,18 +143,61 @@ def test_size_limit_keeps_small_chunks(spark):
     assert all(n <= 2048 for _, _, _, n in got) and len(first + second) == 3
 
 
-def test_separator_chunks_cover_text_and_break_at_words(spark):
-    text = "\n\n".join("word%d " % i * 40 for i in range(30)) + "\n" + "z" * 2500
-    pieces = chunking.split_at_separators(text, 1000, 100)
-    assert all(len(c) <= 1000 and text[o : o + len(c)] == c for o, c in pieces)
-    covered = set()
-    for o, c in pieces:
-        covered.update(range(o, o + len(c)))
-    assert all(i in covered for i, ch in enumerate(text) if not ch.isspace())
-    files = spark.createDataFrame([("r", "a.md", text)], "repo string, file_path string, content string")
-    for r in chunking.chunk_separators(files).collect():
-        assert text[: text.find(r.content)].count("\n") + 1 == r.start_line or text.count(r.content) > 1
-        assert r.end_line - r.start_line == r.content.count("\n")
+def plain_separator_split(text, size, overlap, separators=("\n\n", "\n", " ", "")):
+    """The recursive splitting rule on strings, without offsets."""
+    import re
+
+    sep, rest = separators[-1], ()
+    for i, candidate in enumerate(separators):
+        if candidate == "" or candidate in text:
+            sep, rest = candidate, separators[i + 1 :]
+            break
+    parts = list(text) if sep == "" else [p for p in re.split(f"(?={re.escape(sep)})", text) if p]
+    if sep:
+        tokens = re.split(f"({re.escape(sep)})", text)
+        parts = [p for p in [tokens[0], *("".join(tokens[i : i + 2]) for i in range(1, len(tokens), 2))] if p]
+    out, good = [], []
+
+    def merge(pieces):
+        done, current = [], []
+        for p in pieces:
+            if current and sum(map(len, current)) + len(p) > size:
+                done.append("".join(current).strip())
+                while current and (sum(map(len, current)) > overlap or sum(map(len, current)) + len(p) > size):
+                    current = current[1:]
+            current.append(p)
+        return [d for d in [*done, "".join(current).strip()] if d]
+
+    for p in parts:
+        if len(p) < size:
+            good.append(p)
+            continue
+        out += merge(good)
+        good = []
+        out += plain_separator_split(p, size, overlap, rest) if rest else [p]
+    return out + merge(good)
+
+
+def test_separator_chunks(spark):
+    rng = __import__("random").Random(3)
+    texts = ["\n\n".join("word%d " % i * 40 for i in range(30)) + "\n" + "z" * 2500, "", "  \n ", "a" * 1000, "short"]
+    for _ in range(40):
+        texts.append("".join(rng.choice(["a", "bc", " ", " ", "\n", "\n\n", "é", "long" * 9]) for _ in range(rng.randint(1, 400))))
+    for text in texts:
+        for size, overlap in ((1000, 100), (40, 12), (25, 0)):
+            pieces = chunking.split_at_separators(text, size, overlap)
+            assert [c for _, c in pieces] == plain_separator_split(text, size, overlap)
+            assert all(len(c) <= size and text[o : o + len(c)] == c for o, c in pieces)
+            covered = set()
+            for o, c in pieces:
+                covered.update(range(o, o + len(c)))
+            assert all(i in covered for i, ch in enumerate(text) if not ch.isspace())
+    files = spark.createDataFrame([("r", f"f{i}.md", t) for i, t in enumerate(texts)], "repo string, file_path string, content string")
+    want = {
+        (f"f{i}.md", n, c, t[:o].count("\n") + 1, t[: o + len(c)].count("\n") + 1)
+        for i, t in enumerate(texts) for n, (o, c) in enumerate(chunking.split_at_separators(t, 1000, 100))
+    }
+    assert {(r.file_path, r.chunk_no, r.content, r.start_line, r.end_line) for r in chunking.chunk_separators(files).collect()} == want
 
 
 def test_embedding_is_unit_and_cosine(spark):
