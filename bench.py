@@ -33,6 +33,7 @@ HEADLINE = (
     "d1_chunks",
     "d7_incremental_index",
     "d9_file_contexts",
+    "d10_whole_check",
     "d11_joined_cross_check",
     "r1_admission",
     "r2_task_state",
@@ -63,7 +64,7 @@ def main() -> None:
                 "unit": "sec",
                 "queries": times,
                 "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),
-                "chunks_per_second": round(chunks / times["d7_incremental_index"], 1),
+                "chunks_per_second": {n: round(chunks / times[n], 1) for n in ("d7_incremental_index", "d10_whole_check")},
             }
         )
     )

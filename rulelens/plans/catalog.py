@@ -45,6 +45,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def nullable(df: DataFrame, *columns: str) -> DataFrame:
+    """Whole numbers that may be null as doubles, the one type both engines hand over alike."""
+    return df.withColumns({c: F.col(c).cast("double") for c in columns})
+
+
 def as_of(text: str = views.AS_OF):
     return F.expr(text)
 
@@ -231,12 +236,16 @@ def f7_language(spark, folder):
 
 @query
 def f8_task_summary(spark, folder):
-    return tasks.summary(views.tasks(spark, folder)).withColumn("progress", F.col("progress").cast("bigint"))
+    return nullable(tasks.summary(views.tasks(spark, folder)), "pr_number").withColumn(
+        "progress", F.col("progress").cast("bigint")
+    )
 
 
 @query
 def f8_task_detail(spark, folder):
-    return tasks.detail(views.tasks(spark, folder)).withColumn("progress", F.col("progress").cast("bigint"))
+    return nullable(tasks.detail(views.tasks(spark, folder)), "pr_number").withColumn(
+        "progress", F.col("progress").cast("bigint")
+    )
 
 
 @query
@@ -308,7 +317,7 @@ def j4_all_contributors(spark, folder):
 def j5_contributor_results(spark, folder):
     counts = evaluation.verdict_counts(views.lines(spark, folder), ["task_id"], "primary_verdict")
     stats = contributors.repo_stats(views.tasks(spark, folder))
-    return contributors.with_verdicts(stats, counts)
+    return nullable(contributors.with_verdicts(stats, counts), "best_task_id", "best_pr_number")
 
 
 @query
@@ -440,7 +449,7 @@ def j13_file_text(spark, folder):
 @query
 def j14_installation(spark, folder):
     requests = views.tasks(spark, folder).select("id", "user_id", "repository_full_name")
-    return tasks.with_installation(requests, views.installations(spark, folder))
+    return nullable(tasks.with_installation(requests, views.installations(spark, folder)), "installation_id")
 
 
 @query
@@ -500,7 +509,7 @@ def a3_author_counts(spark, folder):
 
 @query
 def a4_repo_stats(spark, folder):
-    return contributors.repo_stats(views.tasks(spark, folder))
+    return nullable(contributors.repo_stats(views.tasks(spark, folder)), "best_task_id", "best_pr_number")
 
 
 @query
@@ -670,7 +679,8 @@ def w2_latest_per_repo_author(spark, folder):
 @query
 def w2_latest_completed(spark, folder):
     done = views.tasks(spark, folder).filter("status = 'completed' and has_result")
-    return numbering.latest_per_key(done, ["repository_full_name"], ["created_at", "id"], ["id", "pr_number"])
+    latest = numbering.latest_per_key(done, ["repository_full_name"], ["created_at", "id"], ["id", "pr_number"])
+    return nullable(latest, "pr_number")
 
 
 @query
@@ -939,7 +949,7 @@ def whole_check(spark, folder) -> validate.Check:
 @query
 def x7_prompts(spark, folder):
     return whole_check(spark, folder).prompts.select(
-        "query_id", F.length("prompt").alias("chars"), F.md5("prompt").alias("prompt_md5")
+        "query_id", F.length("prompt").cast("bigint").alias("chars"), F.md5("prompt").alias("prompt_md5")
     )
 
 
@@ -1155,7 +1165,9 @@ def d9_file_contexts(spark, folder):
 
 @query
 def d10_evaluate(spark, folder):
-    return whole_check(spark, folder).evaluated.select("query_id", "task_id", "rule_idx", "verdict", "explanation", "tokens_used")
+    return whole_check(spark, folder).evaluated.select(
+        "query_id", "task_id", F.col("rule_idx").cast("bigint").alias("rule_idx"), "verdict", "explanation", "tokens_used"
+    )
 
 
 @query
@@ -1210,12 +1222,12 @@ def r1_admission(spark, folder):
         views.pr_events(spark, folder), views.rules(spark, folder), views.users(spark, folder),
         views.repo_configs(spark, folder), _existing(spark, folder),
     )
-    return decided.select("event_id", "admitted", "reason", F.col("eval_no").cast("bigint").alias("eval_no"))
+    return nullable(decided.select("event_id", "admitted", "reason", "eval_no"), "eval_no")
 
 
 @query
 def r2_task_state(spark, folder):
-    return admission.task_state(views.task_events(spark, folder)).withColumn("progress", F.col("progress").cast("bigint"))
+    return nullable(admission.task_state(views.task_events(spark, folder)), "progress")
 
 
 @query

@@ -475,10 +475,10 @@ BODIES: dict[str, str] = {
       select repo, file_path, case regexp_extract(file_path, '\\.([^./]+)$', 1) when 'py' then 'python' when 'js' then 'javascript'
         when 'go' then 'go' when 'java' then 'java' end as language
       from (select repo, file_path from current_files union all select repo, file_path from code)""",
-    "f8_task_summary": "select id, repository_full_name, status, progress, progress_message, created_at, completed_at, pr_number, pr_author from tasks",
+    "f8_task_summary": "select id, repository_full_name, status, progress, progress_message, created_at, completed_at, pr_number::double as pr_number, pr_author from tasks",
     "f8_task_detail": """
       select id, repository_url, repository_full_name, status, progress, progress_message, error, created_at, started_at,
-        completed_at, pr_number, pr_head_ref, pr_head_sha, pr_author, enable_cross_check, retry_count from tasks""",
+        completed_at, pr_number::double as pr_number, pr_head_ref, pr_head_sha, pr_author, enable_cross_check, retry_count from tasks""",
     "f9_verdicts": """
       select raw, case when lower(raw) in ('pass', 'fail', 'partial') then lower(raw) else 'fail' end as verdict, count(*) as n
       from (select case l_linenumber when 1 then 'PASS' when 2 then 'Fail' when 3 then 'partial' when 4 then ''
@@ -495,7 +495,7 @@ BODIES: dict[str, str] = {
       select url, file_path, sha256(content) as content_hash from stored_files s join indexed i on i.repository_id = cast(substr(s.repo, 4) as bigint)""",
     "j3_repo_contributors": "select * from repo_contributors",
     "j4_all_contributors": "select * from contributors",
-    "j5_contributor_results": "select * from stats_with_verdicts",
+    "j5_contributor_results": "select * replace (best_task_id::double as best_task_id, best_pr_number::double as best_pr_number) from stats_with_verdicts",
     "j6_repo_owner": "select * from owners",
     "j7_visible_tasks": """
       select * from (select distinct l_orderkey as task_id, l_partkey % 7 as user_id from lineitem) r
@@ -530,7 +530,7 @@ BODIES: dict[str, str] = {
       where not exists (select 1 from saved s where s.task_id = l.task_id and s.rule_idx = l.rule_idx and s.rule = l.rule)""",
     "j13_file_text": "select query_id, source, found, md5(file_text) as text_md5 from grouped",
     "j14_installation": """
-      select t.id, t.user_id, t.repository_full_name, string_split(t.repository_full_name, '/')[1] as owner, i.installation_id
+      select t.id, t.user_id, t.repository_full_name, string_split(t.repository_full_name, '/')[1] as owner, i.installation_id::double as installation_id
       from tasks t left join (
         select (s_suppkey // 5) // 4 as user_id, concat('org', (s_suppkey // 5) // 4 + s_nationkey % 2) as account, min(s_suppkey) as installation_id
         from supplier group by all) i on i.user_id = t.user_id and i.account = string_split(t.repository_full_name, '/')[1]""",
@@ -547,7 +547,7 @@ BODIES: dict[str, str] = {
     "a1_chunks_per_collection": "select collection_name, count(*) as n from chunks group by all",
     "a2_submissions": "select user_id, repository_full_name, pr_author, count(*) as submissions from tasks where pr_author is not null group by all",
     "a3_author_counts": "select user_id, pr_author, total_submissions, completed_submissions, repo_count from contributors",
-    "a4_repo_stats": "select * exclude (best), best.n as best_pr_number from repo_stats",
+    "a4_repo_stats": "select * exclude (best) replace (best_task_id::double as best_task_id), best.n::double as best_pr_number from repo_stats",
     "a5_verdict_counts": """
       select task_id, count(*) filter (where final_verdict = 'pass') as pass_count, count(*) filter (where final_verdict = 'partial') as partial_count,
         count(*) filter (where final_verdict not in ('pass', 'partial')) as fail_count from final group by task_id""",
@@ -612,7 +612,7 @@ BODIES: dict[str, str] = {
           count(*) over (partition by user_id, repository_full_name) as total from rules) where row_no <= 5""",
     "w2_latest_per_author": _page("user_id, pr_author", "created_at desc, id desc", 1, 1, "(select * from tasks where pr_author is not null)", "user_id, pr_author, id, status, created_at"),
     "w2_latest_per_repo_author": _page("repository_full_name, pr_author", "created_at desc, id desc", 1, 1, "(select * from tasks where pr_author is not null)", "repository_full_name, pr_author, id, status, created_at"),
-    "w2_latest_completed": _page("repository_full_name", "created_at desc, id desc", 1, 1, "(select * from tasks where has_result)", "repository_full_name, id, pr_number"),
+    "w2_latest_completed": _page("repository_full_name", "created_at desc, id desc", 1, 1, "(select * from tasks where has_result)", "repository_full_name, id, pr_number::double as pr_number"),
     "w3_nearest_chunks": "select query_id, hit_no, chunk_hash, similarity from hits where hit_no <= 5",
     "w5_upsert_configs": _page("user_id, repository_full_name", "version desc", 1, 1, "config_requests", "user_id, repository_full_name, version, approval_threshold, llm_model"),
     "w5_upsert_hashes": """
@@ -813,9 +813,9 @@ BODIES: dict[str, str] = {
       k as (select *, row_number() over (partition by repository_full_name, pr_number, early is null and has_rules order by ts, event_id) as r from p),
       d as (select *, case when early is not null then early when has_rules and n + r > cap then 'max evaluations reached'
               when not has_rules and n >= cap then 'max evaluations reached' when not has_rules then 'no rules' end as reason from k)
-      select event_id, reason is null as admitted, reason, case when reason is null then n + r end as eval_no from d""",
+      select event_id, reason is null as admitted, reason, case when reason is null then n + r end::double as eval_no from d""",
     "r2_task_state": """
-      select task_id, arg_max(status, (ts, event_id)) as status, arg_max(progress, (ts, event_id)) filter (where progress is not null) as progress,
+      select task_id, arg_max(status, (ts, event_id)) as status, (arg_max(progress, (ts, event_id)) filter (where progress is not null))::double as progress,
         arg_max(message, (ts, event_id)) filter (where message is not null) as message, count(*) as events
       from task_events group by task_id""",
     "r3_calls_per_minute": "select user_id as caller, date_trunc('minute', ts)::timestamp as minute, count(*) as calls, count(*) > 10 as over_limit from events group by 1, 2",
