@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulelens.functions.text import language_of
-from rulelens.operators.repomap import in_map
+from rulelens.operators.repomap import SKIP_DIRS, in_map
+from rulelens.session import stored
 
 # What is read.
 CODE_SUFFIXES = (
@@ -25,6 +30,10 @@ EXCLUDED_NAMES = ("package-lock.json", "uv.lock")
 EXCLUDED_SUFFIXES = (".pdf", ".png", ".jpg", ".svg", ".woff", ".tex")
 MAX_BYTES = 1_000_000
 
+LISTED_ROWS = 10_000
+TASK_BYTES = 128 * 1024 * 1024
+BATCH_BYTES = 16 * 1024 * 1024
+
 
 def is_excluded(path: Column, below_root_only: bool = False) -> Column:
     """Excluded directories, names and suffixes at any depth.
@@ -58,44 +67,97 @@ def is_code(path: Column) -> Column:
     return suffix.isin(*CODE_SUFFIXES) | name.isin(*CODE_NAMES)
 
 
-def _scan(spark: SparkSession, root: str, keep) -> DataFrame:
-    """Files below ``root``, which holds one folder per repository.
+def repositories_below(spark: SparkSession, root: str) -> DataFrame:
+    """Names of the folders directly below ``root``, one per repository."""
+    system, base = FileSystem.from_uri(root) if "://" in root else (LocalFileSystem(), root)
+    found = system.get_file_info(FileSelector(base))
+    names = [(f.base_name,) for f in found if f.type == FileType.Directory]
+    return spark.createDataFrame(names, "repo string")
+
+
+def list_files(spark: SparkSession, root: str, repos: DataFrame | None = None, skip: tuple[str, ...] = ()) -> DataFrame:
+    """All files ``(repo, file_path, length)`` of the given repositories; folders named in ``skip`` are not entered.
 
-    The size filter reaches the source, so larger files are listed but not read.
+    Spark's own file sources leave out every name that starts with a dot or an underscore, and with it
+    files such as ``__init__.py``. So the trees are walked inside tasks, repository by repository.
     """
-    raw = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .filter(F.col("length") <= MAX_BYTES)
-    )
-    base = root.rstrip("/").split(":", 1)[-1]
-    inside = F.regexp_extract("path", rf"(?s)^[^/]*/*{_quote(base)}/(.*)$", 1)
-    named = raw.withColumn("_in", inside).select(
-        F.substring_index("_in", "/", 1).alias("repo"),
-        F.regexp_replace("_in", r"^[^/]*/", "").alias("file_path"),
-        "content",
-        "length",
+    repos = repositories_below(spark, root) if repos is None else repos.select("repo")
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = FileSystem.from_uri(root) if "://" in root else (LocalFileSystem(), root)
+        rows: list[tuple[str, str, int]] = []
+        for batch in batches:
+            for repo in batch["repo"]:
+                top = f"{base.rstrip('/')}/{repo}"
+                todo = [top]
+                while todo:
+                    for f in system.get_file_info(FileSelector(todo.pop(), allow_not_found=True)):
+                        if f.type == FileType.Directory and f.base_name not in skip:
+                            todo.append(f.path)
+                        elif f.type == FileType.File:
+                            rows.append((repo, f.path[len(top) + 1 :], f.size))
+                    if len(rows) >= LISTED_ROWS:
+                        yield pd.DataFrame(rows, columns=["repo", "file_path", "length"])
+                        rows = []
+        yield pd.DataFrame(rows, columns=["repo", "file_path", "length"])
+
+    spread = repos.distinct().repartition(spark.sparkContext.defaultParallelism, "repo")
+    return spread.mapInPandas(walk, "repo string, file_path string, length bigint")
+
+
+def read_files(files: DataFrame, root: str) -> DataFrame:
+    """Add ``content`` as text to listed files; bad UTF-8 bytes are replaced, unreadable files left out.
+
+    The listing is stored first. Files are then spread by a hash over tasks of about 128 MB, so one large
+    repository is read by many tasks, and a task holds at most 16 MB of texts at a time.
+    """
+    listed = stored(files, "listing")
+    spark = listed.sparkSession
+    total = listed.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(spark.sparkContext.defaultParallelism, total // TASK_BYTES + 1)
+    names = [f.name for f in listed.schema.fields]
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = FileSystem.from_uri(root) if "://" in root else (LocalFileSystem(), root)
+        rows: list[tuple] = []
+        held = 0
+        for batch in batches:
+            for row in batch[names].itertuples(index=False, name=None):
+                values = dict(zip(names, row))
+                try:
+                    with system.open_input_stream(f"{base.rstrip('/')}/{values['repo']}/{values['file_path']}") as f:
+                        body = f.read()
+                except OSError:
+                    continue
+                rows.append((*row, body))
+                held += len(body)
+                if held >= BATCH_BYTES:
+                    yield pd.DataFrame(rows, columns=[*names, "content"])
+                    rows, held = [], 0
+        yield pd.DataFrame(rows, columns=[*names, "content"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in listed.schema.fields)
+    spread = listed.repartition(int(tasks), "repo", "file_path")
+    return spread.mapInPandas(read, f"{schema}, content binary").withColumn(
+        "content", F.make_valid_utf8(F.col("content").cast("string"))
     )
-    return named.filter(keep(F.col("file_path")))
 
 
-def _quote(path: str) -> str:
-    return r"\Q" + path.lstrip("/") + r"\E"
+def scan_code(
+    spark: SparkSession, root: str, repos: DataFrame | None = None, below_root_only: bool = False
+) -> DataFrame:
+    """Source files ``(repo, file_path, length, content, language)`` below ``root``, one folder per repository.
 
-
-def scan_code(spark: SparkSession, root: str, below_root_only: bool = False) -> DataFrame:
-    """Source files ``(repo, file_path, content, length, language)``; bad UTF-8 bytes are replaced."""
-    files = _scan(spark, root, lambda p: is_code(p) & ~is_excluded(p, below_root_only))
-    return files.select(
-        "repo",
-        "file_path",
-        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
-        "length",
-        language_of(F.col("file_path")).alias("language"),
+    Names, folders and sizes are tested on the listing; only files that stay are read.
+    """
+    path = F.col("file_path")
+    skip = () if below_root_only else EXCLUDED_DIRS
+    kept = list_files(spark, root, repos, skip).filter(
+        is_code(path) & ~is_excluded(path, below_root_only) & (F.col("length") <= MAX_BYTES)
     )
+    return read_files(kept, root).withColumn("language", language_of(path))
 
 
-def scan_tree(spark: SparkSession, root: str) -> DataFrame:
+def scan_tree(spark: SparkSession, root: str, repos: DataFrame | None = None) -> DataFrame:
     """Files that a repository map lists ``(repo, file_path, length)``."""
-    return _scan(spark, root, in_map).select("repo", "file_path", "length")
+    return list_files(spark, root, repos, SKIP_DIRS).filter(in_map(F.col("file_path")))
