@@ -72,7 +72,8 @@ def cut_windows(df: DataFrame, size: int, overlap: int, only: Column | None = No
 
 def chunk_windows(files: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """Fixed-size chunks of ``files(repo, file_path, content)``, all in the JVM and without a shuffle."""
-    cut = cut_windows(files.select("repo", "file_path", "content"), size, overlap)
+    language = language_of(F.col("file_path")).alias("language")
+    cut = cut_windows(files.select("repo", "file_path", language, "content"), size, overlap)
     return cut.select(
         "repo",
         "file_path",
@@ -80,7 +81,7 @@ def chunk_windows(files: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK
         "content",
         (F.col("first") + 1).alias("start_line"),
         (F.col("first") + 1 + newlines(F.col("content"))).alias("end_line"),
-        language_of(F.col("file_path")).alias("language"),
+        "language",
         F.lit(TEXT_NODE).alias("node_type"),
         F.lit(None).cast("string").alias("node_name"),
     )
