@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "rulelens") -> SparkSession:
     """A local session for tests and the benchmark; clusters bring their own."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -23,32 +23,42 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rulelens-"))
+    return spark
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session (tests) may fall back to a folder of its own; on a cluster a
-    machine-local folder would be lost with the machine, so a missing setting is an error.
+    A machine-local folder would be lost with its machine, so a missing setting is an error;
+    :func:`local_session` sets one for tests and the benchmark.
     """
     context = spark.sparkContext._jsc.sc().getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None) or (context.get() if context.isDefined() else None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not configured:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="rulelens-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return configured.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a new table in the shared scratch folder and read it back.
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables, below the shared folder."""
+    return f"{scratch_dir(spark)}/run-{spark.sparkContext.applicationId}"
+
+
+def drop_run(spark: SparkSession) -> bool:
+    """Delete all intermediate tables of this application; to be called when its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """Write ``df`` to a new table in the run's folder and read it back.
 
     Cuts the lineage: later steps, retries and replaced executors read the table instead of
     repeating the work, and the planner knows its size, so that small tables are broadcast and large
-    ones are not.
+    ones are not. :func:`drop_run` removes all of them.
     """
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{run_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,6 +8,8 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_point
+from rulelens.plans.catalog import QUERIES
+from rulelens.plans.oracles import ORACLES
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -38,15 +40,15 @@ def sql(data):
 
 
 def test_every_query_has_sql():
-    assert set(entry_point.queries()) - set(entry_point.oracle_sql()) == {"d1_separator_chunks"}
-    assert set(entry_point.oracle_sql()) < set(entry_point.queries())
+    assert set(QUERIES) - set(ORACLES) == {"d1_separator_chunks"}
+    assert set(ORACLES) < set(QUERIES) <= set(entry_point.queries())
 
 
 def test_entry(spark):
     assert entry_point.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query(spark, sql, data, name):
     got = entry_point.queries()[name](spark, data).toPandas()
     want = sql.execute(entry_point.oracle_sql()[name]).df()
