@@ -112,3 +112,11 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns under the operator's own names and nothing else, so that further columns of
     the input, whatever they are called, cannot clash."""
     return df.select(*(F.col(f"`{source}`").alias(name) for name, source in columns.items()))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
