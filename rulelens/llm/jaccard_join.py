@@ -249,7 +249,7 @@ def _sets(n: int):
 def _verify(left: pa.Table, right: pa.Table) -> pa.Table:
     """Members of a group (doc_id, grams) against the sets of one document."""
     out = []
-    for own in right.column("grams").to_pylist():
+    for own in right.column("own").to_pylist():
         one = np.frombuffer(own, dtype=np.uint64)
         for pivot, doc, other in zip(*(left.column(c).to_pylist() for c in ("pivot", "doc_id", "grams")), strict=True):
             two = np.frombuffer(other, dtype=np.uint64)
@@ -265,8 +265,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     dealt = pairs.join(many, "pivot").withColumn("_group", F.pmod(F.xxhash64("doc_id"), F.col("_groups"))).drop("_groups")
     members = dealt.join(sets, "doc_id").select("pivot", "_group", "doc_id", "grams")
     pivots = many.select("pivot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_groups") - 1)).alias("_group"))
-    held = pivots.join(sets.withColumnRenamed("doc_id", "pivot"), "pivot")
-    return members.groupBy("pivot", "_group").cogroup(held.groupBy("pivot", "_group")).applyInArrow(_verify, "a bigint, b bigint")
+    held = pivots.join(sets.withColumnRenamed("doc_id", "pivot"), "pivot").select(F.col("pivot").alias("p"), F.col("_group").alias("g"), F.col("grams").alias("own"))
+    return members.groupBy("pivot", "_group").cogroup(held.groupBy("p", "g")).applyInArrow(_verify, "a bigint, b bigint")
 
 
 def links(docs: DataFrame, n: int = WORDS) -> tuple[DataFrame, DataFrame]:
