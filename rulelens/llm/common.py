@@ -34,9 +34,14 @@ def chain(before: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 def as_text(column: pa.Array) -> pa.Array:
-    """Texts as an Arrow array without nulls."""
+    """Texts as an Arrow array without nulls.
+
+    Slices are copied: string functions of Arrow misread arrays whose characters do not begin with the buffer.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if column.offset:
+        column = column.take(pa.array(np.arange(len(column))))
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 

@@ -19,10 +19,11 @@ from rulelens.llm import (
     token_stream,
     url_lists,
 )
+from rulelens.llm.oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 LLM_QUERIES: dict[str, Query] = {}
-LLM_ORACLES: dict[str, str] = {}
+LLM_ORACLES: dict[str, str] = dict(ORACLES)
 
 
 def query(fn: Query) -> Query:

@@ -239,3 +239,16 @@ def test_random_access(spark, data, tmp_path, length, rows, shard):
     assert at == len(ids)
     read = {r["doc_id"]: r["n_tokens"] for r in token_stream.read(manifest, str(tmp_path / "out")).collect()}
     assert read == {r["doc_id"]: r["n_tokens"] for r in tokens.collect()}
+
+
+def test_slices_are_read_like_whole_batches(spark, data):
+    from rulelens.llm.common import Words
+    from rulelens.llm.jaccard_join import shingle_sets
+
+    texts = pa.array([r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()])
+    grams, bounds = shingle_sets(texts)
+    for at in range(0, len(texts), 37):
+        part, own = shingle_sets(texts.slice(at, 37))
+        n = len(own) - 1
+        assert part.tolist() == grams[bounds[at] : bounds[at + n]].tolist()
+        assert Words(texts.slice(at, 37)).counts.tolist() == Words(texts).counts[at : at + 37].tolist()
