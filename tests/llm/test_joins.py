@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 from rulelens.llm import components, decontamination, jaccard_join
+from rulelens.llm.common import within
 from rulelens.llm.queries import LLM_QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -143,13 +144,14 @@ def test_lcs():
 def brute_leaks(docs, items):
     """(doc, item) of every pair that the subsequence and answer checks accept in any window, without retrieval."""
     terms = decontamination.Terms(pa.array([t or "" for _, t in docs], pa.string()))
-    texts = [terms.hashes[terms.codes[a:b]] for a, b in zip(terms.starts[:-1], terms.starts[1:], strict=True)]
 
     class Row(dict):
         pass
 
     flat = np.ones(decontamination.DIMS, np.float32)
     queries = decontamination.Queries([Row(item_id=i, text=t) for i, t in items], flat, np.zeros((decontamination.DIMS, 2), np.float32))
+    known = within(queries.vocabulary, terms.hashes)[terms.codes]
+    texts = [known[a:b] for a, b in zip(terms.starts[:-1], terms.starts[1:], strict=True)]
     found = set()
     w, s = decontamination.WINDOW, decontamination.STRIDE
     for (d, _), own in zip(docs, texts, strict=True):
