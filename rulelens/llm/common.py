@@ -109,6 +109,16 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(np.asarray(starts) - (ends - lengths), lengths)
 
 
+def portions(batch: pa.RecordBatch, column: int, limit: int = 8 << 20):
+    """Slices of a batch whose texts have about ``limit`` bytes at most, or one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    edge = (np.cumsum(sizes) - sizes) // limit
+    cuts = np.flatnonzero(np.diff(edge)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sizes)], strict=True):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

@@ -17,6 +17,7 @@ the order of their ids' bytes. An empty table gives no shard and an empty result
 
 from __future__ import annotations
 
+import itertools
 import math
 import uuid
 import zlib
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rulelens.llm.common import only
+from rulelens.llm.common import only, pack, portions, unpack
 from rulelens.llm.encoding import encoder
 from rulelens.session import run_dir, stored
 
@@ -38,23 +39,23 @@ READ = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
 def encoded(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids: every text's ids and the end id as little-endian numbers, 2 bytes each
-    where the vocabulary allows it."""
+    """doc_id, n_tokens, width, ids: every text's ids and the end id, packed, as numbers of ``width`` bytes: 2
+    where the vocabulary allows it, else 4."""
 
     def run(batches):
         encode = encoder(tokenizer)
-        kind = id_type(encode.tokenizer.get_vocab_size(with_added_tokens=True), end)
-        for batch in batches:
+        kind = np.dtype(id_type(encode.tokenizer.get_vocab_size(with_added_tokens=True), end))
+        for batch in (part for whole in batches for part in portions(whole, 1)):
             ids, bounds = encode.encode(batch.column(1), end)
-            data = pa.py_buffer(ids.astype(kind).tobytes())
-            offsets = pa.py_buffer((bounds * np.dtype(kind).itemsize).astype(np.int64))
+            ids = ids.astype(kind)
+            packed = [pack(ids[a:b]) for a, b in itertools.pairwise(bounds)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(bounds)), pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(batch), [None, offsets, data]).cast(pa.binary())],
-                names=["doc_id", "n_tokens", "ids"],
+                [batch.column(0), pa.array(np.diff(bounds)), pa.array(np.full(len(packed), kind.itemsize, np.int32)), pa.array(packed, pa.binary())],
+                names=["doc_id", "n_tokens", "width", "ids"],
             )
 
     source = only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    return source.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary")
+    return source.mapInArrow(run, "doc_id bigint, n_tokens bigint, width int, ids binary")
 
 
 def id_type(vocabulary: int, end: int) -> str:
@@ -142,8 +143,8 @@ def write(tokens: DataFrame, folder: str, length: int = SEQUENCE, rows: int = RO
 
     ``tokens`` should be a stored table: range partitioning reads it twice.
     """
-    total, size = tokens.agg(F.sum("n_tokens"), F.max(F.length("ids") / F.col("n_tokens"))).first()
-    kind = "<u4" if size and size > 2 else "<u2"
+    total, width = tokens.agg(F.sum("n_tokens"), F.max("width")).first()
+    kind = f"<u{width or 2}"
     shards = max(1, math.ceil((total or 0) / tokens_per_shard))
     dealt = tokens.repartitionByRange(shards, "doc_id", "ids").sortWithinPartitions("doc_id", "ids")
 
@@ -152,10 +153,9 @@ def write(tokens: DataFrame, folder: str, length: int = SEQUENCE, rows: int = RO
 
         writer = None
         for batch in batches:
-            data = batch.column(2).cast(pa.binary())
-            for doc_id, ids in zip(batch.column(0).to_pylist(), data, strict=True):
+            for doc_id, n, ids in zip(*(batch.column(c).to_pylist() for c in (0, 1, 3)), strict=True):
                 writer = writer or Writer(folder, kind, length, rows)
-                writer.add(doc_id, np.frombuffer(ids.as_buffer(), dtype=kind))
+                writer.add(doc_id, unpack(ids, kind, n))
         if writer:
             row = {"shard": TaskContext.get().partitionId()} | writer.close()
             yield pa.RecordBatch.from_pydict({k: [v] for k, v in row.items()}).cast(_manifest_schema())

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 
 from rulelens.llm import encoding, lm_scoring, packing, token_counts, token_stream
+from rulelens.llm.common import unpack
 from rulelens.llm.queries import END_ID, LLM_QUERIES, tokenizer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -223,7 +224,7 @@ def test_random_access(spark, data, tmp_path, length, rows, shard):
     docs = spark.read.parquet(f"{data}/documents.parquet").limit(50)
     tokens = token_stream.encoded(docs, tokenizer(WORDS), END_ID).cache()
     manifest = token_stream.write(tokens, str(tmp_path / "out"), length, rows, shard)
-    ids = np.concatenate([np.frombuffer(r["ids"], "<u2") for r in tokens.orderBy("doc_id", "ids").collect()])
+    ids = np.concatenate([unpack(r["ids"], "<u2", r["n_tokens"]) for r in tokens.orderBy("doc_id", "ids").collect()])
     at = 0
     for m in manifest.orderBy("shard").collect():
         own = token_stream.Shard(str(tmp_path / "out"), m["file"], m["header"], m["batch_bytes"], rows)
@@ -242,7 +243,7 @@ def test_random_access(spark, data, tmp_path, length, rows, shard):
 
 
 def test_slices_are_read_like_whole_batches(spark, data):
-    from rulelens.llm.common import Words
+    from rulelens.llm.common import Words, portions
     from rulelens.llm.jaccard_join import shingle_sets
 
     texts = pa.array([r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()])
@@ -251,4 +252,6 @@ def test_slices_are_read_like_whole_batches(spark, data):
         part, own = shingle_sets(texts.slice(at, 37))
         n = len(own) - 1
         assert part.tolist() == grams[bounds[at] : bounds[at + n]].tolist()
+        whole = pa.RecordBatch.from_arrays([texts], names=["t"])
+        assert [t for p in portions(whole, 0, 5000) for t in p.column(0).to_pylist()] == texts.to_pylist()
         assert Words(texts.slice(at, 37)).counts.tolist() == Words(texts).counts[at : at + 37].tolist()
