@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rulelens.llm.common import only
+from rulelens.llm.common import only, portions
 from rulelens.llm.encoding import encoder
 from rulelens.session import stored
 
@@ -41,7 +41,7 @@ def pieces(docs: DataFrame, tokenizer: str, end: int, window: int = WINDOW, id_c
 
     def run(batches):
         encode = encoder(tokenizer)
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole, 1)):
             ids, bounds = encode.encode(batch.column(1), end)
             data = ids.astype("<u4")
             totals = np.diff(bounds)

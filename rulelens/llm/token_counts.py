@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulelens.llm.common import only, partitions
+from rulelens.llm.common import only, partitions, portions
 from rulelens.llm.encoding import encoder
 from rulelens.session import stored
 
@@ -132,7 +132,7 @@ def count(docs: DataFrame, tokenizer: str, limit: int = 512, chunk: int = CHUNK,
 
     def small(batches):
         encode = encoder(tokenizer)
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole, 2)):
             n = encode.counts(batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n)], names=["doc_id", "n_bytes", "n_tokens"])
 
