@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from rulelens.llm.common import Words, bucket_of, chain, mix, only, pack, partitions, unpack
 from rulelens.session import stored
 
-BLOCK_TOKENS = 1_500_000
+BLOCK_TOKENS = 1_000_000
 KEYS_PER_RANGE = 1_000_000
 FOLDS, HELD_OUT, DEVELOPMENT_FOLDS = 5, 1, 20
 ITERATIONS, TOLERANCE = 15, 1e-3
