@@ -7,13 +7,14 @@ most ``x`` shingles are light, larger ones heavy; ``x`` comes from measured cost
   its subsets of exactly ``o`` shingles under the key (s, m, subset). Sets that share a key are linked, without
   any further check.
 * Heavy with any: inverted lists of the first ``s - ceil(0.75 s) + 1`` shingles of each set, in one order of all
-  shingles that puts the most frequent ones last. Linked sets share a list. Lists are scanned in two rounds: first
+  shingles that puts the most frequent ones last. Linked sets share a list, and so many lists in all that the shingles
+  behind the prefixes cannot make up for fewer (:func:`_needed`). Lists are scanned in two rounds: first
   every member is held against the list's smallest document, which finds groups of copies in time linear in their
-  size; then only members of different components are held against each other, after bounds on size and position.
-  Candidates are verified on the whole sets.
+  size; then only members of different components are held against each other, after bounds on size, position and
+  the number of lists they share. Candidates are verified on the whole sets.
 
 Equal sets are one node. The result is exact up to equal 64-bit hashes of different shingles. The
-list of frequent shingles (``FREQUENT`` at most) only orders the shingles: any order gives the same links.
+list of frequent shingles (``FREQUENT`` at most, 2 MB) only orders the shingles: any order gives the same links.
 
 How it runs: shingles are hashed block by block in Arrow batches, and only list entries are shuffled, packed by key
 range; sets are built again from the texts of candidates only. Members of one document's candidates are
@@ -41,7 +42,7 @@ from rulelens.session import stored
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 3, 4
-FREQUENT = 65_536
+FREQUENT = 262_144
 LARGEST_LIGHT = 16
 ENTRIES_PER_RANGE = 1_000_000
 GROUP = 1_000
@@ -124,8 +125,12 @@ def _digests(n: int):
             grams, bounds = shingle_sets(batch.column(1), n)
             data = memoryview(grams.tobytes())
             signatures = [xxhash.xxh3_128_digest(data[8 * a : 8 * b]) if b > a else None for a, b in itertools.pairwise(bounds)]
-            seen, found = np.unique(grams, return_counts=True)
-            many = found >= max(8, batch.num_rows // 1000)
+            # copies of a set count once
+            own, firsts = {}, np.zeros(batch.num_rows, dtype=bool)
+            for t, signature in enumerate(signatures):
+                firsts[own.setdefault(signature, t)] = True
+            seen, found = np.unique(grams[np.repeat(firsts, np.diff(bounds))], return_counts=True)
+            many = found >= 4
             # the mean list length of each document's shingles within the batch prices its scan
             lengths = np.concatenate([[0], np.cumsum(found[np.searchsorted(seen, grams)])])
             sizes = np.diff(bounds)
@@ -234,6 +239,15 @@ def _possible(a: str, b: str) -> str:
     )
 
 
+def _needed(a: str, b: str) -> str:
+    """SQL: how many lists two linked sets share at least. All common shingles up to the end of the prefix that ends
+    first are common lists; behind it that set has ``ceil(0.75 s) - 1`` shingles left."""
+    sa, sb = f"{a}size", f"{b}size"
+    least = f"({NUMERATOR} * ({sa} + {sb}) + {NUMERATOR + DENOMINATOR - 1}) div {NUMERATOR + DENOMINATOR}"
+    rest = [f"({NUMERATOR} * {s} + {DENOMINATOR - 1}) div {DENOMINATOR} - 1" for s in (sa, sb)]
+    return f"greatest({least} - greatest({rest[0]}, {rest[1]}), 1)"
+
+
 def _sets(n: int):
     def run(batches):
         for batch in batches:
@@ -259,6 +273,12 @@ def _verify(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
 
+def sets_of(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, grams) of the documents in stored pairs."""
+    ids = stored(pairs.select("doc_id").union(pairs.select("pivot")).distinct(), "candidates")
+    return stored(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(n), "doc_id bigint, grams binary"), "sets")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The linked ones of distinct pairs (pivot, doc_id), as edges a, b."""
     many = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / GROUP).alias("_groups"))
@@ -291,27 +311,30 @@ def links(docs: DataFrame, n: int = WORDS) -> tuple[DataFrame, DataFrame]:
     lists = stored(packed.groupBy("bucket").applyInArrow(_lists, LISTS), "lists")
     certain = lists.filter("certain and doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     scanned = lists.filter("not certain")
-    listed = scanned.select("doc_id").distinct()
-    sets = stored(docs.join(listed, "doc_id", "left_semi").mapInArrow(_sets(n), "doc_id bigint, grams binary"), "sets")
 
-    first = scanned.filter("doc_id <> pivot").filter(_possible("pivot_", "")).select("pivot", "doc_id").distinct()
-    edges = stored(verified(first, sets).unionByName(certain), "links")
+    # most linked sets share half of the lists they need with the smallest member itself; the others are met below
+    starred = scanned.filter("doc_id <> pivot").filter(_possible("pivot_", "")).groupBy("pivot", "pivot_size", "doc_id", "size").agg(F.count("*").alias("n"))
+    first = stored(starred.filter(f"2 * n >= {_needed('pivot_', '')}").select("pivot", "doc_id"), "pairs")
+    edges = stored(verified(first, sets_of(docs, first, n)).unionByName(certain), "links")
 
     # members of one list that are still in different components
     roots = components(edges)
     node = scanned.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")).select("key", "pivot", "doc_id", "size", "place", "root")
     apart = node.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
     rest = stored(node.join(apart, "key", "left_semi"), "open-lists")
-    left = rest.select("key", "pivot", F.col("doc_id").alias("a"), F.col("size").alias("a_size"), F.col("place").alias("a_place"), F.col("root").alias("a_root"))
+    left = rest.select("key", F.col("doc_id").alias("a"), F.col("size").alias("a_size"), F.col("place").alias("a_place"), F.col("root").alias("a_root"))
     right = rest.select("key", F.col("doc_id").alias("b"), F.col("size").alias("b_size"), F.col("place").alias("b_place"), F.col("root").alias("b_root"))
     second = (
         left.join(right, "key")
-        .filter("a < b and a_root <> b_root and a <> pivot")  # a list's smallest was held against all in the first round
+        .filter("a < b and a_root <> b_root")
         .filter(_possible("a_", "b_"))
+        .groupBy("a", "a_size", "b", "b_size")
+        .agg(F.count("*").alias("n"))
+        .filter(f"n >= {_needed('a_', 'b_')}")
         .select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"))
-        .distinct()
     )
-    more = stored(verified(stored(second, "open-pairs"), sets), "links")
+    second = stored(second, "open-pairs")
+    more = stored(verified(second, sets_of(docs, second, n)), "links")
     return digests, edges.unionByName(more)
 
 
