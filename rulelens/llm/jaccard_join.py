@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rulelens.llm.common import Words, bucket_of, chain, fresh, mix, only, pack, partitions, unpack
+from rulelens.llm.common import Words, bucket_of, chain, fresh, mix, only, pack, partitions, portions, unpack
 from rulelens.llm.components import components
 from rulelens.session import stored
 
@@ -121,7 +121,7 @@ def _digests(n: int):
         return pa.RecordBatch.from_arrays([pa.array(columns[c], type=k) if c in columns else pa.nulls(length, k) for c, k in kinds.items()], names=list(kinds))
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole, 1)):
             grams, bounds = shingle_sets(batch.column(1), n)
             data = memoryview(grams.tobytes())
             signatures = [xxhash.xxh3_128_digest(data[8 * a : 8 * b]) if b > a else None for a, b in itertools.pairwise(bounds)]
@@ -130,7 +130,7 @@ def _digests(n: int):
             for t, signature in enumerate(signatures):
                 firsts[own.setdefault(signature, t)] = True
             seen, found = np.unique(grams[np.repeat(firsts, np.diff(bounds))], return_counts=True)
-            many = found >= 4
+            many = found >= 3
             # the mean list length of each document's shingles within the batch prices its scan
             lengths = np.concatenate([[0], np.cumsum(found[np.searchsorted(seen, grams)])])
             sizes = np.diff(bounds)
@@ -174,7 +174,7 @@ def _postings(n: int, light: int, frequent: np.ndarray, ranks: np.ndarray, bucke
     schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64()), *((c, pa.binary()) for c in ("keys", "docs", "sizes", "places"))])
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole, 1)):
             known = batch.filter(pa.array(batch.column(0).is_valid()))
             if not known.num_rows:
                 continue
