@@ -56,7 +56,7 @@ class Words:
         codes = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
         bounds = np.zeros(len(lists) + 1, dtype=np.int64)
         np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), out=bounds[1:])
-        words = encoded.dictionary.to_pylist()
+        words = encoded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if "" in words:
             keep = codes != words.index("")
             seen = np.zeros(len(codes) + 1, dtype=np.int64)

@@ -160,7 +160,7 @@ class Spaced(Words):
         encoded = lists.flatten().dictionary_encode()
         codes = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
         self.starts = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
-        bare = encoded.dictionary.to_pylist()
+        bare = encoded.dictionary.to_numpy(zero_copy_only=False).tolist()
         first = self.starts[:-1]
         # every piece but a text's first one has its space again; first pieces get entries of their own
         heads, back = np.unique(codes[first], return_inverse=True)
