@@ -7,12 +7,12 @@ a mapped file gives it without copying (:class:`Shard`). Beside each shard lies
 documents' ids, first positions and lengths. Documents follow each other in ascending id order, across
 shards as well; only a shard's last sequence is padded.
 
-How it runs: texts are encoded once and stored, dealt to shards by ranges of the id, and each task
+How it runs: texts are dealt to shards by ranges of the id, and each task encodes its texts in order and
 writes its own shard under a name of its own. The rows that a task returns, and that Spark commits,
 name the files that count, so files of failed or repeated attempts are never read.
 
 Defined results: a null text is an empty one (its end id only). Rows with equal or null ids are kept, nulls first, ties in
-the order of their ids' bytes. An empty table gives no shard and an empty result. Only the named columns are read.
+the order of their texts' hashes. An empty table gives no shard and an empty result. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -27,37 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rulelens.llm.common import only, pack, portions, unpack
+from rulelens.llm.common import only, portions
 from rulelens.llm.encoding import encoder
 from rulelens.session import run_dir, stored
 
 SEQUENCE = 1024
 ROWS = 256
-TOKENS_PER_SHARD = 1 << 22
+TOKENS_PER_SHARD, BYTES_PER_TOKEN = 1 << 22, 4
 MANIFEST = "shard int, file string, index string, documents bigint, tokens bigint, sequences bigint, header bigint, batch_bytes bigint"
 READ = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
-def encoded(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, width, ids: every text's ids and the end id, packed, as numbers of ``width`` bytes: 2
-    where the vocabulary allows it, else 4."""
-
-    def run(batches):
-        encode = encoder(tokenizer)
-        kind = np.dtype(id_type(encode.tokenizer.get_vocab_size(with_added_tokens=True), end))
-        for batch in (part for whole in batches for part in portions(whole, 1)):
-            ids, bounds = encode.encode(batch.column(1), end)
-            ids = ids.astype(kind)
-            packed = [pack(ids[a:b]) for a, b in itertools.pairwise(bounds)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(bounds)), pa.array(np.full(len(packed), kind.itemsize, np.int32)), pa.array(packed, pa.binary())],
-                names=["doc_id", "n_tokens", "width", "ids"],
-            )
-
-    source = only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    return source.mapInArrow(run, "doc_id bigint, n_tokens bigint, width int, ids binary")
-
-
 def id_type(vocabulary: int, end: int) -> str:
     return "<u2" if max(vocabulary, end + 1) <= 1 << 16 else "<u4"
 
@@ -138,24 +118,30 @@ class Shard:
         return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
 
 
-def write(tokens: DataFrame, folder: str, length: int = SEQUENCE, rows: int = ROWS, tokens_per_shard: int = TOKENS_PER_SHARD) -> DataFrame:
-    """Write encoded texts (:func:`encoded`) as shards below ``folder``; returns the manifest, one row a shard.
+def write(
+    docs: DataFrame, folder: str, tokenizer: str, end: int, length: int = SEQUENCE, rows: int = ROWS,
+    tokens_per_shard: int = TOKENS_PER_SHARD, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """Write all texts, each followed by ``end``, as shards below ``folder``; returns the manifest, one row a shard.
 
-    ``tokens`` should be a stored table: range partitioning reads it twice.
+    Range partitioning reads the texts twice; they are encoded once, in order, by the task that writes them.
     """
-    total, width = tokens.agg(F.sum("n_tokens"), F.max("width")).first()
-    kind = f"<u{width or 2}"
-    shards = max(1, math.ceil((total or 0) / tokens_per_shard))
-    dealt = tokens.repartitionByRange(shards, "doc_id", "ids").sortWithinPartitions("doc_id", "ids")
+    source = only(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, math.ceil(size / (tokens_per_shard * BYTES_PER_TOKEN)))
+    dealt = source.repartitionByRange(shards, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
 
     def run(batches):
         from pyspark import TaskContext
 
-        writer = None
-        for batch in batches:
-            for doc_id, n, ids in zip(*(batch.column(c).to_pylist() for c in (0, 1, 3)), strict=True):
-                writer = writer or Writer(folder, kind, length, rows)
-                writer.add(doc_id, unpack(ids, kind, n))
+        encode, writer = encoder(tokenizer), None
+        kind = id_type(encode.tokenizer.get_vocab_size(with_added_tokens=True), end)
+        for batch in (part for whole in batches for part in portions(whole, 1)):
+            ids, bounds = encode.encode(batch.column(1), end)
+            ids = ids.astype(kind)
+            writer = writer or Writer(folder, kind, length, rows)
+            for doc_id, (a, b) in zip(batch.column(0).to_pylist(), itertools.pairwise(bounds), strict=True):
+                writer.add(doc_id, ids[a:b])
         if writer:
             row = {"shard": TaskContext.get().partitionId()} | writer.close()
             yield pa.RecordBatch.from_pydict({k: [v] for k, v in row.items()}).cast(_manifest_schema())
@@ -204,6 +190,5 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, tokenizer: str, end: int, **columns: str) -> DataFrame:
     """Encode, write and read back all texts."""
-    tokens = stored(encoded(docs, tokenizer, end, **columns), "token-ids")
     folder = f"{run_dir(docs.sparkSession)}/token-stream-{uuid.uuid4().hex}"
-    return read(write(tokens, folder), folder)
+    return read(write(docs, folder, tokenizer, end, **columns), folder)

@@ -10,7 +10,6 @@ import pyarrow as pa
 import pytest
 
 from rulelens.llm import encoding, lm_scoring, packing, token_counts, token_stream
-from rulelens.llm.common import unpack
 from rulelens.llm.queries import END_ID, LLM_QUERIES, tokenizer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -222,9 +221,11 @@ def test_token_stream(spark, data):
 @pytest.mark.parametrize("length, rows, shard", [(16, 4, 1000), (64, 8, 1 << 20)])
 def test_random_access(spark, data, tmp_path, length, rows, shard):
     docs = spark.read.parquet(f"{data}/documents.parquet").limit(50)
-    tokens = token_stream.encoded(docs, tokenizer(WORDS), END_ID).cache()
-    manifest = token_stream.write(tokens, str(tmp_path / "out"), length, rows, shard)
-    ids = np.concatenate([unpack(r["ids"], "<u2", r["n_tokens"]) for r in tokens.orderBy("doc_id", "ids").collect()])
+    manifest = token_stream.write(docs, str(tmp_path / "out"), tokenizer(WORDS), END_ID, length, rows, shard)
+    texts = docs.orderBy("doc_id").collect()
+    own = [x + [END_ID] for x in encoding.Encoder(tokenizer(WORDS)).whole([r["text"] for r in texts])]
+    ids = np.array([x for y in own for x in y], dtype=np.uint16)
+    wanted = {r["doc_id"]: len(y) for r, y in zip(texts, own, strict=True)}
     at = 0
     for m in manifest.orderBy("shard").collect():
         own = token_stream.Shard(str(tmp_path / "out"), m["file"], m["header"], m["batch_bytes"], rows)
@@ -239,7 +240,7 @@ def test_random_access(spark, data, tmp_path, length, rows, shard):
         at += m["tokens"]
     assert at == len(ids)
     read = {r["doc_id"]: r["n_tokens"] for r in token_stream.read(manifest, str(tmp_path / "out")).collect()}
-    assert read == {r["doc_id"]: r["n_tokens"] for r in tokens.collect()}
+    assert read == wanted
 
 
 def test_slices_are_read_like_whole_batches(spark, data):
