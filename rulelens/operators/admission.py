@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulelens.functions.text import clone_url
+from rulelens.operators.numbering import number_within
 from rulelens.operators.rules import owner_of_repo, rule_lists
-from rulelens.operators.tasks import EVALUATION_LIMIT, with_config
+from rulelens.operators.tasks import with_config
 
 # Handled actions, and the status that an event type implies.
 HANDLED = ("opened", "synchronize", "reopened")
@@ -22,10 +23,11 @@ PULL_REQUEST = ["repository_full_name", "pr_number"]
 
 
 def policies(rules: DataFrame, users: DataFrame, configs: DataFrame) -> DataFrame:
-    """One row per repository with rules: owner, configuration in force, and the owner's rule list."""
+    """One row per repository with rules: owner, configuration in force, and whether the owner has rules for it."""
     owners = owner_of_repo(rules, users).select("repository_full_name", "user_id")
     configured = with_config(owners, configs, "")
-    return configured.join(rule_lists(rules), ["user_id", "repository_full_name"], "left")
+    lists = rules.select("user_id", "repository_full_name").distinct().withColumn("has_rules", F.lit(True))
+    return configured.join(lists, ["user_id", "repository_full_name"], "left")
 
 
 def with_static_reason(events: DataFrame, rules: DataFrame, users: DataFrame, configs: DataFrame) -> DataFrame:
@@ -42,25 +44,23 @@ def with_static_reason(events: DataFrame, rules: DataFrame, users: DataFrame, co
     return (
         events.join(policies(rules, users, configs), "repository_full_name", "left")
         .withColumn("reason", reason)
-        .withColumn("no_rules", F.col("rules").isNull())
+        .withColumn("no_rules", F.col("has_rules").isNull())
+        .drop("has_rules")
     )
 
 
 def admit(events: DataFrame, rules: DataFrame, users: DataFrame, configs: DataFrame, existing: DataFrame) -> DataFrame:
     """Decide every pull-request event ``(event_id, ts, ...)``, given ``existing(repository_full_name, pr_number, n)``.
 
-    Events that pass the other tests are counted in time order; those beyond the cap are dropped with
-    a reason. Only the first events of a pull request can be admitted, so the ranking keeps at most
-    20 of them, and all others are over the cap.
+    Events that pass the other tests are counted in time order, whatever the configured cap is; those
+    beyond it are dropped with a reason. Numbers come day by day, so that a pull request with very
+    many events is not one task.
     """
     marked = with_static_reason(events, rules, users, configs)
     open_ = marked.filter(F.col("reason").isNull() & ~F.col("no_rules"))
-    w = Window.partitionBy(*PULL_REQUEST).orderBy("ts", "event_id")
-    first = (
-        open_.select("event_id", "ts", *PULL_REQUEST)
-        .withColumn("_n", F.row_number().over(w))
-        .filter(F.col("_n") <= EVALUATION_LIMIT)
-        .select("event_id", "_n")
+    order = [F.col("ts"), F.col("event_id")]
+    first = number_within(open_.select("event_id", "ts", *PULL_REQUEST), PULL_REQUEST, order, F.to_date("ts"), "_n").select(
+        "event_id", (F.col("_n") + 1).alias("_n")
     )
     numbered = marked.join(first, "event_id", "left").join(existing, PULL_REQUEST, "left")
     before = F.coalesce("n", F.lit(0))
@@ -80,13 +80,15 @@ def admit(events: DataFrame, rules: DataFrame, users: DataFrame, configs: DataFr
     )
 
 
-def new_tasks(decided: DataFrame) -> DataFrame:
-    """Task rows for the admitted events."""
-    return decided.filter("admitted").select(
+def new_tasks(decided: DataFrame, rules: DataFrame) -> DataFrame:
+    """Task rows for the admitted events, one for each part of the owner's rule list."""
+    listed = decided.filter("admitted").join(rule_lists(rules), ["user_id", "repository_full_name"])
+    return listed.select(
         F.col("event_id").alias("id"),
         "user_id",
         clone_url(F.col("repository_full_name")).alias("repository_url"),
         "repository_full_name",
+        "part",
         "rules",
         F.lit("pending").alias("status"),
         "enable_cross_check",

@@ -26,9 +26,9 @@ def cut_windows(df: DataFrame, size: int, overlap: int, only: Column | None = No
 
     Adds ``chunk_no`` and ``first``, the 0-based line on which the chunk starts. A last chunk that
     the one before it already holds is dropped; empty texts have none; rows that fail ``only`` stay
-    whole. A position in UTF-8 text is found by walking from its start, so long texts are first cut
-    into blocks of some chunks, and chunks are cut from their block. Plain string functions, one
-    generated stage, no shuffle.
+    whole. A position in UTF-8 text is found by walking from its start, so texts are first cut
+    into blocks of some chunks by one pass of a regular expression, with a running count of
+    lines, and chunks are cut from their block: the time grows with the length. No shuffle.
     """
     step = size - overlap
     if not 0 <= overlap <= step:
@@ -38,23 +38,22 @@ def cut_windows(df: DataFrame, size: int, overlap: int, only: Column | None = No
     cut = F.lit(True) if only is None else only
     count = F.greatest(F.lit(1), F.ceil((F.length("content") - overlap) / step)).cast("int")
     sized = df.filter(F.length("content") > 0).withColumn("_count", F.when(cut, count).otherwise(1))
-    blocks = sized.select(
-        *rest,
-        "content",
-        "_count",
-        F.explode(F.sequence(F.lit(0), F.floor((F.col("_count") - 1) / BLOCK_CHUNKS).cast("int"))).alias("_block"),
-    )
     several = F.col("_count") > 1
-    pieces = blocks.select(
+    whole = F.when(several, F.regexp_extract_all("content", F.lit(f"(?s).{{1,{block}}}+"), F.lit(0))).otherwise(F.array("content"))
+    lines = F.transform("_blocks", lambda b: newlines(b))
+    running = F.aggregate(
+        lines, F.array(F.lit(0)), lambda sums, n: F.concat(sums, F.array(F.element_at(sums, -1) + n))
+    )
+    cut_blocks = sized.withColumn("_blocks", whole).withColumn("_lines", running).select(
+        *rest, "_count", "_blocks", "_lines", F.posexplode("_blocks").alias("_block", "_body")
+    )
+    # a last block that only repeats the overlap has no chunk of its own
+    pieces = cut_blocks.filter(F.col("_block") * BLOCK_CHUNKS < F.col("_count")).select(
         *rest,
         "_count",
         "_block",
-        F.when(several, F.substring("content", F.col("_block") * block + 1, F.lit(block + overlap)))
-        .otherwise(F.col("content"))
-        .alias("_piece"),
-        F.when(F.col("_block") == 0, 0)
-        .otherwise(newlines(F.left(F.col("content"), F.col("_block") * block)))
-        .alias("_before"),
+        F.concat("_body", F.left(F.coalesce(F.get("_blocks", F.col("_block") + 1), F.lit("")), F.lit(overlap))).alias("_piece"),
+        F.get("_lines", F.col("_block")).alias("_before"),
     )
     left = F.least(F.lit(BLOCK_CHUNKS), F.col("_count") - F.col("_block") * BLOCK_CHUNKS)
     chunks = pieces.select(

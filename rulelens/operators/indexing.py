@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulelens.functions.text import chunk_key, collection_key, content_hash
+from rulelens.functions.vectors import Embedder
 from rulelens.operators.numbering import latest_per_key
+from rulelens.operators.search import embed_texts
 from rulelens.session import stored
 
 FILE = ["repo", "file_path"]
+CHUNK = ["collection_name", "branch", "chunk_hash"]
 
 
 def file_hashes(files: DataFrame) -> DataFrame:
@@ -100,6 +103,7 @@ def collection_state(chunks: DataFrame) -> DataFrame:
 
 class IndexUpdate(NamedTuple):
     changes: DataFrame
+    removed: DataFrame
     added: DataFrame
     chunks: DataFrame
     hashes: DataFrame
@@ -127,7 +131,7 @@ def to_chunks(
 
 def unique_chunks(chunks: DataFrame) -> DataFrame:
     """One row per key. Equal texts of one file share a key, and with it the first line range."""
-    keys = ["collection_name", "branch", "chunk_hash"]
+    keys = CHUNK
     rest = [c for c in chunks.columns if c not in keys]
     return chunks.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct("start_line", "end_line")).alias("_row")).select(
         *keys, "_row.*"
@@ -142,13 +146,18 @@ def update_index(
     model: str,
     strategy: str,
     branch: str | None = None,
+    embed: Embedder | None = None,
 ) -> IndexUpdate:
-    """Bring the index to the state of ``files``; only new and changed files are chunked.
+    """Bring the index to the state of ``files``; only new and changed files are chunked and embedded.
 
-    With ``branch`` the main layer stays and the changed files form the branch layer, except for
-    repositories without a main layer, which are indexed as main. A repository whose hashes are
-    known but whose main layer is missing is indexed again in full. The changes are stored first: their
-    size then decides how file texts and chunks meet them, and a small change moves no large table.
+    With ``branch`` the main layer stays and the changed files form the branch layer, which replaces an
+    earlier one, except for repositories without a main layer, which are indexed as main. A repository whose
+    hashes are known but whose main layer is missing is indexed again in full.
+
+    ``removed(collection_name, branch, source)`` and ``added`` are the change; ``vector_table.apply`` writes it without touching
+    other parts of the table. ``chunks`` is the whole index after it, with all columns of ``stored_chunks``. New chunks are
+    embedded if ``embed`` is given or the index holds vectors, and stored before any hash is given out: ``hashes`` names
+    a new or changed file only after its chunks were written.
     """
     hashes = file_hashes(files)
     present = stored_chunks.filter(F.col("branch") == "").select(F.col("repo_name").alias("repo")).distinct()
@@ -162,12 +171,28 @@ def update_index(
     added = unique_chunks(to_chunks(main, chunker, model, strategy))
     if delta is not None:
         added = added.unionByName(unique_chunks(to_chunks(delta, chunker, model, strategy, branch)))
-        kept, new_hashes = stored_chunks, trusted.unionByName(hashes.join(present, "repo", "left_anti"))
+    if embed or "embedding" in stored_chunks.columns:
+        added = embed_texts(added, "content", embed=embed)
+    added = stored(added, "added")
+    key = collection_key(F.col("repo"), F.lit(model), F.lit(strategy)).alias("collection_name")
+    if delta is None:
+        gone = changes.filter(F.col("change").isin("changed", "deleted"))
+        removed = gone.select(key, F.lit("").alias("branch"), F.col("file_path").alias("source"))
+    else:
+        of = files.select("repo").distinct().select(key)
+        layer = stored_chunks.filter(F.col("branch") == branch).join(of, "collection_name", "left_semi")
+        removed = layer.select("collection_name", "branch", "source").distinct()
+    kept = stored_chunks.join(removed, ["collection_name", "branch", "source"], "left_anti")
+    kept = kept.join(added.select(*CHUNK), CHUNK, "left_anti")
+    if delta is None:
+        new_hashes = hashes
     else:
-        removed = changes.filter(F.col("change").isin("changed", "deleted")).select(
-            collection_key(F.col("repo"), F.lit(model), F.lit(strategy)).alias("collection_name"),
-            F.col("file_path").alias("source"),
-        )
-        kept, new_hashes = delete_by_sources(stored_chunks, removed), hashes
-    columns = [c for c in stored_chunks.columns if c in added.columns]
-    return IndexUpdate(changes, added, kept.select(*columns).unionByName(added.select(*columns)), new_hashes)
+        new_hashes = trusted.unionByName(hashes.join(present, "repo", "left_anti"))
+    return IndexUpdate(changes, removed, added, kept.unionByName(added, allowMissingColumns=True), new_hashes)
+
+
+def remove_branch(stored_chunks: DataFrame, repos: DataFrame, model: str, strategy: str, branch: str) -> DataFrame:
+    """``removed(collection_name, branch, source)`` that ends the layer of a branch after its check."""
+    key = collection_key(F.col("repo"), F.lit(model), F.lit(strategy)).alias("collection_name")
+    layer = stored_chunks.filter(F.col("branch") == branch).join(repos.select(key).distinct(), "collection_name", "left_semi")
+    return layer.select("collection_name", "branch", "source").distinct()

@@ -1,57 +1,39 @@
 """Ordered numbering and running sums inside groups, safe for very large groups.
 
-A window over a group runs in one task. That is right for ordinary groups, but a group holding a
-third of all rows must be split. ``bucket`` is an expression that never decreases along ``order``;
-groups above ``hot_rows`` are windowed per bucket, and the totals of the earlier buckets are added.
+A window over a group runs in one task. ``bucket`` is an expression that never decreases along ``order``:
+rows are windowed per group and bucket, and the totals of the earlier buckets are added. Those totals
+are combined before the shuffle, one short row per group and bucket, so a group of any size is spread over
+as many tasks as it has buckets, and the plan is the same for all sizes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
 
-
-def running_sum(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    bucket: Column,
-    value: Column,
-    name: str,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column, value: Column, name: str) -> DataFrame:
     """Add ``name``: the sum of ``value`` over the rows before this one in its group.
 
-    ``order`` must be total within a group. Group sizes are counted first, which reads the key columns
-    only; without a large group the plan is one plain window. The table of large groups may be
-    broadcast: it holds at most rows / hot_rows keys. Bucket totals read the key, bucket and value
-    columns of the large groups again, and nothing else.
+    ``order`` must be total within a group. Null keys and buckets are groups and buckets of their own.
     """
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    hot = sizes.filter(F.col("_n") > hot_rows).select(*keys)
+    by = [*keys, "_bucket"]
+    marked = df.withColumn("_value", value).withColumn("_bucket", bucket)
     before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    if hot.isEmpty():
-        return df.withColumn(name, F.coalesce(F.sum(value).over(before.partitionBy(*keys)), F.lit(0)))
-    flagged = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), list(keys), "left")
-    marked = flagged.withColumn("_value", value).withColumn("_bucket", F.when(F.col("_hot"), bucket))
-    inside = before.partitionBy(*keys, "_bucket")
-    local = marked.withColumn("_local", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
+    local = marked.withColumn("_local", F.coalesce(F.sum("_value").over(before.partitionBy(*by)), F.lit(0)))
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        marked.filter("_hot")
-        .groupBy(*keys, "_bucket")
-        .agg(F.sum("_value").alias("_total"))
-        .withColumn("_offset", F.sum("_total").over(earlier))
-        .select(*keys, "_bucket", "_offset")
+    totals = marked.groupBy(*by).agg(F.sum("_value").alias("_total"))
+    offsets = totals.select(
+        *[F.col(c).alias(f"_of_{c}") for c in by], F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset")
     )
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by])
     return (
-        local.join(offsets, [*keys, "_bucket"], "left")
-        .withColumn(name, F.col("_local") + F.coalesce("_offset", F.lit(0)))
-        .drop("_hot", "_value", "_bucket", "_local", "_offset")
+        local.join(offsets, same)
+        .withColumn(name, F.col("_local") + F.col("_offset"))
+        .drop("_value", "_bucket", "_local", "_offset", *[f"_of_{c}" for c in by])
     )
 
 
@@ -61,10 +43,9 @@ def number_within(
     order: Sequence[Column],
     bucket: Column,
     name: str,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``name``: the 0-based position of the row in its group."""
-    return running_sum(df, keys, order, bucket, F.lit(1).cast("bigint"), name, hot_rows)
+    return running_sum(df, keys, order, bucket, F.lit(1).cast("bigint"), name)
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:

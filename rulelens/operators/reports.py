@@ -24,22 +24,18 @@ def section_of(verdict: Column) -> Column:
     return F.when(verdict == "pass", 2).when(verdict == "partial", 1).otherwise(0)
 
 
-def report_lines(
-    evaluated: DataFrame, classify_by: str = "final_verdict", hot_rows: int | None = None
-) -> DataFrame:
+def report_lines(evaluated: DataFrame, classify_by: str = "final_verdict") -> DataFrame:
     """Number the rules of a task over all sections: fails, then partials, then passes, in rule order.
 
     The number inside a section is found per block of rules, so a huge task is not one window.
     """
     marked = evaluated.withColumn("section", section_of(F.col(classify_by)))
-    extra = {} if hot_rows is None else {"hot_rows": hot_rows}
     numbered = number_within(
         marked,
         ["task_id"],
         [F.col("section"), F.col("rule_idx")],
         F.struct("section", F.floor(F.col("rule_idx") / 1000)),
         "_n",
-        **extra,
     )
     remark = F.when(F.col("section") == 2, "").otherwise(first_sentence(F.col("explanation")))
     return (

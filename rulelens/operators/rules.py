@@ -11,7 +11,8 @@ from rulelens.operators.numbering import number_within
 # Limits and the registry of evaluator models.
 MAX_RULES = 10
 MAX_RULE_CHARS = 500
-RULE_PAGE = 1000
+RULE_PART = 1000
+MODEL_COLUMNS = ("llm_model", "llm_primary_model", "llm_secondary_model")
 RULE_SORT = ("position", "rule_text")
 MODELS = (
     "gemini-2.5-flash",
@@ -60,24 +61,33 @@ def append_rules(new: DataFrame, rules: DataFrame, order: list[str], bucket: Col
     )
 
 
-def rule_lists(rules: DataFrame) -> DataFrame:
-    """Per list the enabled texts in order, taken from the first page of 1000 rules.
+def _numbered(rules: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``_n``, the 0-based place in the list."""
+    order = [F.col("position"), F.col("id")]
+    return number_within(rules, keys, order, F.floor(F.col("position") / RULE_PART), "_n")
 
-    The rank bound keeps every list small before it is gathered.
+
+def enabled_rules(rules: DataFrame) -> DataFrame:
+    """The enabled rules of each repository, all of them, with ``rule_idx`` in list order from 0."""
+    return _numbered(rules.filter(is_enabled()), ["repository_full_name"]).withColumnRenamed("_n", "rule_idx")
+
+
+def rule_lists(rules: DataFrame, part_rules: int = RULE_PART) -> DataFrame:
+    """Per list the enabled texts in order, in numbered parts of at most ``part_rules`` rules.
+
+    A list without enabled rules has one empty part.
     """
-    w = Window.partitionBy("user_id", "repository_full_name").orderBy("position", "id")
-    first = rules.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= RULE_PAGE)
-    entry = F.struct("_n", "rule_text")
-    gathered = F.array_sort(F.collect_list(F.when(is_enabled(), entry)))
-    return (
-        first.groupBy("user_id", "repository_full_name")
-        .agg(gathered.alias("_rules"))
-        .select("user_id", "repository_full_name", F.col("_rules.rule_text").alias("rules"))
-    )
+    keys = ["user_id", "repository_full_name"]
+    placed = _numbered(rules.filter(is_enabled()), keys).withColumn("part", F.floor(F.col("_n") / part_rules))
+    parts = placed.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(F.struct("_n", "rule_text"))).alias("_rules"))
+    full = parts.select(*keys, "part", F.col("_rules.rule_text").alias("rules"))
+    none = rules.groupBy(*keys).agg(F.bool_or(is_enabled()).alias("_any")).filter("not _any")
+    empty = none.select(*keys, F.lit(0).cast("bigint").alias("part"), F.array().cast("array<string>").alias("rules"))
+    return full.unionByName(empty)
 
 
 def with_rules(requests: DataFrame, rules: DataFrame) -> DataFrame:
-    """New tasks with their rule list; a request without any rule gives no task."""
+    """New tasks with their rule list, a row for each part; a request without any rule gives no task."""
     return requests.join(rule_lists(rules), ["user_id", "repository_full_name"])
 
 
@@ -112,7 +122,7 @@ def config_checks() -> dict[str, Column]:
         "max_evaluations_per_pr": F.col("max_evaluations_per_pr").between(1, 20),
         "approval_threshold": F.col("approval_threshold").between(0.0, 1.0),
         "max_chunks_per_rule": F.col("max_chunks_per_rule").between(1, 20),
-        "llm_model": F.col("llm_model").isNull() | F.col("llm_model").isin(*MODELS),
+        **{c: F.col(c).isNull() | F.col(c).isin(*MODELS) for c in MODEL_COLUMNS},
     }
 
 

@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator, Mapping
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulelens.functions.vectors import SIMILARITY_DIGITS, Embedder, hash_embedder
@@ -19,9 +18,9 @@ FILTER_ALIAS = {"tree_sitter_type": "node_type"}
 THRESHOLD = 0.3
 TOP_K = 5
 
-BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_VALUES = 8_000_000
 QUERY_BLOCK = 2048
+QUERY_STEP = 256
 _KEY = ["collection_name", "branch"]
 _FOUND = "query_id bigint, collection_name string, branch string, chunk_hash string, similarity double"
 
@@ -84,18 +83,6 @@ def _best(sims: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return sims[order], names[order]
 
 
-def _groups(collections: np.ndarray, branches: np.ndarray) -> Iterator[tuple[tuple[str, str], np.ndarray]]:
-    """Row numbers of every collection and branch of a batch."""
-    first, names = pd.factorize(collections)
-    second, layers = pd.factorize(branches)
-    code = first * max(1, len(layers)) + second
-    order = np.argsort(code, kind="stable")
-    bounds = np.flatnonzero(np.diff(code[order])) + 1
-    for rows in np.split(order, bounds):
-        if len(rows):
-            yield (names[first[rows[0]]], layers[second[rows[0]]]), rows
-
-
 def _found(rows: list[tuple]) -> pa.RecordBatch:
     ids, collections, branches, names, sims = (list(c) for c in zip(*rows)) if rows else ([], [], [], [], [])
     return pa.RecordBatch.from_arrays(
@@ -110,61 +97,20 @@ def _found(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def _scan_with_queries(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Queries go to the chunks: every task keeps the best ``k`` per query of its own chunks."""
-    by_key: dict[tuple[str, str], tuple[np.ndarray, np.ndarray]] = {}
-    local = queries.toPandas()
-    for key, group in local.groupby(_KEY):
-        by_key[key] = (group["query_id"].to_numpy(), _unit(np.array(group["query_vec"].tolist(), dtype=np.float64)))
-    shared = chunks.sparkSession.sparkContext.broadcast(by_key)
+def _blocks(df: DataFrame, size: Column, limit: int, name: str) -> DataFrame:
+    """Number of blocks for every collection and branch, so that ``size`` adds up to about ``limit`` in each."""
+    return df.groupBy(*_KEY).agg(F.greatest(F.ceil(F.sum(size) / limit), F.lit(1)).cast("bigint").alias(name))
 
-    def scan(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        kept: dict[tuple, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for batch in stream:
-            collections = batch.column("collection_name").to_numpy(zero_copy_only=False)
-            branches = batch.column("branch").to_numpy(zero_copy_only=False)
-            names = batch.column("chunk_hash").to_numpy(zero_copy_only=False)
-            vectors = _matrix(batch.column("embedding"))
-            for key, rows in _groups(collections, branches):
-                if key not in known:
-                    continue
-                sims = np.round(vectors[rows] @ known[key][1].T, SIMILARITY_DIGITS)
-                new = names[rows]
-                before = kept.get(key)
-                after = []
-                for q in range(sims.shape[1]):
-                    if before is None:
-                        after.append(_best(sims[:, q], new, k))
-                    else:
-                        old_sims, old_names = before[q]
-                        after.append(
-                            _best(np.concatenate([old_sims, sims[:, q]]), np.concatenate([old_names, new]), k)
-                        )
-                kept[key] = after
-        for key, best in kept.items():
-            ids = known[key][0]
-            yield _found(
-                [(int(ids[q]), *key, n, float(s)) for q, (ss, ns) in enumerate(best) for s, n in zip(ss, ns)]
-            )
-
-    return chunks.select(*_KEY, "chunk_hash", "embedding").mapInArrow(scan, _FOUND)
-
-
-def _blocks(df: DataFrame, rows: int, name: str) -> DataFrame:
-    """Number of blocks of about ``rows`` rows for every collection and branch."""
-    return df.groupBy(*_KEY).agg(F.ceil(F.count("*") / rows).cast("bigint").alias(name))
-
-
-def _block_join(chunks: DataFrame, queries: DataFrame, k: int, dims: int) -> DataFrame:
-    """Too many queries for every task: meet block by block.
-
-    Chunks and queries of a collection are cut into blocks of bounded size by a hash of their key, and
-    every pair of blocks is one group, so a large collection is spread over many tasks. A group
-    returns the best ``k`` per query, never the pairs.
+
+def _block_join(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Chunks and queries of a collection are cut into blocks of bounded size by a hash of their key, and
+    every pair of blocks is one group, so a large collection is spread over many tasks.
+
+    Only collections that are asked for take part. A group returns the best ``k`` per query, never the pairs, and
+    holds at most ``QUERY_STEP`` columns of similarities at a time.
     """
-    chunk_blocks = _blocks(chunks, max(1, BLOCK_VALUES // dims), "_nc")
-    query_blocks = _blocks(queries, QUERY_BLOCK, "_nq")
+    query_blocks = _blocks(queries, F.lit(1), QUERY_BLOCK, "_nq")
+    chunk_blocks = _blocks(chunks, F.size("embedding"), BLOCK_VALUES, "_nc")
     sizes = chunk_blocks.join(query_blocks, _KEY)
     left = (
         chunks.select(*_KEY, "chunk_hash", "embedding")
@@ -190,8 +136,8 @@ def _block_join(chunks: DataFrame, queries: DataFrame, k: int, dims: int) -> Dat
             ids = b.column("query_id").to_numpy()
             vectors = _matrix(a.column("embedding").combine_chunks())
             wanted = _matrix(b.column("query_vec").combine_chunks())
-            for start in range(0, len(ids), 256):
-                sims = np.round(vectors @ wanted[start : start + 256].T, SIMILARITY_DIGITS)
+            for start in range(0, len(ids), QUERY_STEP):
+                sims = np.round(vectors @ wanted[start : start + QUERY_STEP].T, SIMILARITY_DIGITS)
                 for q in range(sims.shape[1]):
                     best, found = _best(sims[:, q], names, k)
                     rows.extend((int(ids[start + q]), *key, n, float(s)) for s, n in zip(best, found))
@@ -201,22 +147,13 @@ def _block_join(chunks: DataFrame, queries: DataFrame, k: int, dims: int) -> Dat
     return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(meet, _FOUND)
 
 
-def nearest(
-    chunks: DataFrame, queries: DataFrame, k: int = TOP_K, broadcast_bytes: int = BROADCAST_BYTES
-) -> DataFrame:
+def nearest(chunks: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
     """Exact top ``k`` chunks for every query ``(query_id, collection_name, branch, query_vec)``.
 
-    The measured size of the queries decides the plan: small sets travel to the scan of the chunks,
-    which then needs no shuffle; larger ones meet the chunks in blocks. Both return at most ``k`` rows
-    per query and task or block, and the last step ranks those. Ties go to the smaller chunk key.
+    One plan for all sizes: blocks of chunks meet blocks of queries, each returns at most ``k`` rows
+    per query, and the last step ranks those. Ties go to the smaller chunk key.
     """
-    chunks = chunks.filter(F.col("embedding").isNotNull())
-    size = queries.agg(F.count("*").alias("n"), F.max(F.size("query_vec")).alias("dims")).first()
-    dims = size["dims"] or 1
-    if size["n"] * dims * 8 <= broadcast_bytes:
-        found = _scan_with_queries(chunks, queries, k)
-    else:
-        found = _block_join(chunks, queries, k, dims)
+    found = _block_join(chunks.filter(F.col("embedding").isNotNull()), queries, k)
     w = Window.partitionBy("query_id", "branch").orderBy(F.col("similarity").desc(), "chunk_hash")
     return found.withColumn("hit_no", F.row_number().over(w)).filter(F.col("hit_no") <= k)
 
@@ -261,7 +198,7 @@ def search(
     """Hits with their chunk columns: filter, top k, layer merge, and the threshold at the end.
 
     All queries search the main layer and ``branch``; a query column ``pr_branch`` names the branch per
-    query instead, null for the main layer alone. The found keys are stored before their chunks are
+    query instead, null for the main layer alone. A query column ``max_hits`` sets the limit per query, up to ``k``. The found keys are stored before their chunks are
     fetched: the planner then knows that they are few, and the chunk texts are scanned without a shuffle.
     """
     chosen = filter_metadata(chunks, wanted or {})
@@ -270,11 +207,18 @@ def search(
         layers = [""] if branch is None else ["", branch]
         chosen = chosen.filter(F.col("branch").isin(*layers))
     layer = F.array_distinct(F.array(F.lit(""), F.coalesce(F.col("pr_branch") if own else F.lit(branch), F.lit(""))))
-    asked = queries.drop("branch").withColumn("branch", F.explode(layer)).drop("pr_branch")
-    found = stored(nearest(chosen, asked, k).drop("hit_no"), "nearest")
+    asked = queries.drop("branch", "max_hits").withColumn("branch", F.explode(layer)).drop("pr_branch")
+    best = nearest(chosen, asked, k)
+    limited = "max_hits" in queries.columns
+    limits = queries.select("query_id", F.coalesce("max_hits", F.lit(k)).alias("max_hits")) if limited else None
+    if limited:
+        best = best.join(limits, "query_id").filter("hit_no <= max_hits").drop("max_hits")
+    found = stored(best.drop("hit_no"), "nearest")
     hits = with_chunk(found, chosen)
     if own or branch is not None:
         hits = merge_layers(hits, merge)
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "chunk_hash")
     ranked = hits.withColumn("hit_no", F.row_number().over(w)).filter(F.col("hit_no") <= k)
+    if limited:
+        ranked = ranked.join(limits, "query_id").filter("hit_no <= max_hits").drop("max_hits")
     return ranked.filter(F.col("similarity") >= threshold)

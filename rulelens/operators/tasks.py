@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rulelens.functions.text import add_seconds, literal_map, owner_of, round_half_up
+from rulelens.operators.numbering import number_within
 
 # Sortable columns, defaults of a repository without configuration, retry limits.
 TASK_SORT = ("created_at", "status", "repository_full_name", "progress", "completed_at", "pr_number")
@@ -18,7 +19,7 @@ CONFIG_DEFAULTS = {
     "pr_evaluation_enabled": True,
     "max_chunks_per_rule": 5,
 }
-EVALUATION_LIMIT = 20
+PAIR_MODELS = ("llm_primary_model", "llm_secondary_model")
 MAX_RETRIES = 5
 RETRY_SECONDS = 120
 REQUEUE_MESSAGE = "Service temporarily unavailable. Evaluation will resume automatically."
@@ -69,8 +70,8 @@ def summary(tasks: DataFrame) -> DataFrame:
 
 
 def detail(tasks: DataFrame) -> DataFrame:
-    """The detail columns that the input has (rules and result are joined on demand)."""
-    return tasks.select(*[c for c in DETAIL if c in tasks.columns])
+    """The detail columns; a table without one of them has it as null."""
+    return tasks.select(*[F.col(c) if c in tasks.columns else F.lit(None).cast("string").alias(c) for c in DETAIL])
 
 
 def is_terminal(status: Column) -> Column:
@@ -148,17 +149,25 @@ def visible(requests: DataFrame, tasks: DataFrame, viewers: DataFrame) -> DataFr
     return requests.join(grants(tasks, viewers), ["task_id", "user_id"], "left_semi")
 
 
-def with_config(df: DataFrame, configs: DataFrame, global_model: str) -> DataFrame:
-    """Add the configuration in force: stored values, else the defaults, else the global model."""
+def with_config(
+    df: DataFrame, configs: DataFrame, global_model: str, global_primary: str | None = None, global_secondary: str | None = None
+) -> DataFrame:
+    """Add the configuration in force: stored values, else the defaults, and for each of the three models the
+    global one (where none is given, the global model stands for all)."""
     names = list(CONFIG_DEFAULTS)
+    models = [F.col(c).alias(f"_{c}") if c in configs.columns else F.lit(None).cast("string").alias(f"_{c}") for c in PAIR_MODELS]
     stored = configs.select(
-        "user_id", "repository_full_name", *[F.col(c).alias(f"_{c}") for c in names], F.col("llm_model").alias("_model")
+        "user_id", "repository_full_name", *[F.col(c).alias(f"_{c}") for c in names], F.col("llm_model").alias("_model"), *models
     )
     joined = df.drop(*names).join(stored, ["user_id", "repository_full_name"], "left")
     for name, default in CONFIG_DEFAULTS.items():
         joined = joined.withColumn(name, F.coalesce(F.col(f"_{name}"), F.lit(default)))
     model = F.coalesce(F.col("_model"), F.lit(global_model))
-    return joined.withColumn("llm_model", model).drop("_model", *[f"_{c}" for c in names])
+    pair = {
+        "llm_primary_model": F.coalesce("_llm_primary_model", F.lit(global_primary or global_model)),
+        "llm_secondary_model": F.coalesce("_llm_secondary_model", F.lit(global_secondary or global_model)),
+    }
+    return joined.withColumns({"llm_model": model, **pair}).drop("_model", *[f"_{c}" for c in (*names, *PAIR_MODELS)])
 
 
 def with_installation(requests: DataFrame, installations: DataFrame) -> DataFrame:
@@ -170,17 +179,14 @@ def with_installation(requests: DataFrame, installations: DataFrame) -> DataFram
 
 
 def evaluation_numbers(tasks: DataFrame, cap: Column) -> DataFrame:
-    """Number the evaluations of every pull request and keep those within its cap.
+    """Number the evaluations of every pull request and keep those within its cap, whatever the cap is.
 
-    The constant bound (no cap may exceed it) lets Spark drop the surplus before the shuffle.
+    Numbers come month by month, so that a pull request with very many tasks is not one task's window.
     """
-    w = Window.partitionBy("repository_full_name", "pr_number").orderBy("created_at", "id")
-    return (
-        tasks.filter(F.col("pr_number").isNotNull())
-        .withColumn("eval_no", F.row_number().over(w))
-        .filter(F.col("eval_no") <= EVALUATION_LIMIT)
-        .filter(F.col("eval_no") <= cap)
-    )
+    order = [F.col("created_at"), F.col("id")]
+    keys = ["repository_full_name", "pr_number"]
+    placed = number_within(tasks.filter(F.col("pr_number").isNotNull()), keys, order, F.trunc("created_at", "month"), "_n")
+    return placed.withColumn("eval_no", F.col("_n") + 1).drop("_n").filter(F.col("eval_no") <= cap)
 
 
 def requeue(failures: DataFrame) -> DataFrame:

@@ -32,6 +32,7 @@ from rulelens.plans import validate
 from rulelens.session import scratch_dir, stored
 from rulelens.sources import files as file_source
 from rulelens.sources import results, vector_table, views, webhooks
+from rulelens.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -156,27 +157,41 @@ def s8_results(spark, folder):
     return parsed.select("task_id", F.explode("parsed.validations").alias("_v")).select(
         "task_id", "_v.rule", "_v.evaluation.verdict", "_v.evaluation.tokens_used",
         F.size("_v.related_files").cast("bigint").alias("related_files"),
+        F.col("_v.related_files")[0]["file_path"].alias("first_file"), "_v.cross_check.secondary_verdict", "_v.cross_check.agreement",
     )
 
 
 def _task_results(spark, folder) -> DataFrame:
-    rows = views.validations(spark, folder).withColumn(
-        "evaluation", F.struct(F.col("primary_verdict").alias("verdict"), "explanation", "tokens_used")
+    """Nested results with the files and the cross-check of every rule."""
+    path = F.concat(F.lit("f"), F.col("task_id").cast("string"))
+    file = F.struct(path.alias("file_path"), F.lit(0.5).alias("relevance_score"))
+    rows = views.validations(spark, folder).withColumns(
+        {
+            "evaluation": F.struct(F.col("primary_verdict").alias("verdict"), "explanation", "tokens_used"),
+            "related_files": F.when(F.col("l_linestatus") == "F", F.array(file)).otherwise(F.array(file, file)),
+            "cross_check": F.struct(
+                "primary_verdict", "secondary_verdict", (F.col("primary_verdict") == F.col("secondary_verdict")).alias("agreement")
+            ),
+        }
     )
     return results.nest(rows)
 
 
+def _with_results(t: DataFrame) -> DataFrame:
+    return t.withColumn("result", F.when(F.col("has_result"), F.concat(F.lit("result "), F.col("id").cast("string"))))
+
+
 @query
 def s9_outcomes(spark, folder):
     """Outcome rows of open tasks, applied to the task table."""
-    t = views.tasks(spark, folder)
+    t = _with_results(views.tasks(spark, folder))
     finished = t.filter(~tasks.is_terminal(F.col("status"))).selectExpr(
         "id as task_id", "'{}' as result", "case when id % 5 = 0 then 'boom' end as error",
         "created_at + interval 60 seconds as at",
     )
     rows = results.outcomes(finished.withColumnRenamed("at", "completed_at"), F.col("completed_at"))
     state = results.current_state(t, rows)
-    return state.select("id", "status", F.col("progress").cast("bigint"), "progress_message", "error", "completed_at")
+    return state.select("id", "status", F.col("progress").cast("bigint"), "progress_message", "result", "error", "completed_at")
 
 
 @query
@@ -243,8 +258,10 @@ def f8_task_summary(spark, folder):
 
 @query
 def f8_task_detail(spark, folder):
-    return nullable(tasks.detail(views.tasks(spark, folder)), "pr_number").withColumn(
-        "progress", F.col("progress").cast("bigint")
+    lists = rules.rule_lists(views.rules(spark, folder)).filter("part = 0")  # the first part stands in the task's row
+    listed = _with_results(views.tasks(spark, folder)).join(lists.drop("part"), ["user_id", "repository_full_name"], "left")
+    return nullable(tasks.detail(listed), "pr_number").withColumns(
+        {"progress": F.col("progress").cast("bigint"), "rules": F.nullif(F.array_join("rules", "|"), F.lit(""))}
     )
 
 
@@ -337,7 +354,7 @@ def _requests(spark, folder) -> DataFrame:
 @query
 def j8_config_in_force(spark, folder):
     repos = views.repositories(spark, folder).selectExpr("id div 4 as user_id", "full_name as repository_full_name")
-    found = tasks.with_config(repos, views.repo_configs(spark, folder), GLOBAL_MODEL)
+    found = tasks.with_config(repos, views.repo_configs(spark, folder), GLOBAL_MODEL, "azure/gpt-4.1", "azure/gpt-4o")
     return found.withColumn("max_chunks_per_rule", F.col("max_chunks_per_rule").cast("bigint")).withColumn(
         "max_evaluations_per_pr", F.col("max_evaluations_per_pr").cast("bigint")
     )
@@ -391,8 +408,8 @@ def j10_delete_hashes(spark, folder):
 
 
 def _queries(spark, folder) -> DataFrame:
-    """Query vectors: the rules within the slots of their repository, each for one collection."""
-    admitted = rules.within_slots(views.rules(spark, folder)).selectExpr(
+    """Query vectors: all enabled rules, each for one collection."""
+    admitted = rules.enabled_rules(views.rules(spark, folder)).selectExpr(
         "id as query_id", "concat('c', repo_no % 10) as collection_name", "'' as branch", "rule_text"
     )
     embed = vectors.hash_embedder(views.EMBEDDING_DIMS)
@@ -409,10 +426,10 @@ def j11_similarity_join(spark, folder):
 
 @query
 def j11_similarity_blocks(spark, folder):
-    """The same search by the block plan, as used for query sets too large to broadcast."""
-    found = search.nearest(
-        views.chunk_vectors(spark, folder).filter("branch = ''"), _queries(spark, folder), SEARCH_K, broadcast_bytes=0
-    )
+    """The same search within every branch layer instead of the main one."""
+    layers = views.chunk_vectors(spark, folder).filter("branch <> ''")
+    asked = _queries(spark, folder).drop("branch").withColumn("branch", F.lit("pr-1"))
+    found = search.nearest(layers, asked, SEARCH_K)
     return found.select("query_id", "collection_name", "chunk_hash", "similarity")
 
 
@@ -578,7 +595,7 @@ def a11_next_positions(spark, folder):
 
 
 def _new_rules(spark, folder) -> DataFrame:
-    return views.table(spark, folder, "conversations").filter("role = 'user'").selectExpr(
+    return views.table(spark, folder, "conversations").selectExpr(
         "conv_id", "turn", "text as rule_text", "(conv_id div 10) div 4 as user_id",
         "concat('org', (conv_id div 10) div 4, '/repo', conv_id div 10) as repository_full_name",
     )
@@ -645,7 +662,7 @@ def a18_task_rules(spark, folder):
     """New tasks for all pending requests, with a digest of their rule lists."""
     requests = views.tasks(spark, folder).filter("status = 'pending'").select("id", "user_id", "repository_full_name")
     return rules.with_rules(requests, views.rules(spark, folder)).select(
-        "id", F.size("rules").cast("bigint").alias("n_rules"), F.md5(F.array_join("rules", "|")).alias("rules_md5")
+        "id", "part", F.size("rules").cast("bigint").alias("n_rules"), F.md5(F.array_join("rules", "|")).alias("rules_md5")
     )
 
 
@@ -934,11 +951,11 @@ def offline_evaluator(texts):
 
 
 def whole_check(spark, folder) -> validate.Check:
-    """The full pipeline over the documents of every source, with the rules of its repository."""
+    """The full pipeline over the documents of every source, with all enabled rules of its repository."""
     files = views.current_files(spark, folder)
     chunks = validate.index_files(files, views.MODEL, views.STRATEGY)
-    asked = rules.within_slots(views.rules(spark, folder)).selectExpr(
-        "id as query_id", "repo_no as task_id", "slot - 1 as rule_idx", "concat('src', repo_no) as repo",
+    asked = rules.enabled_rules(views.rules(spark, folder)).selectExpr(
+        "id as query_id", "repo_no as task_id", "rule_idx", "concat('src', repo_no) as repo",
         "concat('https://github.com/', repository_full_name, '.git') as url", "rule_text",
     )
     return validate.check_rules(
@@ -1108,7 +1125,7 @@ def d5_repository_maps(spark, folder):
 def d6_embeddings(spark, folder):
     texts = views.rules(spark, folder).select("id", "rule_text")
     embedded = search.embed_texts(texts, "rule_text", embed=vectors.hash_embedder(views.EMBEDDING_DIMS))
-    return embedded.select("id", F.posexplode("embedding").alias("slot", "value")).filter("value > 0").select(
+    return embedded.select("id", F.posexplode("embedding").alias("slot", "value")).select(
         "id", F.col("slot").cast("bigint").alias("slot"), F.round(F.col("value").cast("double"), 5).alias("value")
     )
 
@@ -1146,6 +1163,56 @@ def d7_branch_delta(spark, folder):
     return update.chunks.groupBy("repo_name", "branch").agg(F.count("*").alias("chunks"), F.count_distinct("source").alias("sources"))
 
 
+def _vector_update(spark, folder, branch=None, runs=1) -> indexing.IndexUpdate:
+    """The stored snapshot with vectors, brought to the current one ``runs`` times."""
+    before = views.stored_files(spark, folder)
+    embed = vectors.hash_embedder(views.EMBEDDING_DIMS)
+    chunks = stored(search.embed_texts(_stored_index(before), "content", embed=embed), "index")
+    hashes = indexing.file_hashes(before)
+    for _ in range(runs):
+        update = indexing.update_index(
+            views.current_files(spark, folder), hashes, chunks, chunking.chunk_windows, views.MODEL, views.STRATEGY, branch, embed
+        )
+        chunks, hashes = stored(update.chunks, "index"), update.hashes
+    return update
+
+
+@query
+def d7_vector_index(spark, folder):
+    """An index with vectors after an update: the unchanged chunks keep theirs, the new ones have their own."""
+    rounded = F.transform("embedding", lambda v: F.round(v.cast("double"), 4))
+    total = F.aggregate(rounded, F.lit(0.0), lambda s, v: s + v)
+    return _vector_update(spark, folder).chunks.select(
+        "collection_name", "branch", "source", "chunk_hash", F.size("embedding").cast("bigint").alias("dims"), F.round(total, 4).alias("vector_sum")
+    )
+
+
+@query
+def d7_branch_twice(spark, folder):
+    """A branch layer built twice is the layer built once."""
+    found = _vector_update(spark, folder, "pr-1", 2).chunks
+    return found.groupBy("repo_name", "branch").agg(
+        F.count("*").alias("chunks"), F.count_distinct("source").alias("sources"), F.count("embedding").alias("vectors")
+    )
+
+
+@query
+def d7_branch_removed(spark, folder):
+    """The index table after the layer of a branch was written to it and removed again."""
+    path = f"{scratch_dir(spark)}/index-{uuid.uuid4().hex}"
+    before = _stored_index(views.stored_files(spark, folder))
+    vector_table.write_partitions(before, path)
+    update = indexing.update_index(
+        views.current_files(spark, folder), indexing.file_hashes(views.stored_files(spark, folder)), before, chunking.chunk_windows,
+        views.MODEL, views.STRATEGY, branch="pr-1",
+    )
+    vector_table.apply(spark, path, update.removed, update.added)
+    repos = views.current_files(spark, folder).select("repo")
+    gone = stored(indexing.remove_branch(vector_table.read(spark, path), repos, views.MODEL, views.STRATEGY, "pr-1"), "gone")
+    vector_table.apply(spark, path, gone, update.added.limit(0))
+    return vector_table.read(spark, path).groupBy("repo_name", "branch").agg(F.count("*").alias("chunks"), F.count_distinct("source").alias("sources"))
+
+
 @query
 def d8_semantic_search(spark, folder):
     found = search.search(
@@ -1238,15 +1305,7 @@ def r3_calls_per_minute(spark, folder):
 @query
 def r4_sliding_rate(spark, folder):
     """Calls per caller in every 60-second window that starts at a multiple of 10 seconds."""
-    counted = views.call_log(spark, folder).groupBy("caller", F.window("ts", "10 seconds").alias("w")).agg(F.count("*").alias("n"))
-    slots = F.sequence(F.lit(0), F.lit(5))
-    return (
-        counted.select("caller", "n", F.col("w.start").alias("at"), F.explode(slots).alias("back"))
-        .select("caller", "n", (F.col("at") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("back") * 10)).alias("window_start"))
-        .groupBy("caller", "window_start")
-        .agg(F.sum("n").alias("calls"))
-        .withColumn("over_limit", F.col("calls") > 1)
-    )
+    return jobs.sliding_rate(views.call_log(spark, folder), 1, "10 seconds")
 
 
 @query
@@ -1260,12 +1319,7 @@ def r5_requeue(spark, folder):
 
 @query
 def r6_hourly_activity(spark, folder):
-    return (
-        views.activity(spark, folder)
-        .groupBy(F.window("created_at", "1 hour").alias("w"), "status")
-        .agg(F.count("*").alias("n"))
-        .select(F.col("w.start").alias("hour"), "status", "n")
-    )
+    return jobs.hourly_activity(views.activity(spark, folder))
 
 
 @query

@@ -71,12 +71,16 @@ VIEWS = {
         (s_suppkey % 13) / 10.0::double as approval_threshold, s_suppkey % 2 = 0 as enable_cross_check,
         s_suppkey % 23 as max_chunks_per_rule,
         case s_suppkey % 4 when 0 then null when 1 then 'azure/gpt-4o' when 2 then 'gemini-2.5-flash' else 'unknown-model' end as llm_model,
+        case s_suppkey % 5 when 0 then null when 1 then 'azure/gpt-4.1' when 2 then 'no-such' else 'azure/o4-mini' end as llm_primary_model,
+        case s_suppkey % 6 when 0 then null when 1 then '' else 'azure/gpt-4o' end as llm_secondary_model,
         s_acctbal as balance from supplier""",
     "repo_configs": """
       select user_id, repository_full_name, repo_no, 1 + version % 4 as max_evaluations_per_pr,
         0.5::double + (repo_no % 5) / 10.0::double as approval_threshold, enable_cross_check,
         repo_no % 3 <> 0 as pr_evaluation_enabled, 1 + repo_no % 20 as max_chunks_per_rule,
-        case when repo_no % 2 = 0 then null else 'azure/gpt-4o' end as llm_model
+        case when repo_no % 2 = 0 then null else 'azure/gpt-4o' end as llm_model,
+        case when repo_no % 3 = 0 then 'azure/gpt-4.1' end as llm_primary_model,
+        case when repo_no % 3 = 1 then 'azure/o4-mini' end as llm_secondary_model
       from (select *, row_number() over (partition by user_id, repository_full_name order by version desc) as rn from config_requests)
       where rn = 1 and balance >= 2000""",
     "task_viewers": "select distinct l_orderkey as task_id, l_suppkey % 5 as user_id from lineitem where l_returnflag = 'R'",
@@ -150,6 +154,9 @@ VIEWS = {
     "slots": """
       select *, row_number() over (partition by repository_full_name order by position, id) as slot from rules
       qualify slot <= 10""",
+    "asked": """
+      select *, row_number() over (partition by repository_full_name order by position, id) - 1 as rule_idx from rules
+      where coalesce(enabled, true)""",
     "features": """
       select id, slot, count(*) as n from (
         select id, cast(('0x' || substr(md5(lower(word)), 1, 8)) as bigint) % 64 as slot
@@ -160,7 +167,7 @@ VIEWS = {
     "queries": """
       select s.id as query_id, concat('c', s.repo_no % 10) as collection_name,
         list(coalesce(f.value, 0)::double order by d.slot) as qvec
-      from slots s cross join (select unnest(range(64)) as slot) d
+      from asked s cross join (select unnest(range(64)) as slot) d
       left join rule_vectors f on f.id = s.id and f.slot = d.slot
       group by s.id, s.repo_no""",
     "pairs": """
@@ -277,8 +284,8 @@ VIEWS = {
       select repo, chunk_hash, slot, (n / sqrt(sum(n * n) over (partition by repo, chunk_hash)))::float::double as value from doc_features""",
     "doc_norms": "select repo, chunk_hash, sqrt(sum(value * value)) as norm from doc_vectors group by all",
     "doc_rules": """
-      select id as query_id, repo_no as task_id, slot - 1 as rule_idx, concat('src', repo_no) as repo, rule_text,
-        concat('https://github.com/', repository_full_name, '.git') as url from slots""",
+      select id as query_id, repo_no as task_id, rule_idx, concat('src', repo_no) as repo, rule_text,
+        concat('https://github.com/', repository_full_name, '.git') as url from asked""",
     "doc_pairs": """
       select r.query_id, p.repo, p.source, p.content, p.chunk_hash, p.start_line, p.end_line,
         round(coalesce(d.dot, 0) / (q.norm * n.norm), 9) as similarity
@@ -447,12 +454,15 @@ BODIES: dict[str, str] = {
     "s7_webhook_payloads": """
       select action, installation_id, repository_full_name, pr_number, head_sha, head_ref, author,
         concat('https://github.com/', repository_full_name, '.git') as clone_url, ts from pr_events""",
-    "s8_results": "select task_id, rule, primary_verdict as verdict, tokens_used, 0::bigint as related_files from lines",
+    "s8_results": """
+      select task_id, rule, primary_verdict as verdict, tokens_used, case when l_linestatus = 'F' then 1 else 2 end::bigint as related_files,
+        concat('f', task_id) as first_file, secondary_verdict, primary_verdict = secondary_verdict as agreement from lines""",
     "s9_outcomes": """
       select id, case when status in ('completed', 'failed') then status when id % 5 = 0 then 'failed' else 'completed' end as status,
         case when status in ('pending', 'running') and id % 5 <> 0 then 100 else progress end as progress,
         case when status in ('pending', 'running') and id % 5 <> 0 then 'Done' else progress_message end as progress_message,
         case when status in ('pending', 'running') and id % 5 = 0 then 'boom' else error end as error,
+        case when status in ('pending', 'running') then '{}' when has_result then concat('result ', id) end as result,
         case when status in ('pending', 'running') then created_at + interval 60 second else completed_at end as completed_at
       from tasks""",
     "s10_report_rows": """
@@ -477,8 +487,11 @@ BODIES: dict[str, str] = {
       from (select repo, file_path from current_files union all select repo, file_path from code)""",
     "f8_task_summary": "select id, repository_full_name, status, progress, progress_message, created_at, completed_at, pr_number::double as pr_number, pr_author from tasks",
     "f8_task_detail": """
-      select id, repository_url, repository_full_name, status, progress, progress_message, error, created_at, started_at,
-        completed_at, pr_number::double as pr_number, pr_head_ref, pr_head_sha, pr_author, enable_cross_check, retry_count from tasks""",
+      select t.id, repository_url, t.repository_full_name, status, progress, progress_message, error, created_at, started_at,
+        completed_at, pr_number::double as pr_number, pr_head_ref, pr_head_sha, pr_author, enable_cross_check, retry_count,
+        l.rules, case when has_result then concat('result ', t.id) end as result
+      from tasks t left join (select user_id, repository_full_name, string_agg(rule_text, '|' order by position, id) as rules from rules
+        where coalesce(enabled, true) group by all) l on l.user_id = t.user_id and l.repository_full_name = t.repository_full_name""",
     "f9_verdicts": """
       select raw, case when lower(raw) in ('pass', 'fail', 'partial') then lower(raw) else 'fail' end as verdict, count(*) as n
       from (select case l_linenumber when 1 then 'PASS' when 2 then 'Fail' when 3 then 'partial' when 4 then ''
@@ -488,7 +501,8 @@ BODIES: dict[str, str] = {
       select version, concat_ws(',', case when max_evaluations_per_pr not between 1 and 20 then 'max_evaluations_per_pr' end,
         case when approval_threshold > 1.0 then 'approval_threshold' end,
         case when max_chunks_per_rule not between 1 and 20 then 'max_chunks_per_rule' end,
-        case when llm_model = 'unknown-model' then 'llm_model' end) as violations from config_requests""",
+        case when llm_model = 'unknown-model' then 'llm_model' end, case when llm_primary_model = 'no-such' then 'llm_primary_model' end,
+        case when llm_secondary_model = '' then 'llm_secondary_model' end) as violations from config_requests""",
     "f11_rule_violations": "select doc_id, case when length(text) between 1 and 500 then '' else 'rule_text' end as violations from documents",
     "j1_indexed_repositories": "select repository_id, full_name, collection_name from indexed",
     "j2_stored_hashes": """
@@ -505,7 +519,8 @@ BODIES: dict[str, str] = {
       select r.id // 4 as user_id, r.full_name as repository_full_name, coalesce(max_evaluations_per_pr, 3) as max_evaluations_per_pr,
         coalesce(approval_threshold, 0.8::double) as approval_threshold, coalesce(enable_cross_check, true) as enable_cross_check,
         coalesce(pr_evaluation_enabled, true) as pr_evaluation_enabled, coalesce(max_chunks_per_rule, 5) as max_chunks_per_rule,
-        coalesce(llm_model, 'gemini-2.5-flash') as llm_model
+        coalesce(llm_model, 'gemini-2.5-flash') as llm_model, coalesce(llm_primary_model, 'azure/gpt-4.1') as llm_primary_model,
+        coalesce(llm_secondary_model, 'azure/gpt-4o') as llm_secondary_model
       from repositories r left join repo_configs c on c.user_id = r.id // 4 and c.repository_full_name = r.full_name""",
     "j9_snapshot_diff": "select * from changes",
     "j10_delete_sources": """
@@ -521,7 +536,9 @@ BODIES: dict[str, str] = {
       where not exists (select 1 from changes c where c.change = 'deleted' and c.repo = s.repo and c.file_path = s.file_path
           and cast(substr(c.repo, 4) as bigint) in (select id from repositories))""",
     "j11_similarity_join": "select query_id, collection_name, chunk_hash, similarity from hits",
-    "j11_similarity_blocks": "select query_id, collection_name, chunk_hash, similarity from hits",
+    "j11_similarity_blocks": """
+      select query_id, collection_name, chunk_hash, similarity from pairs
+      where branch = 'pr-1' qualify row_number() over (partition by query_id order by similarity desc, chunk_hash) <= 20""",
     "j12_resume": """
       select l.task_id, l.rule_idx, l.rule, s.verdict, s.explanation, s.rule is not null as restored
       from lines l left join saved s on s.task_id = l.task_id and s.rule_idx = l.rule_idx and s.rule = l.rule""",
@@ -572,7 +589,7 @@ BODIES: dict[str, str] = {
           partition by n.user_id, n.repository_full_name order by conv_id, turn) as position
       from (select conv_id, turn, (conv_id // 10) // 4 as user_id,
               concat('org', (conv_id // 10) // 4, '/repo', conv_id // 10) as repository_full_name
-            from conversations where role = 'user') n
+            from conversations) n
       left join (select user_id, repository_full_name, max(position) as last from rules group by all) m
         on m.user_id = n.user_id and m.repository_full_name = n.repository_full_name""",
     "a12_collections": "select collection_name, count(*) as chunks, bool_or(branch = '') as main_indexed from chunks group by all",
@@ -600,11 +617,12 @@ BODIES: dict[str, str] = {
       from (select repo, length, array_to_string(parts[1:i], '/') as dir from (select *, unnest(range(1, len(parts))) as i from f))
       group by repo, dir""",
     "a18_task_rules": """
-      select t.id, l.n_rules, l.rules_md5 from tasks t join (
-        select user_id, repository_full_name, count(*) filter (where coalesce(enabled, true)) as n_rules,
-          md5(coalesce(string_agg(rule_text, '|' order by position, id) filter (where coalesce(enabled, true)), '')) as rules_md5
-        from (select *, row_number() over (partition by user_id, repository_full_name order by position, id) as n from rules)
-        where n <= 1000 group by all) l on l.user_id = t.user_id and l.repository_full_name = t.repository_full_name
+      select t.id, l.part, l.n_rules, l.rules_md5 from tasks t join (
+        select user_id, repository_full_name, coalesce((n - 1) // 1000, 0) as part, count(n) as n_rules,
+          md5(coalesce(string_agg(rule_text, '|' order by position, id) filter (where n is not null), '')) as rules_md5
+        from (select *, case when coalesce(enabled, true) then row_number() over (partition by user_id, repository_full_name, coalesce(enabled, true) order by position, id) end as n,
+                bool_or(coalesce(enabled, true)) over (partition by user_id, repository_full_name) as used from rules)
+        where n is not null or not used group by all) l on l.user_id = t.user_id and l.repository_full_name = t.repository_full_name
       where t.status = 'pending'""",
     "w1_rules_with_total": """
       select id, row_no, total from (
@@ -648,7 +666,7 @@ BODIES: dict[str, str] = {
       select id, t.repository_full_name, pr_number, eval_no from (
         select *, row_number() over (partition by repository_full_name, pr_number order by created_at, id) as eval_no from tasks where pr_number is not null) t
       left join repo_configs c on c.user_id = t.user_id and c.repository_full_name = t.repository_full_name
-      where eval_no <= least(20, coalesce(c.max_evaluations_per_pr, 3))""",
+      where eval_no <= coalesce(c.max_evaluations_per_pr, 3)""",
     "w10_report_lines": "select task_id, rule_idx, line_no, section, remark from report_lines",
     "t1_task_page": _page("user_id", "completed_at desc nulls first, id", 21, 40, "tasks", "user_id, row_no, id, completed_at"),
     "t1_global_page": _page("", "created_at, id", 51, 75, "tasks", "id, created_at"),
@@ -773,7 +791,10 @@ BODIES: dict[str, str] = {
         concat(case when approved then 'Aprobado' else 'Cambios requeridos' end, ' — ', pct, '% (umbral 80%)') as description, 0::bigint as part,
         concat_ws(chr(10), concat('## Informe de evaluación #1', chr(10), chr(10), '**Resultado: ', case when approved then 'APROBADO' else 'NO APROBADO' end,
           '** — ', pct, '% de normas superadas (mínimo: 80%)', chr(10), chr(10), '---'), text, '_Generado automáticamente_') as body from t""",
-    "d6_embeddings": "select id, slot, round(value::double, 5) as value from rule_vectors",
+    "d6_embeddings": """
+      select r.id, d.slot::bigint as slot, round(coalesce(v.value, 0)::double, 5) as value
+      from (select id, unnest(range(64)) as slot from rules) d join rules r on r.id = d.id
+      left join rule_vectors v on v.id = d.id and v.slot = d.slot""",
     "d7_incremental_index": f"""
       select md5(concat(repo, '|{MODEL}|{STRATEGY}')) as collection_name, '' as branch, repo as repo_name, file_path as source, md5(concat(file_path, '|', chunk)) as chunk_hash,
         min(start_line) as start_line, min(start_line) + any_value(length(chunk) - length(replace(chunk, chr(10), ''))) as end_line
@@ -785,6 +806,26 @@ BODIES: dict[str, str] = {
       select repo, case when repo in (select repo from stored_files) then 'pr-1' else '' end, count(*), count(distinct file_path)
       from (select distinct w.repo, w.file_path, chunk from ({_windows('current_files', 1000, 100)}) w
             join changes c on c.repo = w.repo and c.file_path = w.file_path and c.change in ('new', 'changed')) group by repo""",
+    "d7_vector_index": f"""
+      select p.collection_name, '' as branch, p.source, p.chunk_hash, 64::bigint as dims, round(coalesce(v.total, 0), 4) as vector_sum
+      from doc_pieces p left join (select repo, chunk_hash, sum(round(value, 4)) as total from doc_vectors group by all) v
+        on v.repo = p.repo and v.chunk_hash = p.chunk_hash""",
+    "d7_branch_twice": f"""
+      select *, chunks as vectors from (
+      select repo as repo_name, '' as branch, count(*) as chunks, count(distinct file_path) as sources
+      from (select distinct repo, file_path, chunk from ({_windows('stored_files', 1000, 100)})) group by repo
+      union all
+      select repo, case when repo in (select repo from stored_files) then 'pr-1' else '' end, count(*), count(distinct file_path)
+      from (select distinct w.repo, w.file_path, chunk from ({_windows('current_files', 1000, 100)}) w
+            join changes c on c.repo = w.repo and c.file_path = w.file_path and c.change in ('new', 'changed')) group by repo)""",
+    "d7_branch_removed": f"""
+      select * from (
+      select repo as repo_name, '' as branch, count(*) as chunks, count(distinct file_path) as sources
+      from (select distinct repo, file_path, chunk from ({_windows('stored_files', 1000, 100)})) group by repo
+      union all
+      select repo, case when repo in (select repo from stored_files) then 'pr-1' else '' end, count(*), count(distinct file_path)
+      from (select distinct w.repo, w.file_path, chunk from ({_windows('current_files', 1000, 100)}) w
+            join changes c on c.repo = w.repo and c.file_path = w.file_path and c.change in ('new', 'changed')) group by repo) where branch = ''""",
     "d9_file_contexts": """
       select g.query_id, g.source, relevance_score, language, coalesce(symbols, '') as symbols, found, length(file_text) > 6000 as truncated,
         case when length(file_text) <= 6000 then md5(concat('[Archivo: ', g.source,

@@ -16,6 +16,10 @@ from rulelens.operators.declarations import symbols
 from rulelens.session import stored
 
 
+#: No repository may ask for more (see ``rules.config_checks``).
+MAX_CHUNKS_PER_RULE = 20
+
+
 class Check(NamedTuple):
     hits: DataFrame
     matches: DataFrame
@@ -41,7 +45,7 @@ def rule_queries(rules: DataFrame, model: str, strategy: str, embed: Embedder |
     """Query vectors of rules ``(query_id, repo, rule_text)``."""
     keyed = rules.select(
         "query_id",
-        *[c for c in ("pr_branch",) if c in rules.columns],
+        *[c for c in ("pr_branch", "max_hits") if c in rules.columns],
         collection_key(F.col("repo"), F.lit(model), F.lit(strategy)).alias("collection_name"),
         "rule_text",
     )
@@ -61,12 +65,20 @@ def check_rules(
     approval: float = evaluation.APPROVAL_THRESHOLD,
     branch: str | None = None,
     saved: DataFrame | None = None,
+    configs: DataFrame | None = None,
 ) -> Check:
     """Run all rules ``(query_id, task_id, rule_idx, repo, url, rule_text)`` against the index.
 
     A column ``pr_branch`` of the rules names the branch layer to search per rule. ``saved`` holds the
-    evaluations of earlier, interrupted runs; those rules are not sent to the evaluator again.
+    evaluations of earlier, interrupted runs; those rules are not sent to the evaluator again. ``configs(repo,
+    max_chunks_per_rule, approval_threshold)`` holds repositories' own limits and thresholds; ``k`` and ``approval``
+    hold where it has none.
     """
+    tasks_of = rules.select("task_id", "repo").distinct()
+    if configs is not None:
+        own = configs.select("repo", F.col("max_chunks_per_rule").alias("max_hits"))
+        rules = rules.join(own, "repo", "left").withColumn("max_hits", F.coalesce("max_hits", F.lit(k)))
+        k = MAX_CHUNKS_PER_RULE
     every, named = rules, rules.withColumnRenamed("rule_text", "rule")
     if saved is not None:
         rules = evaluation.remaining(named, saved).withColumnRenamed("rule", "rule_text")
@@ -83,16 +95,20 @@ def check_rules(
     lines = stored(repomap.map_lines(listed, found), "map-lines")
     budget = int((contexts.MAX_CONTEXT_TOKENS - contexts.RESERVED_TOKENS) * contexts.MAP_SHARE) * 4
     maps = repomap.map_heads(lines, budget)
-    prompts = contexts.prompts(rules, maps, matched)
+    prompts = stored(contexts.prompts(rules, maps, matched), "prompts")
     answers = evaluation.parse_answers(evaluation.ask(prompts, evaluate, ["query_id"]), "offline")
     answers = stored(answers, "answers")
     evaluated = rules.select("query_id", "task_id", "rule_idx", F.col("rule_text").alias("rule")).join(answers, "query_id")
     if saved is not None:
         kept = evaluation.restore(named.select("query_id", "task_id", "rule_idx", "rule"), saved).filter("restored")
         evaluated = evaluated.unionByName(kept.drop("restored"), allowMissingColumns=True)
-    scored = evaluation.approve(
-        evaluation.scores(every.select("task_id").distinct(), evaluated).withColumn("approval_threshold", F.lit(approval))
-    )
+    scores = evaluation.scores(every.select("task_id").distinct(), evaluated)
+    if configs is None:
+        scores = scores.withColumn("approval_threshold", F.lit(approval))
+    else:
+        own = tasks_of.join(configs.select("repo", "approval_threshold"), "repo").groupBy("task_id").agg(F.max("approval_threshold").alias("_own"))
+        scores = scores.join(own, "task_id", "left").withColumn("approval_threshold", F.coalesce("_own", F.lit(approval))).drop("_own")
+    scored = evaluation.approve(scores)
     return Check(hits, matched, prompts, evaluated, scored)
 
 
@@ -117,8 +133,12 @@ def evaluate_pairs(
     return evaluation.reconcile(pairs.join(named(third, "adjudicated"), keys, "left"))
 
 
-def report(check: Check) -> DataFrame:
-    """Report bodies and status lines of a check."""
+def report(check: Check, numbers: DataFrame | None = None) -> DataFrame:
+    """Report bodies and status lines of a check; ``numbers(task_id, eval_no)`` numbers the evaluations of a pull request."""
     lines = stored(reports.report_lines(check.evaluated.withColumnRenamed("verdict", "final_verdict")), "report-lines")
-    bodies = reports.report_bodies(check.scored.withColumn("eval_no", F.lit(1)), lines)
+    if numbers is None:
+        numbered = check.scored.withColumn("eval_no", F.lit(1))
+    else:
+        numbered = check.scored.join(numbers, "task_id", "left").withColumn("eval_no", F.coalesce("eval_no", F.lit(1)))
+    bodies = reports.report_bodies(numbered, lines)
     return reports.status_lines(check.scored).join(bodies, "task_id")

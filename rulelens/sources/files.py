@@ -79,34 +79,45 @@ def list_files(spark: SparkSession, root: str, repos: DataFrame | None = None, s
     """All files ``(repo, file_path, length)`` of the given repositories; folders named in ``skip`` are not entered.
 
     Spark's own file sources leave out every name that starts with a dot or an underscore, and with it
-    files such as ``__init__.py``. So the trees are walked inside tasks, repository by repository.
+    files such as ``__init__.py``. So folders are listed inside tasks, one level of all trees after the
+    other, and spread anew at each level: a large repository is listed by many tasks. A missing repository and a
+    folder that cannot be listed are errors: Spark repeats the task, and then the scan fails, as a file that only
+    seems to be gone would leave the index.
     """
     repos = repositories_below(spark, root) if repos is None else repos.select("repo")
+    entry = "repo string, file_path string, length bigint, is_folder boolean"
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, base = FileSystem.from_uri(root) if "://" in root else (LocalFileSystem(), root)
-        rows: list[tuple[str, str, int]] = []
+        names = ["repo", "file_path", "length", "is_folder"]
+        rows: list[tuple[str, str, int | None, bool]] = []
         for batch in batches:
-            for repo in batch["repo"]:
+            for repo, folder in zip(batch["repo"], batch["file_path"]):
                 top = f"{base.rstrip('/')}/{repo}"
-                todo = [top]
-                while todo:
-                    for f in system.get_file_info(FileSelector(todo.pop(), allow_not_found=True)):
-                        if f.type == FileType.Directory and f.base_name not in skip:
-                            todo.append(f.path)
-                        elif f.type == FileType.File:
-                            rows.append((repo, f.path[len(top) + 1 :], f.size))
-                    if len(rows) >= LISTED_ROWS:
-                        yield pd.DataFrame(rows, columns=["repo", "file_path", "length"])
-                        rows = []
-        yield pd.DataFrame(rows, columns=["repo", "file_path", "length"])
-
-    spread = repos.distinct().repartition(spark.sparkContext.defaultParallelism, "repo")
-    return spread.mapInPandas(walk, "repo string, file_path string, length bigint")
+                for f in system.get_file_info(FileSelector(f"{top}/{folder}" if folder else top)):
+                    if f.type == FileType.Directory and f.base_name not in skip:
+                        rows.append((repo, f.path[len(top) + 1 :], 0, True))
+                    elif f.type == FileType.File:
+                        rows.append((repo, f.path[len(top) + 1 :], f.size, False))
+                if len(rows) >= LISTED_ROWS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+        yield pd.DataFrame(rows, columns=names)
+
+    folders = repos.distinct().select("repo", F.lit("").alias("file_path"))
+    found = None
+    while True:
+        spread = folders.repartition(spark.sparkContext.defaultParallelism, "repo", "file_path")
+        level = stored(spread.mapInPandas(walk, entry), "listing")
+        files = level.filter("not is_folder").drop("is_folder")
+        found = files if found is None else found.unionByName(files)
+        folders = level.filter("is_folder").select("repo", "file_path")
+        if folders.isEmpty():
+            return found
 
 
 def read_files(files: DataFrame, root: str) -> DataFrame:
-    """Add ``content`` as text to listed files; bad UTF-8 bytes are replaced, unreadable files left out.
+    """Add ``content`` as text to listed files; bad UTF-8 bytes are replaced. A file that cannot be read fails the task.
 
     The listing is stored first. Files are then spread by a hash over tasks of about 128 MB, so one large
     repository is read by many tasks, and a task holds at most 16 MB of texts at a time.
@@ -124,11 +135,8 @@ def read_files(files: DataFrame, root: str) -> DataFrame:
         for batch in batches:
             for row in batch[names].itertuples(index=False, name=None):
                 values = dict(zip(names, row))
-                try:
-                    with system.open_input_stream(f"{base.rstrip('/')}/{values['repo']}/{values['file_path']}") as f:
-                        body = f.read()
-                except OSError:
-                    continue
+                with system.open_input_stream(f"{base.rstrip('/')}/{values['repo']}/{values['file_path']}") as f:
+                    body = f.read()
                 rows.append((*row, body))
                 held += len(body)
                 if held >= BATCH_BYTES:

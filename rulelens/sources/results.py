@@ -32,12 +32,14 @@ PART_RULES = 1000
 def nest(validations: DataFrame, part_rules: int = PART_RULES) -> DataFrame:
     """Validations ``(task_id, rule_idx, rule, evaluation, ...)`` as arrays in rule order.
 
-    A result holds at most ``part_rules`` rules; longer ones come in numbered parts.
+    A result holds at most ``part_rules`` rules; longer ones come in numbered parts. Columns ``related_files`` and
+    ``cross_check`` are nested where the input has them.
     """
+    more = [c for c in ("related_files", "cross_check") if c in validations.columns]
     return (
         validations.withColumn("part", F.floor(F.col("rule_idx") / part_rules))
         .groupBy("task_id", "part")
-        .agg(F.array_sort(F.collect_list(F.struct("rule_idx", "rule", "evaluation"))).alias("validations"))
+        .agg(F.array_sort(F.collect_list(F.struct("rule_idx", "rule", "evaluation", *more))).alias("validations"))
     )
 
 
@@ -71,10 +73,12 @@ def parse(results: DataFrame, column: str = "result") -> DataFrame:
 
 
 def outcomes(finished: DataFrame, finished_at) -> DataFrame:
-    """Rows that set the state of finished runs ``(task_id, result, error)``."""
+    """Rows that set the state of finished runs ``(task_id, result, error)``, for each part of a result."""
     ok = F.col("error").isNull()
+    part = F.col("part") if "part" in finished.columns else F.lit(0).cast("bigint")
     return finished.select(
         "task_id",
+        part.alias("part"),
         F.when(ok, "completed").otherwise("failed").alias("status"),
         F.when(ok, 100).alias("progress"),
         F.when(ok, "Done").alias("progress_message"),
@@ -85,9 +89,12 @@ def outcomes(finished: DataFrame, finished_at) -> DataFrame:
 
 
 def current_state(tasks: DataFrame, outcome_rows: DataFrame) -> DataFrame:
-    """Tasks with their last outcome applied; a completed task loses its partial result."""
-    columns = ["status", "progress", "progress_message", "error", "completed_at"]
-    last = latest_per_key(outcome_rows, ["task_id"], ["completed_at", "status"], columns).select(
+    """Tasks with their last outcome applied; a completed task loses its partial result.
+
+    The first part of a result stands in the task's row; the others stay in the outcome rows, by part.
+    """
+    columns = ["status", "progress", "progress_message", "result", "error", "completed_at"]
+    last = latest_per_key(outcome_rows.filter("part = 0"), ["task_id"], ["completed_at", "status"], columns).select(
         F.col("task_id").alias("id"), *[F.col(c).alias(f"_{c}") for c in columns]
     )
     joined = tasks.join(last, "id", "left")

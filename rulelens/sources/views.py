@@ -108,6 +108,8 @@ def config_requests(spark: SparkSession, folder: str) -> DataFrame:
         "s_suppkey % 23 as max_chunks_per_rule",
         "case s_suppkey % 4 when 0 then null when 1 then 'azure/gpt-4o' when 2 then 'gemini-2.5-flash'"
         " else 'unknown-model' end as llm_model",
+        "case s_suppkey % 5 when 0 then null when 1 then 'azure/gpt-4.1' when 2 then 'no-such' else 'azure/o4-mini' end as llm_primary_model",
+        "case s_suppkey % 6 when 0 then null when 1 then '' else 'azure/gpt-4o' end as llm_secondary_model",
         "s_acctbal as balance",
     )
 
@@ -125,6 +127,8 @@ def repo_configs(spark: SparkSession, folder: str) -> DataFrame:
         "repo_no % 3 <> 0 as pr_evaluation_enabled",
         "1 + repo_no % 20 as max_chunks_per_rule",
         "case when repo_no % 2 = 0 then null else 'azure/gpt-4o' end as llm_model",
+        "case when repo_no % 3 = 0 then 'azure/gpt-4.1' end as llm_primary_model",
+        "case when repo_no % 3 = 1 then 'azure/o4-mini' end as llm_secondary_model",
         "balance",
     )
     columns = [c for c in saved.columns if c not in ("user_id", "repository_full_name")]

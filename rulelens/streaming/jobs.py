@@ -1,8 +1,9 @@
 """Streaming forms of the event operators.
 
 Where an operator is one aggregation, the stream uses the batch function itself: Spark combines
-before the shuffle and keeps the state in the JVM. Watermarks bound the state. Only the admission
-counter and the installation fold need per-key code.
+before the shuffle and keeps the state in the JVM. Watermarks bound the state of everything that is counted by
+time; task states last as long as their tasks, one short row each. Only the admission counter and the
+installation fold need per-key code; they sort the rows of a key in each micro-batch first.
 """
 
 from __future__ import annotations
@@ -22,9 +23,15 @@ DECISION = (
     "event_id bigint, repository_full_name string, pr_number bigint, user_id bigint, "
     "admitted boolean, reason string, eval_no bigint"
 )
+PULL_REQUEST_TTL_MS = 180 * 24 * 3600 * 1000
 INSTALLATION = "installation_id bigint, present boolean, user_id bigint, account_login string"
 
 
+def in_order(rows: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+    """All rows of one key in a micro-batch by time, however they are cut into Arrow batches."""
+    return pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples(index=False)
+
+
 class _Admission(StatefulProcessor):
     """Counts the admitted events of one pull request."""
 
@@ -37,23 +44,22 @@ class _Admission(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         n = self._count.get()[0] if self._count.exists() else 0
-        for batch in rows:
-            out = []
-            for e in batch.sort_values(["ts", "event_id"]).itertuples(index=False):
-                reason, number = None, None
-                if e.existing + n >= e.max_evaluations_per_pr:
-                    reason = "max evaluations reached"
-                elif e.no_rules:
-                    reason = "no rules"
-                else:
-                    n += 1
-                    number = e.existing + n
-                out.append((e.event_id, key[0], key[1], e.user_id, reason is None, reason, number))
-            frame = pd.DataFrame(
-                out,
-                columns=["event_id", "repository_full_name", "pr_number", "user_id", "admitted", "reason", "eval_no"],
-            )
-            yield frame.astype({"eval_no": "Int64"})
+        out = []
+        for e in in_order(rows):
+            reason, number = None, None
+            if e.existing + n >= e.max_evaluations_per_pr:
+                reason = "max evaluations reached"
+            elif e.no_rules:
+                reason = "no rules"
+            else:
+                n += 1
+                number = e.existing + n
+            out.append((e.event_id, key[0], key[1], e.user_id, reason is None, reason, number))
+        frame = pd.DataFrame(
+            out,
+            columns=["event_id", "repository_full_name", "pr_number", "user_id", "admitted", "reason", "eval_no"],
+        )
+        yield frame.astype({"eval_no": "Int64"})
         self._count.update((n,))
 
     def close(self) -> None:
@@ -66,12 +72,13 @@ def admit(
     users: DataFrame,
     configs: DataFrame,
     existing: DataFrame,
-    ttl_ms: int | None = None,
+    ttl_ms: int | None = PULL_REQUEST_TTL_MS,
 ) -> DataFrame:
-    """Decisions for a stream of pull-request events ``(event_id, ts, action, ...)``, in order of arrival.
+    """Decisions for a stream of pull-request events ``(event_id, ts, action, ...)``, by time within a
+    micro-batch and by arrival across them, as decisions are final.
 
     Events dropped for a fixed reason never reach the state. ``existing`` holds the evaluations from
-    before the stream. ``ttl_ms`` forgets pull requests without events for that long.
+    before the stream. Pull requests without events for ``ttl_ms`` are forgotten; None keeps all.
     """
     marked = admission.with_static_reason(events, rules, users, configs)
     fixed = marked.filter(F.col("reason").isNotNull()).select(
@@ -103,27 +110,29 @@ def admit(
 
 
 class _Installation(StatefulProcessor):
-    """Keeps owner and account of one installation."""
+    """Keeps the time of the last removal of one installation, and the installs after it.
+
+    Events may come in any order: an install older than the last removal changes nothing, and a removal
+    drops the installs before it. Of the installs kept the first names the owner, the last the account.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = T.StructType(
-            [T.StructField("user_id", T.LongType()), T.StructField("account_login", T.StringType())]
-        )
+        acts = T.ArrayType(T.StructType([T.StructField("at", T.TimestampType()), T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()), T.StructField("account_login", T.StringType())]))
+        schema = T.StructType([T.StructField("removed_at", T.TimestampType()), T.StructField("removed_id", T.LongType()), T.StructField("installs", acts)])
         self._row = handle.getValueState("installation", schema)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        owner, account = self._row.get() if self._row.exists() else (None, None)
-        for batch in rows:
-            for e in batch.sort_values(["ts", "event_id"]).itertuples(index=False):
-                if e.action in UNINSTALL:
-                    owner, account = None, None
-                else:
-                    owner = int(e.user_id) if owner is None else owner
-                    account = e.account_login
-        if owner is None:
-            self._row.clear()
-        else:
-            self._row.update((owner, account))
+        at, event, installs = self._row.get() if self._row.exists() else (None, None, [])
+        removed = (pd.Timestamp(at), event) if at is not None else None
+        kept = [(pd.Timestamp(a), e, u, name) for a, e, u, name in installs]
+        for e in in_order(rows):
+            if e.action in UNINSTALL:
+                removed = max(removed, (e.ts, e.event_id)) if removed else (e.ts, e.event_id)
+            else:
+                kept.append((e.ts, int(e.event_id), int(e.user_id), e.account_login))
+        kept = sorted(x for x in kept if removed is None or x[:2] > removed)
+        self._row.update((removed[0].to_pydatetime() if removed else None, int(removed[1]) if removed else None, [(x[0].to_pydatetime(), *x[1:]) for x in kept]))
+        owner, account = (kept[0][2], kept[-1][3]) if kept else (None, None)
         out = pd.DataFrame(
             {"installation_id": [key[0]], "present": [owner is not None], "user_id": [owner], "account_login": [account]}
         )

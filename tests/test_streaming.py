@@ -58,6 +58,50 @@ def test_installations(spark, data, tmp_path, rocks):
     assert rows(got) == rows(want)
 
 
+@pytest.fixture()
+def single_rows(spark):
+    """One row per Arrow batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1")
+    yield
+    spark.conf.set(key, before)
+
+
+def test_admission_of_shuffled_single_rows(spark, tmp_path, rocks, single_rows):
+    from test_operators import admission_case
+
+    events, args = admission_case(spark, 25, 30)
+    got = run(jobs.admit(as_stream(events, spark, tmp_path, "late", 3), *args), "append", "admitted_late", spark, tmp_path)
+    want = admission.admit(events, *args)
+    columns = ["event_id", "admitted", "reason", "eval_no"]
+    assert rows(got.select(*columns)) == rows(want.select(*columns)) and got.filter("admitted").count() == 25
+
+
+def test_installations_in_any_order(spark, tmp_path, rocks, single_rows):
+    import datetime as dt
+    import random
+
+    at = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=n)
+    users = spark.createDataFrame([(7, "a"), (8, "b")], "user_id bigint, login string")
+    schema = "event_id bigint, ts timestamp, installation_id bigint, action string, sender_login string, account_login string"
+    acts = [(1, at(10), 1, "created", "a", "x"), (2, at(20), 1, "deleted", "a", "x"), (3, at(5), 2, "created", "b", "y"), (4, at(15), 2, "created", "a", "z")]
+    acts += [(5, at(1), 3, "created", "a", "p"), (6, at(2), 3, "suspend", "a", "p"), (7, at(3), 3, "created", "b", "q"), (8, at(4), 3, "unsuspend", "a", "r")]
+    for seed in range(3):
+        random.Random(seed).shuffle(acts)
+        path = tmp_path / f"in{seed}"
+        for act in acts:  # a micro-batch for each
+            spark.createDataFrame([act], schema).coalesce(1).write.mode("append").parquet(str(path))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 3).parquet(str(path))
+        got = run(jobs.installations(stream, users), "update", f"order{seed}", spark, tmp_path)
+        # the memory sink appends updates: the state is the last row of each installation
+        last = {}
+        for r in got.collect():
+            last[r["installation_id"]] = (r["user_id"], r["account_login"]) if r["present"] else None
+        want = {r["installation_id"]: (r["user_id"], r["account_login"]) for r in admission.installations_after(spark.createDataFrame(acts, schema), users).collect()}
+        assert {k: v for k, v in last.items() if v} == want == {2: (8, "z"), 3: (8, "r")}
+
+
 def test_task_state(spark, data, tmp_path):
     events = views.task_events(spark, data)
     got = run(jobs.task_state(as_stream(events, spark, tmp_path, "te")), "update", "states", spark, tmp_path)
