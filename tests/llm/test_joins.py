@@ -191,6 +191,28 @@ def test_leaks(spark, data):
     assert {(20_002, 0), (None, 1)} <= got
 
 
+def test_leaks_in_a_larger_corpus(spark):
+    """More documents than the directions can hold, and a benchmark of several blocks."""
+    rng = random.Random(4)
+    folder = "/root/testdata/sf0.1"
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id % 3 = 0").collect()]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    items += [(5_000 + k, " ".join(f"{rng.choice('abcdef')}{rng.randrange(3_000)}" for _ in range(40))) for k in range(200)]
+    planted, changed = set(), set()
+    for k, (i, text) in enumerate(items):
+        host = docs[k][1].split()[:600]
+        for first, share, into in ((100_000, 0.0, planted), (200_000, 0.15, changed)):
+            words = [f"x{rng.randrange(99)}" if rng.random() < share else w for w in text.split()]
+            at = rng.randrange(len(host) + 1)
+            docs.append((first + k, " ".join(host[:at] + words + host[at:])))
+            into.add((first + k, i))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.search(frame(spark, docs).repartition(8), bench).collect()}
+    assert planted <= got
+    want = brute_leaks([d for d in docs if d[0] >= 200_000], items) & changed
+    assert len(want) > 200 and len(got & want) >= 0.98 * len(want)
+
+
 def test_leaks_of_nothing(spark, data):
     bench = spark.read.parquet(f"{data}/benchmark.parquet")
     assert decontamination.search(frame(spark, []), bench).collect() == []
