@@ -65,11 +65,29 @@ _GIVEN = {name.casefold(): (group, i) for group, names in GIVEN.items() for i, n
 _GENDER = {t.casefold(): g for g, titles in TITLES.items() for t in titles}
 
 _NAME = r"[^\W\d_]+(?:[-’'][^\W\d_]+)*"
+#: International and national forms. National ones without parentheses need separators that neither dates, grouped
+#: thousands nor card numbers have, and no further number beside them.
+_ALONE, _ENDS = r"(?<![\w.,+-])(?<!\d\d\x20)", r"(?!\w|[.,-]\d|\x20\d\d)"
+_DATE = r"0?\d[\x20./-]\d{1,2}[\x20./-](?:19|20)\d\d(?!\d)"
+_PHONES = (
+    r"(?<![\w+])\+?\d{1,3}[\x20.-]?\(\d{2,4}\)[\x20.-]?(?:\d{3,4}[\x20.-]?\d{3,4}|\d{3}[\x20-]\d\d[\x20-]\d\d)(?!\w)",
+    r"(?<![\w+])\+\d(?:[\x20./()-]{0,2}\d){7,14}(?!\w)",
+    r"(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
+    # (555) 123-4567, (495) 123-45-67, (030) 1234567
+    r"(?<![\w+)])\([2-9]\d\d\)[\x20.-]?(?:\d{3}[\x20.-]?\d{4}|\d{3}[\x20-]\d\d[\x20-]\d\d)(?!\w|[.,-]\d)",
+    r"(?<![\w+)])\(0\d{1,4}\)[\x20./-]{0,2}\d{2,4}(?:[\x20.-]?\d{2,4}){1,3}(?!\w|[.,-]\d)",
+    # 555 123 4567, 1 555 123 4567, 1-555-123-4567
+    rf"{_ALONE}(?:1[\x20.-])?[2-9]\d\d[\x20.-]\d{{3}}[\x20.-]\d{{4}}{_ENDS}",
+    # 0171 1234567, 089/123456, 020 7946 0958, 01 23 45 67 89, 0049 30 1234567: 9 to 12 digits, after 00 to 15
+    rf"{_ALONE}(?!{_DATE})(?=0[1-9](?:[\x20./-]?\d){{7,10}}(?![\x20./-]?\d)|00[1-9](?:[\x20./-]?\d){{7,12}}(?![\x20./-]?\d))0\d{{1,5}}[\x20./-]\d{{2,}}(?:[\x20./-]\d{{2,}})*{_ENDS}",
+    # 91 123 45 67, 612 34 56 78, 8 800 555 35 35, 8 495 123-45-67
+    rf"{_ALONE}(?:[6-9]\d\x20\d{{3}}\x20\d\d\x20\d\d|[6-9]\d\d\x20\d\d\x20\d\d\x20\d\d|8[\x20-]\d{{3}}[\x20-]\d{{3}}[\x20-]\d\d[\x20-]\d\d){_ENDS}",
+)
 _PATTERNS = {
     "email": r"[\w.%+-]*\w@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}",
     "iban": r"(?<![^\W_])[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![^\W_])",
     "ip": r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)",
-    "phone": r"(?<![\w+])\+?\d{1,3}[\x20.-]?\(\d{2,4}\)[\x20.-]?\d{3,4}[\x20.-]?\d{3,4}(?!\w)|(?<![\w+])\+\d(?:[\x20./()-]{0,2}\d){7,14}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
+    "phone": "|".join(_PHONES),
     "card": r"(?<![^\W_]|\.)\d(?:[\x20-]?\d){12,18}(?![^\W_])",
 }
 _ANY = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in _PATTERNS.items()))

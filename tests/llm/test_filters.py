@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from datetime import date, timedelta
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 from rulelens.llm import line_quality, secret_ledger, surrogates, url_lists
@@ -280,6 +281,32 @@ def test_detection():
     assert kinds[10:] == [[]] * (len(kinds) - 10)
 
 
+PHONES = [
+    "(555) 123-4567", "(555)123-4567", "(555) 123 4567", "555 123 4567", "555-123-4567", "1 555 123 4567", "1-555-123-4567", "+1 555 123 4567", "0171 1234567", "0555 123456",
+    "089/1234567", "030-12345678", "020 7946 0958", "07700 900123", "01 23 45 67 89", "01.23.45.67.89", "0049 30 1234567", "(030) 1234567", "(0171) 123 45 67", "91 123 45 67",
+    "612 34 56 78", "8 800 555 35 35", "8 (495) 123-45-67", "(495) 123-45-67", "+49 (0) 30 1234567",
+]
+NO_PHONES = [
+    "on 01-02-2024 and 01.02.2024 or 01/02/2024 or 01 02 2024", "sold 612 345 678 of 1 234 567 890 pieces", "rows 100 200 3000 and 2024 555 123 4567 89", "see (2019) 1234-1240 and (12) 2019-2020",
+    "0.12345678 and 0,123 456", "f(555) 12", "5551234567 and 017112345678", "2024-01-02 10:30:00", "007 and 0815", "id 0001-0002-0003-0004-0005-0006", "3.141 592 6535",
+]
+
+
+def test_national_phones():
+    p = surrogates.Permutation(KEY)
+    for number in PHONES:
+        for text in (number, f"call {number}, or write", f"Tel.: {number}.", f"{number}; {number}\n{number}"):
+            found = surrogates.detect(text)
+            assert found and {k for k, *_ in found} == {"phone"} and {text[a:b] for _, a, b, _ in found} == {number}, (text, found)
+            new = surrogates.rewrite(text, p, {})[0]
+            assert number not in new and re.sub(r"\d", "9", new) == re.sub(r"\d", "9", text)
+            assert surrogates._hinted(pa.array([text])) == [True]
+    for text in NO_PHONES:
+        assert not [e for e in surrogates.detect(text) if e[0] == "phone"], text
+    for card in ("4111 1111 1111 1111", "4111-1111-1111-1111", "3782 822463 10005", "0123 4567 8901 2345"):
+        assert [e[0] for e in surrogates.detect(f"card {card}.")] == ["card"]
+
+
 def test_following_is_one_to_one_without_fixed_points():
     p = surrogates.Permutation(KEY)
     for n in (2, 3, 10, 97, 1000):
