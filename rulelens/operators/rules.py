@@ -86,6 +86,12 @@ def rule_lists(rules: DataFrame, part_rules: int = RULE_PART) -> DataFrame:
     return full.unionByName(empty)
 
 
+def whole_lists(rules: DataFrame) -> DataFrame:
+    """Per list all enabled texts in order, in one row; the parts of :func:`rule_lists` put together."""
+    parts = F.array_sort(F.collect_list(F.struct("part", "rules")))
+    return rule_lists(rules).groupBy("user_id", "repository_full_name").agg(F.flatten(parts["rules"]).alias("rules"))
+
+
 def with_rules(requests: DataFrame, rules: DataFrame) -> DataFrame:
     """New tasks with their rule list, a row for each part; a request without any rule gives no task."""
     return requests.join(rule_lists(rules), ["user_id", "repository_full_name"])

@@ -258,8 +258,8 @@ def f8_task_summary(spark, folder):
 
 @query
 def f8_task_detail(spark, folder):
-    lists = rules.rule_lists(views.rules(spark, folder)).filter("part = 0")  # the first part stands in the task's row
-    listed = _with_results(views.tasks(spark, folder)).join(lists.drop("part"), ["user_id", "repository_full_name"], "left")
+    lists = rules.whole_lists(views.rules(spark, folder))
+    listed = _with_results(views.tasks(spark, folder)).join(lists, ["user_id", "repository_full_name"], "left")
     return nullable(tasks.detail(listed), "pr_number").withColumns(
         {"progress": F.col("progress").cast("bigint"), "rules": F.nullif(F.array_join("rules", "|"), F.lit(""))}
     )

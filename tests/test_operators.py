@@ -556,3 +556,18 @@ def test_branch_per_query(spark):
     q = spark.createDataFrame([(1, "c", "p1", [1.0, 0.0]), (2, "c", "p2", [1.0, 0.0]), (3, "c", None, [1.0, 0.0])], "query_id bigint, collection_name string, pr_branch string, query_vec array<float>")
     got = {(r.query_id, r.source): r.branch for r in search.search(c, q, k=5, threshold=0.0).collect()}
     assert got == {(1, "s0"): "p1", (1, "s1"): "p1", (2, "s0"): "p2", (2, "s1"): "p2", (3, "s0"): "", (3, "s1"): ""}
+
+
+def test_task_detail_holds_the_whole_rule_list(spark, data, monkeypatch):
+    one = views.tasks(spark, data).filter("user_id is not null").limit(1).localCheckpoint()
+    own = one.select("user_id", "repository_full_name").first()
+    n = 2 * rules.RULE_PART + 500
+    listed = spark.range(n).select(
+        F.col("id"), F.lit(own["user_id"]).alias("user_id"), F.lit(own["repository_full_name"]).alias("repository_full_name"),
+        F.format_string("rule %s", "id").alias("rule_text"), (n - F.col("id")).alias("position"), F.lit(None).cast("boolean").alias("enabled"),
+        F.expr("timestamp_ntz'2020-01-01 00:00:00'").alias("created_at"),
+    )
+    monkeypatch.setattr(catalog.views, "tasks", lambda *_: one)
+    monkeypatch.setattr(catalog.views, "rules", lambda *_: listed)
+    (got,) = catalog.QUERIES["f8_task_detail"](spark, data).collect()
+    assert got["rules"] == "|".join(f"rule {k}" for k in reversed(range(n)))
