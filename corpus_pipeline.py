@@ -21,7 +21,7 @@ from rulelens.session import stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_quality.clean(docs, chars_col="n_chars")
+    return line_quality.clean(docs, chars_col="n_chars", whole=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,9 @@ from datetime import date, timedelta
 import duckdb
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from rulelens.llm import line_quality, secret_ledger, surrogates, url_lists
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -95,6 +97,30 @@ def test_quality_cleans(spark, data):
     assert sorted(((r["doc_id"], r["text"], r["source"]) for r in kept.collect()), key=repr) == sorted(expected, key=repr)
 
 
+def test_boilerplate_does_not_make_documents_one(spark, data):
+    rng = random.Random(8)
+    menu = [f"menu entry {''.join(rng.choice('abcdefgh') for _ in range(6))}" for _ in range(30)]
+    own = lambda n: " ".join("".join(rng.choice("klmnopqrst") for _ in range(6)) for _ in range(n))
+    rows = [(k, "\n".join([*menu, own(25), own(25), own(25)]), "many") for k in range(500)]
+    rows += [(1000 + k, "\n".join([*menu[:20], own(70)]), "few") for k in range(60)]
+    rows += [(2000 + k, "\n".join([*menu, own(15), own(10)]), "depleted") for k in range(200)]
+    base = [own(12).split() for _ in range(40)]
+    for k in range(300):  # near copies of one document: a word changed in two lines
+        lines = [list(line) for line in base]
+        for line in rng.sample(lines, 2):
+            line[rng.randrange(12)] = own(1)
+        rows.append((3000 + k, "\n".join(" ".join(line) for line in lines), "near"))
+    rows += [(4000 + k, "\n".join(" ".join(line) for line in base), "near") for k in range(300)]
+    got = {r["doc_id"]: (r["n_removed_words"], r["kept"]) for r in line_quality.judge(frame(spark, rows), whole=True).collect()}
+    assert {got[k] for k in range(500)} == {(90, False)}
+    assert {got[1000 + k] for k in range(60)} == {(60, True)}
+    assert {got[2000 + k] for k in range(200)} == {(90, False)}
+    assert {got[i] for i, _, host in rows if host == "near"} == {(0, True)}
+    kept = {r["doc_id"]: r["text"] for r in dict(corpus_pipeline.STAGES)["quality_rules"](spark, frame(spark, rows).withColumn("n_chars", F.lit(0)), data).collect()}
+    assert set(kept) == {i for i, _, host in rows if host in ("few", "near")}
+    assert all("menu entry" not in kept[1000 + k] for k in range(60))
+
+
 # ---------------------------------------------------------------- URL lists
 
 
