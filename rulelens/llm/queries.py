@@ -14,6 +14,7 @@ from rulelens.llm import (
     lm_scoring,
     packing,
     secret_ledger,
+    sharding,
     surrogates,
     token_counts,
     token_stream,
@@ -111,3 +112,12 @@ def op9_packed_windows(spark, folder):
 def op10_token_stream(spark, folder):
     """All documents written as Arrow stream files and read back."""
     return token_stream.round_trip(table(spark, folder, "documents"), tokenizer("word_bpe_49k.json"), END_ID)
+
+
+SHARDS = 16
+
+
+@query
+def op11_jump_shards(spark, folder):
+    """All documents written into shards by jump consistent hashing and read back."""
+    return sharding.digests(table(spark, folder, "documents"), SHARDS)
