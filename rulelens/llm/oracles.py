@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from rulelens.llm import lexical_search as ls
 from rulelens.llm import line_quality as lq
 from rulelens.llm.secret_ledger import BASE, RULES
 from rulelens.llm.url_lists import ENTRY_RULES
@@ -11,6 +12,7 @@ def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
+UPPER, TERM = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BLANK, NOT_BLANK = r"[\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]"
 
 LINE_QUALITY = f"""
@@ -111,4 +113,22 @@ FROM d LEFT JOIN joined USING (r)
 """
 
 
-ORACLES = {"op2_url_lists": _url_lists(), "op3_line_quality": LINE_QUALITY, "op8_secret_ledger": _secrets()}
+def _search() -> str:
+    terms = rf"[x for x in regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '{TERM}') if x <> '']"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {terms} AS ts FROM documents),
+sizes AS (SELECT count(*) AS n, CAST(sum(len(ts)) AS BIGINT) AS l FROM d WHERE len(ts) > 0),
+asked AS (SELECT q, item_id, unnest(list_distinct(ts)) AS t FROM (SELECT row_number() OVER () AS q, item_id, {terms} AS ts FROM (SELECT DISTINCT item_id, text FROM benchmark))),
+counts AS (SELECT r, n, t, count(*) AS tf FROM (SELECT r, len(ts) AS n, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM asked) GROUP BY ALL),
+weights AS (SELECT t, CAST(floor(1000 * ln((2 * (SELECT n FROM sizes) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counts GROUP BY t),
+gains AS (
+  SELECT r, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * counts.n * sizes.n) // sizes.l))) AS g
+  FROM counts JOIN weights USING (t) CROSS JOIN sizes
+),
+scores AS (SELECT q, item_id, r, CAST(sum(g) AS BIGINT) AS score FROM asked JOIN gains USING (t) GROUP BY ALL HAVING sum(g) > 0),
+ranked AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank FROM scores JOIN d USING (r))
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= {ls.TOP}
+"""
+
+
+ORACLES = {"op2_url_lists": _url_lists(), "op3_line_quality": LINE_QUALITY, "op8_secret_ledger": _secrets(), "op12_hybrid_search": _search()}

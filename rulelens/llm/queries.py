@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rulelens.llm import (
     decontamination,
     jaccard_join,
+    lexical_search,
     line_quality,
     lm_scoring,
     packing,
@@ -121,3 +122,9 @@ SHARDS = 16
 def op11_jump_shards(spark, folder):
     """All documents written into shards by jump consistent hashing and read back."""
     return sharding.digests(table(spark, folder, "documents"), SHARDS)
+
+
+@query
+def op12_hybrid_search(spark, folder):
+    """The ten best of all documents for each benchmark item."""
+    return lexical_search.search(lexical_search.build_index(table(spark, folder, "documents")), table(spark, folder, "benchmark"))
