@@ -131,4 +131,28 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE r
 """
 
 
-ORACLES = {"op2_url_lists": _url_lists(), "op3_line_quality": LINE_QUALITY, "op8_secret_ledger": _secrets(), "op12_hybrid_search": _search()}
+def _trie() -> str:
+    """CRC-32 bit by bit (its reversed polynomial is 3988292384); nodes are compared as lists of turns."""
+    step = "list_reduce([xor(a, b)] || [CAST(0 AS BIGINT) for i in range(8)], lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)"
+    return f"""
+WITH t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list({{'role': role, 'x': x}} ORDER BY turn NULLS FIRST, md5(strlen(role) || ':' || role || x)) AS ts FROM t GROUP BY c),
+bytes AS (SELECT c, ts, [CAST(4294967295 AS BIGINT)] || [CAST(ascii(d) AS BIGINT) for d in string_split(CAST(c AS VARCHAR), '')] AS b FROM own),
+n AS (SELECT c, ts, c - c % 100 AS base, xor(list_reduce(b, lambda a, b: {step}), 4294967295) % 6 AS h FROM bytes),
+rebuilt AS (SELECT n.c, coalesce(own.ts[1:h], []) || n.ts[h + 1:] AS ts FROM n LEFT JOIN own ON n.base = own.c),
+prefixes AS (SELECT c, d, ts[1:d] AS p, len(ts) = d AS ends FROM (SELECT c, ts, unnest(range(len(ts) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY p, d
+),
+edges AS (SELECT child.p, child.conv_id, parent.p AS above, parent.conv_id AS parent_conv_id FROM nodes child JOIN nodes parent ON child.d > 0 AND parent.d = child.d - 1 AND child.p[1:child.d - 1] = parent.p),
+children AS (SELECT above AS p, count(*) AS n_children FROM edges GROUP BY above),
+measured AS (SELECT nodes.p, d, (n_convs - 1) * coalesce(length(nodes.p[d].x), 0) AS saving, CASE WHEN n_children IS NULL THEN 1 ELSE 0 END AS leaf FROM nodes LEFT JOIN children ON nodes.p = children.p),
+sums AS (SELECT p, sum(leaf) AS n_leaves, sum(saving) AS saved_tokens FROM (SELECT m.p[1:k] AS p, leaf, saving FROM (SELECT *, unnest(range(d + 1)) AS k FROM measured) m) GROUP BY p)
+SELECT nodes.conv_id, nodes.d AS depth, edges.parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children,
+  CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM nodes JOIN sums ON nodes.p = sums.p LEFT JOIN children ON nodes.p = children.p LEFT JOIN edges ON nodes.p = edges.p
+"""
+
+
+ORACLES = {"op2_url_lists": _url_lists(), "op3_line_quality": LINE_QUALITY, "op8_secret_ledger": _secrets(), "op12_hybrid_search": _search(), "op13_conversation_trie": _trie()}

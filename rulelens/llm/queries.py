@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulelens.llm import (
+    conversation_trie,
     decontamination,
     jaccard_join,
     lexical_search,
@@ -22,6 +23,7 @@ from rulelens.llm import (
     url_lists,
 )
 from rulelens.llm.oracles import ORACLES
+from rulelens.session import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 LLM_QUERIES: dict[str, Query] = {}
@@ -128,3 +130,18 @@ def op11_jump_shards(spark, folder):
 def op12_hybrid_search(spark, folder):
     """The ten best of all documents for each benchmark item."""
     return lexical_search.search(lexical_search.build_index(table(spark, folder, "documents")), table(spark, folder, "benchmark"))
+
+
+def rebuilt(turns: DataFrame) -> DataFrame:
+    """All conversations with the first turns of their hundred's first conversation in place of their own."""
+    own = stored(conversation_trie.sequences(turns), "sequences")
+    heads = own.filter("conv_id % 100 = 0").select(F.col("conv_id").alias("base"), F.slice("turns", 1, 5).alias("head"))
+    n = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6).cast("int")
+    joined = own.withColumn("base", F.col("conv_id") - F.col("conv_id") % 100).join(heads, "base", "left").withColumn("n", n)
+    return joined.select("conv_id", F.expr("concat(slice(coalesce(head, array()), 1, n), slice(turns, n + 1, size(turns)))").alias("turns"))
+
+
+@query
+def op13_conversation_trie(spark, folder):
+    """The prefix trie of all rebuilt conversations."""
+    return conversation_trie.nodes(rebuilt(table(spark, folder, "conversations")))
