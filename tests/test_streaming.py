@@ -36,8 +36,10 @@ def rocks(spark):
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")  # a state store each, opened and written in every micro-batch
     yield
     spark.conf.set(key, before)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
 
 
 def test_admission(spark, data, tmp_path, rocks):
@@ -102,7 +104,91 @@ def test_installations_in_any_order(spark, tmp_path, rocks, single_rows):
         assert {k: v for k, v in last.items() if v} == want == {2: (8, "z"), 3: (8, "r")}
 
 
-def test_task_state(spark, data, tmp_path):
+def by_file(spark, path, schema, batches):
+    """A stream that reads one file a micro-batch, in the order given."""
+    for n, batch in enumerate(batches):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(path))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(path))
+
+
+def kept_rows(name, stream, mode, tmp_path):
+    """(output rows, rows of state after the last micro-batch)."""
+    query = (
+        stream.writeStream.outputMode(mode).format("memory").queryName(name)
+        .option("checkpointLocation", str(tmp_path / f"cp-{name}")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    progress = [p for p in query.recentProgress if p.stateOperators]
+    return stream.sparkSession.table(name).collect(), progress[-1].stateOperators[0].numRowsTotal
+
+
+DAY = 24 * 3600 * 1000
+
+
+def day(n):
+    import datetime as dt
+
+    return dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+
+
+def test_old_pull_requests_leave_the_state(spark, tmp_path, rocks):
+    from test_operators import admission_case
+
+    _, args = admission_case(spark, 2, 0)
+    schema = "event_id bigint, ts timestamp, action string, repository_full_name string, pr_number bigint"
+
+    def event(i, at, pr):
+        return (i, day(at), "opened", "o/r", pr)
+
+    batches = [[event(1, 0, 1), event(2, 0.1, 1), event(3, 0.2, 1)], [event(4, 5, 2)], [event(5, 20, 2)], [event(6, 21, 1)], [event(7, 2, 3)]]
+    stream = jobs.admit(by_file(spark, tmp_path / "prs", schema, batches), *args, ttl_ms=10 * DAY, late="1 day")
+    got, held = kept_rows("prs", stream, "append", tmp_path)
+    assert {r["event_id"]: r["eval_no"] for r in got} == {
+        1: 1, 2: 2, 3: None,  # the cap
+        4: 1, 5: 2,  # a quiet pull request is kept for ten days behind the watermark
+        6: 1,  # forgotten on day 11.2, it counts anew
+    }  # event 7 is behind the watermark
+    only_old = [[event(1, 0, 1)], [event(2, 1, 2)], [event(3, 40, 3)], [event(4, 41, 3)]]
+    stream = jobs.admit(by_file(spark, tmp_path / "old", schema, only_old), *args, ttl_ms=10 * DAY, late="1 day")
+    _, left = kept_rows("old", stream, "append", tmp_path)
+    assert left < held  # a single pull request
+
+
+def test_ended_tasks_leave_the_state(spark, tmp_path, rocks):
+    schema = "event_id bigint, task_id bigint, type string, progress int, message string, ts timestamp"
+
+    def event(i, task, kind, at, progress=None):
+        return (i, task, kind, progress, None, day(at))
+
+    batches = [
+        [event(1, 1, "task_progress", 0, 10), event(2, 2, "task_progress", 0, 5), event(3, 3, "task_progress", 0, 1)],
+        [event(4, 1, "task_completed", 1), event(5, 2, "task_progress", 1, 50)],
+        [event(6, 3, "task_progress", 6, 2)],  # task 1 ended, tasks 2 and 3 go on
+        [event(7, 2, "task_progress", 7, 60), event(8, 1, "task_progress", 7, 1)],  # task 1 begins anew
+        [event(9, 2, "task_failed", 2)],  # behind the watermark
+    ]
+    stream = jobs.task_state(by_file(spark, tmp_path / "te", schema, batches), ended_ms=DAY, quiet_ms=30 * DAY, late="1 day")
+    got, _ = kept_rows("ended", stream, "update", tmp_path)
+    last = {}
+    for r in got:
+        last[r["task_id"]] = (r["status"], r["progress"], r["events"])
+    assert last == {1: ("running", 1, 1), 2: ("running", 60, 3), 3: ("running", 2, 2)}
+    sizes = []
+    for n, kind in enumerate(("task_completed", "task_progress")):
+        batches = [[event(k, k, kind, 0) for k in range(50)], [event(99, 99, "task_progress", 9)], [event(100, 99, "task_progress", 10)]]
+        stream = jobs.task_state(by_file(spark, tmp_path / f"t{n}", schema, batches), ended_ms=DAY, quiet_ms=30 * DAY, late="1 day")
+        sizes.append(kept_rows(f"sizes{n}", stream, "update", tmp_path)[1])
+    assert 50 * sizes[0] < 2 * sizes[1]
+
+
+def test_task_state_in_any_order(spark, data, tmp_path, rocks, single_rows):
+    events = views.task_events(spark, data).filter("event_id < 60")
+    stream = jobs.task_state(as_stream(events.orderBy("message"), spark, tmp_path, "any", 3), late="9999 days")
+    last = {r["task_id"]: tuple(r) for r in run(stream, "update", "any", spark, tmp_path).collect()}
+    assert sorted(last.values(), key=repr) == rows(admission.task_state(events))
+
+
+def test_task_state(spark, data, tmp_path, rocks):
     events = views.task_events(spark, data)
     got = run(jobs.task_state(as_stream(events, spark, tmp_path, "te")), "update", "states", spark, tmp_path)
     assert rows(got) == rows(admission.task_state(events))
