@@ -156,8 +156,8 @@ def update_index(
 
     ``removed(collection_name, branch, source)`` and ``added`` are the change; ``vector_table.apply`` writes it without touching
     other parts of the table. ``chunks`` is the whole index after it, with all columns of ``stored_chunks``. New chunks are
-    embedded if ``embed`` is given or the index holds vectors, and stored before any hash is given out: ``hashes`` names
-    a new or changed file only after its chunks were written.
+    embedded if ``embed`` is given or the index holds vectors. ``hashes`` are those that hold once the change is applied;
+    ``plans.index_commit`` applies it and names only hashes whose chunks the table holds.
     """
     hashes = file_hashes(files)
     present = stored_chunks.filter(F.col("branch") == "").select(F.col("repo_name").alias("repo")).distinct()
@@ -176,8 +176,11 @@ def update_index(
     added = stored(added, "added")
     key = collection_key(F.col("repo"), F.lit(model), F.lit(strategy)).alias("collection_name")
     if delta is None:
-        gone = changes.filter(F.col("change").isin("changed", "deleted"))
-        removed = gone.select(key, F.lit("").alias("branch"), F.col("file_path").alias("source"))
+        gone = changes.filter(F.col("change").isin("changed", "deleted")).select(*FILE)
+        # what a broken update left behind: chunks of files that no hash names
+        main_layer = stored_chunks.filter(F.col("branch") == "").select(F.col("repo_name").alias("repo"), F.col("source").alias("file_path")).distinct()
+        left = main_layer.join(files.select("repo").distinct(), "repo", "left_semi").join(changes.filter("change = 'unchanged'"), FILE, "left_anti")
+        removed = gone.union(left).distinct().select(key, F.lit("").alias("branch"), F.col("file_path").alias("source"))
     else:
         of = files.select("repo").distinct().select(key)
         layer = stored_chunks.filter(F.col("branch") == branch).join(of, "collection_name", "left_semi")

@@ -28,10 +28,11 @@ from rulelens.operators import (
     search,
     tasks,
 )
-from rulelens.plans import validate
-from rulelens.session import scratch_dir, stored
+from rulelens.plans import index_commit, validate
+from rulelens.plans.answers import Models
+from rulelens.session import run_dir, stored
 from rulelens.sources import files as file_source
-from rulelens.sources import results, vector_table, views, webhooks
+from rulelens.sources import hash_log, results, vector_table, views, webhooks
 from rulelens.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,7 +94,7 @@ def s3_rule_scan(spark, folder):
 @query
 def s4_vector_table(spark, folder):
     """The chunk table written by partition and the main layer read back."""
-    path = f"{scratch_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/chunks-{uuid.uuid4().hex}"
     vector_table.write_partitions(views.chunk_vectors(spark, folder), path)
     main = vector_table.read(spark, path, branches=[""])
     return main.select(
@@ -127,7 +128,7 @@ def s6_rule_export(spark, folder):
 @query
 def s7_webhook_payloads(spark, folder):
     """Pull-request events written as payload files and read with the payload schema."""
-    path = f"{scratch_dir(spark)}/payloads-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/payloads-{uuid.uuid4().hex}"
     payloads(views.pr_events(spark, folder)).write.json(path)
     return webhooks.pull_requests(webhooks.read_payloads(spark, path))
 
@@ -940,26 +941,44 @@ def x6_truncate(spark, folder):
     )
 
 
-def offline_evaluator(texts):
+def digest_evaluator(salt: str = ""):
     """Stands in for a model: the verdict follows from a digest of the prompt."""
-    out = []
-    for t in texts:
-        digest = int(hashlib.md5(t.encode()).hexdigest()[:8], 16)
-        verdict = ("pass", "partial", "fail")[digest % 3]
-        out.append('{"verdict": "%s", "explanation": "Digest %d. Offline.", "suggestions": []}' % (verdict, digest))
-    return out
 
+    def evaluate(texts):
+        out = []
+        for t in texts:
+            digest = int(hashlib.md5((salt + t).encode()).hexdigest()[:8], 16)
+            verdict = ("pass", "partial", "fail")[digest % 3]
+            out.append('{"verdict": "%s", "explanation": "Digest %d. Offline.", "suggestions": []}' % (verdict, digest))
+        return out
 
-def whole_check(spark, folder) -> validate.Check:
+    return evaluate
+
+
+offline_evaluator = digest_evaluator()
+#: Models that differ from one another, by name.
+MODELS = Models({name: digest_evaluator(name) for name in ("small", "large", "second", "judge")}, "small", "second", "judge")
+
+
+def whole_check(spark, folder, models=offline_evaluator, configs=None, chunker=validate.default_chunker, ledger=None) -> validate.Check:
     """The full pipeline over the documents of every source, with all enabled rules of its repository."""
     files = views.current_files(spark, folder)
-    chunks = validate.index_files(files, views.MODEL, views.STRATEGY)
+    chunks = validate.index_files(files, views.MODEL, views.STRATEGY, chunker=chunker)
     asked = rules.enabled_rules(views.rules(spark, folder)).selectExpr(
         "id as query_id", "repo_no as task_id", "rule_idx", "concat('src', repo_no) as repo",
         "concat('https://github.com/', repository_full_name, '.git') as url", "rule_text",
     )
     return validate.check_rules(
-        files, chunks, asked, offline_evaluator, views.MODEL, views.STRATEGY, k=search.TOP_K, threshold=0.0
+        files, chunks, asked, models, views.MODEL, views.STRATEGY, k=search.TOP_K, threshold=0.0, configs=configs, ledger=ledger
+    )
+
+
+def _model_configs(spark, folder) -> DataFrame:
+    """Every third repository has a model of its own, every third one a second opinion."""
+    return views.current_files(spark, folder).select("repo").distinct().selectExpr(
+        "repo", "case when cast(substr(repo, 4) as int) % 3 = 0 then 'large' end as llm_model",
+        "cast(substr(repo, 4) as int) % 3 = 1 as enable_cross_check",
+        "case when cast(substr(repo, 4) as int) % 2 = 0 then 0.5d end as approval_threshold",
     )
 
 
@@ -1199,7 +1218,7 @@ def d7_branch_twice(spark, folder):
 @query
 def d7_branch_removed(spark, folder):
     """The index table after the layer of a branch was written to it and removed again."""
-    path = f"{scratch_dir(spark)}/index-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/index-{uuid.uuid4().hex}"
     before = _stored_index(views.stored_files(spark, folder))
     vector_table.write_partitions(before, path)
     update = indexing.update_index(
@@ -1243,6 +1262,55 @@ def d10_whole_check(spark, folder):
     return validate.report(whole_check(spark, folder))
 
 
+@query
+def d10_configured_check(spark, folder):
+    """The whole check with models, second opinions and thresholds of the repositories' own."""
+    check = whole_check(spark, folder, MODELS, _model_configs(spark, folder), ledger=f"{run_dir(spark)}/answers-{uuid.uuid4().hex}")
+    log = [F.col(f"cross_check.{c}").alias(c) for c in ("primary_verdict", "secondary_verdict", "agreement", "discriminator_used", "discriminator_model")]
+    return check.evaluated.join(check.scored.select("task_id", "score", "approval_threshold", "approved"), "task_id").select(
+        "query_id", "task_id", F.col("rule_idx").cast("bigint").alias("rule_idx"), "verdict", "explanation", "llm_provider", "tokens_used", *log,
+        F.round("score", 6).alias("score"), "approval_threshold", "approved",
+    )
+
+
+@query
+def d10_result_documents(spark, folder):
+    """The results of the configured check, written as JSON documents and read again."""
+    check = whole_check(spark, folder, MODELS, _model_configs(spark, folder))
+    parsed = results.parse(validate.result_documents(check, views.MODEL, views.STRATEGY))
+    rows = parsed.select("task_id", "part", F.posexplode("parsed.validations").alias("place", "v"))
+    return rows.select(
+        "task_id", "part", F.col("place").cast("bigint").alias("place"), F.md5("v.rule").alias("rule_md5"), "v.evaluation.verdict", "v.evaluation.tokens_used",
+        F.coalesce("v.cross_check.agreement", F.lit(True)).alias("agreement"),
+        F.size("v.related_files").cast("bigint").alias("files"),
+        F.aggregate("v.related_files", F.lit(0).cast("bigint"), lambda n, f: n + F.length(f["file_content"])).alias("chars"),
+    )
+
+
+@query
+def e3_second_chunker(spark, folder):
+    """The whole check over windows of another size than the default."""
+    check = whole_check(spark, folder, chunker=lambda files: chunking.chunk_windows(files, 2000, 200))
+    return check.hits.groupBy("query_id", "source").agg(F.count("*").alias("hits"), F.round(F.max("similarity"), 4).alias("relevance_score"))
+
+
+@query
+def e4_index_commit(spark, folder):
+    """Chunk table and hash log after a full index of the stored snapshot and an update to the current one, both with vectors."""
+    root = f"{run_dir(spark)}/index-{uuid.uuid4().hex}"
+    embed = vectors.hash_embedder(views.EMBEDDING_DIMS)
+    first, now = views.stored_files(spark, folder), views.current_files(spark, folder)
+    nothing = search.embed_texts(indexing.unique_chunks(indexing.to_chunks(first.limit(0), chunking.chunk_windows, views.MODEL, views.STRATEGY)), "content", embed=embed)
+    index_commit.create(nothing, f"{root}/chunks")
+    for files in (first, now):
+        index_commit.commit(spark, files, f"{root}/chunks", f"{root}/hashes", views.MODEL, views.STRATEGY, chunking.chunk_windows, embed=embed)
+    held = vector_table.read(spark, f"{root}/chunks").groupBy(F.col("repo_name").alias("repo"), F.col("source").alias("file_path")).agg(
+        F.count("*").alias("chunks"), F.count("embedding").alias("vectors")
+    )
+    named = hash_log.read(spark, f"{root}/hashes").join(held, ["repo", "file_path"], "full_outer")
+    return named.select("repo", "file_path", "content_hash", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("vectors", F.lit(0)).alias("vectors"))
+
+
 @query
 def d11_cross_check(spark, folder):
     return _reconciled(spark, folder).groupBy(

@@ -423,6 +423,51 @@ _PARSED = "regexp_replace(regexp_replace(trimmed, '^```(?:json)?\\s*', ''), '\\s
 _LAST_NL = "length({0}) - length(string_split({0}, chr(10))[-1]) - 1"
 _HOUR10 = "time_bucket(interval 10 second, ts)"
 
+def _adjudication(rule: str, first: str, first_text: str, second: str, second_text: str) -> str:
+    """The adjudication prompt as SQL."""
+    values = {"rule": rule, "primary_verdict": first, "primary_explanation": first_text, "secondary_verdict": second, "secondary_explanation": second_text}
+    parts = re.split(r"\{(\w+)\}", ADJUDICATION)
+    return f"concat({', '.join(values[p] if i % 2 else _literal(p) for i, p in enumerate(parts))})"
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _digest(salt: str, prompt: str) -> str:
+    """What ``catalog.digest_evaluator`` makes of a prompt."""
+    return f"cast(('0x' || substr(md5(concat({salt}, {prompt})), 1, 8)) as bigint)"
+
+
+def _answer(digest: str) -> str:
+    return f"['pass', 'partial', 'fail'][{digest} % 3 + 1]"
+
+
+def _said(digest: str) -> str:
+    return f"concat('Digest ', {digest}, '. Offline.')"
+
+
+#: The search of the whole check over windows of another size.
+_SEARCHED = ("doc_pieces", "doc_features", "doc_vectors", "doc_norms", "doc_pairs", "doc_hits")
+VIEWS |= {
+    f"{name}_wide": re.sub(rf"\b({'|'.join(_SEARCHED)})\b", r"\1_wide", VIEWS[name].replace(_windows("current_files", 1000, 100), _windows("current_files", 2000, 200)))
+    for name in _SEARCHED
+}
+
+#: The answers of the configured check: the model in force, the second one, and the judge where both differ.
+_CONFIGURED = f"""
+  c as (select *, cast(substr(repo, 4) as int) % 3 as kind, case when cast(substr(repo, 4) as int) % 2 = 0 then 0.5::double else 0.8::double end as approval_threshold from doc_prompts),
+  m as (select *, case when kind = 0 then 'large' else 'small' end as model from c),
+  a as (select *, {_digest('model', 'prompt')} as first, {_digest("'second'", 'prompt')} as second from m),
+  v as (select *, {_answer('first')} as primary_verdict, {_answer('second')} as secondary_verdict from a),
+  j as (select *, {_adjudication('rule_text', 'primary_verdict', _said('first'), 'secondary_verdict', _said('second'))} as judged_prompt, kind = 1 and primary_verdict <> secondary_verdict as differ from v),
+  k as (select *, {_digest("'judge'", 'judged_prompt')} as third from j),
+  e as (select *, case when differ then {_answer('third')} else primary_verdict end as verdict, {_said('case when differ then third else first end')} as explanation,
+          case when differ then 'judge' else model end as llm_provider, case when differ then judged_prompt else prompt end as asked from k),
+  s as (select *, (length(asked) + length(concat('{{"verdict": "', verdict, '", "explanation": "', explanation, '", "suggestions": []}}'))) // 4 as tokens_used,
+          sum(case verdict when 'pass' then 1.0::double when 'partial' then 0.5::double else 0.0::double end) over (partition by task_id) / count(*) over (partition by task_id) as score from e)"""
+
+
 BODIES: dict[str, str] = {
     "s1_code_paths": """
       with p as (select doc_id, path, string_split(path, '/') as parts, string_split(path, '/')[-1] as name from paths),
@@ -831,14 +876,28 @@ BODIES: dict[str, str] = {
         case when length(file_text) <= 6000 then md5(concat('[Archivo: ', g.source,
           case when s.n is null then '' else concat(case when s.n = 1 then ' | Funcion: ' else ' | Funciones: ' end, s.shown) end, ']', chr(10), file_text)) end as content_md5
       from grouped g left join symbol_lists s on s.query_id = g.query_id and s.source = g.source""",
+    "d10_configured_check": f"""
+      with {_CONFIGURED}
+      select query_id, task_id, rule_idx, verdict, explanation, llm_provider, tokens_used,
+        case when kind = 1 then primary_verdict end as primary_verdict, case when kind = 1 then secondary_verdict end as secondary_verdict,
+        case when kind = 1 then not differ end as agreement, case when kind = 1 then differ end as discriminator_used,
+        case when differ then 'judge' end as discriminator_model, round(score, 6) as score, approval_threshold, score >= approval_threshold as approved from s""",
+    "d10_result_documents": f"""
+      with {_CONFIGURED},
+      f as (select query_id, count(*) as files, sum(length(file_content)) as chars from doc_contexts group by query_id)
+      select task_id, 0::bigint as part, row_number() over (partition by task_id order by rule_idx) - 1 as place, md5(rule_text) as rule_md5, verdict, tokens_used,
+        not differ as agreement, coalesce(files, 0) as files, coalesce(chars, 0)::bigint as chars from s left join f on f.query_id = s.query_id""",
+    "e3_second_chunker": "select query_id, source, count(*) as hits, round(max(similarity), 4) as relevance_score from doc_hits_wide group by query_id, source",
+    "e4_index_commit": f"""
+      select f.repo, f.file_path, sha256(f.content) as content_hash, coalesce(n, 0) as chunks, coalesce(n, 0) as vectors from current_files f
+      left join (select repo, file_path, count(distinct chunk) as n from ({_windows('current_files', 1000, 100)}) group by all) w on w.repo = f.repo and w.file_path = f.file_path""",
     "d11_cross_check": """
       select primary_verdict, secondary_verdict, adjudicated_verdict, agreement, discriminator_used, final_verdict,
         case when not agreement and not discriminator_used then 'Discriminator unavailable: no answer' end as discriminator_reasoning, count(*) as n
       from final group by all""",
     "d11_joined_cross_check": "select task_id, rule_idx, agreement, discriminator_used, final_verdict from final",
     "d12_adjudication_prompts": f"""
-      select task_id, rule_idx, md5(concat('{ADJUDICATION[0]}{ADJUDICATION[1]}', rule, '{ADJUDICATION[2]}', primary_verdict, '):', chr(10), explanation,
-        '{ADJUDICATION[3]}', secondary_verdict, '):', chr(10), 'Other: ', explanation, '{ADJUDICATION[4]}')) as prompt_md5
+      select task_id, rule_idx, md5({_adjudication('rule', 'primary_verdict', 'explanation', 'secondary_verdict', "concat('Other: ', explanation)")}) as prompt_md5
       from lines where primary_verdict <> secondary_verdict""",
     "r1_admission": """
       with existing as (select repository_full_name, pr_number, count(*) as n from pr_events where action = 'closed' group by all),

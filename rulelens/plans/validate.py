@@ -13,13 +13,20 @@ from rulelens.functions.vectors import Embedder
 from rulelens.operators import contexts, evaluation, indexing, repomap, reports, search
 from rulelens.operators.chunking import chunk_windows, limit_size
 from rulelens.operators.declarations import symbols
+from rulelens.plans import answers
+from rulelens.plans.answers import Models
 from rulelens.session import stored
+from rulelens.sources import results
 
 
+OFFLINE = "offline"
 #: No repository may ask for more (see ``rules.config_checks``).
 MAX_CHUNKS_PER_RULE = 20
 
 
+RELATED = ("source", "relevance_score", "file_content", "language", "matched_symbols", "truncated")
+
+
 class Check(NamedTuple):
     hits: DataFrame
     matches: DataFrame
@@ -56,7 +63,7 @@ def check_rules(
     files: DataFrame,
     chunks: DataFrame,
     rules: DataFrame,
-    evaluate: evaluation.Evaluator,
+    evaluate: evaluation.Evaluator | Models,
     model: str,
     strategy: str,
     embed: Embedder | None = None,
@@ -66,16 +73,20 @@ def check_rules(
     branch: str | None = None,
     saved: DataFrame | None = None,
     configs: DataFrame | None = None,
+    ledger: str | None = None,
 ) -> Check:
     """Run all rules ``(query_id, task_id, rule_idx, repo, url, rule_text)`` against the index.
 
     A column ``pr_branch`` of the rules names the branch layer to search per rule. ``saved`` holds the
     evaluations of earlier, interrupted runs; those rules are not sent to the evaluator again. ``configs(repo,
-    max_chunks_per_rule, approval_threshold)`` holds repositories' own limits and thresholds; ``k`` and ``approval``
-    hold where it has none.
+    max_chunks_per_rule, approval_threshold, llm_model, llm_primary_model, llm_secondary_model, enable_cross_check)`` holds repositories' own limits,
+    thresholds and models, any of them; ``k``, ``approval`` and the models of ``evaluate`` hold where it has none.
+
+    ``ledger`` is the folder of all answers so far: prompts that it holds are not sent again, and answers are added as they come.
     """
+    models = evaluate if isinstance(evaluate, Models) else Models({OFFLINE: evaluate}, OFFLINE)
     tasks_of = rules.select("task_id", "repo").distinct()
-    if configs is not None:
+    if configs is not None and "max_chunks_per_rule" in configs.columns:
         own = configs.select("repo", F.col("max_chunks_per_rule").alias("max_hits"))
         rules = rules.join(own, "repo", "left").withColumn("max_hits", F.coalesce("max_hits", F.lit(k)))
         k = MAX_CHUNKS_PER_RULE
@@ -91,19 +102,19 @@ def check_rules(
     )
     matched = contexts.file_matches(hits, texts, ["collection_name", "source"])
     listed = files.select("repo", "file_path", F.length("content").alias("length"))
-    found = stored(symbols(files.filter(repomap.in_walk(F.col("file_path")))), "symbols")
-    lines = stored(repomap.map_lines(listed, found), "map-lines")
+    declared = stored(symbols(files.filter(repomap.in_walk(F.col("file_path")))), "symbols")
+    lines = stored(repomap.map_lines(listed, declared), "map-lines")
     budget = int((contexts.MAX_CONTEXT_TOKENS - contexts.RESERVED_TOKENS) * contexts.MAP_SHARE) * 4
     maps = repomap.map_heads(lines, budget)
     prompts = stored(contexts.prompts(rules, maps, matched), "prompts")
-    answers = evaluation.parse_answers(evaluation.ask(prompts, evaluate, ["query_id"]), "offline")
-    answers = stored(answers, "answers")
-    evaluated = rules.select("query_id", "task_id", "rule_idx", F.col("rule_text").alias("rule")).join(answers, "query_id")
+    asked = answers.in_force(prompts, models, configs).withColumnRenamed("rule_text", "rule")
+    found = stored(answers.evaluate(asked, models, ledger), "answers")
+    evaluated = rules.select("query_id", "task_id", "rule_idx", F.col("rule_text").alias("rule")).join(found, "query_id")
     if saved is not None:
         kept = evaluation.restore(named.select("query_id", "task_id", "rule_idx", "rule"), saved).filter("restored")
         evaluated = evaluated.unionByName(kept.drop("restored"), allowMissingColumns=True)
     scores = evaluation.scores(every.select("task_id").distinct(), evaluated)
-    if configs is None:
+    if configs is None or "approval_threshold" not in configs.columns:
         scores = scores.withColumn("approval_threshold", F.lit(approval))
     else:
         own = tasks_of.join(configs.select("repo", "approval_threshold"), "repo").groupBy("task_id").agg(F.max("approval_threshold").alias("_own"))
@@ -117,20 +128,29 @@ def evaluate_pairs(
     primary: evaluation.Evaluator,
     secondary: evaluation.Evaluator,
     adjudicator: evaluation.Evaluator,
+    ledger: str | None = None,
 ) -> DataFrame:
-    """Cross-check mode: two evaluators for every prompt, a third one for the rules they disagree on."""
-    keys = ["query_id"]
-    first = stored(evaluation.parse_answers(evaluation.ask(prompts, primary, keys), "primary"), "primary")
-    second = stored(evaluation.parse_answers(evaluation.ask(prompts, secondary, keys), "secondary"), "secondary")
-
-    def named(df: DataFrame, prefix: str) -> DataFrame:
-        return df.select(*keys, *[F.col(c).alias(f"{prefix}_{c}") for c in ("verdict", "explanation")])
-
-    pairs = named(first, "primary").join(named(second, "secondary"), keys)
-    ruled = pairs.join(prompts.select(*keys, F.col("rule_text").alias("rule")), keys)
-    asked = evaluation.ask(evaluation.disagreements(ruled), adjudicator, keys)
-    third = stored(evaluation.parse_answers(asked, "adjudicator"), "adjudicated").filter("verdict is not null")
-    return evaluation.reconcile(pairs.join(named(third, "adjudicated"), keys, "left"))
+    """Cross-check of all prompts ``(query_id, rule_text, prompt)``: two evaluators, a third one where they disagree."""
+    models = Models({"primary": primary, "secondary": secondary, "adjudicator": adjudicator}, "primary", "secondary", "adjudicator")
+    asked = prompts.select(
+        "query_id", "prompt", F.col("rule_text").alias("rule"), F.lit(True).alias("cross_check"), F.lit(models.primary).alias("model"), F.lit(models.secondary).alias("second_model")
+    )
+    done = answers.evaluate(asked, models, ledger)
+    return done.select("query_id", F.col("verdict").alias("final_verdict"), "explanation", "tokens_used", "cross_check.*")
+
+
+def result_documents(check: Check, embedding_model: str, strategy: str) -> DataFrame:
+    """The result of every task as JSON ``(task_id, part, result)``: rules with their files, evaluation and cross-check."""
+    files = check.matches.groupBy("query_id").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct((-F.col("relevance_score")).alias("by"), F.col("source"), *[c for c in RELATED if c != "source"]))),
+            lambda f: F.struct(f["source"].alias("file_path"), *[f[c].alias(c) for c in RELATED if c != "source"]),
+        ).alias("related_files")
+    )  # a query has at most MAX_CHUNKS_PER_RULE files
+    evaluation_ = F.struct("verdict", "explanation", "suggestions", "llm_provider", "tokens_used").alias("evaluation")
+    validations = check.evaluated.select("query_id", "task_id", "rule_idx", "rule", evaluation_, "cross_check").join(files, "query_id", "left")
+    nested = results.nest(validations)
+    return results.to_json(nested.withColumns({"embedding_model": F.lit(embedding_model), "chunking_strategy": F.lit(strategy)})).select("task_id", "part", "result")
 
 
 def report(check: Check, numbers: DataFrame | None = None) -> DataFrame:
