@@ -1,7 +1,9 @@
 """Deleted interpolation: n-gram estimates mixed by context frequency.
 
 ``p(w | h) = l[b][n] f_n + ... + l[b][1] f_1 + l[b][0] / (V + 1)``: the maximum-likelihood estimates of all
-orders, mixed with weights that depend on the bucket ``b`` of the longest context's frequency. The weights
+orders, mixed with weights that depend on the bucket ``b``: the longest context that was seen at all, and its
+frequency. Estimates from longer contexts do not exist and have weight 0, so that the mixture sums to 1 over the V words
+and one more for all others. The weights
 are learned by expectation-maximisation on the development part of the training documents, with the
 estimates that remain when that part is deleted from the counts; scores use the counts of all training documents.
 
@@ -25,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulelens.llm.common import Words, bucket_of, chain, mix, only, pack, partitions, unpack
+from rulelens.llm.common import Words, bucket_of, chain, mix, only, pack, partitions, portions, unpack
 from rulelens.session import stored
 
 BLOCK_TOKENS = 1_000_000
+#: Texts are taken apart in portions of about a block; a longer text is a portion of its own.
+BLOCK_BYTES = 6 << 20
 KEYS_PER_RANGE = 1_000_000
 FOLDS, HELD_OUT, DEVELOPMENT_FOLDS = 5, 1, 20
 ITERATIONS, TOLERANCE = 15, 1e-3
@@ -55,7 +59,7 @@ def _blocks(order: int):
     import uuid
 
     def cut(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in portions(whole, 1, BLOCK_BYTES)):
             ids = batch.column(0).to_pylist()
             words = Words(batch.column(1))
             folds = np.array([fold(i) for i in ids], dtype=bool).reshape(-1, 2)
@@ -208,16 +212,27 @@ def _counted(block: pa.Table, answers: pa.Table, order: int, column: str):
 
 
 def _estimates(grams, contexts, tokens: int, types: int) -> tuple[np.ndarray, np.ndarray]:
-    """Estimates per token from the uniform one to the highest order, and the token's bucket."""
+    """Estimates per token from the uniform one to the highest order, and the token's bucket.
+
+    Buckets ``m * BUCKETS`` and on belong to tokens whose longest seen context has ``m`` words.
+    """
     parts = [np.full(len(grams[0]), 1.0 / (types + 1)), grams[0] / max(tokens, 1)]
     parts += [np.divide(g, c, out=np.zeros(len(g)), where=c > 0) for g, c in zip(grams[1:], contexts, strict=True)]
-    longest = contexts[-1] if contexts else grams[0] * 0
-    return np.stack(parts, axis=1), np.minimum(np.log2(longest + 1.0).astype(np.int64), BUCKETS - 1)
+    bucket = np.zeros(len(grams[0]), dtype=np.int64)
+    for m, c in enumerate(contexts, start=1):  # a context that was seen has seen shorter ones
+        bucket = np.where(c > 0, m * BUCKETS + np.minimum(np.log2(c + 1.0).astype(np.int64), BUCKETS - 1), bucket)
+    return np.stack(parts, axis=1), bucket
+
+
+def _usable(order: int) -> np.ndarray:
+    """Per bucket and part, whether the part's context was seen."""
+    return np.arange(order + 1)[None, :] <= np.arange(order * BUCKETS)[:, None] // BUCKETS + 1
 
 
 def _weights(development: DataFrame, order: int) -> np.ndarray:
     """Expectation-maximisation: every round is one pass over the stored development tokens."""
-    weights = np.full((BUCKETS, order + 1), 1.0 / (order + 1))
+    usable = _usable(order)
+    weights = usable / usable.sum(axis=1, keepdims=True)
     for _ in range(ITERATIONS):
         fixed = weights
 
@@ -225,17 +240,17 @@ def _weights(development: DataFrame, order: int) -> np.ndarray:
             for batch in batches:
                 for row in batch.to_pylist():
                     f = np.frombuffer(row["estimates"], dtype=np.float32).reshape(-1, order + 1).astype(np.float64)
-                    b = np.frombuffer(row["buckets"], dtype=np.uint8)
+                    b = np.frombuffer(row["buckets"], dtype=np.uint16)
                     shares = fixed[b] * f
                     shares /= shares.sum(axis=1, keepdims=True)
-                    sums = np.stack([np.bincount(b, shares[:, k], BUCKETS) for k in range(order + 1)], axis=1)
-                    yield pa.RecordBatch.from_pydict({"bucket": pa.array(np.arange(BUCKETS, dtype=np.int32)), "sums": pa.array(sums.tolist(), type=pa.list_(pa.float64()))})
+                    sums = np.stack([np.bincount(b, shares[:, k], len(fixed)) for k in range(order + 1)], axis=1)
+                    yield pa.RecordBatch.from_pydict({"bucket": pa.array(np.arange(len(fixed), dtype=np.int32)), "sums": pa.array(sums.tolist(), type=pa.list_(pa.float64()))})
 
         sums = development.mapInArrow(expect, "bucket int, sums array<double>").select("bucket", *(F.col("sums")[k].alias(f"s{k}") for k in range(order + 1)))
-        gathered = np.zeros((BUCKETS, order + 1))
-        for r in sums.groupBy("bucket").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(order + 1))).collect():  # BUCKETS rows
+        gathered = np.zeros(weights.shape)
+        for r in sums.groupBy("bucket").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(order + 1))).collect():  # BUCKETS rows per order
             gathered[r["bucket"]] = [r[f"s{k}"] for k in range(order + 1)]
-        gathered += 1.0  # a token's worth for every part, so that no weight becomes nought
+        gathered += usable  # a token's worth for every part that can apply, so that no weight becomes nought
         updated = gathered / gathered.sum(axis=1, keepdims=True)
         change, weights = np.abs(updated - weights).max(), updated
         if change < TOLERANCE:
@@ -264,7 +279,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
             return schema.empty_table()
         row, grams, contexts, first, sizes = _counted(left, right, order, "deleted")
         f, b = _estimates(grams, contexts, tokens, types)
-        return pa.Table.from_pylist([{"buckets": b.astype(np.uint8).tobytes(), "estimates": f.astype(np.float32).tobytes()}], schema=schema)
+        return pa.Table.from_pylist([{"buckets": b.astype(np.uint16).tobytes(), "estimates": f.astype(np.float32).tobytes()}], schema=schema)
 
     def gathered(df: DataFrame) -> DataFrame:
         return df.drop("types", "tokens", "n_keys").groupBy("block")

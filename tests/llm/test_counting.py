@@ -1,5 +1,6 @@
 """LM scoring, token counts, packing and token streams against plain versions."""
 
+import itertools
 import math
 import re
 import zlib
@@ -51,13 +52,16 @@ def plain_scores(rows, order):
         for k in range(2, order + 1):
             g = grams(toks, k, at)
             f.append(c[g] / c[g[:-1]] if c[g[:-1]] else 0.0)
-        longest = grams(toks, order, at)[:-1] if order > 1 else None
-        return f, int(math.log2((c[longest] if longest else 0) + 1))
+        seen = [(k - 1, int(math.log2(c[grams(toks, k, at)[:-1]] + 1))) for k in range(2, order + 1) if c[grams(toks, k, at)[:-1]]]
+        return f, seen[-1] if seen else (0, 0)
 
     seen = [estimates(rest, toks, at) for (_, toks), f in zip(docs, folds, strict=True) if f[1] for at in range(len(toks))]
-    weights = defaultdict(lambda: [1 / (order + 1)] * (order + 1))
+    def even(b):  # parts of longer contexts than the longest seen one have no weight
+        return [float(k <= b[0] + 1) for k in range(order + 1)]
+
+    weights = {b: [x / sum(even(b)) for x in even(b)] for b in itertools.product(range(order), range(lm_scoring.BUCKETS))}
     for _ in range(lm_scoring.ITERATIONS):
-        sums = {b: [1.0] * (order + 1) for b in range(lm_scoring.BUCKETS)}
+        sums = {b: even(b) for b in weights}
         for f, b in seen:
             shares = [w * x for w, x in zip(weights[b], f, strict=True)]
             for k, s in enumerate(shares):
@@ -89,6 +93,31 @@ def test_scores(spark, data, order):
         assert g[5] == pytest.approx(w[5], rel=1e-9) and g[6] == pytest.approx(w[6], rel=1e-4)
 
 
+def test_mixture_sums_to_one():
+    rng = np.random.default_rng(0)
+    order, types = 3, 50
+    usable = lm_scoring._usable(order)
+    weights = rng.random(usable.shape) * usable
+    weights /= weights.sum(axis=1, keepdims=True)
+    single = np.append(rng.integers(1, 40, types), 0)  # the last word is any unknown one
+    for seen in range(order):  # how long the longest seen context is
+        grams, contexts = [single], []
+        for k in range(1, order):
+            after = np.append(rng.multinomial(30, np.ones(types) / types), 0) * (k <= seen)
+            grams.append(after)
+            contexts.append(np.full(types + 1, after.sum()))
+        f, b = lm_scoring._estimates(grams, contexts, int(single.sum()), types)
+        assert set(b // lm_scoring.BUCKETS) == {seen} and abs((weights[b] * f).sum() - 1) < 1e-12
+
+
+def test_texts_are_taken_apart_in_portions(spark, data, monkeypatch):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").limit(60).collect()]
+    want = sorted(map(tuple, lm_scoring.score(frame(spark, rows)).collect()))
+    monkeypatch.setattr(lm_scoring, "BLOCK_BYTES", 5000)
+    got = sorted(map(tuple, lm_scoring.score(frame(spark, rows)).collect()))
+    assert [g[:5] for g in got] == [w[:5] for w in want] and all(g[6] == pytest.approx(w[6], rel=1e-5) for g, w in zip(got, want, strict=True))
+
+
 def test_scores_of_nothing(spark):
     assert lm_scoring.score(frame(spark, [])).collect() == []
 
