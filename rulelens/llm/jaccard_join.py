@@ -10,8 +10,9 @@ most ``x`` shingles are light, larger ones heavy; ``x`` comes from measured cost
   shingles that puts the most frequent ones last. Linked sets share a list, and so many lists in all that the shingles
   behind the prefixes cannot make up for fewer (:func:`_needed`). Lists are scanned in two rounds: first
   every member is held against the list's smallest document, which finds groups of copies in time linear in their
-  size; then only members of different components are held against each other, after bounds on size, position and
-  the number of lists they share. Candidates are verified on the whole sets.
+  size; then lists with members of different components are scanned with counters (:func:`_count`): sets are dealt to blocks by size, every
+  block is sent the lists of its sets, and adds up in memory how many lists two sets share. Only pairs that reach the number
+  they need leave the block. Candidates are verified on the whole sets.
 
 Equal sets are one node. The result is exact up to equal 64-bit hashes of different shingles. The
 list of frequent shingles (``FREQUENT`` at most, 2 MB) only orders the shingles: any order gives the same links.
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rulelens.llm.common import Words, bucket_of, chain, fresh, mix, only, pack, partitions, portions, unpack
+from rulelens.llm.common import Words, bucket_of, chain, fresh, mix, only, pack, partitions, portions, ranges, unpack
 from rulelens.llm.components import components
 from rulelens.session import stored
 
@@ -44,12 +45,17 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 3, 4
 FREQUENT = 262_144
 LARGEST_LIGHT = 16
-ENTRIES_PER_RANGE = 1_000_000
+ENTRIES_PER_RANGE = 250_000
+#: Meetings of two members of a list, before any bound, that a block of counters may see.
+MEETINGS_PER_BLOCK = 20_000_000
+PIECE = 5_000
 GROUP = 1_000
 SALTS = 16
 SUBSET_BIT = np.uint64(1)
 DIGESTS = "doc_id bigint, n_shingles bigint, signature binary, shingle bigint, found bigint"
 PACKED = "bucket int, n bigint, keys binary, docs binary, sizes binary, places binary"
+PAIRS = "pivot bigint, doc_id bigint"
+ENTRY = ("docs", "sizes", "places", "roots", "own")
 LISTS = "key bigint, pivot bigint, pivot_size bigint, pivot_place bigint, doc_id bigint, size bigint, place bigint, certain boolean"
 
 
@@ -248,6 +254,113 @@ def _needed(a: str, b: str) -> str:
     return f"greatest({least} - greatest({rest[0]}, {rest[1]}), 1)"
 
 
+def needed_lists(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The same for arrays of sizes."""
+    rest = [(NUMERATOR * s + DENOMINATOR - 1) // DENOMINATOR - 1 for s in (a, b)]
+    return np.maximum(least_overlap(a, b) - np.maximum(*rest), 1)
+
+
+def _meetings(entry: dict, block: int, level: int):
+    """(larger, smaller, their sizes) of the pairs of a list that belong to a block and may still be linked, in portions.
+
+    A pair belongs to the block of its larger set (the larger id of equal sizes).
+    """
+    order = np.lexsort((entry["docs"], entry["sizes"]))
+    docs, sizes, places, roots, own = (entry[c][order] for c in ENTRY)
+    mine = np.flatnonzero(own == block)
+    mine = mine[_level(sizes[mine]) == level]
+    low, high = np.searchsorted(sizes, -(-NUMERATOR * sizes[mine] // DENOMINATOR)), np.searchsorted(sizes, sizes[mine], side="right")
+    portion = np.cumsum(high - low) // 1_000_000
+    for p in np.unique(portion):
+        at = portion == p
+        x, y = np.repeat(mine[at], (high - low)[at]), ranges(low[at], (high - low)[at])
+        rest = np.minimum(places[x], places[y]) + np.minimum(sizes[x] - places[x], sizes[y] - places[y])
+        good = (roots[x] != roots[y]) & ((sizes[y] < sizes[x]) | (docs[y] < docs[x])) & (rest >= least_overlap(sizes[x], sizes[y]))
+        x, y = x[good], y[good]
+        yield docs[x], docs[y], sizes[x], sizes[y]
+
+
+def _level(sizes):
+    """Size classes; sets more than one class apart are never linked."""
+    return np.floor(np.log(sizes) / math.log(DENOMINATOR / NUMERATOR)).astype(np.int64)
+
+
+class _Counters:
+    """How many lists every pair of a block shares."""
+
+    def __init__(self) -> None:
+        self.held, self.waiting, self.n = None, [], 0
+
+    def add(self, parts: tuple[np.ndarray, ...]) -> None:
+        self.waiting.append(np.stack(parts))
+        self.n += len(parts[0])
+        if self.n > 2_000_000:
+            self._fold()
+
+    def _fold(self) -> None:
+        """Pairs and their sizes once, with counts."""
+        if not self.waiting and self.held is None:
+            self.held = np.zeros((5, 0), dtype=np.int64)
+        if self.waiting:
+            new = np.concatenate(self.waiting, axis=1)
+            rows = np.concatenate([new, np.ones((1, new.shape[1]), dtype=np.int64)])
+            rows = rows if self.held is None else np.concatenate([self.held, rows], axis=1)
+            rows = rows[:, np.lexsort((rows[1], rows[0]))]
+            first = np.flatnonzero(np.concatenate([[True], (np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)])[: rows.shape[1]])
+            self.held = np.concatenate([rows[:4, first], np.add.reduceat(rows[4:], first, axis=1) if len(first) else rows[4:, first]])
+        self.waiting, self.n = [], 0
+
+    def linked(self) -> pa.RecordBatch:
+        self._fold()
+        a, b, size_a, size_b, n = self.held
+        enough = n >= needed_lists(size_a, size_b)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[enough]), pa.array(np.maximum(a, b)[enough])], names=["pivot", "doc_id"])
+
+
+def _whole_lists(batches):
+    """(block, level, entries) list by list; the rows of a list follow one another, also across batches."""
+    now, rows = None, []
+    for batch in batches:
+        columns = [batch.column(c) for c in ENTRY]
+        for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in ("block", "level", "key")), strict=True)):
+            if key != now and rows:
+                yield now[0], now[1], {c: np.concatenate([r[c] for r in rows]) for c in ENTRY}
+                rows = []
+            now = key
+            rows.append({c: column[i].values.to_numpy() for c, column in zip(ENTRY, columns, strict=True)})
+    if rows:
+        yield now[0], now[1], {c: np.concatenate([r[c] for r in rows]) for c in ENTRY}
+
+
+def _count(batches):
+    """Candidates (pivot, doc_id) of the blocks."""
+    for _, lists in itertools.groupby(_whole_lists(batches), key=lambda x: x[:2]):
+        counters = _Counters()
+        for block, level, entry in lists:
+            for parts in _meetings(entry, block, level):
+                counters.add(parts)
+        yield counters.linked()
+
+
+def open_pairs(rest: DataFrame) -> DataFrame:
+    """Candidates (pivot, doc_id) of stored open lists ``rest`` (key, doc_id, size, place, root), by counters."""
+    level = F.floor(F.log(F.col("size").cast("double")) / math.log(DENOMINATOR / NUMERATOR)).cast("bigint")
+    leveled = rest.withColumn("level", level)
+    counts = stored(leveled.groupBy("key", "level").agg(F.count("*").alias("n")), "list-sizes")
+    smaller = counts.select("key", (F.col("level") + 1).alias("level"), F.col("n").alias("below"))
+    meetings = counts.join(smaller, ["key", "level"], "left").groupBy("level").agg(F.sum(F.col("n") * (F.col("n") + F.coalesce("below", F.lit(0)))).alias("m"))
+    blocks = stored(meetings.select("level", F.ceil(F.col("m") / MEETINGS_PER_BLOCK).alias("blocks")), "counter-blocks")
+    dealt = leveled.join(blocks, "level").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    # a list is sent to the blocks of its sets in the level of their own and in the next one
+    visits = stored(dealt.select("key", "level", F.col("own").alias("block")).distinct(), "visits")
+    piece = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.ceil(F.col("n") / PIECE))
+    entry = F.struct("doc_id", "size", "place", "root", "own")
+    lists = dealt.join(counts, ["key", "level"]).groupBy("key", F.col("level").alias("from"), piece.alias("piece")).agg(F.collect_list(entry).alias("e"))
+    packed = stored(lists.select("key", "from", *(F.col(f"e.{c}").alias(name) for c, name in zip(("doc_id", "size", "place", "root", "own"), ENTRY, strict=True))), "packed-lists")
+    sent = packed.withColumn("level", F.explode(F.array(F.col("from"), F.col("from") + 1))).drop("from").join(visits, ["key", "level"])
+    return sent.repartition("block", "level").sortWithinPartitions("block", "level", "key").mapInArrow(_count, PAIRS)
+
+
 def _sets(n: int):
     def run(batches):
         for batch in batches:
@@ -322,18 +435,7 @@ def links(docs: DataFrame, n: int = WORDS) -> tuple[DataFrame, DataFrame]:
     node = scanned.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")).select("key", "pivot", "doc_id", "size", "place", "root")
     apart = node.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
     rest = stored(node.join(apart, "key", "left_semi"), "open-lists")
-    left = rest.select("key", F.col("doc_id").alias("a"), F.col("size").alias("a_size"), F.col("place").alias("a_place"), F.col("root").alias("a_root"))
-    right = rest.select("key", F.col("doc_id").alias("b"), F.col("size").alias("b_size"), F.col("place").alias("b_place"), F.col("root").alias("b_root"))
-    second = (
-        left.join(right, "key")
-        .filter("a < b and a_root <> b_root")
-        .filter(_possible("a_", "b_"))
-        .groupBy("a", "a_size", "b", "b_size")
-        .agg(F.count("*").alias("n"))
-        .filter(f"n >= {_needed('a_', 'b_')}")
-        .select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"))
-    )
-    second = stored(second, "open-pairs")
+    second = stored(open_pairs(rest), "open-pairs")
     more = stored(verified(second, sets_of(docs, second, n)), "links")
     return digests, edges.unionByName(more)
 

@@ -226,3 +226,33 @@ def test_clean_keeps_the_rest(spark, data):
     kept = decontamination.clean(docs, bench)
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in docs.collect()} - leaks
+
+
+@pytest.mark.parametrize("meetings,piece,batch", [(20_000_000, 5_000, 10_000), (500, 7, 3)])
+def test_counters_equal_a_plain_self_join(spark, monkeypatch, meetings, piece, batch):
+    monkeypatch.setattr(jaccard_join, "MEETINGS_PER_BLOCK", meetings)
+    monkeypatch.setattr(jaccard_join, "PIECE", piece)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(batch))
+    rng = random.Random(8)
+    sizes = {d: rng.choice([3, 4, 17, 30, 31, 40, 53, 90]) for d in range(90)}
+    roots = {d: rng.randrange(60) for d in sizes}
+    rows = {(k, d): (k, d, sizes[d], rng.randrange(jaccard_join.prefix_length(sizes[d])), roots[d]) for k in range(40) for d in rng.sample(sorted(sizes), rng.randint(2, 60))}
+    want, shared = set(), defaultdict(int)
+    for k, d, s, p, r in rows.values():
+        for e in range(d):
+            if (k, e) in rows:
+                _, _, t, q, o = rows[k, e]
+                if r != o and 4 * min(s, t) >= 3 * max(s, t) and min(p, q) + min(s - p, t - q) >= jaccard_join.least_overlap(s, t):
+                    shared[e, d] += 1
+    for (e, d), n in shared.items():
+        least = jaccard_join.least_overlap(sizes[e], sizes[d])
+        if n >= max(1, least - max(-(-3 * sizes[e] // 4) - 1, -(-3 * sizes[d] // 4) - 1)):
+            want.add((e, d))
+    try:
+        rest = spark.createDataFrame(list(rows.values()), "key bigint, doc_id bigint, size bigint, place bigint, root bigint").repartition(5)
+        got = [tuple(r) for r in jaccard_join.open_pairs(rest).collect()]
+    finally:
+        spark.conf.set(key, before)
+    assert len(got) == len(set(got)) and set(got) == want and want
