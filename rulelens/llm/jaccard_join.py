@@ -260,16 +260,19 @@ def needed_lists(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(least_overlap(a, b) - np.maximum(*rest), 1)
 
 
-def _meetings(entry: dict, block: int, level: int):
-    """(larger, smaller, their sizes) of the pairs of a list that belong to a block and may still be linked, in portions.
+def _meetings(entries: dict, block: int, level: int):
+    """(larger, smaller, their sizes) of the pairs of some lists that belong to a block and may still be linked, in portions.
 
-    A pair belongs to the block of its larger set (the larger id of equal sizes).
+    A pair belongs to the block of its larger set (the larger id of equal sizes). All lists are taken at once: sorted
+    by list and size, the partners of an entry are a range.
     """
-    order = np.lexsort((entry["docs"], entry["sizes"]))
-    docs, sizes, places, roots, own = (entry[c][order] for c in ENTRY)
+    order = np.lexsort((entries["docs"], entries["sizes"], entries["list"]))
+    docs, sizes, places, roots, own, number = (entries[c][order] for c in (*ENTRY, "list"))
+    key = (number << 32) + sizes
     mine = np.flatnonzero(own == block)
     mine = mine[_level(sizes[mine]) == level]
-    low, high = np.searchsorted(sizes, -(-NUMERATOR * sizes[mine] // DENOMINATOR)), np.searchsorted(sizes, sizes[mine], side="right")
+    low = np.searchsorted(key, (number[mine] << 32) + -(-NUMERATOR * sizes[mine] // DENOMINATOR))
+    high = np.searchsorted(key, key[mine], side="right")
     portion = np.cumsum(high - low) // 1_000_000
     for p in np.unique(portion):
         at = portion == p
@@ -317,28 +320,46 @@ class _Counters:
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[enough]), pa.array(np.maximum(a, b)[enough])], names=["pivot", "doc_id"])
 
 
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of equal values begins, in any of the columns, without the first run."""
+    return np.flatnonzero(np.logical_or.reduce([np.diff(c) != 0 for c in columns])) + 1
+
+
 def _whole_lists(batches):
-    """(block, level, entries) list by list; the rows of a list follow one another, also across batches."""
-    now, rows = None, []
+    """(block, level, entries) of portions of whole lists of one block; a list's rows follow one another, also across batches."""
+    held = None
+
+    def parts(entries):
+        cuts = [0, *_changes(entries["block"], entries["level"]).tolist(), len(entries["key"])]
+        for a, b in itertools.pairwise(cuts):
+            part = {c: v[a:b] for c, v in entries.items()}
+            part["list"] = np.zeros(b - a, dtype=np.int64)
+            part["list"][_changes(part["key"])] = 1
+            part["list"] = np.cumsum(part["list"])
+            yield int(part["block"][0]), int(part["level"][0]), part
+
     for batch in batches:
-        columns = [batch.column(c) for c in ENTRY]
-        for i, key in enumerate(zip(*(batch.column(c).to_pylist() for c in ("block", "level", "key")), strict=True)):
-            if key != now and rows:
-                yield now[0], now[1], {c: np.concatenate([r[c] for r in rows]) for c in ENTRY}
-                rows = []
-            now = key
-            rows.append({c: column[i].values.to_numpy() for c, column in zip(ENTRY, columns, strict=True)})
-    if rows:
-        yield now[0], now[1], {c: np.concatenate([r[c] for r in rows]) for c in ENTRY}
+        lengths = batch.column("docs").value_lengths().to_numpy(zero_copy_only=False)
+        entries = {c: batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ENTRY}
+        entries |= {c: np.repeat(batch.column(c).to_numpy(zero_copy_only=False), lengths) for c in ("block", "level", "key")}
+        if held:
+            entries = {c: np.concatenate([held[c], v]) for c, v in entries.items()}
+        begins = _changes(entries["block"], entries["level"], entries["key"])
+        last = int(begins[-1]) if len(begins) else 0
+        if last:
+            yield from parts({c: v[:last] for c, v in entries.items()})
+        held = {c: v[last:] for c, v in entries.items()}
+    if held and len(held["key"]):
+        yield from parts(held)
 
 
 def _count(batches):
     """Candidates (pivot, doc_id) of the blocks."""
     for _, lists in itertools.groupby(_whole_lists(batches), key=lambda x: x[:2]):
         counters = _Counters()
-        for block, level, entry in lists:
-            for parts in _meetings(entry, block, level):
-                counters.add(parts)
+        for block, level, entries in lists:
+            for found in _meetings(entries, block, level):
+                counters.add(found)
         yield counters.linked()
 
 
@@ -432,7 +453,7 @@ def links(docs: DataFrame, n: int = WORDS) -> tuple[DataFrame, DataFrame]:
 
     # members of one list that are still in different components
     roots = components(edges)
-    node = scanned.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")).select("key", "pivot", "doc_id", "size", "place", "root")
+    node = scanned.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")).select("key", "doc_id", "size", "place", "root")
     apart = node.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
     rest = stored(node.join(apart, "key", "left_semi"), "open-lists")
     second = stored(open_pairs(rest), "open-pairs")
