@@ -294,28 +294,46 @@ def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], names=["place", "kind", "canonical"])
 
 
-def walked(entities: DataFrame, key: bytes) -> DataFrame:
-    """(kind, canonical, steps) of the distinct entities (kind, canonical) whose first replacement is itself an entity."""
+#: Values tried in one job for entities whose first replacement is taken.
+STRIDE = 32
 
-    def advance(batches):
-        permutation = Permutation(key)
-        for batch in batches:
-            values = [following(k, v, permutation) for k, v in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.string()), pa.array([s + 1 for s in batch.column(3).to_pylist()], pa.int32())], names=["kind", "canonical", "value", "steps"])
 
-    schema = "kind string, canonical string, value string, steps int"
+def walked(entities: DataFrame, key: bytes) -> DataFrame:
+    """(kind, canonical, steps) of the distinct entities (kind, canonical) whose first replacement is itself an entity.
+
+    A replacement is the first value, following the permutation from the entity, that no text holds. The first round
+    tries one value, further rounds ``STRIDE`` at a time for the entities that are left.
+    """
+    names = ["kind", "canonical", "value", "steps"]
+
+    def advance(stride: int):
+        def run(batches):
+            permutation = Permutation(key)
+            for batch in batches:
+                out = []
+                for kind, canonical, value, steps in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                    for step in range(steps + 1, steps + 1 + stride):
+                        value = following(kind, value, permutation)
+                        if value == canonical:
+                            break  # a format all of whose values occur can only exchange them: one step is then as good as any
+                        out.append((kind, canonical, value, step))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int32()))], names=names)
+
+        return run
+
     taken = entities.select("kind", F.col("canonical").alias("value"))
     current = entities.select("kind", "canonical", F.col("canonical").alias("value"), F.lit(0).alias("steps"))
-    out = None
+    out, stride = None, 1
     while True:
-        moved = stored(current.mapInArrow(advance, schema), "surrogates")
-        free = moved.join(taken, ["kind", "value"], "left_anti")
-        settled = free.filter("steps > 1").select("kind", "canonical", "steps")
+        moved = stored(current.select(*names).mapInArrow(advance(stride), "kind string, canonical string, value string, steps int"), "surrogates")
+        found = stored(moved.join(taken, ["kind", "value"], "left_anti").groupBy("kind", "canonical").agg(F.min("steps").alias("steps")), "free-values")
+        settled = found.filter("steps > 1")
         out = settled if out is None else out.unionByName(settled)
-        # a format all of whose values occur can only exchange them: one step is then as good as any
-        current = moved.join(taken, ["kind", "value"], "left_semi").filter("value <> canonical")
+        last = moved.groupBy("kind", "canonical").agg(F.max_by("value", "steps").alias("value"), F.max("steps").alias("steps"), F.count("*").alias("n"))
+        current = stored(last.filter(F.col("n") == stride).drop("n").join(found.select("kind", "canonical"), ["kind", "canonical"], "left_anti").select(*names), "open-values")
         if current.isEmpty():
             return out
+        stride = STRIDE
 
 
 def replace(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
