@@ -3,16 +3,13 @@
 Lines are normalised (A-Z lower-cased, digits as 0, white space runs as one space) and hashed together with their
 host. A line that occurs in more distinct documents of its host than the limits allow is removed, and a
 document that loses more than ``max_removed`` percent of its words that way is rejected. Copies must not
-make their own lines look common: documents whose other lines have the same smallest hash (copies, and near
-copies unless that very line changed) count as one. This is the count of the registered query and its SQL; it also makes
-one of different documents that share several lines. With ``whole`` documents themselves are counted: those with the same
-normalised lines count as one, and so does a near copy with the document it is one of. A near copy shares one of its
-``KEYS`` smallest hashes of five-word shingles with another document of the host, and with the first such document (by
-hash) a Jaccard similarity of ``NEAR``, estimated from their ``SKETCH`` smallest hashes.
-
-How it runs: texts are read once for the rules and twice for the lines; only hashes are shuffled. Counts
+make their own lines look common: documents with the same normalised lines count as one, and so does a near copy with the document
+it is one of. A near copy shares one of its ``KEYS`` smallest hashes of five-word shingles with another document of the host, and with the first
+such document (by hash) a Jaccard similarity of ``NEAR``, estimated from their ``SKETCH`` smallest hashes.
+
+How it runs: lines are normalised once and kept as hashes, one short row per line; all counts come from that table. Counts
 are combined before each shuffle, so a line that most documents share is a few rows. Common lines are dealt
-``SALTS`` times to the join, so one of them never fills one task. With ``whole`` the documents that hold a line of more than
+``SALTS`` times to the join, so one of them never fills one task. The texts of documents that hold a line of more than
 ``max_documents`` are read once more and each compared with at most ``KEYS`` others, dealt in the same way.
 
 Defined results: a null text has no words and fails the base rules; a null host is a host of its own. Equal texts of a
@@ -96,37 +93,17 @@ def content(host: Column, text: Column) -> Column:
 
 
 def _lines(source: DataFrame) -> DataFrame:
-    """One row per line with a word: content, host, sketch (smallest line hash of the document), others (smallest hash of its other
-    lines), line (hash with the host), n (its words)."""
-    hosts = F.xxhash64(F.coalesce("host", F.lit("\x00")), F.col("host").isNull())
-    listed = source.select(
-        content(F.col("host"), F.col("text")).alias("content"),
-        hosts.alias("host"),
-        F.filter(normal_lines(F.col("text")), lambda line: line != "").alias("lines"),
-    )
-    hashed = listed.withColumn("hashes", F.transform("lines", lambda line: F.md5(line)))
-    least = hashed.withColumn("least", F.slice(F.array_sort(F.array_distinct("hashes")), 1, 2))
-    single = least.select("content", "host", F.get("least", F.lit(0)).alias("first"), F.get("least", F.lit(1)).alias("second"), F.inline(F.arrays_zip(F.col("lines").alias("text"), F.col("hashes").alias("hash"))))
-    return single.select(
-        "content",
-        "host",
-        F.xxhash64("first").alias("sketch"),
-        F.xxhash64(F.when(F.col("hash") == F.col("first"), F.col("second")).otherwise(F.col("first"))).alias("others"),
-        F.xxhash64("host", "text").alias("line"),
-        (F.char_length("text") - F.char_length(F.translate("text", " ", "")) + 1).alias("n"),
-    )
-
-
-def _documents(source: DataFrame) -> DataFrame:
-    """content, host (hash), own (hash of the normalised lines with the host), lines (normalised, with a word), text."""
+    """A stored row per line with a word: content, host (hash), own (hash of the document's normalised lines with the host), line (hash with
+    the host), n (its words)."""
     hosts = F.xxhash64(F.coalesce("host", F.lit("\x00")), F.col("host").isNull())
     listed = source.select(
         content(F.col("host"), F.col("text")).alias("content"),
         hosts.alias("host"),
         F.filter(normal_lines(F.col("text")), lambda line: line != "").alias("lines"),
-        "text",
     )
-    return listed.select("content", "host", F.xxhash64("host", "lines").alias("own"), "lines", "text").filter(F.size("lines") > 0)
+    single = listed.select("content", "host", F.xxhash64("host", "lines").alias("own"), F.explode("lines").alias("text"))
+    counted = (F.char_length("text") - F.char_length(F.translate("text", " ", "")) + 1).alias("n")
+    return stored(single.select("content", "host", "own", F.xxhash64("host", "text").alias("line"), counted), "document-lines", "zstd")
 
 
 def _salted(rows: DataFrame) -> DataFrame:
@@ -147,11 +124,12 @@ def _sketch(text: Column) -> Column:
     return F.slice(F.sort_array(F.array_distinct(bound(words(F.lower(text)), hashes))), 1, SKETCH)
 
 
-def _near_copies(source: DataFrame, members: DataFrame) -> DataFrame:
+def _near_copies(source: DataFrame, lines: DataFrame, members: DataFrame) -> DataFrame:
     """(own) of the documents among ``members`` (own) that are near copies of another one of their host."""
-    wanted = _salted(members.select("own").distinct())
-    rows = _documents(source).withColumn("salt", F.pmod(F.hash("content", F.monotonically_increasing_id()), F.lit(SALTS)))
-    sketches = rows.join(wanted, ["own", "salt"]).select("host", "own", _sketch(F.col("text")).alias("sketch"))
+    holders = lines.withColumn("salt", _salt("content")).join(_salted(members.select("own").distinct()), ["own", "salt"])
+    wanted = stored(holders.groupBy("content", "host", "own").agg(F.lit(1).alias("_")).drop("_"), "line-holder-texts")
+    rows = source.select(content(F.col("host"), F.col("text")).alias("content"), "text").withColumn("salt", F.pmod(F.hash("content", F.monotonically_increasing_id()), F.lit(SALTS)))
+    sketches = rows.join(_salted(wanted), ["content", "salt"]).select("host", "own", _sketch(F.col("text")).alias("sketch"))
     sketches = stored(sketches.groupBy("host", "own").agg(F.min("sketch").alias("sketch")), "line-sketches")
     keys = sketches.select("host", "own", F.explode(F.slice("sketch", 1, KEYS)).alias("key"), _salt("own"))
     firsts = keys.groupBy("host", "key").agg(F.min("own").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
@@ -164,35 +142,25 @@ def _near_copies(source: DataFrame, members: DataFrame) -> DataFrame:
     return pairs.filter(shared >= NEAR).select("own").distinct()
 
 
-def _common_in_documents(source: DataFrame, max_documents: int, max_share: float) -> DataFrame:
-    """As :func:`common_lines`, counting documents."""
-    lines = _documents(source).select("host", "own", F.explode("lines").alias("text")).select("host", "own", F.xxhash64("host", "text").alias("line"))
+def common_lines(source: DataFrame, lines: DataFrame, max_documents: int = MAX_DOCUMENTS, max_share: float = MAX_SHARE) -> DataFrame:
+    """(line) hashes in more than ``max_documents`` distinct documents and more than ``max_share`` of their host's. ``source``: host, text;
+    ``lines``: its stored lines."""
     rows = lines.groupBy("host", "line", "own").agg(F.lit(1).alias("_"))
     often = stored(rows.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > max_documents).select("host", "line"), "frequent-lines")
     holders = lines.withColumn("salt", _salt("own")).join(_salted(often), ["host", "line", "salt"])
     members = stored(holders.groupBy("host", "line", "own").agg(F.lit(1).alias("_")).drop("_"), "line-holders")
-    near = stored(_near_copies(source, members), "near-copies")
+    near = stored(_near_copies(source, lines, members), "near-copies")
     found = members.join(near, "own", "left_anti").groupBy("host", "line").agg(F.count("*").alias("documents"))
     frequent = found.filter(F.col("documents") > max_documents)
-    sizes = _documents(source).groupBy("host", "own").agg(F.lit(1).alias("_")).join(near, "own", "left_anti").groupBy("host").agg(F.count("*").alias("all"))
-    return frequent.join(sizes, "host").filter(F.col("documents") > F.lit(max_share) * F.col("all")).select("line")
-
-
-def common_lines(source: DataFrame, max_documents: int = MAX_DOCUMENTS, max_share: float = MAX_SHARE, whole: bool = False) -> DataFrame:
-    """(line) hashes in more than ``max_documents`` distinct documents and more than ``max_share`` of their host's. ``source``: host, text."""
-    if whole:
-        return _common_in_documents(source, max_documents, max_share)
-    rows = _lines(source)
-    found = rows.groupBy("host", "line", "others").agg(F.lit(1).alias("_")).groupBy("host", "line").agg(F.count("*").alias("documents"))
-    frequent = found.filter(F.col("documents") > max_documents)
-    sizes = rows.groupBy("host", "sketch").agg(F.lit(1).alias("_")).groupBy("host").agg(F.count("*").alias("all"))
+    sizes = lines.groupBy("host", "own").agg(F.lit(1).alias("_")).join(near, "own", "left_anti").groupBy("host").agg(F.count("*").alias("all"))
     return frequent.join(sizes, "host").filter(F.col("documents") > F.lit(max_share) * F.col("all")).select("line")
 
 
 def _removals(source: DataFrame, **limits) -> DataFrame:
     """(content, line, n) of all common lines in all documents, a row for each occurrence."""
-    salted = common_lines(source, **limits).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = _lines(source).select("content", "line", "n", F.pmod(F.hash("content"), F.lit(SALTS)).alias("salt"))
+    lines = _lines(source)
+    salted = _salted(stored(common_lines(source, lines, **limits), "common-lines"))
+    rows = lines.select("content", "line", "n", F.pmod(F.hash("content"), F.lit(SALTS)).alias("salt"))
     return rows.join(salted, ["line", "salt"]).select("content", "line", "n")
 
 

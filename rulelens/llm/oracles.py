@@ -21,15 +21,16 @@ w AS (SELECT r, [x for x in regexp_split_to_array(t, '{BLANK}') if x <> ''] AS w
 windows AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM windows) WHERE c > 1),
 covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY r),
-lines AS (SELECT r, host, line FROM (SELECT r, host, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{NOT_BLANK}')),
+split AS (SELECT r, host, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT r, host, string_split(t, chr(10)) AS ls FROM d)),
+lines AS (SELECT r, host, i, ls[i] AS line FROM split WHERE regexp_matches(ls[i], '{NOT_BLANK}')),
 dups AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY r),
-folded AS (SELECT r, host, trim(regexp_replace(translate(line, '{lq._UPPER_DIGITS}', '{lq._LOWER_NOUGHTS}'), '[\\x20\\x09\\x0B-\\x0D]+', ' ', 'g'), ' ') AS x FROM lines),
-hashed AS (SELECT r, host, x, md5(x) AS h, length(x) - length(replace(x, ' ', '')) + 1 AS n FROM folded WHERE x <> ''),
-least AS (SELECT r, list_sort(list_distinct(list(h))) AS hs FROM hashed GROUP BY r),
-told AS (SELECT hashed.r, host, x, n, hs[1] AS sketch, CASE WHEN h = hs[1] THEN hs[2] ELSE hs[1] END AS others FROM hashed JOIN least USING (r)),
-sizes AS (SELECT host, count(DISTINCT sketch) AS total FROM told GROUP BY host),
+folded AS (SELECT r, host, i, trim(regexp_replace(translate(line, '{lq._UPPER_DIGITS}', '{lq._LOWER_NOUGHTS}'), '[\\x20\\x09\\x0B-\\x0D]+', ' ', 'g'), ' ') AS x FROM lines),
+counted AS (SELECT r, host, i, x, length(x) - length(replace(x, ' ', '')) + 1 AS n FROM folded WHERE x <> ''),
+owns AS (SELECT r, md5(string_agg(x, chr(10) ORDER BY i)) AS own FROM counted GROUP BY r),
+told AS (SELECT counted.r, host, x, n, own FROM counted JOIN owns USING (r)),
+sizes AS (SELECT host, count(DISTINCT own) AS total FROM told GROUP BY host),
 common AS (
-  SELECT host, x FROM (SELECT host, x, count(DISTINCT coalesce(others, '')) AS c FROM told GROUP BY host, x) JOIN sizes USING (host)
+  SELECT host, x FROM (SELECT host, x, count(DISTINCT own) AS c FROM told GROUP BY host, x) JOIN sizes USING (host)
   WHERE c > {lq.MAX_DOCUMENTS} AND c > {lq.MAX_SHARE} * total
 ),
 removed AS (SELECT r, sum(n) AS n FROM told JOIN common USING (host, x) GROUP BY r),

@@ -14,7 +14,7 @@ from .test_joins import brute_leaks, plain_join
 
 
 def test_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in LLM_QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in LLM_QUERIES}
     assert set(LLM_QUERIES) <= set(entry_point.queries()) and "pipeline" in entry_point.queries()
     assert set(LLM_ORACLES) <= set(LLM_QUERIES)
 
