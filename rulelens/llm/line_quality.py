@@ -9,8 +9,8 @@ such document (by hash) a Jaccard similarity of ``NEAR``, estimated from their `
 
 How it runs: lines are normalised once and kept as hashes, one short row per line; all counts come from that table. Counts
 are combined before each shuffle, so a line that most documents share is a few rows. Common lines are dealt
-``SALTS`` times to the join, so one of them never fills one task. The texts of documents that hold a line of more than
-``max_documents`` are read once more and each compared with at most ``KEYS`` others, dealt in the same way.
+``SALTS`` times to the join, so one of them never fills one task. Texts are read once more for their sketches, and the documents
+that hold a line of more than ``max_documents`` are each compared with at most ``KEYS`` others, dealt in the same way.
 
 Defined results: a null text has no words and fails the base rules; a null host is a host of its own. Equal texts of a
 host share their verdict, repeated rows and null ids are kept. An empty table gives an empty result. Only the named columns are
@@ -128,8 +128,10 @@ def _near_copies(source: DataFrame, lines: DataFrame, members: DataFrame) -> Dat
     """(own) of the documents among ``members`` (own) that are near copies of another one of their host."""
     holders = lines.withColumn("salt", _salt("content")).join(_salted(members.select("own").distinct()), ["own", "salt"])
     wanted = stored(holders.groupBy("content", "host", "own").agg(F.lit(1).alias("_")).drop("_"), "line-holder-texts")
-    rows = source.select(content(F.col("host"), F.col("text")).alias("content"), "text").withColumn("salt", F.pmod(F.hash("content", F.monotonically_increasing_id()), F.lit(SALTS)))
-    sketches = rows.join(_salted(wanted), ["content", "salt"]).select("host", "own", _sketch(F.col("text")).alias("sketch"))
+    # sketches of all texts are shuffled, which are shorter than the texts themselves
+    rows = source.select(content(F.col("host"), F.col("text")).alias("content"), _sketch(F.col("text")).alias("sketch"))
+    rows = rows.withColumn("salt", F.pmod(F.hash("content", F.monotonically_increasing_id()), F.lit(SALTS)))
+    sketches = rows.join(_salted(wanted), ["content", "salt"]).select("host", "own", "sketch")
     sketches = stored(sketches.groupBy("host", "own").agg(F.min("sketch").alias("sketch")), "line-sketches")
     keys = sketches.select("host", "own", F.explode(F.slice("sketch", 1, KEYS)).alias("key"), _salt("own"))
     firsts = keys.groupBy("host", "key").agg(F.min("own").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
