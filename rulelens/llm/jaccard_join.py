@@ -9,10 +9,12 @@ most ``x`` shingles are light, larger ones heavy; ``x`` comes from measured cost
 * Heavy with any: inverted lists of the first ``s - ceil(0.75 s) + 1`` shingles of each set, in one order of all
   shingles that puts the most frequent ones last. Linked sets share a list, and so many lists in all that the shingles
   behind the prefixes cannot make up for fewer (:func:`_needed`). Lists are scanned in two rounds: first
-  every member is held against the list's smallest document, which finds groups of copies in time linear in their
-  size; then lists with members of different components are scanned with counters (:func:`_count`): sets are dealt to blocks by size, every
+  every member is held against the list's smallest document, its pivot, which finds groups of copies in time linear in
+  their size; then lists with members of different components are scanned with counters (:func:`_count`): sets are dealt to blocks by size, every
   block is sent the lists of its sets, and adds up in memory how many lists two sets share. Only pairs that reach the number
-  they need leave the block. Candidates are verified on the whole sets.
+  they need leave the block. Candidates are verified on the whole sets. A pair that gets at least half of the lists it needs
+  from those where one of the two is the pivot is a candidate of the first round; any other linked pair gets more than half
+  from the lists where neither is. So the second round leaves out the pivots, and with them all lists of two sets.
 
 Equal sets are one node. The result is exact up to equal 64-bit hashes of different shingles. The
 list of frequent shingles (``FREQUENT`` at most, 2 MB) only orders the shingles: any order gives the same links.
@@ -56,7 +58,7 @@ DIGESTS = "doc_id bigint, n_shingles bigint, signature binary, shingle bigint, f
 PACKED = "bucket int, n bigint, keys binary, docs binary, sizes binary, places binary"
 PAIRS = "pivot bigint, doc_id bigint"
 ENTRY = ("docs", "sizes", "places", "roots", "own")
-LISTS = "key bigint, pivot bigint, pivot_size bigint, pivot_place bigint, doc_id bigint, size bigint, place bigint, certain boolean"
+LISTS = "key bigint, pivot bigint, pivot_size bigint, pivot_place bigint, doc_id bigint, size bigint, place bigint, certain boolean, need bigint"
 
 
 def shingle_sets(texts: pa.Array, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -216,7 +218,10 @@ def _first_of_copies(grams, bounds, ids) -> np.ndarray:
 
 
 def _lists(table: pa.Table) -> pa.Table:
-    """The lists of a key range that have more than one document, each entry beside the list's smallest."""
+    """The lists of a key range that have more than one document: every entry but the smallest document's, beside that one.
+
+    ``need``: the least number of lists that a link of this entry with another such one of its list takes; null without
+    one of a possible size."""
     rows = table.to_pylist()
     keys = np.concatenate([np.frombuffer(r["keys"], dtype=np.uint64) for r in rows])
     docs = np.concatenate([unpack(r["docs"], np.int64, r["n"]) for r in rows])
@@ -228,13 +233,30 @@ def _lists(table: pa.Table) -> pa.Table:
     first[1:] = keys[1:] != keys[:-1]
     group = np.cumsum(first) - 1
     at = np.flatnonzero(first)
-    shared = np.bincount(group, docs != docs[at][group]) > 0
-    keep = shared[group]
+    keep = docs != docs[at][group]
     pivot = at[group][keep]
-    columns = [keys[keep].view(np.int64), docs[pivot], sizes[pivot], places[pivot], docs[keep], sizes[keep], places[keep], (keys[keep] & SUBSET_BIT) == SUBSET_BIT]
+    need = _least_needed(group[keep], sizes[keep])
+    columns = [keys[keep].view(np.int64), docs[pivot], sizes[pivot], places[pivot], docs[keep], sizes[keep], places[keep], (keys[keep] & SUBSET_BIT) == SUBSET_BIT, pa.array(need, mask=need == 0)]
     return pa.Table.from_arrays([pa.array(c) for c in columns], names=[f.split(" ")[0] for f in LISTS.split(", ")])
 
 
+def _least_needed(group: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Per entry a lower bound of :func:`needed_lists` with any other entry of its group; 0 if no other has a possible size.
+
+    Without its rounding, the number falls the further the sizes are apart, so the two ends of the possible sizes decide."""
+    order = np.lexsort((sizes, group))
+    own = sizes[order]
+    at = (group[order].astype(np.int64) << 32) + own
+    low = np.searchsorted(at, at - own - (-NUMERATOR * own // DENOMINATOR))
+    high = np.searchsorted(at, at - own + DENOMINATOR * own // NUMERATOR, side="right") - 1
+    n, d = NUMERATOR, DENOMINATOR
+    ends = [(d * n * (own + b) - (n + d) * (n * np.maximum(own, b) - 1)) for b in (own[low], own[high])]
+    least = np.maximum(-(-np.minimum(*ends) // (d * (n + d))), 1)
+    found = np.empty(len(own), dtype=np.int64)
+    found[order] = np.where(high > low, least, 0)
+    return found
+
+
 def _possible(a: str, b: str) -> str:
     """SQL: sets with these size and place columns can still be linked through this key."""
     sa, pa_, sb, pb = f"{a}size", f"{a}place", f"{b}size", f"{b}place"
@@ -313,10 +335,11 @@ class _Counters:
             self.held = np.concatenate([rows[:4, first], np.add.reduceat(rows[4:], first, axis=1) if len(first) else rows[4:, first]])
         self.waiting, self.n = [], 0
 
-    def linked(self) -> pa.RecordBatch:
+    def linked(self, more_than_half: bool) -> pa.RecordBatch:
         self._fold()
         a, b, size_a, size_b, n = self.held
-        enough = n >= needed_lists(size_a, size_b)
+        least = needed_lists(size_a, size_b)
+        enough = 2 * n > least if more_than_half else n >= least
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[enough]), pa.array(np.maximum(a, b)[enough])], names=["pivot", "doc_id"])
 
 
@@ -353,18 +376,36 @@ def _whole_lists(batches):
         yield from parts(held)
 
 
-def _count(batches):
+def _count(more_than_half: bool):
     """Candidates (pivot, doc_id) of the blocks."""
-    for _, lists in itertools.groupby(_whole_lists(batches), key=lambda x: x[:2]):
-        counters = _Counters()
-        for block, level, entries in lists:
-            for found in _meetings(entries, block, level):
-                counters.add(found)
-        yield counters.linked()
 
+    def run(batches):
+        for _, lists in itertools.groupby(_whole_lists(batches), key=lambda x: x[:2]):
+            counters = _Counters()
+            for block, level, entries in lists:
+                for found in _meetings(entries, block, level):
+                    counters.add(found)
+            yield counters.linked(more_than_half)
+
+    return run
+
+
+def _enough_lists(scanned: DataFrame) -> DataFrame:
+    """Entries of documents with so many lists that the second round can link them.
+
+    A pair that needs ``k`` lists has more than ``k / 2`` of them here, each of a ``need`` up to ``k``. So entries above the largest
+    need that is met by half as many entries of the document are in no such pair.
+    """
+    least = Window.partitionBy("doc_id")
+    upto = F.count("*").over(least.orderBy("need"))
+    counted = scanned.filter("need is not null").withColumn("_most", F.when(2 * upto > F.col("need"), F.col("need")))
+    return counted.withColumn("_most", F.max("_most").over(least)).filter("need <= _most").drop("_most")
+
+
+def open_pairs(rest: DataFrame, more_than_half: bool = False) -> DataFrame:
+    """Candidates (pivot, doc_id) of stored open lists ``rest`` (key, doc_id, size, place, root), by counters.
 
-def open_pairs(rest: DataFrame) -> DataFrame:
-    """Candidates (pivot, doc_id) of stored open lists ``rest`` (key, doc_id, size, place, root), by counters."""
+    They share as many lists as they need; with ``more_than_half``, for lists without their pivots, more than half as many."""
     level = F.floor(F.log(F.col("size").cast("double")) / math.log(DENOMINATOR / NUMERATOR)).cast("bigint")
     leveled = rest.withColumn("level", level)
     counts = stored(leveled.groupBy("key", "level").agg(F.count("*").alias("n")), "list-sizes")
@@ -379,7 +420,7 @@ def open_pairs(rest: DataFrame) -> DataFrame:
     lists = dealt.join(counts, ["key", "level"]).groupBy("key", F.col("level").alias("from"), piece.alias("piece")).agg(F.collect_list(entry).alias("e"))
     packed = stored(lists.select("key", "from", *(F.col(f"e.{c}").alias(name) for c, name in zip(("doc_id", "size", "place", "root", "own"), ENTRY, strict=True))), "packed-lists")
     sent = packed.withColumn("level", F.explode(F.array(F.col("from"), F.col("from") + 1))).drop("from").join(visits, ["key", "level"])
-    return sent.repartition("block", "level").sortWithinPartitions("block", "level", "key").mapInArrow(_count, PAIRS)
+    return sent.repartition("block", "level").sortWithinPartitions("block", "level", "key").mapInArrow(_count(more_than_half), PAIRS)
 
 
 def _sets(n: int):
@@ -423,8 +464,19 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return members.groupBy("pivot", "_group").cogroup(held.groupBy("p", "g")).applyInArrow(_verify, "a bigint, b bigint")
 
 
+def equal_sets(digests: DataFrame) -> DataFrame:
+    """(a, b, spare): the smallest document ``a`` of equal sets and another one ``b``; ``spare`` if ``b`` has no row with another set."""
+    rows = digests.filter("shingle is null and n_shingles > 0 and doc_id is not null").select("doc_id", "signature")
+    firsts = rows.groupBy("signature").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    shared = firsts.filter("copies > 1").select("signature", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    found = salted.join(shared, ["signature", "_salt"], "left").withColumn("copy", F.coalesce(F.col("first") != F.col("doc_id"), F.lit(False)))
+    spare = F.bool_and("copy").alias("spare")
+    return found.groupBy("doc_id").agg(F.collect_set(F.when(F.col("copy"), F.col("first"))).alias("a"), spare).select(F.explode("a").alias("a"), F.col("doc_id").alias("b"), "spare")
+
+
 def links(docs: DataFrame, n: int = WORDS) -> tuple[DataFrame, DataFrame]:
-    """(digests of all documents, edges a, b whose components are those of all links between different sets).
+    """(digests of all documents, edges a, b whose components are those of all links, equal sets included).
 
     ``docs``: doc_id, text.
     """
@@ -443,20 +495,22 @@ def links(docs: DataFrame, n: int = WORDS) -> tuple[DataFrame, DataFrame]:
 
     packed = docs.mapInArrow(_postings(n, light, frequent, ranks, buckets), PACKED)
     lists = stored(packed.groupBy("bucket").applyInArrow(_lists, LISTS), "lists")
-    certain = lists.filter("certain and doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
+    copies = stored(equal_sets(digests), "equal-sets")
+    certain = lists.filter("certain").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     scanned = lists.filter("not certain")
 
     # most linked sets share half of the lists they need with the smallest member itself; the others are met below
-    starred = scanned.filter("doc_id <> pivot").filter(_possible("pivot_", "")).groupBy("pivot", "pivot_size", "doc_id", "size").agg(F.count("*").alias("n"))
+    starred = scanned.filter(_possible("pivot_", "")).groupBy("pivot", "pivot_size", "doc_id", "size").agg(F.count("*").alias("n"))
     first = stored(starred.filter(f"2 * n >= {_needed('pivot_', '')}").select("pivot", "doc_id"), "pairs")
-    edges = stored(verified(first, sets_of(docs, first, n)).unionByName(certain), "links")
+    edges = stored(verified(first, sets_of(docs, first, n)).unionByName(certain).unionByName(copies.select("a", "b")), "links")
 
     # members of one list that are still in different components
     roots = components(edges)
-    node = scanned.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")).select("key", "doc_id", "size", "place", "root")
+    spare = copies.filter("spare").select(F.col("b").alias("doc_id")).distinct()
+    node = _enough_lists(scanned.join(spare, "doc_id", "left_anti")).join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")).select("key", "doc_id", "size", "place", "root")
     apart = node.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
     rest = stored(node.join(apart, "key", "left_semi"), "open-lists")
-    second = stored(open_pairs(rest), "open-pairs")
+    second = stored(open_pairs(rest, more_than_half=True), "open-pairs")
     more = stored(verified(second, sets_of(docs, second, n)), "links")
     return digests, edges.unionByName(more)
 
@@ -465,12 +519,8 @@ def join(docs: DataFrame, n: int = WORDS, id_col: str = "doc_id", text_col: str
     """Per row: doc_id, n_shingles, component_id (smallest id reachable by links, itself included)."""
     source = only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     digests, edges = links(source, n)
-    rows = digests.filter("shingle is null").select("doc_id", "n_shingles", "signature")
-    firsts = rows.filter("n_shingles > 0 and doc_id is not null").groupBy("signature").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    shared = firsts.filter("copies > 1").select("signature", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    copies = salted.join(shared, ["signature", "_salt"]).filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    roots = components(edges.unionByName(copies))
+    rows = digests.filter("shingle is null").select("doc_id", "n_shingles")
+    roots = components(edges)
     return rows.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
 
 
