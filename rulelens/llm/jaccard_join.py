@@ -430,7 +430,7 @@ def _sets(n: int):
                 part = batch.slice(at, 500)
                 grams, bounds = shingle_sets(part.column(1), n)
                 data = grams.tobytes()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([data[8 * a : 8 * b] for a, b in itertools.pairwise(bounds)], type=pa.binary())], names=["doc_id", "grams"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([data[8 * a : 8 * b] for a, b in itertools.pairwise(bounds)], type=pa.binary()), part.column(2), part.column(3)], names=["doc_id", "grams", "as_pivot", "as_member"])
 
     return run
 
@@ -449,18 +449,21 @@ def _verify(left: pa.Table, right: pa.Table) -> pa.Table:
 
 
 def sets_of(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, grams) of the documents in stored pairs."""
-    ids = stored(pairs.select("doc_id").union(pairs.select("pivot")).distinct(), "candidates")
-    return stored(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(n), "doc_id bigint, grams binary"), "sets")
+    """(doc_id, grams, as_pivot, as_member) of the documents in stored pairs; the flags spare :func:`verified` sets it has no use for."""
+    no, yes = F.lit(False), F.lit(True)
+    sides = pairs.select("doc_id", no.alias("p"), yes.alias("m")).union(pairs.select("pivot", yes, no))
+    ids = stored(sides.groupBy("doc_id").agg(F.bool_or("p").alias("as_pivot"), F.bool_or("m").alias("as_member")), "candidates")
+    found = docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "text", "as_pivot", "as_member")
+    return stored(found.mapInArrow(_sets(n), "doc_id bigint, grams binary, as_pivot boolean, as_member boolean"), "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The linked ones of distinct pairs (pivot, doc_id), as edges a, b."""
     many = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / GROUP).alias("_groups"))
     dealt = pairs.join(many, "pivot").withColumn("_group", F.pmod(F.xxhash64("doc_id"), F.col("_groups"))).drop("_groups")
-    members = dealt.join(sets, "doc_id").select("pivot", "_group", "doc_id", "grams")
+    members = dealt.join(sets.filter("as_member"), "doc_id").select("pivot", "_group", "doc_id", "grams")
     pivots = many.select("pivot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_groups") - 1)).alias("_group"))
-    held = pivots.join(sets.withColumnRenamed("doc_id", "pivot"), "pivot").select(F.col("pivot").alias("p"), F.col("_group").alias("g"), F.col("grams").alias("own"))
+    held = pivots.join(sets.filter("as_pivot").withColumnRenamed("doc_id", "pivot"), "pivot").select(F.col("pivot").alias("p"), F.col("_group").alias("g"), F.col("grams").alias("own"))
     return members.groupBy("pivot", "_group").cogroup(held.groupBy("p", "g")).applyInArrow(_verify, "a bigint, b bigint")
 
 
