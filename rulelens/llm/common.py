@@ -6,13 +6,14 @@ identified by 64-bit hashes inside the operators that count or compare them.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Odd multipliers of the splitmix64 finaliser; any odd constants would do.
@@ -123,6 +124,24 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+@contextlib.contextmanager
+def bloom_filters(spark: SparkSession):
+    """Jobs started inside may filter the large side of a shuffled join by a Bloom filter of the other side's keys, whatever their sizes.
+
+    Spark does that by itself from 10 GB on, for up to 10 MB of keys. The filter has a fixed largest size (8 MB) and only spares rows the shuffle.
+    """
+    prefix = "spark.sql.optimizer.runtime.bloomFilter."
+    wanted = {"applicationSideScanSizeThreshold": "0", "creationSideThreshold": "1g"}
+    before = {name: spark.conf.get(prefix + name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(prefix + name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(prefix + name, value)
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns under the operator's own names and nothing else, so that further columns of
     the input, whatever they are called, cannot clash."""

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rulelens.llm.common import Words, bucket_of, chain, fresh, mix, only, pack, partitions, portions, ranges, unpack
+from rulelens.llm.common import Words, bloom_filters, bucket_of, chain, fresh, mix, only, pack, partitions, portions, ranges, unpack
 from rulelens.llm.components import components
 from rulelens.session import stored
 
@@ -424,47 +424,55 @@ def open_pairs(rest: DataFrame, more_than_half: bool = False) -> DataFrame:
 
 
 def _sets(n: int):
+    """Per role of a document a row with its set, which is made once."""
+    schema = pa.schema([("pivot", pa.int64()), ("part", pa.int64()), ("doc_id", pa.int64()), ("grams", pa.binary())])
+
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                grams, bounds = shingle_sets(part.column(1), n)
-                data = grams.tobytes()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([data[8 * a : 8 * b] for a, b in itertools.pairwise(bounds)], type=pa.binary()), part.column(2), part.column(3)], names=["doc_id", "grams", "as_pivot", "as_member"])
+        for batch in (part for whole in batches for part in portions(whole, 1, 1 << 20)):
+            grams, bounds = shingle_sets(batch.column(1), n)
+            data = grams.tobytes()
+            for t, (doc, roles) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                own = data[8 * bounds[t] : 8 * bounds[t + 1]]
+                rows_a_batch = max(1, (8 << 20) // max(len(own), 1))
+                for at in range(0, len(roles), rows_a_batch):
+                    some = roles[at : at + rows_a_batch]
+                    columns = [[r["pivot"] for r in some], [r["part"] for r in some], [doc] * len(some), [own] * len(some)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return run
 
 
-def _verify(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Members of a group (doc_id, grams) against the sets of one document."""
-    out = []
-    for own in right.column("own").to_pylist():
-        one = np.frombuffer(own, dtype=np.uint64)
-        for pivot, doc, other in zip(*(left.column(c).to_pylist() for c in ("pivot", "doc_id", "grams")), strict=True):
-            two = np.frombuffer(other, dtype=np.uint64)
-            shared = len(np.intersect1d(one, two, assume_unique=True))
-            if shared and shared >= least_overlap(len(one), len(two)):
-                out.append((pivot, doc))
+def _verify(group: pa.Table) -> pa.Table:
+    """Members of a group against the sets of its pivot, the document whose id is the group's."""
+    rows = list(zip(*(group.column(c).to_pylist() for c in ("pivot", "doc_id", "grams")), strict=True))
+    own = [np.frombuffer(grams, dtype=np.uint64) for pivot, doc, grams in rows if doc == pivot]
+    out = set()
+    for pivot, doc, grams in rows:
+        two = np.frombuffer(grams, dtype=np.uint64)
+        if doc != pivot and any(_linked(one, two) for one in own):
+            out.add((pivot, doc))
     return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
 
-def sets_of(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, grams, as_pivot, as_member) of the documents in stored pairs; the flags spare :func:`verified` sets it has no use for."""
-    no, yes = F.lit(False), F.lit(True)
-    sides = pairs.select("doc_id", no.alias("p"), yes.alias("m")).union(pairs.select("pivot", yes, no))
-    ids = stored(sides.groupBy("doc_id").agg(F.bool_or("p").alias("as_pivot"), F.bool_or("m").alias("as_member")), "candidates")
-    found = docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "text", "as_pivot", "as_member")
-    return stored(found.mapInArrow(_sets(n), "doc_id bigint, grams binary, as_pivot boolean, as_member boolean"), "sets")
+def _linked(one: np.ndarray, two: np.ndarray) -> bool:
+    shared = len(np.intersect1d(one, two, assume_unique=True))
+    return shared > 0 and shared >= least_overlap(len(one), len(two))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The linked ones of distinct pairs (pivot, doc_id), as edges a, b."""
-    many = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / GROUP).alias("_groups"))
-    dealt = pairs.join(many, "pivot").withColumn("_group", F.pmod(F.xxhash64("doc_id"), F.col("_groups"))).drop("_groups")
-    members = dealt.join(sets.filter("as_member"), "doc_id").select("pivot", "_group", "doc_id", "grams")
-    pivots = many.select("pivot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_groups") - 1)).alias("_group"))
-    held = pivots.join(sets.filter("as_pivot").withColumnRenamed("doc_id", "pivot"), "pivot").select(F.col("pivot").alias("p"), F.col("_group").alias("g"), F.col("grams").alias("own"))
-    return members.groupBy("pivot", "_group").cogroup(held.groupBy("p", "g")).applyInArrow(_verify, "a bigint, b bigint")
+def verified(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """The linked ones of stored distinct pairs (pivot, doc_id), as edges a, b.
+
+    Pairs are dealt to parts of about ``GROUP`` members of one pivot. Every candidate's text is looked up once, with the
+    list of its roles (parts it is a member or the pivot of), and its set is sent to each of them, nowhere else. Texts of other documents
+    are left out before the shuffle, by a Bloom filter of Spark's own where the candidates are too many to be broadcast.
+    """
+    parts = stored(pairs.groupBy("pivot").agg(F.ceil(F.count("*") / GROUP).alias("parts")), "pivots")
+    member = pairs.join(parts, "pivot").select("doc_id", "pivot", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"))
+    pivot = parts.select(F.col("pivot").alias("doc_id"), "pivot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
+    roles = stored(member.unionByName(pivot).groupBy("doc_id").agg(F.collect_list(F.struct("pivot", "part")).alias("roles")), "candidates")
+    found = docs.select("doc_id", "text").join(roles.filter(F.size("roles") > 0), "doc_id").select("doc_id", "text", "roles")
+    sets = found.mapInArrow(_sets(n), "pivot bigint, part bigint, doc_id bigint, grams binary")
+    return sets.groupBy("pivot", "part").applyInArrow(_verify, "a bigint, b bigint")
 
 
 def equal_sets(digests: DataFrame) -> DataFrame:
@@ -504,17 +512,21 @@ def links(docs: DataFrame, n: int = WORDS) -> tuple[DataFrame, DataFrame]:
 
     # most linked sets share half of the lists they need with the smallest member itself; the others are met below
     starred = scanned.filter(_possible("pivot_", "")).groupBy("pivot", "pivot_size", "doc_id", "size").agg(F.count("*").alias("n"))
-    first = stored(starred.filter(f"2 * n >= {_needed('pivot_', '')}").select("pivot", "doc_id"), "pairs")
-    edges = stored(verified(first, sets_of(docs, first, n)).unionByName(certain).unionByName(copies.select("a", "b")), "links")
+    # a copy of an equal set has that one's links
+    spare = stored(copies.filter("spare").select(F.col("b").alias("doc_id")).distinct(), "spare-copies")
+    near = starred.filter(f"2 * n >= {_needed('pivot_', '')}").select("pivot", "doc_id")
+    first = stored(near.join(spare, "doc_id", "left_anti").select("pivot", "doc_id"), "pairs")
+    with bloom_filters(docs.sparkSession):
+        edges = stored(verified(docs, first, n).unionByName(certain).unionByName(copies.select("a", "b")), "links")
 
     # members of one list that are still in different components
     roots = components(edges)
-    spare = copies.filter("spare").select(F.col("b").alias("doc_id")).distinct()
     node = _enough_lists(scanned.join(spare, "doc_id", "left_anti")).join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")).select("key", "doc_id", "size", "place", "root")
     apart = node.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
     rest = stored(node.join(apart, "key", "left_semi"), "open-lists")
     second = stored(open_pairs(rest, more_than_half=True), "open-pairs")
-    more = stored(verified(second, sets_of(docs, second, n)), "links")
+    with bloom_filters(docs.sparkSession):
+        more = stored(verified(docs, second, n), "links")
     return digests, edges.unionByName(more)
 
 
