@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -49,20 +51,20 @@ def filter_tasks(tasks: DataFrame, user_id, repository: str = "", author: str =
 
 
 def filter_for_requests(tasks: DataFrame, requests: DataFrame) -> DataFrame:
-    """The same filter for many requests ``(request_id, user_id, repository, author, status)`` at once."""
-    r, t = requests.alias("r"), tasks.alias("t")
-
-    def unset_or_equal(request: str, column: str) -> Column:
-        value = F.coalesce(F.col(f"r.{request}"), F.lit(""))
-        return (value == "") | (value == F.col(f"t.{column}"))
-
-    on = (
-        (F.col("r.user_id") == F.col("t.user_id"))
-        & unset_or_equal("repository", "repository_full_name")
-        & unset_or_equal("author", "pr_author")
-        & unset_or_equal("status", "status")
-    )
-    return t.join(r, on).select("r.request_id", "t.*")
+    """The same filter for many requests ``(request_id, user_id, repository, author, status)`` at once.
+
+    Requests are split by the fields they set, and each kind is one equi-join on just these fields; a null or empty field does not filter.
+    """
+    fields = {"repository": "repository_full_name", "author": "pr_author", "status": "status"}
+    found = []
+    for chosen in (c for n in range(len(fields) + 1) for c in itertools.combinations(fields, n)):
+        alike = requests
+        for field in fields:
+            given = F.coalesce(F.col(field), F.lit("")) != ""
+            alike = alike.filter(given if field in chosen else ~given)
+        wanted = alike.select("request_id", "user_id", *(F.col(f).alias(fields[f]) for f in chosen))
+        found.append(tasks.join(wanted, ["user_id", *(fields[f] for f in chosen)]).select("request_id", *tasks.columns))
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def summary(tasks: DataFrame) -> DataFrame:

@@ -1245,7 +1245,7 @@ def d9_file_contexts(spark, folder):
     found = contexts.file_matches(_hits(spark, folder), views.context_files(spark, folder), max_chars=6000)
     return found.select(
         "query_id", "source", "relevance_score", "language", F.array_join("matched_symbols", ",").alias("symbols"),
-        "found", "truncated", F.when(~F.col("truncated"), F.md5("file_content")).alias("content_md5"),
+        "found", "truncated", F.md5("file_content").alias("content_md5"),
     )
 
 

@@ -872,10 +872,24 @@ BODIES: dict[str, str] = {
       from (select distinct w.repo, w.file_path, chunk from ({_windows('current_files', 1000, 100)}) w
             join changes c on c.repo = w.repo and c.file_path = w.file_path and c.change in ('new', 'changed')) group by repo) where branch = ''""",
     "d9_file_contexts": """
+      with t as (select query_id, source, string_split(file_text, chr(10)) as lines from grouped where length(file_text) > 6000),
+      r as (select h.query_id, h.source, greatest(0, start_line - 21) as a, least(len(lines), end_line + 20) as b
+            from good_hits h join t on t.query_id = h.query_id and t.source = h.source),
+      m as (select *, max(b) over (partition by query_id, source order by a, b rows between unbounded preceding and 1 preceding) as before
+            from r where a < b),
+      i as (select *, sum(case when before is null or a > before then 1 else 0 end) over (partition by query_id, source order by a, b rows unbounded preceding) as island from m),
+      u as (select query_id, source, min(a) as a, max(b) as b from i group by query_id, source, island),
+      x as (select u.query_id, u.source, string_agg(array_to_string(lines[a + 1 : b], chr(10)),
+              concat(chr(10), chr(10), '... (content omitted) ...', chr(10), chr(10)) order by a) as body
+            from u join t on t.query_id = u.query_id and t.source = u.source group by u.query_id, u.source)
       select g.query_id, g.source, relevance_score, language, coalesce(symbols, '') as symbols, found, length(file_text) > 6000 as truncated,
-        case when length(file_text) <= 6000 then md5(concat('[Archivo: ', g.source,
-          case when s.n is null then '' else concat(case when s.n = 1 then ' | Funcion: ' else ' | Funciones: ' end, s.shown) end, ']', chr(10), file_text)) end as content_md5
-      from grouped g left join symbol_lists s on s.query_id = g.query_id and s.source = g.source""",
+        md5(concat('[Archivo: ', g.source,
+          case when s.n is null then '' else concat(case when s.n = 1 then ' | Funcion: ' else ' | Funciones: ' end, s.shown) end, ']', chr(10),
+          case when length(file_text) <= 6000 then file_text
+            when length(coalesce(body, file_text)) > 6000 then concat(left(coalesce(body, file_text), 6000), chr(10), '... (truncated)')
+            else body end)) as content_md5
+      from grouped g left join symbol_lists s on s.query_id = g.query_id and s.source = g.source
+      left join x on x.query_id = g.query_id and x.source = g.source""",
     "d10_configured_check": f"""
       with {_CONFIGURED}
       select query_id, task_id, rule_idx, verdict, explanation, llm_provider, tokens_used,

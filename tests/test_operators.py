@@ -103,6 +103,51 @@ def test_line_ranges_and_sections(spark):
     assert not gone.found and gone.file_content.split("\n", 1)[1] == "chunk0\nchunk1\nchunk2\nchunk3"
 
 
+def test_file_pieces_of_many_queries(spark):
+    """Any overlap of spans, short, missing and long files, long lines, and spans behind the end, against plain slices."""
+    rng = random.Random(3)
+    texts = {f"f{n}": "\n".join("x" * rng.randrange(9) + str(i) for i in range(size)) for n, size in enumerate((3, 90, 400, 900))}
+    texts |= {"wide": "\n".join("y" * 700 for _ in range(90)), "one": "z" * 3000}
+    hits = []
+    for q in range(25):
+        for n, source in enumerate(rng.choices([*texts, "none"], k=8)):
+            start = rng.choice([-1, rng.randrange(1, 1000), rng.randrange(1, 60)])
+            end = start if start < 0 else start + rng.randrange(40)
+            hits.append((q, "c", source, 0.5, n + 1, start, end, "py", None, f"{q}-{n}", "chunk\n" * rng.choice([1, 150])))
+    df = spark.createDataFrame(hits, "query_id int, collection_name string, source string, similarity double, hit_no int, start_line int, end_line int, language string, node_name string, chunk_hash string, content string")
+    files = spark.createDataFrame(list(texts.items()), "source string, file_text string")
+
+    def plain(q, source, most):
+        own = sorted((h for h in hits if h[0] == q and h[2] == source), key=lambda h: h[4])
+        text = texts.get(source, "\n".join(h[10] for h in own))
+        if len(text) <= most:
+            return text
+        lines = text.split("\n")
+        kept = sorted({i for h in own for i in range(max(0, h[5] - 21), min(len(lines), h[6] + 20))})
+        starts = [i for n, i in enumerate(kept) if not n or kept[n - 1] != i - 1]
+        parts = ["\n".join(lines[i] for i in kept if a <= i < b) for a, b in zip(starts, [*starts[1:], len(lines)])]
+        body = "\n\n... (content omitted) ...\n\n".join(parts) if kept else text
+        return body if len(body) <= most else body[:most] + "\n... (truncated)"
+
+    for most in (500, 1500):
+        got = {(r.query_id, r.source): r for r in contexts.file_matches(df, files, max_chars=most).collect()}
+        assert set(got) == {(h[0], h[2]) for h in hits}
+        for (q, source), r in got.items():
+            assert r.file_content.split("\n", 1)[1] == plain(q, source, most), (q, source, most)
+            assert r.found == (source in texts)
+
+
+def test_requests_by_their_fields(spark):
+    t = [(i, i % 2, f"r{i % 3}", None if i % 5 == 0 else f"a{i % 2}", ("done", "failed")[i % 4 == 0]) for i in range(40)]
+    asked = [(n, u, r, a, s) for n, (u, r, a, s) in enumerate(itertools.product((0, 1), ("", None, "r1"), ("", "a1"), (None, "failed")))]
+    got = tasks.filter_for_requests(
+        spark.createDataFrame(t, "id int, user_id int, repository_full_name string, pr_author string, status string"),
+        spark.createDataFrame(asked, "request_id int, user_id int, repository string, author string, status string"),
+    )
+    want = {(n, x[0]) for n, u, *fields in asked for x in t if x[1] == u and all(not f or f == v for f, v in zip(fields, x[2:]))}
+    assert sorted((r.request_id, r.id) for r in got.collect()) == sorted(want)
+
+
 def test_prompt_layout(spark):
     r = spark.createDataFrame([(1, "r", "u", "Be good"), (2, "r", "u", "No files")], "query_id int, repo string, url string, rule_text string")
     maps = spark.createDataFrame([("r", "MAP")], "repo string, map_text string")
