@@ -1,16 +1,17 @@
 """Latent semantic retrieval of benchmark passages, also paraphrased ones, in documents.
 
 Words are hashed to ``DIMS`` dimensions and weighted by inverse document frequency over all documents. A randomised SVD
-of a sample's passages together with the benchmark's gives ``RANK`` directions, or as many as a block of the benchmark has
-passages. Benchmark passages weigh as much as all sampled ones together, so their own directions come first and a copy keeps its
+of the passages of all documents together with the benchmark's gives ``RANK`` directions, or as many as a block of the benchmark has
+passages. Each benchmark passage weighs as much as all documents' passages together, so their own directions come first and a copy keeps its
 cosine however large the corpus is. Every passage (``WINDOW`` words, every
 ``STRIDE`` words) of every document is projected on them and compared with every benchmark passage; pairs of
 sufficient cosine are candidates. A candidate counts if the longest common subsequence of its words covers
 ``SURE`` of the benchmark passage, or ``LIKELY`` of it and ``ANSWER`` of its answer (the last sentence).
 
-How it runs: document frequencies are partial sums per task over ``DIMS`` numbers. The SVD is fitted on at most about ``SAMPLE``
-documents (a documented bound, chosen by id hash); its two passes return ``DIMS`` numbers for each direction, added
-up in blocks of rows, so what reaches the driver and is sent to the tasks has a fixed size. The search reads
+How it runs: texts are taken apart once and stored as the dimensions of their words. Document frequencies are partial sums per
+task over ``DIMS`` numbers. The SVD is that of a sketch: every passage of every document is added, with a sign, to one of ``ROWS``
+rows, both drawn by hash, and the benchmark's passages are rows of their own. A task's sketch has a fixed size; the
+sketches are added up in blocks of dimensions, so what reaches the driver and is sent to the tasks has a fixed size. The search reads
 each text once and shuffles nothing. The benchmark is the stated query set; it is searched in blocks of
 at most ``QUERIES`` passages, whatever its size, so the directions hold all passages of a block.
 
@@ -29,14 +30,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulelens.llm.common import WORD_BREAK, Words, fresh, mix, only, within
+from rulelens.llm.common import Words, fresh, mix, only, pack, portions, ranges, unpack, within
 from rulelens.session import stored
 
-DIMS, RANK, EXTRA, SAMPLE, SEED = 1 << 15, 128, 16, 4_000, 7
+DIMS, RANK, ROWS = 1 << 15, 128, 256
 WINDOW, STRIDE, QUERIES = 64, 32, 256
 COSINE, SURE, LIKELY, ANSWER = 0.22, 0.8, 0.6, 0.8
-ROW_BLOCK = 512
+DIM_BLOCK = 64
+PORTION_BYTES = 2 << 20
 _MARKS = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~¡¿«»“”„‘’…–—"
+PACKED = "n_texts bigint, n_words bigint, seeds binary, sizes binary, dims binary"
 HITS = "doc_id bigint, place bigint, item_id bigint, cosine double, lcs int, item_words int, lcs_ratio double, answer_ratio double"
 
 
@@ -57,21 +60,46 @@ class Terms(Words):
     def dims(self) -> np.ndarray:
         return (mix(self.hashes) >> np.uint64(64 - (DIMS.bit_length() - 1))).astype(np.int32)
 
+    @property
+    def word_dims(self) -> np.ndarray:
+        return self.dims[self.codes]
+
+
+class PackedTerms:
+    """The dimensions of the words of some texts, and a number to draw each text's signs from."""
+
+    def __init__(self, row: dict):
+        self.counts = unpack(row["sizes"], np.int32, row["n_texts"]).astype(np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.counts)])
+        self.word_dims = unpack(row["dims"], np.uint16, row["n_words"])
+        self.seeds = np.frombuffer(row["seeds"], dtype=np.uint64)
+
+
+def _packed(batches):
+    """PACKED: texts (doc_id, place, text) as the dimensions of their words, a row for a portion of texts."""
+    schema = pa.schema([("n_texts", pa.int64()), ("n_words", pa.int64()), *((c, pa.binary()) for c in ("seeds", "sizes", "dims"))])
+    for batch in (part for whole in batches for part in portions(whole, 2, PORTION_BYTES)):
+        terms = Terms(batch.column(2))
+        ids, places = (pc.fill_null(batch.column(c), 0).to_numpy(zero_copy_only=False).view(np.uint64) for c in (0, 1))
+        row = {"n_texts": batch.num_rows, "n_words": len(terms.codes), "seeds": mix(mix(ids) + places).tobytes(), "sizes": pack(terms.counts.astype(np.int32)), "dims": pack(terms.word_dims.astype(np.uint16))}
+        yield pa.RecordBatch.from_pylist([row], schema=schema)
+
 
 def _frequencies(batches):
-    """(dim, number of documents with it), and the number of documents under dim -1; one partial sum a task."""
-    total, docs = np.zeros(DIMS, dtype=np.int64), 0
+    """(dim, number of documents with it), the number of documents under dim -1 and that of passages under -2; one partial sum a task."""
+    total, docs, passages = np.zeros(DIMS, dtype=np.int64), 0, 0
     for batch in batches:
-        terms = Terms(batch.column(0))
-        owner = np.repeat(np.arange(len(terms.counts), dtype=np.int64), terms.counts)
-        seen = np.unique(owner * DIMS + terms.dims[terms.codes])
-        total += np.bincount(seen % DIMS, minlength=DIMS)
-        docs += len(terms.counts)
+        for row in batch.to_pylist():
+            terms = PackedTerms(row)
+            owner = np.repeat(np.arange(len(terms.counts), dtype=np.int64), terms.counts)
+            total += np.bincount(np.unique(owner * DIMS + terms.word_dims) % DIMS, minlength=DIMS)
+            docs += len(terms.counts)
+            passages += int(_windows(_segments(terms)[0]).sum())
     found = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(found, -1).astype(np.int32)), pa.array(np.append(total[found], docs))], names=["dim", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.append(found, [-1, -2]).astype(np.int32)), pa.array(np.append(total[found], [docs, passages]))], names=["dim", "n"])
 
 
-def _segments(terms: Terms) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _segments(terms: Terms | PackedTerms) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Segments of ``STRIDE`` words: their text, first word and end."""
     n = -(-terms.counts // STRIDE)
     text = np.repeat(np.arange(len(n)), n)
@@ -92,40 +120,37 @@ def _sums(values: np.ndarray, start: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, start, axis=0) if len(start) else values[:0]
 
 
-def _passages(batch_terms: Terms, idf: np.ndarray):
-    """Every window's words as (dims, weights scaled to unit norm, bounds)."""
-    text, start, end = _segments(batch_terms)
+def _passages(terms: Terms | PackedTerms, idf: np.ndarray):
+    """Every window's words as (dims, weights scaled to unit norm, bounds), and the text of each window."""
+    text, start, end = _segments(terms)
     opens = _windows(text)
     last = np.append(end[1:], 0)
     stop = np.where(np.append(text[1:] == text[:-1], False), last, end)[opens] if len(text) else end
     begin = start[opens]
     lengths = stop - begin
-    at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(begin, lengths)
-    dims = batch_terms.dims[batch_terms.codes[at]]
+    dims = terms.word_dims[ranges(begin, lengths)]
     weights = idf[dims]
     bounds = np.concatenate([[0], np.cumsum(lengths)])
     norms = np.sqrt(np.maximum(_sums(weights.astype(np.float64) ** 2, bounds[:-1]), 1e-12))
-    return dims, (weights / np.repeat(norms, lengths)).astype(np.float32), bounds
+    return dims, (weights / np.repeat(norms, lengths)).astype(np.float32), bounds, text[opens]
 
 
-def _gram(shared, idf: np.ndarray):
-    """Partial sums of A'(A Q) over the passages, in blocks of rows."""
+def _sketched(idf: np.ndarray):
+    """Partial sums of the sketch, in blocks of dimensions: a passage's row and sign follow from its text's seed and its place there."""
 
     def run(batches):
-        q = shared.value
-        total = np.zeros((DIMS, q.shape[1]), dtype=np.float32)
+        total = np.zeros(DIMS * ROWS, dtype=np.float32)
         for batch in batches:
-            for i in range(0, batch.num_rows, 50):
-                part = batch.slice(i, 50)
-                dims, weights, bounds = _passages(Terms(part.column(0)), idf)
-                if len(dims):
-                    projected = _sums(weights[:, None] * q[dims], bounds[:-1])
-                    scale = np.float32(part.column(1)[0].as_py())  # the same in a whole partition
-                    order = np.argsort(dims, kind="stable")
-                    owner = np.repeat(np.arange(len(projected)), np.diff(bounds))[order]
-                    first = np.flatnonzero(np.diff(dims[order], prepend=-1))
-                    total[dims[order][first]] += scale * _sums(weights[order][:, None] * projected[owner], first)
-        blocks = total.reshape(DIMS // ROW_BLOCK, -1)
+            for row in batch.to_pylist():
+                terms = PackedTerms(row)
+                dims, weights, bounds, text = _passages(terms, idf)
+                nth = np.arange(len(text)) - np.searchsorted(text, text)
+                drawn = mix(terms.seeds[text] + mix(nth.astype(np.uint64) + np.uint64(1)))
+                place = (drawn >> np.uint64(1)) % np.uint64(ROWS)
+                sign = np.where(drawn & np.uint64(1), np.float32(1), np.float32(-1))
+                lengths = np.diff(bounds)
+                np.add.at(total, dims.astype(np.int64) * ROWS + np.repeat(place.astype(np.int64), lengths), weights * np.repeat(sign, lengths))
+        blocks = total.reshape(DIMS // DIM_BLOCK, -1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array([b.tobytes() for b in blocks], pa.binary())], names=["block", "sums"])
 
     return run
@@ -136,22 +161,25 @@ def _add(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block")[:1], "sums": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
-def directions(sample: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """Leading right singular vectors of the passages of ``sample`` (text, weight), by randomised subspace iteration."""
-    context = sample.sparkSession.sparkContext
-    q = np.random.default_rng(SEED).standard_normal((DIMS, rank + EXTRA)).astype(np.float32)
-    gram = q
-    for _ in range(2):
-        shared = context.broadcast(q)  # DIMS x (rank + EXTRA) numbers
-        parts = sample.mapInArrow(_gram(shared, idf), "block int, sums binary").groupBy("block").applyInArrow(_add, "block int, sums binary").collect()
-        shared.unpersist()
-        gram = np.concatenate([np.frombuffer(r["sums"], dtype=np.float32) for r in sorted(parts, key=lambda r: r["block"])]).reshape(DIMS, -1)
-        del parts
-        if _ == 0:
-            q = np.linalg.qr(gram)[0].astype(np.float32)
-    small = (q.T @ gram).astype(np.float64)
-    values, vectors = np.linalg.eigh((small + small.T) / 2)
-    return q @ vectors[:, np.argsort(-values)[:rank]].astype(np.float32)
+def sketch(words: DataFrame, idf: np.ndarray) -> np.ndarray:
+    """DIMS x ROWS: the passages of all texts of stored ``words`` (PACKED), each added with its sign to its row."""
+    parts = words.mapInArrow(_sketched(idf), "block int, sums binary").groupBy("block").applyInArrow(_add, "block int, sums binary").collect()  # a fixed size
+    out = np.zeros((DIMS // DIM_BLOCK, DIM_BLOCK * ROWS), dtype=np.float32)
+    for r in parts:
+        out[r["block"]] = np.frombuffer(r["sums"], dtype=np.float32)
+    return out.reshape(DIMS, ROWS)
+
+
+def directions(corpus: np.ndarray, texts: list[str], weight: float, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
+    """Leading right singular vectors of the sketched passages and the benchmark passages ``texts``, each of which weighs ``weight``."""
+    rows = np.zeros((ROWS + len(texts), DIMS), dtype=np.float32)
+    rows[:ROWS] = corpus.T
+    dims, weights, bounds, owner = _passages(Terms(pa.array(texts, pa.string())), idf)
+    np.add.at(rows, (ROWS + np.repeat(owner, np.diff(bounds)), dims), weights * np.float32(np.sqrt(weight)))
+    values, left = np.linalg.eigh((rows @ rows.T).astype(np.float64))
+    top = np.argsort(-values)[:rank]
+    top = top[values[top] > 1e-6 * values[top[0]]]
+    return rows.T @ (left[:, top] / np.sqrt(values[top])).astype(np.float32)
 
 
 def lcs(one: np.ndarray, two: np.ndarray) -> int:
@@ -282,13 +310,13 @@ def _hits(terms: Terms, idf: np.ndarray, basis: np.ndarray, queries: Queries) ->
     return list(best.values())
 
 
-def weights_of(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Inverse document frequency per dimension over all documents (text), and their number."""
-    found = {r["dim"]: r["n"] for r in docs.mapInArrow(_frequencies, "dim int, n bigint").groupBy("dim").agg(F.sum("n").alias("n")).collect()}  # DIMS + 1 rows
-    total = found.pop(-1, 0)
+def weights_of(words: DataFrame) -> tuple[np.ndarray, int]:
+    """Inverse document frequency per dimension over all documents of stored ``words`` (PACKED), and the number of their passages."""
+    found = {r["dim"]: r["n"] for r in words.mapInArrow(_frequencies, "dim int, n bigint").groupBy("dim").agg(F.sum("n").alias("n")).collect()}  # DIMS + 2 rows
+    total, count = found.pop(-1, 0), found.pop(-2, 0)
     counts = np.zeros(DIMS)
     counts[list(found)] = list(found.values())
-    return np.log((total + 2.0) / (counts + 1.0)).astype(np.float32), total
+    return np.log((total + 2.0) / (counts + 1.0)).astype(np.float32), count
 
 
 def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -296,18 +324,14 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     source = only(docs, doc_id=id_col, text=text_col).filter("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("place"), "text")
     items = only(benchmark, item_id=item_col, text=item_text_col).withColumn("item_id", F.col("item_id").cast("bigint")).filter("text is not null").orderBy("item_id", "text").collect()  # the query set
     spark = docs.sparkSession
-    idf, total = weights_of(source.select("text"))
-    share = min(1.0, SAMPLE / max(total, 1))
-    sampled = source.filter(F.pmod(F.xxhash64("place", "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text", F.lit(1.0).alias("weight"))
-    sample = stored(sampled, "svd-sample")
-    windows = F.greatest(F.lit(1), F.ceil(F.size(F.split("text", WORD_BREAK)) / STRIDE))
-    weight = float(sample.select(F.sum(windows)).first()[0] or 1)
+    words = stored(source.mapInArrow(_packed, PACKED), "passage-words")
+    idf, count = weights_of(words)
+    corpus = sketch(words, idf)
     queries = passages(items)
     found = None
     for first in range(0, max(len(queries), 1), QUERIES):
         own = queries[first : first + QUERIES]
-        texts = spark.createDataFrame([(r["text"], weight) for r in own], "text string, weight double")
-        basis = directions(sample.coalesce(8).unionByName(texts.coalesce(1)), idf, max(RANK, len(own)))
+        basis = directions(corpus, [r["text"] for r in own], float(max(count, 1)), idf, max(RANK, len(own)))
         shared = spark.sparkContext.broadcast((basis, Queries(own, idf, basis)))  # fixed size
         hits = stored(source.mapInArrow(_search(shared, idf), HITS), "leaks")
         found = hits if found is None else found.unionByName(hits)

@@ -228,6 +228,22 @@ def test_clean_keeps_the_rest(spark, data):
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in docs.collect()} - leaks
 
 
+def test_directions_come_from_all_documents(spark):
+    """Every document's own word is in the sketch, however many documents there are, and the sketch depends on no partitioning."""
+    docs = [(k, f"common words {k}a{k} of many") for k in range(9_000)]
+    source = frame(spark, docs).selectExpr("doc_id", "xxhash64(text) as place", "text")
+    sketches = []
+    for parts in (1, 6):
+        words = source.repartition(parts).mapInArrow(decontamination._packed, decontamination.PACKED)
+        idf, count = decontamination.weights_of(words)
+        sketches.append(decontamination.sketch(words, idf))
+        assert count == len(docs)
+    assert np.allclose(*sketches, atol=1e-3)
+    own = decontamination.Terms(pa.array([f"{k}a{k}" for k, _ in docs]))
+    alone = np.bincount(own.word_dims, minlength=decontamination.DIMS)[own.word_dims] == 1  # others may cancel out
+    assert alone.sum() > 5_000 and np.abs(sketches[0][own.word_dims[alone]]).sum(axis=1).min() > 0.1
+
+
 @pytest.mark.parametrize("meetings,piece,batch", [(20_000_000, 5_000, 10_000), (500, 7, 3)])
 def test_counters_equal_a_plain_self_join(spark, monkeypatch, meetings, piece, batch):
     monkeypatch.setattr(jaccard_join, "MEETINGS_PER_BLOCK", meetings)
