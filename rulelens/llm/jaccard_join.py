@@ -11,8 +11,8 @@ most ``x`` shingles are light, larger ones heavy; ``x`` comes from measured cost
   behind the prefixes cannot make up for fewer (:func:`_needed`). Lists are scanned in two rounds: first
   every member is held against the list's smallest document, its pivot, which finds groups of copies in time linear in
   their size; then lists with members of different components are scanned with counters (:func:`_count`): sets are dealt to blocks by size, every
-  block is sent the lists of its sets, and adds up in memory how many lists two sets share. Only pairs that reach the number
-  they need leave the block. Candidates are verified on the whole sets. A pair that gets at least half of the lists it needs
+  block is sent the lists of its sets, and adds up in memory how many lists two sets share. Pairs that reach the number
+  they need are verified in the block, on the whole sets, and only links that join its sets leave it (:func:`_forest`). A pair that gets at least half of the lists it needs
   from those where one of the two is the pivot is a candidate of the first round; any other linked pair gets more than half
   from the lists where neither is. So the second round leaves out the pivots, and with them all lists of two sets.
 
@@ -35,11 +35,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rulelens.llm.common import Words, bloom_filters, bucket_of, chain, fresh, mix, only, pack, partitions, portions, ranges, unpack
+from rulelens.llm.common import Words, bloom_filters, bucket_of, chain, fresh, mix, only, pack, partitions, portions, ranges, unpack, within
 from rulelens.llm.components import components
 from rulelens.session import stored
 
@@ -50,12 +51,16 @@ LARGEST_LIGHT = 16
 ENTRIES_PER_RANGE = 250_000
 #: Meetings of two members of a list, before any bound, that a block of counters may see.
 MEETINGS_PER_BLOCK = 20_000_000
+PORTION_MEETINGS = 250_000
 PIECE = 5_000
 GROUP = 1_000
 SALTS = 16
+#: Texts are taken apart, and their shingles ordered, in parts of about this size, since that takes some 20 times their memory.
+PART_BYTES, PART_SHINGLES = 1 << 20, 200_000
 SUBSET_BIT = np.uint64(1)
 DIGESTS = "doc_id bigint, n_shingles bigint, signature binary, shingle bigint, found bigint"
 PACKED = "bucket int, n bigint, keys binary, docs binary, sizes binary, places binary"
+SETS = "pivot bigint, part bigint, doc_id bigint, grams binary"
 PAIRS = "pivot bigint, doc_id bigint"
 ENTRY = ("docs", "sizes", "places", "roots", "own")
 LISTS = "key bigint, pivot bigint, pivot_size bigint, pivot_place bigint, doc_id bigint, size bigint, place bigint, certain boolean, need bigint"
@@ -64,6 +69,14 @@ LISTS = "key bigint, pivot bigint, pivot_size bigint, pivot_place bigint, doc_id
 def shingle_sets(texts: pa.Array, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """All texts' sorted distinct shingle hashes, one after the other, and where each text's begin. A text
     of fewer than ``n`` words has one shingle, the whole sequence."""
+    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+    parts = [_shingle_sets(part.column(0), n) for part in portions(batch, 0, PART_BYTES)]
+    grams = np.concatenate([np.zeros(0, np.uint64), *(g for g, _ in parts)])
+    sizes = np.concatenate([np.zeros(0, np.int64), *(np.diff(b) for _, b in parts)])
+    return grams, np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     words = Words(texts)
     counts, starts = words.counts, words.starts[:-1]
     tokens = mix(words.hashes)[words.codes]
@@ -151,6 +164,15 @@ def _digests(n: int):
 
 def _entries(grams, bounds, ids, light: int, frequent: np.ndarray, ranks: np.ndarray):
     """(keys, documents, sizes, places) of all list entries of a batch, sorted by key."""
+    part = bounds[:-1] // PART_SHINGLES
+    cuts = [0, *_changes(part).tolist(), len(ids)]
+    parts = [_unsorted_entries(grams[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], ids[a:b], light, frequent, ranks) for a, b in itertools.pairwise(cuts)]
+    keys, docs, sizes, places = (np.concatenate(columns) for columns in zip(*parts, strict=True))
+    order = np.argsort(keys, kind="stable")
+    return keys[order], docs[order], sizes[order], places[order]
+
+
+def _unsorted_entries(grams, bounds, ids, light: int, frequent: np.ndarray, ranks: np.ndarray):
     sizes = np.diff(bounds)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     at = np.minimum(np.searchsorted(frequent, grams), max(len(frequent) - 1, 0))
@@ -173,9 +195,8 @@ def _entries(grams, bounds, ids, light: int, frequent: np.ndarray, ranks: np.nda
         keys.append(listed)
         docs.append(np.full(len(listed), t))
         places.append(np.zeros(len(listed), dtype=np.int64))
-    keys, docs, places = np.concatenate(keys), np.concatenate(docs), np.concatenate(places)
-    order = np.argsort(keys, kind="stable")
-    return keys[order], ids[docs[order]], sizes[docs[order]], places[order]
+    docs = np.concatenate(docs)
+    return np.concatenate(keys), ids[docs], sizes[docs], np.concatenate(places)
 
 
 def _postings(n: int, light: int, frequent: np.ndarray, ranks: np.ndarray, buckets: int):
@@ -295,7 +316,7 @@ def _meetings(entries: dict, block: int, level: int):
     mine = mine[_level(sizes[mine]) == level]
     low = np.searchsorted(key, (number[mine] << 32) + -(-NUMERATOR * sizes[mine] // DENOMINATOR))
     high = np.searchsorted(key, key[mine], side="right")
-    portion = np.cumsum(high - low) // 1_000_000
+    portion = np.cumsum(high - low) // PORTION_MEETINGS
     for p in np.unique(portion):
         at = portion == p
         x, y = np.repeat(mine[at], (high - low)[at]), ranges(low[at], (high - low)[at])
@@ -319,7 +340,7 @@ class _Counters:
     def add(self, parts: tuple[np.ndarray, ...]) -> None:
         self.waiting.append(np.stack(parts))
         self.n += len(parts[0])
-        if self.n > 2_000_000:
+        if self.n > max(2 * PORTION_MEETINGS, 0 if self.held is None else self.held.shape[1]):
             self._fold()
 
     def _fold(self) -> None:
@@ -376,16 +397,60 @@ def _whole_lists(batches):
         yield from parts(held)
 
 
-def _count(more_than_half: bool):
-    """Candidates (pivot, doc_id) of the blocks."""
+def _forest(pairs: pa.RecordBatch, sets: dict[int, list[np.ndarray]]) -> pa.RecordBatch:
+    """Linked ones of a block's candidates, without those whose ends earlier ones join: fewer than there are documents."""
+    parent: dict[int, int] = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    other, own = (pairs.column(c).to_numpy() for c in ("pivot", "doc_id"))
+    order = np.argsort(own, kind="stable")
+    other, own = other[order], own[order]
+    kept = []
+    for a, b in itertools.pairwise([0, *_changes(own).tolist(), len(own)] if len(own) else [0]):
+        doc = int(own[a])
+        for at in range(a, b, GROUP):
+            partners = [y for y in other[at : min(at + GROUP, b)].tolist() if root(y) != root(doc)]
+            held = [(y, grams) for y in partners for grams in sets.get(y, ()) if len(grams)]
+            for one in sets.get(doc, ()) if held else ():
+                lengths = np.array([len(grams) for _, grams in held])
+                found = within(one, np.concatenate([grams for _, grams in held])) >= 0
+                shared = np.add.reduceat(found.astype(np.int64), np.cumsum(lengths) - lengths)
+                for i in np.flatnonzero((shared > 0) & (shared >= least_overlap(len(one), lengths))):
+                    y = held[i][0]
+                    if root(y) != root(doc):
+                        parent[root(y)] = root(doc)
+                        kept.append((y, doc))
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in kept], pa.int64()) for i in (0, 1)], names=["pivot", "doc_id"])
+
+
+def _without_sets(batches, sets: dict):
+    """The rows of lists; rows without a key, which come before a block's lists, are put into ``sets``."""
+    for batch in batches:
+        alone = batch.column("key").is_null()
+        for r in batch.filter(alone).select(["block", "level", "docs", "grams"]).to_pylist():
+            sets.setdefault((r["block"], r["level"]), {}).setdefault(r["docs"][0], []).append(np.frombuffer(r["grams"], dtype=np.uint64))
+        rest = batch.filter(pc.invert(alone))
+        if rest.num_rows:
+            yield rest
+
+
+def _count(more_than_half: bool, verify: bool):
+    """Candidates (pivot, doc_id) of the blocks; with ``verify`` the links that join them."""
 
     def run(batches):
-        for _, lists in itertools.groupby(_whole_lists(batches), key=lambda x: x[:2]):
+        sets: dict[tuple[int, int], dict] = {}
+        for block, lists in itertools.groupby(_whole_lists(_without_sets(batches, sets) if verify else batches), key=lambda x: x[:2]):
             counters = _Counters()
-            for block, level, entries in lists:
-                for found in _meetings(entries, block, level):
+            for number, level, entries in lists:
+                for found in _meetings(entries, number, level):
                     counters.add(found)
-            yield counters.linked(more_than_half)
+            pairs = counters.linked(more_than_half)
+            del counters
+            yield _forest(pairs, sets.pop(block, {})) if verify else pairs
 
     return run
 
@@ -402,10 +467,12 @@ def _enough_lists(scanned: DataFrame) -> DataFrame:
     return counted.withColumn("_most", F.max("_most").over(least)).filter("need <= _most").drop("_most")
 
 
-def open_pairs(rest: DataFrame, more_than_half: bool = False) -> DataFrame:
+def open_pairs(rest: DataFrame, more_than_half: bool = False, docs: DataFrame | None = None, n: int = WORDS) -> DataFrame:
     """Candidates (pivot, doc_id) of stored open lists ``rest`` (key, doc_id, size, place, root), by counters.
 
-    They share as many lists as they need; with ``more_than_half``, for lists without their pivots, more than half as many."""
+    They share as many lists as they need; with ``more_than_half``, for lists without their pivots, more than half as many.
+    With ``docs`` (doc_id, text) every block is also sent the sets of its documents, and only links leave it, at most
+    one for each document: what joins all linked ones, however many pairs a group of similar documents has."""
     level = F.floor(F.log(F.col("size").cast("double")) / math.log(DENOMINATOR / NUMERATOR)).cast("bigint")
     leveled = rest.withColumn("level", level)
     counts = stored(leveled.groupBy("key", "level").agg(F.count("*").alias("n")), "list-sizes")
@@ -419,8 +486,23 @@ def open_pairs(rest: DataFrame, more_than_half: bool = False) -> DataFrame:
     entry = F.struct("doc_id", "size", "place", "root", "own")
     lists = dealt.join(counts, ["key", "level"]).groupBy("key", F.col("level").alias("from"), piece.alias("piece")).agg(F.collect_list(entry).alias("e"))
     packed = stored(lists.select("key", "from", *(F.col(f"e.{c}").alias(name) for c, name in zip(("doc_id", "size", "place", "root", "own"), ENTRY, strict=True))), "packed-lists")
-    sent = packed.withColumn("level", F.explode(F.array(F.col("from"), F.col("from") + 1))).drop("from").join(visits, ["key", "level"])
-    return sent.repartition("block", "level").sortWithinPartitions("block", "level", "key").mapInArrow(_count(more_than_half), PAIRS)
+    sent = packed.withColumn("level", F.explode(F.array(F.col("from"), F.col("from") + 1))).drop("from").join(visits, ["key", "level"]).select("key", "level", "block", *ENTRY)
+    if docs is not None:
+        # blocks that a document's lists are sent to
+        meets = sent.select(F.explode("docs").alias("doc_id"), F.col("block").cast("bigint").alias("pivot"), F.col("level").alias("part")).distinct()
+        found = _with_roles(docs, meets)
+        sets = found.mapInArrow(_sets(n), SETS).select(F.col("part").alias("level"), F.col("pivot").alias("block"), F.array("doc_id").alias("docs"), "grams")
+        with bloom_filters(docs.sparkSession):
+            sets = stored(sets, "open-sets")
+        sent = sent.unionByName(sets, allowMissingColumns=True)
+    return sent.repartition("block", "level").sortWithinPartitions("block", "level", F.col("key").asc_nulls_first()).mapInArrow(_count(more_than_half, docs is not None), PAIRS)
+
+
+def _with_roles(docs: DataFrame, roles: DataFrame) -> DataFrame:
+    """(doc_id, text, roles) of the documents that have ``roles`` (doc_id, pivot, part). Texts of other documents
+    are left out before the shuffle, by a Bloom filter of Spark's own where there are too many roles to be broadcast."""
+    listed = stored(roles.groupBy("doc_id").agg(F.collect_list(F.struct("pivot", "part")).alias("roles")), "candidates")
+    return docs.select("doc_id", "text").join(listed.filter(F.size("roles") > 0), "doc_id").select("doc_id", "text", "roles")
 
 
 def _sets(n: int):
@@ -463,15 +545,12 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
     """The linked ones of stored distinct pairs (pivot, doc_id), as edges a, b.
 
     Pairs are dealt to parts of about ``GROUP`` members of one pivot. Every candidate's text is looked up once, with the
-    list of its roles (parts it is a member or the pivot of), and its set is sent to each of them, nowhere else. Texts of other documents
-    are left out before the shuffle, by a Bloom filter of Spark's own where the candidates are too many to be broadcast.
+    list of its roles (parts it is a member or the pivot of), and its set is sent to each of them, nowhere else.
     """
     parts = stored(pairs.groupBy("pivot").agg(F.ceil(F.count("*") / GROUP).alias("parts")), "pivots")
     member = pairs.join(parts, "pivot").select("doc_id", "pivot", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"))
     pivot = parts.select(F.col("pivot").alias("doc_id"), "pivot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"))
-    roles = stored(member.unionByName(pivot).groupBy("doc_id").agg(F.collect_list(F.struct("pivot", "part")).alias("roles")), "candidates")
-    found = docs.select("doc_id", "text").join(roles.filter(F.size("roles") > 0), "doc_id").select("doc_id", "text", "roles")
-    sets = found.mapInArrow(_sets(n), "pivot bigint, part bigint, doc_id bigint, grams binary")
+    sets = _with_roles(docs, member.unionByName(pivot)).mapInArrow(_sets(n), SETS)
     return sets.groupBy("pivot", "part").applyInArrow(_verify, "a bigint, b bigint")
 
 
@@ -524,9 +603,7 @@ def links(docs: DataFrame, n: int = WORDS) -> tuple[DataFrame, DataFrame]:
     node = _enough_lists(scanned.join(spare, "doc_id", "left_anti")).join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")).select("key", "doc_id", "size", "place", "root")
     apart = node.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
     rest = stored(node.join(apart, "key", "left_semi"), "open-lists")
-    second = stored(open_pairs(rest, more_than_half=True), "open-pairs")
-    with bloom_filters(docs.sparkSession):
-        more = stored(verified(docs, second, n), "links")
+    more = stored(open_pairs(rest, more_than_half=True, docs=docs, n=n).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")), "links")
     return digests, edges.unionByName(more)
 
 

@@ -228,6 +228,31 @@ def test_clean_keeps_the_rest(spark, data):
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in docs.collect()} - leaks
 
 
+def test_large_groups_of_similar_documents_emit_few_rows(spark):
+    """Blocks that verify send out fewer rows than there are documents, which join what all links join."""
+    rng = random.Random(6)
+    base = [f"b{k}" for k in range(60)]
+    docs = [(k, " ".join([*base, *(f"r{rng.randrange(10**6)}" for _ in range(8 + 3 * (k % 4)))])) for k in range(120)]
+    grams, bounds = jaccard_join.shingle_sets(pa.array([t for _, t in docs]))
+    common = sorted(set.intersection(*(set(grams[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:], strict=True))))[:20]
+    sizes = np.diff(bounds).tolist()
+    rest = spark.createDataFrame([(g >> 1, d, sizes[d], p, d) for p, g in enumerate(common) for d, _ in docs], "key bigint, doc_id bigint, size bigint, place bigint, root bigint")
+    candidates = jaccard_join.open_pairs(rest, True).collect()
+    out = [tuple(r) for r in jaccard_join.open_pairs(rest, True, frame(spark, docs).select("doc_id", "text")).collect()]
+    assert len(candidates) > 1_000 and len(out) < len(docs)
+    sets = [set(grams[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    linked = [(a, b) for a, b in map(tuple, candidates) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert set(out) <= set(linked) and len(linked) < len(candidates)
+
+    def groups(edges):
+        of = {d: d for d, _ in docs}
+        for a, b in edges:
+            of = {d: of[a] if r == of[b] else r for d, r in of.items()}
+        return {frozenset(d for d in of if of[d] == r) for r in of.values()}
+
+    assert groups(out) == groups(linked)
+
+
 def test_directions_come_from_all_documents(spark):
     """Every document's own word is in the sketch, however many documents there are, and the sketch depends on no partitioning."""
     docs = [(k, f"common words {k}a{k} of many") for k in range(9_000)]
