@@ -98,7 +98,7 @@ def _block(words, ids, docs, folds, part, order, block):
         "codes": pack(local.astype(np.int32)),
         "hashes": words.hashes[used].tobytes(),
     }
-    return row | {"n_keys": len(np.unique(np.concatenate(_keys(row, order)[0])))}
+    return row | {"n_keys": len(_distinct(row, _keys(row, order)[0]))}
 
 
 def _keys(row: dict, order: int):
@@ -129,6 +129,36 @@ def _keys(row: dict, order: int):
     return keys, first, sizes
 
 
+def _words_of(row: dict) -> np.ndarray:
+    """The keys of the block's different words, in the order of their codes, and of the end."""
+    return np.append(mix(np.frombuffer(row["hashes"], dtype=np.uint64)), END) | WORD_BIT
+
+
+def _distinct(row: dict, keys: list[np.ndarray]) -> np.ndarray:
+    """The block's distinct keys, sorted; words are not looked for in the texts again."""
+    return np.unique(np.concatenate([_words_of(row), *keys[1:], _begin_key()]))
+
+
+def _asked(row: dict, order: int):
+    """The block's distinct keys, the place among them of the begin key and, per order, of the key at each
+    token; the documents' first tokens and sizes. Longer n-grams are sorted once, so that keys are looked up in their own order."""
+    keys, first, sizes = _keys(row, order)
+    sorts = [np.argsort(k) for k in keys[1:]]
+    runs = [k[by] for k, by in zip(keys[1:], sorts, strict=True)]
+    begins = [np.concatenate([[True], r[1:] != r[:-1]]) for r in runs]
+    asked = np.unique(np.concatenate([_words_of(row), *(r[b] for r, b in zip(runs, begins, strict=True)), _begin_key()]))
+    words = np.searchsorted(asked, _words_of(row))
+    places = [np.full(len(keys[0]), words[-1])]
+    inside = np.ones(len(keys[0]), dtype=bool)
+    inside[first + sizes] = False
+    places[0][inside] = words[unpack(row["codes"], np.int32, row["n_words"])]
+    for by, run, begin in zip(sorts, runs, begins, strict=True):
+        at = np.empty(len(by), dtype=np.int64)
+        at[by] = np.searchsorted(asked, run[begin])[np.cumsum(begin) - 1]
+        places.append(at)
+    return asked, int(np.searchsorted(asked, _begin_key())[0]), places, first, sizes
+
+
 def _held(row: dict) -> np.ndarray:
     return np.unpackbits(np.frombuffer(row["held"], dtype=np.uint8), count=len(row["ids"])).astype(bool)
 
@@ -141,17 +171,14 @@ def _requests(order: int, buckets: int):
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                keys, first, sizes = _keys(row, order)
+                asked, begin, places, first, sizes = _asked(row, order)
                 held = _held(row)
                 trained = np.repeat(~held, sizes + 1)
                 depth = np.arange(len(trained)) - np.repeat(first, sizes + 1)
-                asked = np.unique(np.concatenate([*keys, _begin_key()]))
                 counts = np.zeros(len(asked), dtype=np.int64)
-                for k, own in enumerate(keys, start=1):
-                    counted = own[trained & (depth >= k - 2)]
-                    found, n = np.unique(counted, return_counts=True)
-                    counts[np.searchsorted(asked, found)] += n
-                counts[np.searchsorted(asked, _begin_key())] += int((~held).sum())
+                for k, at in enumerate(places, start=1):
+                    counts += np.bincount(at[trained & (depth >= k - 2)], minlength=len(asked))
+                counts[begin] += int((~held).sum())
                 owner = bucket_of(asked, buckets)
                 cuts = np.flatnonzero(np.diff(owner)) + 1
                 out = [
@@ -198,10 +225,9 @@ def _counted(block: pa.Table, answers: pa.Table, order: int, column: str):
     row = block.to_pylist()[0]
     parts = sorted(answers.to_pylist(), key=lambda r: r["bucket"])
     counts = np.concatenate([unpack(r[column], np.int64, r["n"]) for r in parts])
-    keys, first, sizes = _keys(row, order)
-    asked = np.unique(np.concatenate([*keys, _begin_key()]))
-    begin = int(counts[np.searchsorted(asked, _begin_key())[0]])
-    grams = [counts[np.searchsorted(asked, k)] for k in keys]
+    _, at, places, first, sizes = _asked(row, order)
+    begin = int(counts[at])
+    grams = [counts[own] for own in places]
     contexts = []
     for k in range(1, order):
         back = np.empty_like(grams[k - 1])
