@@ -12,6 +12,8 @@ a match begins where the lengths of all before it end. Offsets are code points,
 How it runs: blob ids are shuffled, and once the texts of unseen blobs' first rows. Findings are written before the
 list of scanned blobs, and read without repeats, so a scan that broke off is simply run again.
 Findings are dealt ``SALTS`` times to the join with the paths, as one blob may lie at very many.
+:func:`redact` shuffles the rows that may have findings, by a bit map of fixed size of the blobs found; all others
+stay where they lie. Where other blobs share the bits of those found, their rows are shuffled too, and not changed.
 
 Defined results: a null text is an empty blob without findings. Repeated rows and null paths are kept. An empty table
 scans nothing. Only the named columns are read; :func:`redact` returns all columns of its input.
@@ -28,6 +30,8 @@ from rulelens.llm.common import only
 from rulelens.session import run_dir
 
 SALTS = 16
+#: A bit map of blobs has ``2 ** MAP_BITS`` bits (2 MB), in words of 64.
+MAP_BITS = 24
 
 
 @dataclass(frozen=True)
@@ -159,6 +163,17 @@ def _by_blob(findings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
+def _may_be_among(blobs: DataFrame) -> Column:
+    """Of a row with a blob: true if that is one of ``blobs``, and seldom otherwise."""
+    place = F.shiftrightunsigned(F.xxhash64("blob"), 64 - MAP_BITS)
+    word, bit = F.shiftright(place, 6).cast("int"), F.pmod(place, F.lit(64)).cast("int")
+    marks = blobs.select(word.alias("word"), bit.alias("bit")).selectExpr("word", "shiftleft(1L, bit) as bits")
+    blank = blobs.sparkSession.range(1 << (MAP_BITS - 6)).selectExpr("cast(id as int) as word", "0L as bits")
+    words = marks.unionAll(blank).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    whole = words.agg(F.sort_array(F.collect_list(F.struct("word", "bits")))["bits"].alias("bits"))
+    return F.bit_get(F.get(whole.scalar(), word), bit) == 1
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -182,13 +197,17 @@ def report(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, id_col
 
 
 def redact(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text_col: str = "text", chars_col: str | None = None, path_col: str = "doc_id", mark: str = "<secret>") -> DataFrame:
-    """All rows and columns, every found span replaced by ``mark`` (overlapping or touching spans by one)."""
+    """All rows and columns, every found span replaced by ``mark`` (overlapping or touching spans by one).
+
+    ``docs`` is read several times and has to give the same rows each time, as a stored table does."""
     names = docs.columns
     findings = scan(docs, ledger, rules, path_col=path_col, text_col=text_col)
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.col(f"`{text_col}`").alias("_text"), F.xxhash64(F.col(f"`{path_col}`").cast("string")).alias("_place"))
-    keyed = rows.withColumn("blob", blob(F.coalesce("_text", F.lit("")))).withColumn("salt", F.pmod("_place", F.lit(SALTS)).cast("int"))
-    joined = keyed.join(_by_blob(findings, rules), ["blob", "salt"], "left")
-    text = F.col("_text")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"))
+    text = F.col(f"_row.`{text_col}`")
+    keyed = rows.withColumn("blob", blob(F.coalesce(text, F.lit(""))))
+    may = _may_be_among(findings)
+    salted = keyed.filter(may).withColumn("salt", F.pmod(F.xxhash64(F.col(f"_row.`{path_col}`").cast("string")), F.lit(SALTS)).cast("int"))
+    joined = salted.join(_by_blob(findings, rules), ["blob", "salt"], "left")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def step(done: Column, s: Column) -> Column:
@@ -198,7 +217,7 @@ def redact(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text_c
 
     edited = F.aggregate("found", start, step, lambda done: F.concat(done["out"], text.substr(done["at"].cast("int") + 1, F.char_length(text))))
     new = F.when(F.col("found").isNull(), text).otherwise(edited)
-    replaced = joined.withColumn("_new", new)
+    replaced = joined.select("_row", new.alias("_new")).unionAll(keyed.filter(~may).select("_row", text.alias("_new")))
     values = {text_col: F.col("_new")} | ({chars_col: F.char_length("_new").cast("bigint")} if chars_col else {})
     return replaced.select(*(values.get(c, F.col(f"_row.`{c}`")).alias(c) for c in names))
 

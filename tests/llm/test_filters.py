@@ -255,6 +255,29 @@ def test_redact(spark, data, tmp_path):
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted(((i, plain(t)) for i, t, _ in rows), key=repr)
 
 
+def test_rows_without_secrets_stay_where_they_lie(spark, tmp_path, monkeypatch):
+    rows = [(k, f"text {k} " + ("password=" + "a" * 20 if k % 10 == 3 else "") + " x" * 200, "s") for k in range(400)]
+    rows[14] = (14, None, "s")
+    frame(spark, rows).repartition(5, "doc_id").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    monkeypatch.setattr(secret_ledger, "SALTS", 3)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        dealt = [{r[0] for r in x} for x in docs.select("doc_id").rdd.glom().collect()]
+        kept = secret_ledger.redact(docs, str(tmp_path / "l"))
+        got = [{r[0]: r[1] for r in x} for x in kept.select("doc_id", "text").rdd.glom().collect()]
+        monkeypatch.setattr(secret_ledger, "MAP_BITS", 7)  # nearly all blobs share the bits of those found
+        shared = secret_ledger.redact(docs, str(tmp_path / "m")).select("doc_id", "text").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    clean = sorted(sorted(k for k in x if k % 10 != 3) for x in dealt)
+    assert sorted(sorted(x) for x in got if any(k % 10 != 3 for k in x)) == clean
+    want = {k: t and t.replace("password=" + "a" * 20, "<secret>") for k, t, _ in rows}
+    assert {k: t for x in got for k, t in x.items()} == want
+    assert sorted(tuple(r) for r in shared) == sorted(want.items())
+
+
 def whole_keys():
     """(text, the part that must go) of private keys in the forms they come in."""
     rng = random.Random(5)
