@@ -11,7 +11,8 @@ sufficient cosine are candidates. A candidate counts if the longest common subse
 How it runs: texts are taken apart once and stored as the dimensions of their words. Document frequencies are partial sums per
 task over ``DIMS`` numbers. The SVD is that of a sketch: every passage of every document is added, with a sign, to one of ``ROWS``
 rows, both drawn by hash, and the benchmark's passages are rows of their own. A task's sketch has a fixed size; the
-sketches are added up in blocks of dimensions, so what reaches the driver and is sent to the tasks has a fixed size. The search reads
+sketches are added up in blocks of dimensions and stored, so what reaches the driver and is sent to the tasks has a fixed size; the driver
+reads a few blocks at a time and keeps nothing of them, or of what it sent, while or after the search runs. The search reads
 each text once and shuffles nothing. The benchmark is the stated query set; it is searched in blocks of
 at most ``QUERIES`` passages, whatever its size, so the directions hold all passages of a block.
 
@@ -37,6 +38,8 @@ DIMS, RANK, ROWS = 1 << 15, 128, 256
 WINDOW, STRIDE, QUERIES = 64, 32, 256
 COSINE, SURE, LIKELY, ANSWER = 0.22, 0.8, 0.6, 0.8
 DIM_BLOCK = 64
+#: Jobs that bring the sketch (32 MB) to the driver, one after the other.
+READS = 8
 PORTION_BYTES = 2 << 20
 _MARKS = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~¡¿«»“”„‘’…–—"
 PACKED = "n_texts bigint, n_words bigint, seeds binary, sizes binary, dims binary"
@@ -161,19 +164,29 @@ def _add(table: pa.Table) -> pa.Table:
     return pa.table({"block": table.column("block")[:1], "sums": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
+def sketch_sums(words: DataFrame, idf: np.ndarray) -> DataFrame:
+    """Stored (block, sums): the passages of all texts of stored ``words`` (PACKED), each added with its sign to its row; a fixed size."""
+    parts = words.mapInArrow(_sketched(idf), "block int, sums binary")
+    return stored(parts.groupBy("block").applyInArrow(_add, "block int, sums binary"), "sketch")
+
+
+def _gather(sums: DataFrame, rows: np.ndarray) -> np.ndarray:
+    """The sketch, written into the first rows of ``rows``; some blocks at a time reach the driver."""
+    for r in sums.coalesce(READS).toLocalIterator():
+        rows[:ROWS, r["block"] * DIM_BLOCK : (r["block"] + 1) * DIM_BLOCK] = np.frombuffer(r["sums"], dtype=np.float32).reshape(DIM_BLOCK, ROWS).T
+    return rows
+
+
 def sketch(words: DataFrame, idf: np.ndarray) -> np.ndarray:
-    """DIMS x ROWS: the passages of all texts of stored ``words`` (PACKED), each added with its sign to its row."""
-    parts = words.mapInArrow(_sketched(idf), "block int, sums binary").groupBy("block").applyInArrow(_add, "block int, sums binary").collect()  # a fixed size
-    out = np.zeros((DIMS // DIM_BLOCK, DIM_BLOCK * ROWS), dtype=np.float32)
-    for r in parts:
-        out[r["block"]] = np.frombuffer(r["sums"], dtype=np.float32)
-    return out.reshape(DIMS, ROWS)
-
-
-def directions(corpus: np.ndarray, texts: list[str], weight: float, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """Leading right singular vectors of the sketched passages and the benchmark passages ``texts``, each of which weighs ``weight``."""
-    rows = np.zeros((ROWS + len(texts), DIMS), dtype=np.float32)
-    rows[:ROWS] = corpus.T
+    """DIMS x ROWS: the sketch of stored ``words`` (PACKED)."""
+    return _gather(sketch_sums(words, idf), np.zeros((ROWS, DIMS), dtype=np.float32)).T
+
+
+def directions(sums: DataFrame, texts: list[str], weight: float, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
+    """Leading right singular vectors of the sketched passages and the benchmark passages ``texts``, each of which weighs ``weight``.
+
+    The rows of both are held once, and only while no job runs but the one that reads the sketch."""
+    rows = _gather(sums, np.zeros((ROWS + len(texts), DIMS), dtype=np.float32))
     dims, weights, bounds, owner = _passages(Terms(pa.array(texts, pa.string())), idf)
     np.add.at(rows, (ROWS + np.repeat(owner, np.diff(bounds)), dims), weights * np.float32(np.sqrt(weight)))
     values, left = np.linalg.eigh((rows @ rows.T).astype(np.float64))
@@ -326,14 +339,16 @@ def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     spark = docs.sparkSession
     words = stored(source.mapInArrow(_packed, PACKED), "passage-words")
     idf, count = weights_of(words)
-    corpus = sketch(words, idf)
+    sums = sketch_sums(words, idf)
     queries = passages(items)
     found = None
     for first in range(0, max(len(queries), 1), QUERIES):
         own = queries[first : first + QUERIES]
-        basis = directions(corpus, [r["text"] for r in own], float(max(count, 1)), idf, max(RANK, len(own)))
+        basis = directions(sums, [r["text"] for r in own], float(max(count, 1)), idf, max(RANK, len(own)))
         shared = spark.sparkContext.broadcast((basis, Queries(own, idf, basis)))  # fixed size
+        del basis
         hits = stored(source.mapInArrow(_search(shared, idf), HITS), "leaks")
+        shared.destroy()  # the hits are written
         found = hits if found is None else found.unionByName(hits)
     best = F.max(F.struct("lcs_ratio", "answer_ratio", "cosine", "lcs", "item_words")).alias("b")
     return found.groupBy("doc_id", "place", "item_id").agg(best).select("doc_id", "place", "item_id", F.round("b.cosine", 4).alias("cosine"), "b.lcs", "b.item_words", "b.lcs_ratio", "b.answer_ratio")

@@ -572,9 +572,9 @@ def links(docs: DataFrame, n: int = WORDS) -> tuple[DataFrame, DataFrame]:
     """
     digests = stored(docs.mapInArrow(_digests(n), DIGESTS), "set-digests")
     counted = digests.filter("shingle is not null").groupBy("shingle").agg(F.sum("found").alias("n"))
-    top = counted.orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()  # orders shingles only
-    frequent = np.array([r["shingle"] for r in top], dtype=np.int64).view(np.uint64)
-    ranks = np.arange(len(top), 0, -1, dtype=np.int64)
+    top = counted.orderBy(F.desc("n"), "shingle").limit(FREQUENT).select("shingle").toArrow()  # orders shingles only
+    frequent = top.column(0).to_numpy().view(np.uint64)
+    ranks = np.arange(len(frequent), 0, -1, dtype=np.int64)
     order = np.argsort(frequent)
     frequent, ranks = frequent[order], ranks[order]
     own = digests.filter("shingle is null and n_shingles > 0")

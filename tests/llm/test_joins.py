@@ -1,12 +1,15 @@
 """Jaccard join, decontamination and components against plain versions."""
 
+import os
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import SparkContext
 
 from rulelens.llm import components, decontamination, jaccard_join
 from rulelens.llm.common import within
@@ -269,6 +272,39 @@ def test_directions_come_from_all_documents(spark):
     assert alone.sum() > 5_000 and np.abs(sketches[0][own.word_dims[alone]]).sum(axis=1).min() > 0.1
 
 
+def traced(run):
+    """The most memory that the driver's Python held at once while ``run`` ran, without what Arrow holds."""
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_the_driver_holds_the_sketch_once(spark, monkeypatch):
+    """Next to the rows the directions come from there are only the directions, and what was sent to the tasks is given back."""
+    sent, send = [], SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: sent.append(send(self, value)) or sent[-1])
+    texts = [(k, " ".join(f"w{k * j % 997}" for j in range(1, 90))) for k in range(1, 60)]
+    docs = frame(spark, texts)
+    bench = spark.createDataFrame([(1, texts[4][1]), (2, texts[7][1])], "item_id bigint, text string")
+    found = []
+    most = traced(lambda: found.append(decontamination.search(docs, bench)))
+    assert most < 2 * 4 * decontamination.DIMS * decontamination.ROWS
+    assert sent and not any(os.path.exists(b._path) for b in sent)
+    assert {(5, 1), (8, 2)} <= {(r["doc_id"], r["item_id"]) for r in found[0].collect()}
+
+
+def test_frequent_shingles_reach_the_driver_as_numbers(spark):
+    words = [f"w{k}" for k in range(60_000)]
+    docs = frame(spark, [(d, " ".join([*words, f"end{d}"])) for d in range(4)]).coalesce(1)
+    rows = []
+    most = traced(lambda: rows.extend(jaccard_join.join(docs).collect()))
+    assert {r["component_id"] for r in rows} == {0} and {r["n_shingles"] for r in rows} == {59_997}
+    assert most < 12_000_000
+
+
 @pytest.mark.parametrize("meetings,piece,batch", [(20_000_000, 5_000, 10_000), (500, 7, 3)])
 def test_counters_equal_a_plain_self_join(spark, monkeypatch, meetings, piece, batch):
     monkeypatch.setattr(jaccard_join, "MEETINGS_PER_BLOCK", meetings)
