@@ -12,7 +12,7 @@ most ``x`` shingles are light, larger ones heavy; ``x`` comes from measured cost
   every member is held against the list's smallest document, its pivot, which finds groups of copies in time linear in
   their size; then lists with members of different components are scanned with counters (:func:`_count`): sets are dealt to blocks by size, every
   block is sent the lists of its sets, and adds up in memory how many lists two sets share. Pairs that reach the number
-  they need are verified in the block, on the whole sets, and only links that join its sets leave it (:func:`_forest`). A pair that gets at least half of the lists it needs
+  they need are verified in the block, on the whole sets, which are sent only where they are in such a pair, and only links that join its sets leave it (:func:`_forest`). A pair that gets at least half of the lists it needs
   from those where one of the two is the pivot is a candidate of the first round; any other linked pair gets more than half
   from the lists where neither is. So the second round leaves out the pivots, and with them all lists of two sets.
 
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from rulelens.llm.common import Words, bloom_filters, bucket_of, chain, fresh, mix, only, pack, partitions, portions, ranges, unpack, within
 from rulelens.llm.components import components
-from rulelens.session import stored
+from rulelens.session import dropped, stored
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 3, 4
@@ -62,6 +62,7 @@ DIGESTS = "doc_id bigint, n_shingles bigint, signature binary, shingle bigint, f
 PACKED = "bucket int, n bigint, keys binary, docs binary, sizes binary, places binary"
 SETS = "pivot bigint, part bigint, doc_id bigint, grams binary"
 PAIRS = "pivot bigint, doc_id bigint"
+ROLES = "doc_id bigint, pivot bigint, part bigint"
 ENTRY = ("docs", "sizes", "places", "roots", "own")
 LISTS = "key bigint, pivot bigint, pivot_size bigint, pivot_place bigint, doc_id bigint, size bigint, place bigint, certain boolean, need bigint"
 
@@ -438,23 +439,45 @@ def _without_sets(batches, sets: dict):
             yield rest
 
 
+def _blocks(batches, more_than_half: bool, sets: dict | None = None):
+    """((block, level), candidates) of the blocks; with ``sets`` only of documents whose set the block was sent."""
+    for block, lists in itertools.groupby(_whole_lists(batches), key=lambda x: x[:2]):
+        counters = _Counters()
+        held = None if sets is None else np.array(list(sets.get(block, ())), dtype=np.int64)
+        for number, level, entries in lists:
+            if held is not None:
+                own = np.isin(entries["docs"], held)
+                entries = {c: v[own] for c, v in entries.items()}
+            for found in _meetings(entries, number, level):
+                counters.add(found)
+        pairs = counters.linked(more_than_half)
+        del counters
+        yield block, pairs
+
+
 def _count(more_than_half: bool, verify: bool):
     """Candidates (pivot, doc_id) of the blocks; with ``verify`` the links that join them."""
 
     def run(batches):
-        sets: dict[tuple[int, int], dict] = {}
-        for block, lists in itertools.groupby(_whole_lists(_without_sets(batches, sets) if verify else batches), key=lambda x: x[:2]):
-            counters = _Counters()
-            for number, level, entries in lists:
-                for found in _meetings(entries, number, level):
-                    counters.add(found)
-            pairs = counters.linked(more_than_half)
-            del counters
+        sets: dict[tuple[int, int], dict] | None = {} if verify else None
+        for block, pairs in _blocks(_without_sets(batches, sets) if verify else batches, more_than_half, sets):
             yield _forest(pairs, sets.pop(block, {})) if verify else pairs
 
     return run
 
 
+def _in_candidates(more_than_half: bool):
+    """(doc_id, block as ``pivot``, level as ``part``) of the documents of every block that are in one of its candidates."""
+
+    def run(batches):
+        for (number, level), pairs in _blocks(batches, more_than_half):
+            docs = np.unique(np.concatenate([pairs.column(c).to_numpy() for c in (0, 1)]))
+            columns = [docs, np.full(len(docs), number), np.full(len(docs), level)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "pivot", "part"])
+
+    return run
+
+
 def _enough_lists(scanned: DataFrame) -> DataFrame:
     """Entries of documents with so many lists that the second round can link them.
 
@@ -472,7 +495,8 @@ def open_pairs(rest: DataFrame, more_than_half: bool = False, docs: DataFrame |
 
     They share as many lists as they need; with ``more_than_half``, for lists without their pivots, more than half as many.
     With ``docs`` (doc_id, text) every block is also sent the sets of its documents, and only links leave it, at most
-    one for each document: what joins all linked ones, however many pairs a group of similar documents has."""
+    one for each document: what joins all linked ones, however many pairs a group of similar documents has. The blocks are counted
+    twice then: first for the documents that are in a candidate of the block, as only their sets are sent there."""
     level = F.floor(F.log(F.col("size").cast("double")) / math.log(DENOMINATOR / NUMERATOR)).cast("bigint")
     leveled = rest.withColumn("level", level)
     counts = stored(leveled.groupBy("key", "level").agg(F.count("*").alias("n")), "list-sizes")
@@ -488,14 +512,19 @@ def open_pairs(rest: DataFrame, more_than_half: bool = False, docs: DataFrame |
     packed = stored(lists.select("key", "from", *(F.col(f"e.{c}").alias(name) for c, name in zip(("doc_id", "size", "place", "root", "own"), ENTRY, strict=True))), "packed-lists")
     sent = packed.withColumn("level", F.explode(F.array(F.col("from"), F.col("from") + 1))).drop("from").join(visits, ["key", "level"]).select("key", "level", "block", *ENTRY)
     if docs is not None:
-        # blocks that a document's lists are sent to
-        meets = sent.select(F.explode("docs").alias("doc_id"), F.col("block").cast("bigint").alias("pivot"), F.col("level").alias("part")).distinct()
+        meets = stored(_dealt(sent).mapInArrow(_in_candidates(more_than_half), ROLES), "in-candidates")
         found = _with_roles(docs, meets)
         sets = found.mapInArrow(_sets(n), SETS).select(F.col("part").alias("level"), F.col("pivot").alias("block"), F.array("doc_id").alias("docs"), "grams")
         with bloom_filters(docs.sparkSession):
             sets = stored(sets, "open-sets")
-        sent = sent.unionByName(sets, allowMissingColumns=True)
-    return sent.repartition("block", "level").sortWithinPartitions("block", "level", F.col("key").asc_nulls_first()).mapInArrow(_count(more_than_half, docs is not None), PAIRS)
+        asked = stored(meets.select(F.col("pivot").alias("block"), F.col("part").alias("level")).distinct(), "open-blocks")
+        sent = sent.join(asked, ["block", "level"], "left_semi").unionByName(sets, allowMissingColumns=True)
+    return _dealt(sent).mapInArrow(_count(more_than_half, docs is not None), PAIRS)
+
+
+def _dealt(sent: DataFrame) -> DataFrame:
+    """The rows of a block in one partition, one after the other, those without a key first."""
+    return sent.repartition("block", "level").sortWithinPartitions("block", "level", F.col("key").asc_nulls_first())
 
 
 def _with_roles(docs: DataFrame, roles: DataFrame) -> DataFrame:
@@ -603,6 +632,7 @@ def links(docs: DataFrame, n: int = WORDS) -> tuple[DataFrame, DataFrame]:
     node = _enough_lists(scanned.join(spare, "doc_id", "left_anti")).join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")).select("key", "doc_id", "size", "place", "root")
     apart = node.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
     rest = stored(node.join(apart, "key", "left_semi"), "open-lists")
+    dropped(lists)
     more = stored(open_pairs(rest, more_than_half=True, docs=docs, n=n).select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")), "links")
     return digests, edges.unionByName(more)
 

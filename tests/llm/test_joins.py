@@ -10,10 +10,12 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark import SparkContext
+from pyspark.sql import functions as F
 
 from rulelens.llm import components, decontamination, jaccard_join
 from rulelens.llm.common import within
 from rulelens.llm.queries import LLM_QUERIES
+from rulelens.session import dropped, stored
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -256,6 +258,38 @@ def test_large_groups_of_similar_documents_emit_few_rows(spark):
     assert groups(out) == groups(linked)
 
 
+def test_sets_are_sent_only_where_they_have_candidates(spark, monkeypatch):
+    """Many blocks, long lists: every block meets lists of nearly every document, but few documents have a candidate in it."""
+    monkeypatch.setattr(jaccard_join, "MEETINGS_PER_BLOCK", 500)
+    tables = {}
+    monkeypatch.setattr(jaccard_join, "stored", lambda df, name, *a: tables.setdefault(name, stored(df, name, *a)))
+    rng = random.Random(5)
+    words = {i: [f"d{i}w{j}" for j in range(60)] for i in range(150)}
+    docs = [(i, " ".join(w)) for i, w in words.items()] + [(1_000 + i, " ".join([*words[i][:56], "x", "y", "z", "u"])) for i in range(0, 20, 2)]
+    size = {i: len(shingles(t)) for i, t in docs}
+    rows = [(key, i, size[i], place, i) for i, _ in docs for place, key in enumerate(sorted(rng.sample(range(12), 2)))]
+    rows += [(100 + 10 * i + n, d, size[i], 2 + n, d) for i in range(0, 20, 2) for n in range(8) for d in (i, 1_000 + i)]
+    rest = stored(spark.createDataFrame(rows, "key bigint, doc_id bigint, size bigint, place bigint, root bigint"), "rows")
+    want = {tuple(r) for r in jaccard_join.open_pairs(rest).collect()}
+    got = {tuple(r) for r in jaccard_join.open_pairs(rest, False, frame(spark, docs).select("doc_id", "text")).collect()}
+    assert got == {(i, 1_000 + i) for i in range(0, 20, 2)} <= want
+    blocks = tables["visits"].select("block").distinct().count()
+    asked = {d for pair in want for d in pair}
+    assert blocks > 10 and tables["open-sets"].count() <= 2 * len(want) + len(asked) < len(docs)
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    def files():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName() for f in (blocks.apply(i) for i in range(blocks.size())) if f.getName().startswith("shuffle_")}
+
+    before = files()
+    table = stored(spark.range(20_000).selectExpr("id % 5003 as k", "md5(cast(id as string)) as v").groupBy("k").agg(F.max("v").alias("v")), "grouped")
+    assert not {f for f in files() - before if f.endswith(".data")} and table.count() == 5003
+    dropped(table)
+    assert not any(os.path.exists(f.removeprefix("file:")) for f in table.inputFiles())
+
+
 def test_directions_come_from_all_documents(spark):
     """Every document's own word is in the sketch, however many documents there are, and the sketch depends on no partitioning."""
     docs = [(k, f"common words {k}a{k} of many") for k in range(9_000)]
