@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rulelens.functions.text import clip, first_sentence
 from rulelens.functions.verdicts import percent
-from rulelens.operators.numbering import number_within
+from rulelens.operators.numbering import GROUP_ROWS, number_within
 
 # The words of a report.
 SECTIONS = ("No cumplido", "Pendiente de revisión", "Superado")
@@ -27,7 +27,7 @@ def section_of(verdict: Column) -> Column:
 def report_lines(evaluated: DataFrame, classify_by: str = "final_verdict") -> DataFrame:
     """Number the rules of a task over all sections: fails, then partials, then passes, in rule order.
 
-    The number inside a section is found per block of rules, so a huge task is not one window.
+    The number inside a section of a huge task is found per block of rules, so that it is not one window.
     """
     marked = evaluated.withColumn("section", section_of(F.col(classify_by)))
     numbered = number_within(
@@ -36,6 +36,7 @@ def report_lines(evaluated: DataFrame, classify_by: str = "final_verdict") -> Da
         [F.col("section"), F.col("rule_idx")],
         F.struct("section", F.floor(F.col("rule_idx") / 1000)),
         "_n",
+        split_above=GROUP_ROWS,
     )
     remark = F.when(F.col("section") == 2, "").otherwise(first_sentence(F.col("explanation")))
     return (
@@ -45,20 +46,20 @@ def report_lines(evaluated: DataFrame, classify_by: str = "final_verdict") -> Da
     )
 
 
-def line_text(first_of_section: Column) -> Column:
+def line_text(line: Column, first_of_section: Column) -> Column:
     """Markdown of one rule, with the heading of its section before the first one."""
-    title = F.element_at(F.array(*[F.lit(s) for s in SECTIONS]), F.col("section") + 1)
+    title = F.element_at(F.array(*[F.lit(s) for s in SECTIONS]), line["section"] + 1)
     heading = F.when(first_of_section, F.concat(F.lit("\n#### "), title, F.lit("\n\n"))).otherwise("")
-    tag = F.when(F.col("section") == 0, "<details open>").otherwise("<details>")
+    tag = F.when(line["section"] == 0, "<details open>").otherwise("<details>")
     return F.concat(
         heading,
         tag,
         F.lit("\n<summary>"),
-        F.col("line_no").cast("string"),
+        line["line_no"].cast("string"),
         F.lit(". "),
-        F.col("rule"),
+        line["rule"],
         F.lit("</summary>\n\n"),
-        F.col("remark"),
+        line["remark"],
         F.lit("\n\n</details>\n"),
     )
 
@@ -84,32 +85,38 @@ def report_bodies(tasks: DataFrame, lines: DataFrame, part_lines: int = PART_LIN
 
     A task with more than ``part_lines`` rules gets its report in numbered parts, so that no body
     grows without bound; header and footer go to the first and the last part. ``lines`` is read
-    twice, so pass a stored table.
+    twice, so pass a stored table. They are shuffled once, by task and part; the tasks and the bounds of their sections come to the parts.
     """
     sizes = lines.groupBy("task_id", "section").agg(
-        F.min("line_no").alias("_first"), F.max("line_no").alias("_last")
+        F.min("line_no").alias("first"), F.max("line_no").alias("last")
     )
-    bounded = lines.select("task_id", "section", "line_no", "rule", "remark").join(sizes, ["task_id", "section"])
-    starts = F.col("line_no") == F.col("_first")
-    ends = F.when(F.col("line_no") == F.col("_last"), "\n---").otherwise("")
-    text = F.concat(line_text(starts), ends)
     parts = (
-        bounded.withColumn("part", F.floor((F.col("line_no") - 1) / part_lines))
+        lines.filter("task_id is not null and section is not null")
+        .withColumn("part", F.floor((F.col("line_no") - 1) / part_lines))
         .groupBy("task_id", "part")
-        .agg(F.array_sort(F.collect_list(F.struct("line_no", text.alias("text")))).alias("_t"))
-        .select("task_id", "part", F.array_join("_t.text", "\n").alias("_text"))
+        .agg(F.array_sort(F.collect_list(F.struct("line_no", "section", "rule", "remark"))).alias("_lines"))
     )
-    totals = sizes.groupBy("task_id").agg(F.floor((F.max("_last") - 1) / part_lines).alias("_last_part"))
-    whole = tasks.join(totals, "task_id", "left").join(parts, "task_id", "left")
-    part = F.coalesce("part", F.lit(0))
+    totals = sizes.groupBy("task_id").agg(
+        F.floor((F.max("last") - 1) / part_lines).alias("_last_part"),
+        F.collect_list(F.when(F.col("section").isNotNull(), F.struct("section", "first", "last"))).alias("_bounds"),
+    )
+    placed = tasks.join(totals, "task_id", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_last_part", F.lit(0)))))
+    # a part without lines is that of a task without any
+    whole = placed.join(parts, ["task_id", "part"], "left").filter(F.col("_lines").isNotNull() | F.col("_last_part").isNull())
+
+    def text(line: Column) -> Column:
+        bound = F.filter("_bounds", lambda b: b["section"] == line["section"])[0]
+        end = F.when(line["line_no"] == bound["last"], "\n---").otherwise("")
+        return F.concat(line_text(line, line["line_no"] == bound["first"]), end)
+
     return whole.select(
         "task_id",
-        part.alias("part"),
+        "part",
         F.concat_ws(
             "\n",
-            F.when(part == 0, header_text()),
-            F.col("_text"),
-            F.when(part == F.coalesce("_last_part", F.lit(0)), F.lit(FOOTER)),
+            F.when(F.col("part") == 0, header_text()),
+            F.array_join(F.transform("_lines", text), "\n"),
+            F.when(F.col("part") == F.coalesce("_last_part", F.lit(0)), F.lit(FOOTER)),
         ).alias("body"),
     )
 

@@ -1017,7 +1017,7 @@ def x11_first_sentence(spark, folder):
 
 @query
 def x12_report_bodies(spark, folder):
-    lines = stored(_report_lines(spark, folder).select("task_id", "section", "line_no", "rule", "remark"), "report-lines")
+    lines = stored(_report_lines(spark, folder).select("task_id", "section", "line_no", "rule", "remark"), "report-lines", "zstd")
     numbered = reports.evaluation_totals(views.tasks(spark, folder)).selectExpr("id as task_id", "eval_no")
     return reports.report_bodies(_approved(spark, folder).join(numbered, "task_id"), lines)
 

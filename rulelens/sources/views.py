@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulelens.operators.numbering import latest_per_key, number_within
+from rulelens.operators.numbering import GROUP_ROWS, latest_per_key, number_within
 
 AS_OF = "timestamp_ntz'2000-01-01 00:00:00'"
 ACTIVITY_AS_OF = "timestamp_ntz'2024-01-31 00:00:00'"
@@ -146,14 +146,18 @@ def task_viewers(spark: SparkSession, folder: str) -> DataFrame:
 
 def lines(spark: SparkSession, folder: str) -> DataFrame:
     """One evaluated rule per line item, without its position."""
-    return table(spark, folder, "lineitem").selectExpr(
-        "l_orderkey as task_id",
+    return _with_texts(table(spark, folder, "lineitem").withColumnRenamed("l_orderkey", "task_id"))
+
+
+def _with_texts(items: DataFrame, *more: str) -> DataFrame:
+    return items.selectExpr(
+        "task_id",
         "concat('Rule ', l_partkey) as rule",
         "case l_returnflag when 'N' then 'pass' when 'A' then 'partial' else 'fail' end as primary_verdict",
         "case when l_linestatus = 'F' then l_returnflag"
         " else case l_returnflag when 'N' then 'A' when 'A' then 'R' else 'N' end end as _second",
         "case when l_partkey % 3 = 0 then null else 'pass' end as adjudicated_verdict",
-        "case when l_quantity < 5 then '' else concat('Line ', l_linenumber, ' of order ', l_orderkey,"
+        "case when l_quantity < 5 then '' else concat('Line ', l_linenumber, ' of order ', task_id,"
         " '. Supplier ', l_suppkey, ' checked. End') end as explanation",
         "cast(l_quantity as bigint) * 10 as tokens_used",
         "l_linestatus",
@@ -163,6 +167,7 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
         "l_shipdate",
         "l_extendedprice",
         "l_tax",
+        *more,
     ).selectExpr(
         "*",
         "case _second when 'N' then 'pass' when 'A' then 'partial' else 'fail' end as secondary_verdict",
@@ -170,16 +175,18 @@ def lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def validations(spark: SparkSession, folder: str) -> DataFrame:
-    """``lines`` with ``rule_idx``, the position of the rule in its task."""
+    """``lines`` with ``rule_idx``, the position of the rule in its task. The texts are made of the numbered rows, so they are not shuffled for it."""
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
     numbered = number_within(
-        lines(spark, folder),
+        table(spark, folder, "lineitem").withColumnRenamed("l_orderkey", "task_id"),
         ["task_id"],
         [F.col(c) for c in order],
         F.expr("struct(l_linenumber, l_partkey div 64)"),
         "rule_idx",
+        split_above=GROUP_ROWS,
     )
-    return numbered.drop("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
+    texts = _with_texts(numbered, "rule_idx").drop("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice")
+    return texts.select(*[c for c in texts.columns if c != "rule_idx"], "rule_idx")
 
 
 def repositories(spark: SparkSession, folder: str) -> DataFrame:

@@ -34,6 +34,67 @@ def test_numbering_equals_plain_window(spark, data):
     assert rows(got.select("k", "v", "n")) == rows(spark.createDataFrame([(None, 1, 0), (None, 2, 1), (None, 3, 2), (1, 5, 0)], "k int, v int, n bigint"))
 
 
+def shuffles(df):
+    """The exchanges of the plan before it runs."""
+    text = df._sc._jvm.PythonSQLUtils.explainString(df.select("*")._jdf.queryExecution(), "simple")
+    return [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
+
+
+def test_only_large_groups_are_split(spark):
+    values = [(k, v) for k, n in ((None, 5), (1, 2), (2, 9), (3, 1)) for v in range(n)]
+    df = spark.createDataFrame([(k, v, f"t{k}-{v}") for k, v in values], "k int, v int, t string").repartition(3)
+    want = sorted([(k, v, f"t{k}-{v}", v) for k, v in values], key=repr)
+    for above in (None, 0, 3, 100):
+        got = numbering.number_within(df, ["k"], [F.col("v")], F.floor(F.col("v") / 2), "n", split_above=above)
+        assert got.columns == ["k", "v", "t", "n"] and rows(got) == want
+    assert len(shuffles(got)) == 1
+
+
+@pytest.mark.parametrize("name", ["w10_report_lines", "s8_results", "a5_nested_counts"])
+def test_rows_of_tasks_are_shuffled_once(spark, data, name, monkeypatch):
+    """Numbering, nesting and counting by task share one shuffle."""
+    want = rows(catalog.QUERIES[name](spark, data))
+    found = shuffles(catalog.QUERIES[name](spark, data))
+    assert len(found) == 1, found
+    monkeypatch.setattr(views, "GROUP_ROWS", 4)
+    monkeypatch.setattr(reports, "GROUP_ROWS", 3)
+    assert rows(catalog.QUERIES[name](spark, data)) == want
+
+
+def test_bucketed_rows_are_shuffled_once(spark):
+    df = spark.range(1000).selectExpr("id % 7 as k", "id as v", "md5(cast(id as string)) as t")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        got = numbering.number_within(df, ["k"], [F.col("v")], F.floor(F.col("v") / 100), "n")
+        assert len(shuffles(got)) == 4  # the rows, and totals by group and bucket, by group, and again by both
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_report_parts_take_their_lines_once(spark):
+    t = spark.createDataFrame([(1, 2, 0.5, 0.8), (2, 1, 0.0, 0.8), (2, 1, 0.0, 0.8)], "task_id int, eval_no int, score double, approval_threshold double")
+    t = t.withColumn("approved", F.col("score") >= F.col("approval_threshold"))
+    verdicts = ["fail", "pass", "partial", None, "pass", "partial", "fail"]
+    e = spark.createDataFrame([(i, n, f"r{n}", v, "a. b") for i in (1, None) for n, v in enumerate(verdicts)], "task_id int, rule_idx int, rule string, final_verdict string, explanation string")
+    lines = reports.report_lines(e).localCheckpoint()
+    whole = {r.task_id: r.body for r in reports.report_bodies(t, lines).collect()}
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        for n in (1, 2, 3, 7):
+            parts = reports.report_bodies(t, lines, n)
+            got = sorted((r.task_id, r.part, r.body) for r in parts.collect())
+            assert "\n".join(b for i, _, b in got if i == 1) == whole[1] and len(got) == -(-7 // n) + 2
+            assert [(p, b) for i, p, b in got if i == 2] == [(0, whole[2])] * 2
+        assert sum(", part#" in x for x in shuffles(parts)) == 2  # the lines, and the short rows of their tasks
+        assert len(shuffles(parts)) == 5  # and the bounds of sections, by section and by task, and the tasks
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_layer_merge(spark):
     hits = spark.createDataFrame(
         [(1, "a", "", 0.9, "h1"), (1, "a", "", 0.5, "h2"), (1, "a", "pr", 0.4, "h3"), (1, "b", "", 0.8, "h4"), (1, "b", "", 0.7, "h5")],
