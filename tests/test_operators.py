@@ -130,6 +130,40 @@ def test_nearest_against_brute_force(spark, monkeypatch, block_values, query_blo
             assert got[(qid, n)][0] == h and abs(got[(qid, n)][1] + s) < 1e-8
 
 
+@pytest.mark.parametrize("limit", [8_000_000, 1000])
+def test_best_of_all_against_brute_force(monkeypatch, limit):
+    """Near and exact ties, vectors without a direction, groups larger and smaller than k; no similarity is sorted that is not needed."""
+    monkeypatch.setattr(search, "BLOCK_VALUES", limit)
+    rng = np.random.default_rng(3)
+    seen = []
+    sorts = np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys, *a: seen.append(len(keys[0])) or sorts(keys, *a))
+    for n, k in ((0, 3), (2, 3), (50, 3), (5000, 20), (700, 20)):
+        base = rng.normal(size=(n, 16))
+        base[n // 2 : n // 2 + n // 10] = base[: n // 10]
+        base[n // 4 : n // 4 + n // 10] = base[: n // 10] + 1e-8 * rng.normal(size=(n // 10, 16))
+        base[: n // 50] = 0
+        asked = np.concatenate([base[: min(n, 300) : 3] + 1e-7, rng.normal(size=(30, 16)), np.zeros((1, 16))])
+        names = [f"h{i}" for i in rng.permutation(n)]
+        seen.clear()
+        query, chunk, sims = search._best_of_all(search._unit(base), search._unit(asked), search.pa.array(names, search.pa.string()), k)
+        assert limit == 1000 or sum(seen) <= 4 * (n > 0) * k * len(asked) + n
+        whole = np.round(search._unit(base) @ search._unit(asked).T, 9)
+        for q in range(len(asked)):
+            want = sorted((-s, names[i], i) for i, s in enumerate(whole[:, q].tolist()) if s == s)[:k]
+            got = [(-s, names[i], i) for s, i in zip(sims[query == q].tolist(), chunk[query == q].tolist())]
+            assert [x[1:] for x in got] == [x[1:] for x in want] and np.allclose([x[0] for x in got], [x[0] for x in want], atol=1e-8)
+
+
+def test_line_ranges_send_no_texts(spark, data):
+    """Lines are counted once a file; the joins with queries get the numbers, not the texts."""
+    plan = catalog.QUERIES["w7_line_ranges"](spark, data)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(plan) if "Join LeftOuter" in line)
+    assert "AS file_lines" in "".join(plan[at:]) and not any("file_text" in line for line in plan[:at])
+    texts = [line for line in plan[at:] if " file_text" in line or "[file_text" in line]
+    assert not any("source" in line and "AS file_lines" not in line and "text#" not in line.replace("file_text#", "") for line in texts), texts
+
+
 def test_threshold_comes_after_limit(spark):
     c = spark.createDataFrame([("c", "", f"h{i}", [1.0, float(i)], "s", 0, 1, "py", "n") for i in range(6)],
         "collection_name string, branch string, chunk_hash string, embedding array<float>, source string, start_line int, end_line int, language string, node_type string")
