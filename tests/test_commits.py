@@ -7,6 +7,7 @@ from rulelens.functions import vectors
 from rulelens.functions.text import content_hash
 from rulelens.operators import chunking, indexing, search
 from rulelens.plans import answers, index_commit
+from rulelens.session import stored
 from rulelens.sources import answer_ledger, hash_log, vector_table
 
 FILES = "repo string, file_path string, content string"
@@ -261,3 +262,25 @@ def test_a_broken_writer_changes_nothing(spark, tmp_path, monkeypatch):
     assert vector_table.read(spark, path).count() == 0 and bucket_sizes(tmp_path / "t") == {}
     vector_table.apply(spark, path, everything.limit(0), chunk_rows(spark, 30), 20)
     assert vector_table.read(spark, path).count() == 30
+
+
+def test_a_change_shuffles_every_row_once(spark, tmp_path, monkeypatch):
+    """Rows that stay, go, are replaced and come, with null and repeated keys, in several portions of buckets; the directory counts the rows."""
+    path = str(tmp_path / "chunks")
+    monkeypatch.setattr(vector_table, "ROWS_PER_WRITE", 60)
+    base = chunk_rows(spark, 300).selectExpr("*", "0 as version")
+    first = base.unionByName(base.filter("id < 9")).unionByName(base.filter("id = 11").withColumn("chunk_hash", F.lit(None).cast("string")))
+    vector_table.write_partitions(first, path, 40)
+    removed = base.filter("id % 10 = 3").select("collection_name", "branch", "source").distinct()
+    added = base.filter("id % 7 = 1 or id = 3").withColumn("version", F.lit(1))
+    names = {f"{r.collection_name}/{r.branch}/{r.source}" for r in removed.collect()}
+    replaced = {(r.collection_name, r.branch, r.chunk_hash) for r in added.collect()}
+    want = [r for r in first.collect() if f"{r.collection_name}/{r.branch}/{r.source}" not in names and (r.collection_name, r.branch, r.chunk_hash) not in replaced]
+    made = []
+    monkeypatch.setattr(vector_table, "stored", lambda df, name, *a: made.append(name) or stored(df, name, *a))
+    vector_table.apply(spark, path, removed, added, 40)
+    got = vector_table.read(spark, path).select(*first.columns)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, [*want, *added.collect()]), key=repr)
+    assert "rewritten" not in made  # the rows are not written twice
+    found = vector_table._directory(spark, path)[0]
+    assert sum(r["n"] for r in found) == got.count() and len(vector_table._portions(found)) > 3
