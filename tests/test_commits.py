@@ -1,6 +1,7 @@
 """Index commits that break off, the answer ledger, and models per repository."""
 
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql import functions as F
 
 from rulelens.functions import vectors
@@ -278,7 +279,13 @@ def test_a_change_shuffles_every_row_once(spark, tmp_path, monkeypatch):
     want = [r for r in first.collect() if f"{r.collection_name}/{r.branch}/{r.source}" not in names and (r.collection_name, r.branch, r.chunk_hash) not in replaced]
     made = []
     monkeypatch.setattr(vector_table, "stored", lambda df, name, *a: made.append(name) or stored(df, name, *a))
+    plans = []
+    spread = DataFrame.sortWithinPartitions
+    monkeypatch.setattr(DataFrame, "sortWithinPartitions", lambda self, *c: plans.append(self) or spread(self, *c))
     vector_table.apply(spark, path, removed, added, 40)
+    for df in plans:
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in text and text.count("Exchange hashpartitioning") == 1
     got = vector_table.read(spark, path).select(*first.columns)
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, [*want, *added.collect()]), key=repr)
     assert "rewritten" not in made  # the rows are not written twice
